@@ -215,3 +215,34 @@ def write_journal(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overw
         df.write.mode(mode).parquet(path)
     else:
         raise ValueError(f"unsupported format: {fmt}")
+
+
+def noisy_part_vendors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One vendor string per ``part`` row: a deterministic corruption of its name.
+
+    Kind by part key mod 6: 0 copy, 1 branch suffix, 2 dropped character,
+    3 swapped neighbours, 4 brand prefix, 5 unrelated name (label null).
+    """
+    p = read_table(spark, sf_dir, "part")
+    name, key = F.col("p_name"), F.col("p_partkey")
+    n = F.char_length(name)
+    k = (F.pmod(key, n) + 1).cast("int")  # 1-based position
+    kind = F.pmod(key, F.lit(6))
+    vendor = (
+        F.when(kind == 0, name)
+        .when(kind == 1, F.concat(name, F.lit(" branch "), F.pmod(key, F.lit(10)).cast("string")))
+        .when(kind == 2, F.concat(F.expr("substring(p_name, 1, pmod(p_partkey, char_length(p_name)))"),
+                                  F.expr("substring(p_name, pmod(p_partkey, char_length(p_name)) + 2)")))
+        .when(kind == 3, F.when(k >= n, name).otherwise(
+            F.concat(F.expr("substring(p_name, 1, pmod(p_partkey, char_length(p_name)))"),
+                     F.expr("substring(p_name, pmod(p_partkey, char_length(p_name)) + 2, 1)"),
+                     F.expr("substring(p_name, pmod(p_partkey, char_length(p_name)) + 1, 1)"),
+                     F.expr("substring(p_name, pmod(p_partkey, char_length(p_name)) + 3)"))))
+        .when(kind == 4, F.concat(F.col("p_brand"), F.lit(" "), name))
+        .otherwise(F.col("p_type"))
+    )
+    return p.select(
+        "p_partkey",
+        vendor.alias("vendor"),
+        F.when(kind == 5, F.lit(None).cast("string")).otherwise(name).alias("true_label"),
+    )
