@@ -20,9 +20,11 @@ ORDER_COLS = ["ord_name", "ord_alias", "ord_alias_id"]
 def _entries(master: DataFrame, alias: DataFrame) -> DataFrame:
     """Active canonical names and active aliases of active institutions, with order columns."""
     m = master.where(F.col("active"))
+    kw = ["keywords", "negative_keywords"]
     canon = m.select(
         "institution_id",
         "canonical_name",
+        *kw,
         F.col("canonical_name").alias("text"),
         F.lit(CANONICAL_SOURCE).alias("match_source"),
         F.col("canonical_name").alias("ord_name"),
@@ -30,9 +32,10 @@ def _entries(master: DataFrame, alias: DataFrame) -> DataFrame:
         F.lit(-1).cast("long").alias("ord_alias_id"),
     )
     a = alias.where(F.col("active")).select("alias_id", "institution_id", "alias_text", "alias_type")
-    als = a.join(m.select("institution_id", "canonical_name"), "institution_id").select(
+    als = a.join(m.select("institution_id", "canonical_name", *kw), "institution_id").select(
         "institution_id",
         "canonical_name",
+        *kw,
         F.col("alias_text").alias("text"),
         F.coalesce(F.col("alias_type"), F.lit("ALIAS")).alias("match_source"),
         F.col("canonical_name").alias("ord_name"),
@@ -43,7 +46,11 @@ def _entries(master: DataFrame, alias: DataFrame) -> DataFrame:
 
 
 def build_lookup(master: DataFrame, alias: DataFrame) -> DataFrame:
-    """key -> (institution_id, canonical_name, match_text, match_source); first entry wins per key."""
+    """key -> (institution_id, canonical_name, match_text, match_source, keyword lists); first entry wins per key.
+
+    The institution's keyword lists ride along so the veto and rerank rules need
+    no second join to the master.
+    """
     e = _entries(master, alias).withColumn("key", match_key("text"))
     w = Window.partitionBy("key").orderBy(*ORDER_COLS)
     return (
@@ -55,6 +62,8 @@ def build_lookup(master: DataFrame, alias: DataFrame) -> DataFrame:
             "canonical_name",
             F.col("text").alias("match_text"),
             "match_source",
+            "keywords",
+            "negative_keywords",
             *ORDER_COLS,
         )
     )
@@ -62,7 +71,9 @@ def build_lookup(master: DataFrame, alias: DataFrame) -> DataFrame:
 
 def build_vector_index(master: DataFrame, alias: DataFrame) -> DataFrame:
     """Every active canonical name and alias text (no key de-duplication), with its owner."""
-    return _entries(master, alias).select("institution_id", "canonical_name", "text", *ORDER_COLS)
+    return _entries(master, alias).select(
+        "institution_id", "canonical_name", "text", "keywords", "negative_keywords", *ORDER_COLS
+    )
 
 
 def master_with_aliases(master: DataFrame, alias: DataFrame, active_only: bool = False) -> DataFrame:

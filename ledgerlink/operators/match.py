@@ -27,17 +27,27 @@ from pyspark.sql import functions as F
 from ledgerlink.functions.similarity import wratio_col
 from ledgerlink.functions.text import chars
 from ledgerlink.operators.lookup import ORDER_COLS
-from ledgerlink.session import DEFAULT_BROADCAST_ROWS, bounded_broadcast, broadcast_if_small
+from ledgerlink.session import DEFAULT_BROADCAST_ROWS
 
 HEAD_CHAR = ""  # pseudo character shared by every vendor and the first k lookup entries
 
 
-def exact_alias(vkeys: DataFrame, lookup: DataFrame, key_col: str = "vkey", max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+def lookup_fits(lookup: DataFrame, max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> bool:
+    """One job: do the lookup and its exploded character table both fit the broadcast bound?"""
+    r = lookup.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size(chars("key")) + 1).alias("nc")).first()
+    return r["n"] <= max_broadcast_rows and (r["nc"] or 0) <= max_broadcast_rows
+
+
+def exact_alias(vkeys: DataFrame, lookup: DataFrame, key_col: str = "vkey", small: bool | None = None,
+                max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """Left join of vendor keys with the lookup on the match key."""
     lk = lookup.select(
-        F.col("key").alias(key_col), "institution_id", "canonical_name", "match_text", "match_source"
+        F.col("key").alias(key_col), "institution_id", "canonical_name", "match_text", "match_source",
+        "keywords", "negative_keywords",
     )
-    return vkeys.join(bounded_broadcast(lk, max_broadcast_rows), key_col, "left")
+    if small is None:
+        small = lookup_fits(lookup, max_broadcast_rows)
+    return vkeys.join(F.broadcast(lk) if small else lk, key_col, "left")
 
 
 def blocked_pairs(
@@ -47,6 +57,7 @@ def blocked_pairs(
     key_col: str = "vkey",
     max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
     salt_buckets: int = 32,
+    small: bool | None = None,
 ) -> DataFrame:
     """Every (vendor key, lookup entry) pair sharing a character, plus the head-entry pairs."""
     head = lookup.orderBy(*ORDER_COLS).limit(k).select("key", F.lit(True).alias("_head"))
@@ -56,18 +67,21 @@ def blocked_pairs(
         "institution_id",
         "canonical_name",
         "match_text",
+        "keywords",
+        "negative_keywords",
         *ORDER_COLS,
         F.when(F.col("_head"), F.array_union(chars("key"), F.array(F.lit(HEAD_CHAR)))).otherwise(chars("key")).alias("kchars"),
     ).withColumn("ch", F.explode("kchars"))
     vc = vkeys.select(key_col, F.array_union(chars(key_col), F.array(F.lit(HEAD_CHAR))).alias("vchars")).withColumn(
         "ch", F.explode("vchars")
     )
-    kc_side, small = broadcast_if_small(kc, max_broadcast_rows)
+    if small is None:
+        small = lookup_fits(lookup, max_broadcast_rows)
     if small:
-        joined = vc.join(kc_side, "ch")
+        joined = vc.join(F.broadcast(kc), "ch")
     else:
         vc = vc.withColumn("salt", F.pmod(F.xxhash64(key_col), F.lit(salt_buckets)))
-        kc_rep = kc_side.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1))))
+        kc_rep = kc.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1))))
         joined = vc.join(kc_rep, ["ch", "salt"]).drop("salt")
     return joined.where(F.col("ch") == F.array_min(F.array_intersect("vchars", "kchars"))).drop("vchars", "kchars", "ch")
 
@@ -79,24 +93,26 @@ def fuzzy_topk(
     key_col: str = "vkey",
     max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
     salt_buckets: int = 32,
+    small: bool | None = None,
 ) -> DataFrame:
     """Top-k lookup entries per vendor key by WRatio, ties by lookup order.
 
-    Columns: key_col, rank, key, institution_id, canonical_name, match_text, score.
+    Columns: key_col, rank, key, institution_id, canonical_name, match_text, keyword lists, score.
     """
-    pairs = blocked_pairs(vkeys, lookup, k, key_col, max_broadcast_rows, salt_buckets)
+    pairs = blocked_pairs(vkeys, lookup, k, key_col, max_broadcast_rows, salt_buckets, small)
     scored = pairs.withColumn("score", wratio_col(F.col(key_col), F.col("key")))
     w = Window.partitionBy(key_col).orderBy(F.col("score").desc(), *ORDER_COLS)
     return (
         scored.withColumn("rank", F.row_number().over(w))
         .where(F.col("rank") <= k)
-        .select(key_col, "rank", "key", "institution_id", "canonical_name", "match_text", "score")
+        .select(key_col, "rank", "key", "institution_id", "canonical_name", "match_text", "keywords",
+                "negative_keywords", "score")
     )
 
 
 def top2_pivot(topk: DataFrame, key_col: str = "vkey") -> DataFrame:
     """One row per key with struct columns t1, t2 (null when absent)."""
-    cand = F.struct("score", "match_text", "canonical_name", "institution_id")
+    cand = F.struct("score", "match_text", "canonical_name", "institution_id", "keywords", "negative_keywords")
     return topk.groupBy(key_col).agg(
         F.max(F.when(F.col("rank") == 1, cand)).alias("t1"),
         F.max(F.when(F.col("rank") == 2, cand)).alias("t2"),

@@ -163,9 +163,13 @@ def rerank(context: Column, keywords: Column, negative_keywords: Column, score:
     return confirmed, reason
 
 
-def vector_record(has_context: Column, context: Column, v1: Column, v2: Column, master_found: Column,
-                  keywords: Column, negative_keywords: Column, floor: float, min_margin: float) -> Column:
-    """R6: record from the top-2 vector candidates v1, v2 (structs: score, matched_text, canonical_name, institution_id)."""
+def vector_record(has_context: Column, context: Column, v1: Column, v2: Column, floor: float, min_margin: float,
+                  master_found: Column | None = None) -> Column:
+    """R6: record from the top-2 vector candidates v1, v2 (structs: score, matched_text,
+    canonical_name, institution_id, keywords, negative_keywords)."""
+    keywords, negative_keywords = v1["keywords"], v1["negative_keywords"]
+    if master_found is None:
+        master_found = v1["institution_id"].isNotNull()
     margin = F.when(v2.isNotNull(), v1["score"] - v2["score"])
     confirmed, rr = rerank(context, keywords, negative_keywords, v1["score"], margin, floor, min_margin)
     confirmed = F.when(has_context & master_found, confirmed).otherwise(F.lit(False))

@@ -57,6 +57,8 @@ def _out_schema(query_id: str, id_type: T.DataType) -> T.StructType:
             T.StructField("institution_id", T.LongType()),
             T.StructField("canonical_name", T.StringType()),
             T.StructField("matched_text", T.StringType()),
+            T.StructField("keywords", T.StringType()),
+            T.StructField("negative_keywords", T.StringType()),
             T.StructField("score", T.DoubleType()),
             T.StructField("ord_name", T.StringType()),
             T.StructField("ord_alias", T.IntegerType()),
@@ -78,6 +80,8 @@ def _emit(qids, pos, sc, ipdf: pd.DataFrame, query_id: str, k: int) -> pd.DataFr
                     "institution_id": ipdf["institution_id"].to_numpy()[p],
                     "canonical_name": ipdf["canonical_name"].to_numpy()[p],
                     "matched_text": ipdf["text"].to_numpy()[p],
+                    "keywords": ipdf["keywords"].to_numpy()[p],
+                    "negative_keywords": ipdf["negative_keywords"].to_numpy()[p],
                     "score": sc[ok, r],
                     "ord_name": ipdf["ord_name"].to_numpy()[p],
                     "ord_alias": ipdf["ord_alias"].to_numpy()[p].astype("int32"),
@@ -98,20 +102,26 @@ def vector_topk(
     chunk_rows: int = 50_000,
     query_buckets: int = 64,
 ) -> DataFrame:
-    """queries: (query_id, vec); index: (institution_id, canonical_name, text, ord_*, vec).
+    """queries: (query_id, vec); index: (institution_id, canonical_name, text, [keywords,
+    negative_keywords,] ord_*, vec).
 
-    Returns query_id, rank (1..k), institution_id, canonical_name, matched_text, score, ord_*.
+    Returns query_id, rank (1..k), institution_id, canonical_name, matched_text,
+    keywords, negative_keywords, score, ord_*.
     """
     id_type = queries.schema[query_id].dataType
     schema = _out_schema(query_id, id_type)
-    icols = ["institution_id", "canonical_name", "text", *ORDER_COLS, vec_col]
+    for c in ("keywords", "negative_keywords"):
+        if c not in index.columns:
+            index = index.withColumn(c, F.lit(None).cast("string"))
+    icols = ["institution_id", "canonical_name", "text", "keywords", "negative_keywords", *ORDER_COLS, vec_col]
     index = index.select(*icols)
-    n_index = index.limit(max_broadcast_rows + 1).count()
+    # One job: fetch at most max_broadcast_rows + 1 rows; more means the index is large.
+    ipdf = index.orderBy(*ORDER_COLS).limit(max_broadcast_rows + 1).toPandas()
+    n_index = len(ipdf)
     if n_index == 0:
         return queries.sparkSession.createDataFrame([], schema)
 
     if n_index <= max_broadcast_rows:
-        ipdf = index.orderBy(*ORDER_COLS).toPandas()  # bounded by the check above
         mat = np.vstack([np.asarray(v, dtype=np.float64) for v in ipdf[vec_col]])
         owners = ipdf["institution_id"].to_numpy()
         meta = ipdf.drop(columns=[vec_col])
@@ -129,6 +139,8 @@ def vector_topk(
         return queries.select(query_id, vec_col).mapInPandas(score_batches, schema)
 
     # Large index: blocked brute force without a driver round trip.
+    del ipdf
+    n_index = index.count()
     chunks = max(1, math.ceil(n_index / chunk_rows))
     ic = index.withColumn("_chunk", F.pmod(F.xxhash64(*ORDER_COLS), F.lit(chunks))).withColumn(
         "_qb", F.explode(F.sequence(F.lit(0), F.lit(query_buckets - 1)))

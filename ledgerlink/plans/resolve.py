@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ledgerlink.functions.encoder import HashedNgramEncoder
 from ledgerlink.functions.text import match_key
 from ledgerlink.operators.lookup import build_lookup, build_vector_index
-from ledgerlink.operators.match import exact_alias, fuzzy_topk, top2_pivot
+from ledgerlink.operators.match import exact_alias, fuzzy_topk, lookup_fits, top2_pivot
 from ledgerlink.operators.rules import fast_record, no_vendor_record, vector_record, veto
 from ledgerlink.operators.vector import vector_topk
 from ledgerlink.schema import (
@@ -40,50 +40,39 @@ DEFAULT_ENCODER = HashedNgramEncoder()
 
 
 def fast_path(vendors: DataFrame, vendor_col: str, lookup: DataFrame, threshold: float,
-              max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """R1 for distinct non-null vendors -> (vendor_col, res)."""
+              small: bool | None = None, max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """R1 for distinct non-null vendors -> (vendor_col, res, _nkw).
+
+    ``_nkw`` is the negative-keyword list of the fuzzy top-1 institution (for the veto).
+    """
     vk = vendors.where(F.col(vendor_col).isNotNull()).select(vendor_col, match_key(F.col(vendor_col)).alias("vkey"))
     keys = vk.select("vkey").distinct()
-    ex = exact_alias(keys, lookup, "vkey", max_broadcast_rows)
+    ex = exact_alias(keys, lookup, "vkey", small, max_broadcast_rows)
     misses = ex.where(F.col("match_source").isNull()).select("vkey")
-    top = top2_pivot(fuzzy_topk(misses, lookup, 2, "vkey", max_broadcast_rows))
-    fast = ex.join(top, "vkey", "left").select("vkey", fast_record(threshold).alias("res"))
-    return vk.join(fast, "vkey").select(vendor_col, "res")
-
-
-def _master_info(master: DataFrame) -> DataFrame:
-    return master.select(
-        F.col("institution_id").alias("_mid"),
-        F.col("canonical_name").alias("_mname"),
-        F.col("keywords").alias("_kw"),
-        F.col("negative_keywords").alias("_nkw"),
+    top = top2_pivot(fuzzy_topk(misses, lookup, 2, "vkey", max_broadcast_rows, small=small))
+    fast = ex.join(top, "vkey", "left").select(
+        "vkey", fast_record(threshold).alias("res"), F.col("t1.negative_keywords").alias("_nkw")
     )
+    return vk.join(fast, "vkey").select(vendor_col, "res", "_nkw")
 
 
 def vector_path(unresolved: DataFrame, vendor_col: str, context_col: str | None, master: DataFrame,
-                alias: DataFrame, encoder, floor: float, min_margin: float,
-                max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """R6/R7 on unresolved pairs -> pair columns + res (null res where no index exists)."""
+                alias: DataFrame, encoder, floor: float, min_margin: float) -> DataFrame:
+    """R6/R7 on unresolved pairs -> pair columns + res (unchanged res where no index exists)."""
     index = encoder.encode(build_vector_index(master, alias), "text")
     q = unresolved.select(F.col(vendor_col).cast("string").alias("_q")).distinct()
     qv = encoder.encode(q, "_q")
     top = vector_topk(qv, index, "_q", k=2)
-    cand = F.struct(
-        F.col("score"), F.col("matched_text"), F.col("canonical_name"), F.col("institution_id")
-    )
+    cand = F.struct("score", "matched_text", "canonical_name", "institution_id", "keywords", "negative_keywords")
     piv = top.groupBy("_q").agg(
         F.max(F.when(F.col("rank") == 1, cand)).alias("v1"),
         F.max(F.when(F.col("rank") == 2, cand)).alias("v2"),
     )
     u = unresolved.withColumn("_q", F.col(vendor_col).cast("string")).join(piv, "_q", "left")
-    u = u.join(bounded_broadcast(_master_info(master), max_broadcast_rows), F.col("v1.institution_id") == F.col("_mid"), "left")
     has_ctx = F.col(context_col).isNotNull() if context_col else F.lit(False)
     ctx = F.col(context_col) if context_col else F.lit(None).cast("string")
-    rec = vector_record(has_ctx, ctx, F.col("v1"), F.col("v2"), F.col("_mid").isNotNull(), F.col("_kw"), F.col("_nkw"),
-                        floor, min_margin)
-    return u.withColumn("res", F.when(F.col("v1").isNotNull(), rec).otherwise(F.col("res"))).drop(
-        "_q", "v1", "v2", "_mid", "_mname", "_kw", "_nkw"
-    )
+    rec = vector_record(has_ctx, ctx, F.col("v1"), F.col("v2"), floor, min_margin)
+    return u.withColumn("res", F.when(F.col("v1").isNotNull(), rec).otherwise(F.col("res"))).drop("_q", "v1", "v2")
 
 
 def resolve_pairs(
@@ -104,17 +93,17 @@ def resolve_pairs(
     pair_cols = [vendor_col] + ([context_col] if context_col else [])
     pairs = pairs.select(*pair_cols).persist(StorageLevel.MEMORY_AND_DISK)
     lookup = build_lookup(master, alias).persist(StorageLevel.MEMORY_AND_DISK)
+    small = lookup_fits(lookup, max_broadcast_rows)
 
     vendors = pairs.select(vendor_col).distinct()
-    fast = fast_path(vendors, vendor_col, lookup, threshold, max_broadcast_rows)
-    fast = fast.select(F.col(vendor_col).alias("_fv"), "res")
+    fast = fast_path(vendors, vendor_col, lookup, threshold, small, max_broadcast_rows)
+    fast = fast.select(F.col(vendor_col).alias("_fv"), "res", "_nkw")
     res = pairs.join(fast, F.col(vendor_col).eqNullSafe(F.col("_fv")), "left").select(
-        *pair_cols, F.coalesce(F.col("res"), no_vendor_record()).alias("res")
+        *pair_cols, F.coalesce(F.col("res"), no_vendor_record()).alias("res"), "_nkw"
     )
-
     if context_col:
-        res = res.join(bounded_broadcast(_master_info(master), max_broadcast_rows), F.col("res.institution_id") == F.col("_mid"), "left")
-        res = res.withColumn("res", veto(F.col("res"), F.col(context_col), F.col("_nkw"), F.col("_mname"))).select(*pair_cols, "res")
+        res = res.withColumn("res", veto(F.col("res"), F.col(context_col), F.col("_nkw"), F.col("res.canonical_institution")))
+    res = res.drop("_nkw")
 
     if not use_embedding:
         return res
@@ -122,8 +111,7 @@ def resolve_pairs(
     is_unres = (F.col("res.normalization_method") == UNRESOLVED) & F.col(vendor_col).isNotNull()
     res = res.persist(StorageLevel.MEMORY_AND_DISK)
     done = res.where(~is_unres | is_unres.isNull())
-    ai = vector_path(res.where(is_unres), vendor_col, context_col, master, alias, encoder, embedding_floor, min_margin,
-                     max_broadcast_rows)
+    ai = vector_path(res.where(is_unres), vendor_col, context_col, master, alias, encoder, embedding_floor, min_margin)
     return done.unionByName(ai.select(*pair_cols, "res"))
 
 

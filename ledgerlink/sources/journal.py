@@ -95,25 +95,26 @@ COMPANY_LIST = ["NH농협은행", "신한은행"]
 TOTAL_WEIGHT = sum(t[4] for t in TEMPLATES)
 
 
+def _sql_str(v) -> str:
+    if v is None:
+        return "CAST(NULL AS STRING)"
+    return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def _template_array() -> Column:
-    return F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("template"),
-                F.lit(v).alias("vendor"),
-                F.lit(d).alias("description"),
-                F.lit(a).alias("account"),
-                F.lit(c).alias("counter_account"),
-            )
-            for i, (v, d, a, c, _w) in enumerate(TEMPLATES)
-        ]
+    """The templates as one literal array of structs (a single SQL expression, folded to a constant)."""
+    items = ", ".join(
+        f"named_struct('template', {i}, 'vendor', {_sql_str(v)}, 'description', {_sql_str(d)}, "
+        f"'account', {_sql_str(a)}, 'counter_account', {_sql_str(c)})"
+        for i, (v, d, a, c, _w) in enumerate(TEMPLATES)
     )
+    return F.expr(f"array({items})")
 
 
 def _pick_array() -> Column:
     """Template index for every value in [0, TOTAL_WEIGHT): cumulative-weight buckets."""
     idx = [i for i, t in enumerate(TEMPLATES) for _ in range(t[4])]
-    return F.array(*[F.lit(i) for i in idx])
+    return F.expr("array(" + ", ".join(str(i) for i in idx) + ")")
 
 
 def template_journal(rows: DataFrame, pick: Column, voucher: Column, voucher_date: Column, amount: Column) -> DataFrame:
@@ -172,15 +173,14 @@ def synth_journal(spark: SparkSession, n_rows: int, seed: int = 42) -> DataFrame
 def evaluation_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled cases spread over every lineitem row: vendor, context_text, true_label."""
     li = read_table(spark, sf_dir, "lineitem")
-    cases = F.array(
-        *[
-            F.struct(
-                F.lit(v).alias("vendor"),
-                F.lit(CONTEXT_SEPARATOR.join([v, d, a, c])).alias("context_text"),
-                F.lit(lbl).cast("string").alias("true_label"),
-            )
+    cases = F.expr(
+        "array("
+        + ", ".join(
+            f"named_struct('vendor', {_sql_str(v)}, 'context_text', {_sql_str(CONTEXT_SEPARATOR.join([v, d, a, c]))}, "
+            f"'true_label', {_sql_str(lbl)})"
             for v, d, a, c, lbl in EVALUATION_CASES
-        ]
+        )
+        + ")"
     )
     case = F.element_at(cases, (F.pmod(F.col("l_orderkey") * 7 + F.col("l_linenumber"), F.lit(len(EVALUATION_CASES))) + 1).cast("int"))
     return li.select(
