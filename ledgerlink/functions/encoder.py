@@ -5,16 +5,46 @@ buckets with a rule both Spark and plain SQL can evaluate:
 
     bucket(gram) = (sum over its code points c_j of c_j * 31^(len-1-j)) mod dim
 
-It is pure column arithmetic (no UDF) and deterministic across runs and hosts.
+It runs as an Arrow-batched pandas UDF (one call per batch of distinct texts);
+``ngram_vector`` is the same rule as pure column expressions, kept as a
+cross-check (its nested higher-order functions are interpreted and slow).
 A precomputed vector column can be used instead (``PrecomputedEncoder``), and a
 user model can be plugged in as any object with the same ``encode`` method
-(e.g. an Arrow ``pandas_udf`` that runs the model once per batch).
+(e.g. a pandas UDF that loads the model once per executor and encodes a batch).
 """
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
+
+
+def ngram_array(text: str | None, dim: int = 128, n_max: int = 3) -> np.ndarray:
+    """The hashed n-gram vector of one text (L2-normalised; zeros for empty text)."""
+    t = text or ""
+    v = np.zeros(dim, dtype=np.float64)
+    for n in range(1, n_max + 1):
+        for i in range(len(t) - n + 1):
+            h = 0
+            for ch in t[i : i + n]:
+                h = h * 31 + ord(ch)
+            v[h % dim] += 1.0
+    norm = math.sqrt(float(np.dot(v, v)))
+    return v / norm if norm > 0 else v
+
+
+def _ngram_udf(dim: int, n_max: int):
+    @pandas_udf(T.ArrayType(T.DoubleType()))
+    def enc(texts: pd.Series) -> pd.Series:
+        return pd.Series([ngram_array(t, dim, n_max) for t in texts])
+
+    return enc
 
 
 def _grams(t: Column, n: int) -> Column:
@@ -51,6 +81,9 @@ class HashedNgramEncoder:
         self.n_max = n_max
 
     def encode(self, df: DataFrame, text_col: str, out_col: str = "vec") -> DataFrame:
+        return df.withColumn(out_col, _ngram_udf(self.dim, self.n_max)(F.col(text_col)))
+
+    def encode_native(self, df: DataFrame, text_col: str, out_col: str = "vec") -> DataFrame:
         return df.withColumn(out_col, ngram_vector(F.col(text_col), self.dim, self.n_max))
 
 

@@ -140,3 +140,15 @@ def seed_if_absent(master: DataFrame, alias: DataFrame, seed_master: DataFrame,
     new_alias = alias.unionByName(new_alias_rows.select(*alias.columns))
     added = fresh.agg(F.count(F.lit(1)).alias("added"))
     return new_master, new_alias, added
+
+
+def list_institutions(master: DataFrame, active_only: bool = False) -> DataFrame:
+    m = master.where(F.col("active")) if active_only else master
+    return m.orderBy("canonical_name")
+
+
+def list_aliases(alias: DataFrame, institution_id: int | None = None) -> DataFrame:
+    a = alias.where(F.col("institution_id") == institution_id) if institution_id is not None else alias
+    return a.orderBy("alias_text")
+
+

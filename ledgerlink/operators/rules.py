@@ -1,8 +1,10 @@
-"""Decision rules as column expressions producing the fixed result struct.
+"""Decision rules as Spark SQL expressions producing the fixed result struct.
 
 R1 fast cascade, R5 fuzzy veto, R3 context rerank, R6 vector-path record.
-Reasons are built from the same numbers the rules test (never rounded before
-a threshold comparison).
+Each rule is one SQL expression string handed to ``F.expr`` (a single call to
+the JVM instead of hundreds of Column-API round trips); Catalyst compiles it
+like any other projection.  Reasons are built from the same numbers the rules
+test (never rounded before a threshold comparison).
 """
 
 from __future__ import annotations
@@ -10,189 +12,195 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ledgerlink.functions.text import keyword_hits, keyword_list, render_list
-from ledgerlink.schema import (
-    ALIAS,
-    AUTO,
-    CANONICAL_SOURCE,
-    CONTEXT_RERANK,
-    EMBEDDING,
-    EXACT,
-    FUZZY,
-    NEEDS_REVIEW,
-    RESULT_STRUCT,
-    UNRESOLVED,
-)
-
-def record(
-    normalized_expression=None,
-    canonical_institution=None,
-    institution_id=None,
-    normalization_method=None,
-    top1_score=None,
-    top2_candidate=None,
-    top2_score=None,
-    score_margin=None,
-    review_status=None,
-    reason=None,
-    user_confirmed=False,
-) -> Column:
-    """The fixed result struct; plain Python values become typed literals."""
-    vals = dict(locals())
-    return F.struct(
-        *[
-            (vals[f.name] if isinstance(vals[f.name], Column) else F.lit(vals[f.name])).cast(f.dataType).alias(f.name)
-            for f in RESULT_STRUCT.fields
-        ]
+from ledgerlink.schema import RESULT_STRUCT
+
+_EDGE_WS = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+
+
+def sql_lit(v) -> str:
+    """A Spark SQL literal for a Python value (strings escaped, floats as doubles)."""
+    if v is None:
+        return "NULL"
+    if isinstance(v, bool):
+        return "true" if v else "false"
+    if isinstance(v, float):
+        return repr(v) + "D"
+    if isinstance(v, int):
+        return str(v)
+    return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def keyword_list_sql(csv: str) -> str:
+    """CSV keyword string -> trimmed, non-blank keywords (null -> empty)."""
+    return (
+        f"filter(transform(split(coalesce({csv}, ''), ','), kw -> regexp_replace(kw, {sql_lit(_EDGE_WS)}, '')), "
+        "kw -> kw != '')"
     )
 
 
-def no_vendor_record() -> Column:
-    return record(normalization_method=UNRESOLVED, review_status=NEEDS_REVIEW, reason="No vendor value")
+def keyword_hits_sql(ctx: str, kwlist: str) -> str:
+    """Keywords of ``kwlist`` found in ``ctx`` (case-sensitive substring), in list order."""
+    return (
+        f"(CASE WHEN coalesce({ctx}, '') = '' THEN CAST(array() AS ARRAY<STRING>) "
+        f"ELSE filter({kwlist}, hk -> instr(coalesce({ctx}, ''), hk) > 0) END)"
+    )
+
+
+def render_list_sql(arr: str) -> str:
+    return f"concat('[', array_join({arr}, ', '), ']')"
+
+
+def record_sql(**fields) -> str:
+    """named_struct over the fixed result fields; missing fields are NULL (user_confirmed false)."""
+    parts = []
+    for f in RESULT_STRUCT.fields:
+        default = "false" if f.name == "user_confirmed" else "NULL"
+        v = fields.get(f.name, default)
+        parts.append(f"'{f.name}', CAST({v} AS {f.dataType.simpleString()})")
+    return "named_struct(" + ", ".join(parts) + ")"
+
+
+def copy_record_sql(res: str, **overrides) -> str:
+    return record_sql(**{f.name: overrides.get(f.name, f"{res}.{f.name}") for f in RESULT_STRUCT.fields})
+
 
+def no_vendor_record_sql() -> str:
+    return record_sql(normalization_method="'UNRESOLVED'", review_status="'NEEDS_REVIEW'", reason="'No vendor value'")
 
-def no_candidate_record() -> Column:
-    return record(
-        normalization_method=UNRESOLVED,
-        review_status=NEEDS_REVIEW,
-        reason="No master or alias entries to compare against",
+
+def no_candidate_record_sql() -> str:
+    return record_sql(
+        normalization_method="'UNRESOLVED'",
+        review_status="'NEEDS_REVIEW'",
+        reason="'No master or alias entries to compare against'",
     )
 
 
-def fast_record(threshold: float) -> Column:
-    """R1 over columns: match_source/match_text/canonical_name/institution_id (exact hit) and t1, t2 (fuzzy)."""
-    t1, t2 = F.col("t1"), F.col("t2")
-    margin = F.when(t2.isNotNull(), t1["score"] - t2["score"])
-    exact = record(
-        normalized_expression=F.col("match_text"),
-        canonical_institution=F.col("canonical_name"),
-        institution_id=F.col("institution_id"),
-        normalization_method=F.when(F.col("match_source") == CANONICAL_SOURCE, F.lit(EXACT)).otherwise(F.lit(ALIAS)),
-        top1_score=F.lit(100.0),
-        review_status=AUTO,
-        reason=F.when(F.col("match_source") == CANONICAL_SOURCE, F.lit("Exact match on master name")).otherwise(
-            F.concat(F.lit("Exact match on alias ("), F.col("match_text"), F.lit(")"))
-        ),
+def no_vendor_record() -> Column:
+    return F.expr(no_vendor_record_sql())
+
+
+def fast_record_sql(threshold: float) -> str:
+    """R1 over columns match_source/match_text/canonical_name/institution_id (exact hit) and t1, t2 (fuzzy)."""
+    th = sql_lit(float(threshold))
+    margin = "CASE WHEN t2 IS NOT NULL THEN t1.score - t2.score END"
+    exact = record_sql(
+        normalized_expression="match_text",
+        canonical_institution="canonical_name",
+        institution_id="institution_id",
+        normalization_method="CASE WHEN match_source = 'CANONICAL' THEN 'EXACT' ELSE 'ALIAS' END",
+        top1_score="100.0D",
+        review_status="'AUTO'",
+        reason="CASE WHEN match_source = 'CANONICAL' THEN 'Exact match on master name' "
+        "ELSE concat('Exact match on alias (', match_text, ')') END",
     )
-    fuzzy = record(
-        normalized_expression=t1["match_text"],
-        canonical_institution=t1["canonical_name"],
-        institution_id=t1["institution_id"],
-        normalization_method=FUZZY,
-        top1_score=t1["score"],
-        top2_candidate=t2["canonical_name"],
-        top2_score=t2["score"],
+    fuzzy = record_sql(
+        normalized_expression="t1.match_text",
+        canonical_institution="t1.canonical_name",
+        institution_id="t1.institution_id",
+        normalization_method="'FUZZY'",
+        top1_score="t1.score",
+        top2_candidate="t2.canonical_name",
+        top2_score="t2.score",
         score_margin=margin,
-        review_status=AUTO,
-        reason=F.format_string("Fuzzy similarity %.1f >= threshold %.1f", t1["score"], F.lit(float(threshold))),
+        review_status="'AUTO'",
+        reason=f"format_string('Fuzzy similarity %.1f >= threshold %.1f', t1.score, {th})",
     )
-    below = record(
-        normalization_method=UNRESOLVED,
-        top1_score=t1["score"],
-        top2_candidate=t2["canonical_name"],
-        top2_score=t2["score"],
+    below = record_sql(
+        normalization_method="'UNRESOLVED'",
+        top1_score="t1.score",
+        top2_candidate="t2.canonical_name",
+        top2_score="t2.score",
         score_margin=margin,
-        review_status=NEEDS_REVIEW,
-        reason=F.format_string(
-            "Fuzzy similarity %.1f < threshold %.1f (continues to the vector path)", t1["score"], F.lit(float(threshold))
-        ),
+        review_status="'NEEDS_REVIEW'",
+        reason=f"format_string('Fuzzy similarity %.1f < threshold %.1f (continues to the vector path)', t1.score, {th})",
     )
     return (
-        F.when(F.col("match_source").isNotNull(), exact)
-        .when(t1.isNull(), no_candidate_record())
-        .when(t1["score"] >= F.lit(float(threshold)), fuzzy)
-        .otherwise(below)
+        f"CASE WHEN match_source IS NOT NULL THEN {exact} WHEN t1 IS NULL THEN {no_candidate_record_sql()} "
+        f"WHEN t1.score >= {th} THEN {fuzzy} ELSE {below} END"
     )
 
 
-def veto(res: Column, context: Column, negative_keywords: Column, canonical_name: Column) -> Column:
+def fast_record(threshold: float) -> Column:
+    return F.expr(fast_record_sql(threshold))
+
+
+def veto_sql(res: str, context: str, negative_keywords: str) -> str:
     """R5: a FUZZY + AUTO record whose context holds a negative keyword goes to review.
 
     Method, institution and scores are kept.  ``negative_keywords`` is the CSV
-    string of the record's institution (null when the institution is unknown).
+    string of the record's institution.
     """
-    hits = keyword_hits(context, keyword_list(negative_keywords))
-    fire = (res["normalization_method"] == FUZZY) & (res["review_status"] == AUTO) & negative_keywords.isNotNull() & (F.size(hits) > 0)
-    return F.when(
-        fire,
-        res.withField("review_status", F.lit(NEEDS_REVIEW)).withField(
-            "reason",
-            F.concat(
-                F.lit("[Safeguard] fuzzy auto-confirmed '"),
-                canonical_name,
-                F.lit("' but the context holds negative keywords "),
-                render_list(hits),
-                F.lit("; sent to review"),
-            ),
-        ),
-    ).otherwise(res)
-
-
-def rerank(context: Column, keywords: Column, negative_keywords: Column, score: Column, margin: Column,
-           floor: float, min_margin: float) -> tuple[Column, Column]:
-    """R3 (first matching rule wins) -> (confirmed, reason)."""
-    neg = keyword_hits(context, keyword_list(negative_keywords))
-    pos = keyword_hits(context, keyword_list(keywords))
-    floor_l, margin_l = F.lit(float(floor)), F.lit(float(min_margin))
-    r_neg = F.size(neg) > 0
-    r_margin = margin.isNotNull() & (margin < margin_l)
-    r_ok = (F.size(pos) > 0) & (score >= floor_l)
-    confirmed = F.when(r_neg | r_margin, F.lit(False)).otherwise(r_ok)
+    hits = keyword_hits_sql(context, keyword_list_sql(negative_keywords))
+    fire = (
+        f"{res}.normalization_method = 'FUZZY' AND {res}.review_status = 'AUTO' "
+        f"AND {negative_keywords} IS NOT NULL AND size({hits}) > 0"
+    )
+    vetoed = copy_record_sql(
+        res,
+        review_status="'NEEDS_REVIEW'",
+        reason=f"concat('[Safeguard] fuzzy auto-confirmed ''', {res}.canonical_institution, "
+        f"''' but the context holds negative keywords ', {render_list_sql(hits)}, '; sent to review')",
+    )
+    return f"CASE WHEN {fire} THEN {vetoed} ELSE {res} END"
+
+
+def veto(res: str, context: str, negative_keywords: str) -> Column:
+    return F.expr(veto_sql(res, context, negative_keywords))
+
+
+def rerank_sql(context: str, keywords: str, negative_keywords: str, score: str, margin: str,
+               floor: float, min_margin: float) -> tuple[str, str]:
+    """R3 (first matching rule wins) -> (confirmed, reason) SQL."""
+    neg = keyword_hits_sql(context, keyword_list_sql(negative_keywords))
+    pos = keyword_hits_sql(context, keyword_list_sql(keywords))
+    fl, mm = sql_lit(float(floor)), sql_lit(float(min_margin))
+    r_neg = f"size({neg}) > 0"
+    r_margin = f"({margin}) IS NOT NULL AND ({margin}) < {mm}"
+    r_ok = f"size({pos}) > 0 AND {score} >= {fl}"
+    confirmed = f"CASE WHEN {r_neg} THEN false WHEN {r_margin} THEN false ELSE ({r_ok}) END"
     reason = (
-        F.when(r_neg, F.concat(F.lit("Negative keywords "), render_list(neg), F.lit(" in context; auto-confirm refused")))
-        .when(
-            r_margin,
-            F.format_string("Top1/top2 margin %.3f < threshold %.2f; candidates too close, review needed", margin, margin_l),
-        )
-        .when(
-            r_ok,
-            F.concat(
-                F.format_string("Embedding %.3f >= threshold %.2f and keywords ", score, floor_l),
-                render_list(pos),
-                F.lit(" in context; auto-normalized"),
-            ),
-        )
-        .otherwise(
-            F.concat(
-                F.format_string("Embedding %.3f, keywords ", score),
-                F.when(F.size(pos) > 0, render_list(pos)).otherwise(F.lit("none")),
-                F.lit("; auto-confirm conditions not met, review needed"),
-            )
-        )
+        f"CASE WHEN {r_neg} THEN concat('Negative keywords ', {render_list_sql(neg)}, ' in context; auto-confirm refused') "
+        f"WHEN {r_margin} THEN format_string('Top1/top2 margin %.3f < threshold %.2f; candidates too close, review needed', {margin}, {mm}) "
+        f"WHEN {r_ok} THEN concat(format_string('Embedding %.3f >= threshold %.2f and keywords ', {score}, {fl}), "
+        f"{render_list_sql(pos)}, ' in context; auto-normalized') "
+        f"ELSE concat(format_string('Embedding %.3f, keywords ', {score}), "
+        f"CASE WHEN size({pos}) > 0 THEN {render_list_sql(pos)} ELSE 'none' END, "
+        "'; auto-confirm conditions not met, review needed') END"
     )
     return confirmed, reason
 
 
-def vector_record(has_context: Column, context: Column, v1: Column, v2: Column, floor: float, min_margin: float,
-                  master_found: Column | None = None) -> Column:
+def vector_record_sql(context: str | None, v1: str, v2: str, floor: float, min_margin: float) -> str:
     """R6: record from the top-2 vector candidates v1, v2 (structs: score, matched_text,
-    canonical_name, institution_id, keywords, negative_keywords)."""
-    keywords, negative_keywords = v1["keywords"], v1["negative_keywords"]
-    if master_found is None:
-        master_found = v1["institution_id"].isNotNull()
-    margin = F.when(v2.isNotNull(), v1["score"] - v2["score"])
-    confirmed, rr = rerank(context, keywords, negative_keywords, v1["score"], margin, floor, min_margin)
-    confirmed = F.when(has_context & master_found, confirmed).otherwise(F.lit(False))
+    canonical_name, institution_id, keywords, negative_keywords).
+
+    With a context column (``context`` not None) and a non-null value: CONTEXT_RERANK,
+    AUTO only when R3 confirms.  Otherwise EMBEDDING, always NEEDS_REVIEW.
+    """
+    margin = f"CASE WHEN {v2} IS NOT NULL THEN {v1}.score - {v2}.score END"
+    has_ctx = f"({context} IS NOT NULL)" if context else "false"
+    ctx = context or "CAST(NULL AS STRING)"
+    confirmed, rr = rerank_sql(ctx, f"{v1}.keywords", f"{v1}.negative_keywords", f"{v1}.score", margin, floor, min_margin)
     reason = (
-        F.when(has_context & ~master_found, F.lit("[Context rerank] master entry not found, review needed"))
-        .when(has_context, F.concat(F.lit("[Context rerank] "), rr))
-        .otherwise(
-            F.concat(
-                F.format_string("Embedding top1=%.3f", v1["score"]),
-                F.when(v2.isNotNull(), F.format_string(", top2=%.3f", v2["score"])).otherwise(F.lit("")),
-                F.lit("; no context to rerank with, review needed"),
-            )
-        )
+        f"CASE WHEN {has_ctx} THEN concat('[Context rerank] ', {rr}) "
+        f"ELSE concat(format_string('Embedding top1=%.3f', {v1}.score), "
+        f"CASE WHEN {v2} IS NOT NULL THEN format_string(', top2=%.3f', {v2}.score) ELSE '' END, "
+        "'; no context to rerank with, review needed') END"
     )
-    return record(
-        normalized_expression=v1["matched_text"],
-        canonical_institution=v1["canonical_name"],
-        institution_id=v1["institution_id"],
-        normalization_method=F.when(has_context, F.lit(CONTEXT_RERANK)).otherwise(F.lit(EMBEDDING)),
-        top1_score=v1["score"],
-        top2_candidate=v2["canonical_name"],
-        top2_score=v2["score"],
+    return record_sql(
+        normalized_expression=f"{v1}.matched_text",
+        canonical_institution=f"{v1}.canonical_name",
+        institution_id=f"{v1}.institution_id",
+        normalization_method=f"CASE WHEN {has_ctx} THEN 'CONTEXT_RERANK' ELSE 'EMBEDDING' END",
+        top1_score=f"{v1}.score",
+        top2_candidate=f"{v2}.canonical_name",
+        top2_score=f"{v2}.score",
         score_margin=margin,
-        review_status=F.when(confirmed, F.lit(AUTO)).otherwise(F.lit(NEEDS_REVIEW)),
+        review_status=f"CASE WHEN {has_ctx} AND ({confirmed}) THEN 'AUTO' ELSE 'NEEDS_REVIEW' END",
         reason=reason,
     )
+
+
+def vector_record(context: str | None, v1: str, v2: str, floor: float, min_margin: float) -> Column:
+    return F.expr(vector_record_sql(context, v1, v2, floor, min_margin))

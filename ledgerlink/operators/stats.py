@@ -66,3 +66,42 @@ def run_stats(result: DataFrame, pair_cols: list[str]) -> DataFrame:
         F.count_if(m == UNRESOLVED).alias("unresolved_count"),
         F.countDistinct(F.struct(*pair_cols)).alias("distinct_pairs"),
     ).withColumn("cache_hit_count", F.col("total_rows") - F.col("distinct_pairs"))
+
+
+PREVIEW_COLUMNS = [
+    "detected_expression",
+    "context_text",
+    "canonical_institution",
+    "normalization_method",
+    "top1_score",
+    "top2_candidate",
+    "review_status",
+    "reason",
+]
+
+
+def preview(result: DataFrame, limit: int = 200, columns: list[str] | None = None) -> DataFrame:
+    """Distinct result preview (the listed columns that exist), first ``limit`` by those columns."""
+    cols = [c for c in (columns or PREVIEW_COLUMNS) if c in result.columns]
+    return result.select(*cols).distinct().orderBy(*cols).limit(limit)
+
+
+def head(df: DataFrame, columns: list[str], n: int = 20) -> DataFrame:
+    """Mapped-column preview: the first ``n`` rows of the mapped columns."""
+    return df.select(*[c for c in columns if c in df.columns]).limit(n)
+
+
+def table_counts(tables: dict[str, DataFrame], caps: dict[str, int] | None = None) -> DataFrame:
+    """Row count of each named table in one frame (``caps`` bound a count, e.g. runs at 1000)."""
+    caps = caps or {}
+    out = None
+    for name, df in tables.items():
+        src = df.limit(caps[name]) if name in caps else df
+        c = src.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows")
+        out = c if out is None else out.unionByName(c)
+    return out
+
+
+def recent(df: DataFrame, time_col: str, id_col: str, n: int = 20) -> DataFrame:
+    """Newest ``n`` rows (time desc, id desc): run, performance-log and label listings."""
+    return df.orderBy(F.col(time_col).desc_nulls_last(), F.col(id_col).desc()).limit(n)

@@ -524,6 +524,18 @@ def oracle_sql() -> dict[str, str]:
         "round(top1_score, 6) AS top1_score, top2_candidate, round(top2_score, 6) AS top2_score, round(score_margin, 6) AS score_margin, "
         "review_status FROM er"
     )
+    q["result_preview"] = with_(*jf) + (
+        "SELECT detected_expression, context_text, canonical_institution, normalization_method, round(top1_score, 6) AS top1_score, "
+        "top2_candidate, review_status, reason FROM (SELECT DISTINCT vendor AS detected_expression, context_text, canonical_institution, "
+        "normalization_method, top1_score, top2_candidate, review_status, reason FROM jr) ORDER BY ALL LIMIT 200"
+    )
+    q["table_counts"] = with_(*jf, DECISIONS_VALUES, _reviews_cte()) + (
+        "SELECT 'institution_master' AS table_name, count(*) AS n_rows FROM supplier "
+        "UNION ALL SELECT 'institution_alias', count(*) FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) li "
+        "JOIN part ON li.l_partkey = p_partkey "
+        "UNION ALL SELECT 'human_reviews', count(*) FROM rv "
+        "UNION ALL SELECT 'feedback_labels', count(DISTINCT decision_id) FROM rv"
+    )
     q["evaluate_baseline1"] = _eval_sql("Baseline1_Exact_Alias")
     q["evaluate_baseline2"] = _eval_sql("Baseline2_Fuzzy")
     q["evaluate_model3"] = _eval_sql("Model3_Embedding")

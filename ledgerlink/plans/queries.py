@@ -321,6 +321,18 @@ def q_labels_from_decisions(spark, sf_dir):
     return RV.labels_from_decisions(rv, decisions(spark))
 
 
+def q_result_preview(spark, sf_dir):
+    p = S.preview(journal_result(spark, sf_dir), limit=200)
+    return p.select(*[r6(c).alias(c) if c in SCORES else F.col(c) for c in p.columns])
+
+
+def q_table_counts(spark, sf_dir):
+    m, a = supplier_master(spark, sf_dir)
+    rv = RV.reviews_from_decisions(_stored_rows(spark, sf_dir), decisions(spark), "original_row_id", "context_text", True)
+    lb = RV.labels_from_decisions(rv, decisions(spark))
+    return S.table_counts({"institution_master": m, "institution_alias": a, "human_reviews": rv, "feedback_labels": lb})
+
+
 # ---------------------------------------------------------------- evaluation
 def _metrics_view(df):
     rate = ["accuracy", "precision", "recall", "f1", "coverage", "manual_review_rate", "false_normalization_rate"]
@@ -364,6 +376,8 @@ REGISTRY = {
     "institution_detail": q_institution_detail,
     "unidentified": q_unidentified,
     "review_queue": q_review_queue,
+    "result_preview": q_result_preview,
+    "table_counts": q_table_counts,
     "decisions_overlay": q_decisions_overlay,
     "reviews_from_decisions": q_reviews_from_decisions,
     "labels_from_decisions": q_labels_from_decisions,

@@ -17,7 +17,6 @@ map fits the broadcast bound (a hot vendor then costs nothing extra).
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +33,7 @@ from ledgerlink.schema import (
     RESULT_FIELDS,
     UNRESOLVED,
 )
-from ledgerlink.session import DEFAULT_BROADCAST_ROWS, bounded_broadcast
+from ledgerlink.session import DEFAULT_BROADCAST_ROWS, bounded_broadcast, cut_lineage
 
 DEFAULT_ENCODER = HashedNgramEncoder()
 
@@ -69,9 +68,7 @@ def vector_path(unresolved: DataFrame, vendor_col: str, context_col: str | None,
         F.max(F.when(F.col("rank") == 2, cand)).alias("v2"),
     )
     u = unresolved.withColumn("_q", F.col(vendor_col).cast("string")).join(piv, "_q", "left")
-    has_ctx = F.col(context_col).isNotNull() if context_col else F.lit(False)
-    ctx = F.col(context_col) if context_col else F.lit(None).cast("string")
-    rec = vector_record(has_ctx, ctx, F.col("v1"), F.col("v2"), floor, min_margin)
+    rec = vector_record(f"`{context_col}`" if context_col else None, "v1", "v2", floor, min_margin)
     return u.withColumn("res", F.when(F.col("v1").isNotNull(), rec).otherwise(F.col("res"))).drop("_q", "v1", "v2")
 
 
@@ -91,8 +88,10 @@ def resolve_pairs(
     """Resolution record ``res`` for each distinct (vendor[, context]) pair."""
     encoder = encoder or DEFAULT_ENCODER
     pair_cols = [vendor_col] + ([context_col] if context_col else [])
-    pairs = pairs.select(*pair_cols).persist(StorageLevel.MEMORY_AND_DISK)
-    lookup = build_lookup(master, alias).persist(StorageLevel.MEMORY_AND_DISK)
+    pairs = pairs.select(*pair_cols)
+    # The lookup feeds several joins; a checkpoint computes it once and keeps
+    # the downstream plans short.
+    lookup = cut_lineage(build_lookup(master, alias))
     small = lookup_fits(lookup, max_broadcast_rows)
 
     vendors = pairs.select(vendor_col).distinct()
@@ -102,14 +101,13 @@ def resolve_pairs(
         *pair_cols, F.coalesce(F.col("res"), no_vendor_record()).alias("res"), "_nkw"
     )
     if context_col:
-        res = res.withColumn("res", veto(F.col("res"), F.col(context_col), F.col("_nkw"), F.col("res.canonical_institution")))
+        res = res.withColumn("res", veto("res", f"`{context_col}`", "_nkw"))
     res = res.drop("_nkw")
 
     if not use_embedding:
         return res
 
     is_unres = (F.col("res.normalization_method") == UNRESOLVED) & F.col(vendor_col).isNotNull()
-    res = res.persist(StorageLevel.MEMORY_AND_DISK)
     done = res.where(~is_unres | is_unres.isNull())
     ai = vector_path(res.where(is_unres), vendor_col, context_col, master, alias, encoder, embedding_floor, min_margin)
     return done.unionByName(ai.select(*pair_cols, "res"))
@@ -138,12 +136,16 @@ def resolve(
     has_ctx = context_col is not None and context_col in df.columns
     ctx = context_col if has_ctx else None
     pair_cols = [vendor_col] + ([ctx] if ctx else [])
+    # Lineage is cut twice: after the distinct (one journal scan feeds every
+    # later step) and after the pair map (the fuzzy and vector work is never
+    # redone when an executor is lost during the join-back).
+    pairs = cut_lineage(df.select(*pair_cols).distinct())
     pair_map = resolve_pairs(
-        df.select(*pair_cols).distinct(), vendor_col, ctx, master, alias, threshold, use_embedding,
+        pairs, vendor_col, ctx, master, alias, threshold, use_embedding,
         embedding_floor, min_margin, encoder, max_broadcast_rows,
     )
-    renamed = pair_map.select(*[F.col(c).alias(f"_pk{i}") for i, c in enumerate(pair_cols)], "res")
-    pm = bounded_broadcast(renamed, max_broadcast_rows)
+    renamed = cut_lineage(pair_map.select(*[F.col(c).alias(f"_pk{i}") for i, c in enumerate(pair_cols)], "res"))
+    pm = bounded_broadcast(renamed, max_broadcast_rows, persist=False)
     cond = [df[c].eqNullSafe(pm[f"_pk{i}"]) for i, c in enumerate(pair_cols)]
     out = df.join(pm, cond, "left")
     return out.select(*[df[c] for c in keep], *[F.col("res")[f].alias(f) for f in RESULT_FIELDS],
