@@ -45,7 +45,9 @@ def review_queue(result: DataFrame, context_col: str | None = "context_text", li
     keys = ["detected_expression"] + ([context_col] if context_col else [])
     rest = [c for c in QUEUE_COLUMNS if c not in keys and c in result.columns]
     rows = result.where(F.col("review_status") == NEEDS_REVIEW)
-    rep = F.min_by(F.struct(*rest), F.struct(F.coalesce(-F.col("top1_score"), F.lit(float("inf"))), F.col("reason")))
+    score = F.coalesce(-F.col("top1_score"), F.lit(float("inf"))) if "top1_score" in result.columns else F.lit(0.0)
+    why = F.col("reason") if "reason" in result.columns else F.lit("")
+    rep = F.min_by(F.struct(*rest), F.struct(score, why))
     q = rows.groupBy(*keys).agg(rep.alias("_r")).select(*keys, "_r.*")
     q = q.orderBy(*keys)
     return q.limit(limit) if limit else q

@@ -62,10 +62,16 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def read(spark: SparkSession, root: str, table: str, schema: T.StructType | None = None) -> DataFrame | None:
+    from pyspark.errors import AnalysisException
+
     path = _path(root, table)
+    empty = spark.createDataFrame([], schema) if schema is not None else None
     if not exists(spark, path):
-        return spark.createDataFrame([], schema) if schema is not None else None
-    return spark.read.parquet(path)
+        return empty
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:  # folder left without data files (every partition dropped)
+        return empty
 
 
 # ------------------------------------------------------------------ runs

@@ -49,8 +49,8 @@ def _r2(x):
 def _template_frame(spark):
     rows = [(f"V{i:06d}", v, d, a, c, 1000 * (i + 1)) for i, (v, d, a, c, _w) in enumerate(TEMPLATES)]
     m = {k: v for k, v in JOURNAL_MAPPING.items() if k != "voucher_date"}
-    df = spark.createDataFrame(rows, f"{m['voucher_no']} string, {m['vendor']} string, {m['description']} string, "
-                                     f"{m['account']} string, {m['counter_account']} string, {m['amount']} long")
+    df = spark.createDataFrame(rows, f"`{m['voucher_no']}` string, `{m['vendor']}` string, `{m['description']}` string, "
+                                     f"`{m['account']}` string, `{m['counter_account']}` string, `{m['amount']}` long")
     return with_context_text(df, JOURNAL_MAPPING)
 
 
