@@ -19,6 +19,7 @@ operators/match.py), never a cross product.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -69,7 +70,13 @@ def ratio(a: str, b: str) -> float:
 
 
 def partial_ratio(a: str, b: str) -> float:
-    """Best ratio of the shorter string against windows of the longer one."""
+    """Best ratio of the shorter string against windows of the longer one.
+
+    Windows ending (prefixes, full windows) or starting (suffixes) with a
+    character absent from the shorter string are skipped: such a window never
+    beats the neighbouring window without that character, so the maximum is
+    unchanged.
+    """
     s, l = (a, b) if len(a) <= len(b) else (b, a)
     n, m = len(s), len(l)
     if n == 0:
@@ -77,13 +84,16 @@ def partial_ratio(a: str, b: str) -> float:
     masks = _pattern_masks(s)
     best = 0.0
     for i in range(1, n):  # prefixes shorter than n
-        best = max(best, _ratio_from_lcs(_lcs(masks, n, l[:i]), n + i))
+        if l[i - 1] in masks:
+            best = max(best, _ratio_from_lcs(_lcs(masks, n, l[:i]), n + i))
     for i in range(0, m - n + 1):  # full windows
-        best = max(best, _ratio_from_lcs(_lcs(masks, n, l[i : i + n]), 2 * n))
-        if best == 100.0:
-            return best
+        if l[i + n - 1] in masks:
+            best = max(best, _ratio_from_lcs(_lcs(masks, n, l[i : i + n]), 2 * n))
+            if best == 100.0:
+                return best
     for i in range(m - n + 1, m):  # suffixes shorter than n
-        best = max(best, _ratio_from_lcs(_lcs(masks, n, l[i:]), n + m - i))
+        if l[i] in masks:
+            best = max(best, _ratio_from_lcs(_lcs(masks, n, l[i:]), n + m - i))
     return best
 
 
@@ -96,16 +106,139 @@ def wratio(a: str | None, b: str | None) -> float | None:
         return 100.0
     la, lb = len(a), len(b)
     q = max(la, lb) / min(la, lb)
-    r = ratio(a, b)
+    s, l = (a, b) if la <= lb else (b, a)
+    masks = _pattern_masks(s)
+    full_lcs = _lcs(masks, len(s), l)
+    r = _ratio_from_lcs(full_lcs, la + lb)
     if q < PARTIAL_MIN_LEN_RATIO:
         return r
     scale = PARTIAL_SCALE if q <= LONG_LEN_RATIO else LONG_PARTIAL_SCALE
-    return max(r, partial_ratio(a, b) * scale)
+    # Any window's LCS is at most the full LCS L, so partial <= 200 L / (n + L).
+    n = len(s)
+    if full_lcs == 0 or scale * (200.0 * full_lcs / (n + full_lcs)) <= r:
+        return r
+    return max(r, partial_ratio(s, l) * scale)
+
+
+MAX_VECTOR_LEN = 63  # patterns up to 63 characters fit one uint64 word (no carry loss)
+
+
+def _ratio_arr(lcs: np.ndarray, lensum: np.ndarray) -> np.ndarray:
+    return (1.0 - (lensum - 2 * lcs) / lensum) * 100.0
+
+
+def _codes(strs, width: int, pad: int) -> np.ndarray:
+    """Code points of each string in a (len(strs), width) array, padded with ``pad``.
+
+    Strings are factorised first, so each distinct string is decoded once.
+    """
+    labels, uniques = pd.factorize(pd.Series(strs, dtype=object))
+    table = np.full((len(uniques), width), pad, dtype=np.int64)
+    for k, x in enumerate(uniques):
+        table[k, : len(x)] = np.frombuffer(x.encode("utf-32-le"), dtype=np.uint32)
+    return table[labels]
+
+
+def _lcs_passes(pm: np.ndarray, full: np.ndarray, n: np.ndarray, m: np.ndarray, start: int, steps: int) -> np.ndarray:
+    """(steps, P) LCS lengths after each character read from ``start`` (frozen past the text end)."""
+    p, mmax = pm.shape
+    steps = max(0, min(steps, mmax - start))
+    out = np.empty((steps, p), dtype=np.int64)
+    v = full.copy()
+    for k in range(steps):
+        t = start + k
+        u = v & pm[:, t]
+        nv = ((v + u) | (v - u)) & full
+        v = np.where(t < m, nv, v)
+        out[k] = n - np.bitwise_count(v)
+    return out
+
+
+def _partial_batch(pm: np.ndarray, full: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Best window ratio per pair: prefixes < n, every full window, suffixes < n."""
+    p, mmax = pm.shape
+    nmax = int(n.max())
+    rows = np.arange(p)
+    best = np.zeros(p)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        pre = _lcs_passes(pm, full, n, m, 0, nmax)
+        for i in range(1, min(nmax, pre.shape[0] + 1)):
+            ok = (i < n) & (i <= m)
+            best = np.where(ok, np.maximum(best, _ratio_arr(pre[i - 1], n + i)), best)
+        for st in range(0, mmax):
+            live = st < m
+            if not live.any():
+                break
+            lcs = _lcs_passes(pm, full, n, m, st, nmax)
+            if lcs.shape[0] == 0:
+                break
+            last = lcs.shape[0] - 1
+            full_ok = st + n <= m
+            got = lcs[np.minimum(n - 1, last), rows]
+            best = np.where(full_ok, np.maximum(best, _ratio_arr(got, 2 * n)), best)
+            suf_ok = (st > m - n) & live
+            got = lcs[np.clip(m - st - 1, 0, last), rows]
+            best = np.where(suf_ok, np.maximum(best, _ratio_arr(got, n + m - st)), best)
+    return best
+
+
+def wratio_batch(a, b) -> np.ndarray:
+    """WRatio of many pairs at once (same values as ``wratio``).
+
+    All pairs advance in lock-step through the bit-parallel LCS recurrence on
+    uint64 words: one pass for the full strings, then, for the pairs that need
+    a partial ratio, one pass per window start (prefix, full and suffix windows
+    fall out of the same passes).  Pairs whose shorter string exceeds 63
+    characters, and nulls, take the scalar path.
+    """
+    a = pd.Series(list(a) if not isinstance(a, pd.Series) else a, dtype=object).reset_index(drop=True)
+    b = pd.Series(list(b) if not isinstance(b, pd.Series) else b, dtype=object).reset_index(drop=True)
+    out = np.full(len(a), np.nan)
+    valid = (a.notna() & b.notna()).to_numpy()
+    la = a.str.len().fillna(0).to_numpy(dtype=np.int64)
+    lb = b.str.len().fillna(0).to_numpy(dtype=np.int64)
+    empty = valid & ((la == 0) | (lb == 0))
+    out[empty] = 0.0
+    swap = la > lb
+    short_len = np.minimum(la, lb)
+    scalar = valid & ~empty & (short_len > MAX_VECTOR_LEN)
+    for i in np.flatnonzero(scalar):
+        out[i] = wratio(a[i], b[i])
+    vec = np.flatnonzero(valid & ~empty & ~scalar)
+    if len(vec) == 0:
+        return out
+    av, bv, sw = a.to_numpy()[vec], b.to_numpy()[vec], swap[vec]
+    ss = np.where(sw, bv, av)
+    ls = np.where(sw, av, bv)
+    idx = vec
+    n = np.minimum(la, lb)[vec]
+    m = np.maximum(la, lb)[vec]
+    nmax, mmax = int(n.max()), int(m.max())
+    s_codes = _codes(ss, nmax, -1)
+    l_codes = _codes(ls, mmax, -2)
+    bits = np.left_shift(np.uint64(1), np.arange(nmax, dtype=np.uint64))
+    pm = np.zeros((len(ss), mmax), dtype=np.uint64)  # bit j of pm[k, t]: s_k[j] == l_k[t]
+    for j in range(nmax):
+        pm |= np.where(s_codes[:, j : j + 1] == l_codes, bits[j], np.uint64(0))
+    full = np.left_shift(np.uint64(1), n.astype(np.uint64)) - np.uint64(1)
+    lcs_full = _lcs_passes(pm, full, n, m, 0, mmax)[-1]
+    r = _ratio_arr(lcs_full, n + m)
+    same = (n == m) & (lcs_full == n)
+    q = m / n
+    need = np.flatnonzero((q >= PARTIAL_MIN_LEN_RATIO) & ~same & (lcs_full > 0))
+    res = r.copy()
+    if len(need):
+        best = _partial_batch(pm[need], full[need], n[need], m[need])
+        scale = np.where(q[need] <= LONG_LEN_RATIO, PARTIAL_SCALE, LONG_PARTIAL_SCALE)
+        res[need] = np.maximum(r[need], best * scale)
+    res[same] = 100.0
+    out[idx] = res
+    return out
 
 
 @pandas_udf(T.DoubleType())
 def wratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([wratio(x, y) for x, y in zip(a, b)], dtype="float64")
+    return pd.Series(wratio_batch(a, b), dtype="float64")
 
 
 def wratio_col(a, b) -> Column:

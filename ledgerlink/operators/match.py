@@ -32,6 +32,12 @@ from ledgerlink.session import DEFAULT_BROADCAST_ROWS
 HEAD_CHAR = ""  # pseudo character shared by every vendor and the first k lookup entries
 
 
+def scoring_partitions(df: DataFrame) -> int:
+    """Partitions for a scoring stage: the cluster's shuffle width, at least its core count."""
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def lookup_fits(lookup: DataFrame, max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> bool:
     """One job: do the lookup and its exploded character table both fit the broadcast bound?"""
     r = lookup.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size(chars("key")) + 1).alias("nc")).first()
@@ -72,6 +78,12 @@ def blocked_pairs(
         *ORDER_COLS,
         F.when(F.col("_head"), F.array_union(chars("key"), F.array(F.lit(HEAD_CHAR)))).otherwise(chars("key")).alias("kchars"),
     ).withColumn("ch", F.explode("kchars"))
+    # Each vendor fans out into one row per candidate entry and the scoring
+    # UDF runs on those rows, so parallelism must follow the fan-out, not the
+    # (small) number of distinct vendors: an explicit hash repartition on the
+    # key (kept by AQE) spreads the vendors before the join, and the top-k
+    # window later finds its input already partitioned by the key.
+    vkeys = vkeys.repartition(scoring_partitions(vkeys), key_col)
     vc = vkeys.select(key_col, F.array_union(chars(key_col), F.array(F.lit(HEAD_CHAR))).alias("vchars")).withColumn(
         "ch", F.explode("vchars")
     )

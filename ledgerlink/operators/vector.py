@@ -136,7 +136,10 @@ def vector_topk(
                 pos, sc = _topk_owners(q, m, own, k)
                 yield _emit(b[query_id].to_numpy(), pos, sc, md, query_id, k)
 
-        return queries.select(query_id, vec_col).mapInPandas(score_batches, schema)
+        from ledgerlink.operators.match import scoring_partitions
+
+        q = queries.select(query_id, vec_col)
+        return q.repartition(scoring_partitions(q), query_id).mapInPandas(score_batches, schema)
 
     # Large index: blocked brute force without a driver round trip.
     del ipdf

@@ -76,3 +76,24 @@ def test_udf_and_native_lcs_match_python(spark):
     for r in out:
         assert r.w == wratio(r.a, r.b)
         assert r.l == _lcs_dp(r.a, r.b)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.one_of(st.none(), st.text(alphabet="AB농협은행X ", max_size=14)),
+                          st.one_of(st.none(), st.text(alphabet="AB농협은행Y ", max_size=40))), min_size=1, max_size=30))
+def test_vectorised_batch_equals_scalar(pairs):
+    import math
+
+    from ledgerlink.functions.similarity import wratio_batch
+
+    got = wratio_batch([p[0] for p in pairs], [p[1] for p in pairs])
+    for (a, b), g in zip(pairs, got):
+        w = wratio(a, b)
+        assert (w is None and math.isnan(g)) or w == g
+
+
+def test_vectorised_batch_long_strings_fall_back():
+    from ledgerlink.functions.similarity import wratio_batch
+
+    a, b = "가" * 70 + "A", "가" * 200
+    assert wratio_batch([a], [b])[0] == wratio(a, b)
