@@ -104,7 +104,14 @@ def add_institutions(master: DataFrame, new: DataFrame) -> DataFrame:
 
     ``new``: canonical_name, institution_type, english_name, keywords, negative_keywords.
     """
-    fresh = new.join(master.select("canonical_name"), "canonical_name", "left_anti").dropDuplicates(["canonical_name"])
+    # one row per new name, chosen by a stated order (deterministic on recomputation)
+    attrs = ["institution_type", "english_name", "keywords", "negative_keywords"]
+    fresh = (
+        new.join(master.select("canonical_name"), "canonical_name", "left_anti")
+        .groupBy("canonical_name")
+        .agg(F.min_by(F.struct(*attrs), F.struct(*attrs)).alias("_a"))
+        .select("canonical_name", "_a.*")
+    )
     fresh = _next_ids(master, "institution_id", fresh, ["canonical_name"]).withColumn("active", F.lit(True))
     return master.unionByName(fresh.select(*master.columns))
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ledgerlink.functions.similarity import wratio_col
 from ledgerlink.functions.text import chars
 from ledgerlink.operators.lookup import ORDER_COLS
-from ledgerlink.session import DEFAULT_BROADCAST_ROWS
+from ledgerlink.session import DEFAULT_BROADCAST_BYTES, DEFAULT_BROADCAST_ROWS
 
 HEAD_CHAR = ""  # pseudo character shared by every vendor and the first k lookup entries
 
@@ -40,8 +40,13 @@ def scoring_partitions(df: DataFrame) -> int:
 
 def lookup_fits(lookup: DataFrame, max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> bool:
     """One job: do the lookup and its exploded character table both fit the broadcast bound?"""
-    r = lookup.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size(chars("key")) + 1).alias("nc")).first()
-    return r["n"] <= max_broadcast_rows and (r["nc"] or 0) <= max_broadcast_rows
+    r = lookup.limit(max_broadcast_rows + 1).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.size(chars("key")) + 1).alias("nc"),
+        F.sum(F.octet_length(F.to_json(F.struct(*lookup.columns))) * (F.size(chars("key")) + 1)).alias("b"),
+    ).first()
+    return (r["n"] <= max_broadcast_rows and (r["nc"] or 0) <= max_broadcast_rows
+            and (r["b"] or 0) <= DEFAULT_BROADCAST_BYTES)
 
 
 def exact_alias(vkeys: DataFrame, lookup: DataFrame, key_col: str = "vkey", small: bool | None = None,

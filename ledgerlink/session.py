@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark import StorageLevel
 
-# Row bound under which a derived dimension (lookup, pair map, decisions) is
-# broadcast.  Above it the join is left to the planner (sort-merge + AQE skew
-# handling).  Rows, not bytes: every broadcast side here has narrow rows.
+# Bounds under which a derived dimension (lookup, pair map, decisions) is
+# broadcast: rows, and bytes estimated from the JSON form of the rows (an
+# over-estimate of the binary size).  Above either bound the join is left to
+# the planner (sort-merge join, AQE skew splitting).
 DEFAULT_BROADCAST_ROWS = 2_000_000
+DEFAULT_BROADCAST_BYTES = 128 * 1024 * 1024
 
 
 def build_session(master: str | None = None, app: str = "ledgerlink", shuffle_partitions: int | None = None) -> SparkSession:
@@ -57,17 +59,30 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS, persist: bool = True) -> tuple[DataFrame, bool]:
-    """Broadcast-hint ``df`` only after checking that it holds at most ``max_rows`` rows.
+def size_fits(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS, max_bytes: int = DEFAULT_BROADCAST_BYTES) -> bool:
+    """One bounded job: at most ``max_rows`` rows and ``max_bytes`` estimated bytes?
 
-    The side is persisted first so the count and the join read it once.  Above
-    the bound the frame is returned without a hint: the planner then uses a
-    shuffle join and AQE splits skewed partitions.  Returns (frame, hinted).
+    Only the first ``max_rows + 1`` rows are ever looked at.
+    """
+    r = df.limit(max_rows + 1).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))).alias("b"),
+    ).first()
+    return r["n"] <= max_rows and (r["b"] or 0) <= max_bytes
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS, persist: bool = True,
+                       max_bytes: int = DEFAULT_BROADCAST_BYTES) -> tuple[DataFrame, bool]:
+    """Broadcast-hint ``df`` only after checking its row count and estimated size.
+
+    The side is persisted first (unless it is already checkpointed) so the check
+    and the join read it once.  Above the bound the frame is returned without a
+    hint: the planner then uses a shuffle join and AQE splits skewed partitions.
+    Returns (frame, hinted).
     """
     if persist:
         df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    n = df.limit(max_rows + 1).count()
-    return (F.broadcast(df), True) if n <= max_rows else (df, False)
+    return (F.broadcast(df), True) if size_fits(df, max_rows, max_bytes) else (df, False)
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS, persist: bool = True) -> DataFrame:

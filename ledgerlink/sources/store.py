@@ -132,8 +132,11 @@ def to_result_rows(result: DataFrame, master: DataFrame, voucher_col: str | None
     types = bounded_broadcast(master.select(F.col("institution_id").alias("_tid"), F.col("institution_type")),
                               DEFAULT_BROADCAST_ROWS)
     df = df.join(types, F.col("institution_id") == F.col("_tid"), "left")
+    # A null voucher falls back to a content hash: deterministic, so a task
+    # recomputed after an executor loss writes the same id.
+    content_id = F.concat(F.lit("h"), F.xxhash64(*[F.col(c) for c in result.columns]).cast("string"))
     cols = {
-        "original_row_id": F.coalesce(rid, F.monotonically_increasing_id().cast("string")) if voucher_col else rid,
+        "original_row_id": F.coalesce(rid, content_id) if voucher_col else rid,
         "context_text": F.col(context_col) if context_col else F.lit(None).cast("string"),
         "user_confirmed": F.coalesce(F.col("user_confirmed"), F.lit(False)),
     }
