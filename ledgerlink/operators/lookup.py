@@ -8,7 +8,7 @@ so no step needs a single-partition window.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlink.functions.text import match_key, stored_alias_key
@@ -52,21 +52,19 @@ def build_lookup(master: DataFrame, alias: DataFrame) -> DataFrame:
     no second join to the master.
     """
     e = _entries(master, alias).withColumn("key", match_key("text"))
-    w = Window.partitionBy("key").orderBy(*ORDER_COLS)
-    return (
-        e.withColumn("_rn", F.row_number().over(w))
-        .where("_rn = 1")
-        .select(
-            "key",
-            "institution_id",
-            "canonical_name",
-            F.col("text").alias("match_text"),
-            "match_source",
-            "keywords",
-            "negative_keywords",
-            *ORDER_COLS,
-        )
+    keep = F.struct(
+        "institution_id",
+        "canonical_name",
+        F.col("text").alias("match_text"),
+        "match_source",
+        "keywords",
+        "negative_keywords",
+        *ORDER_COLS,
     )
+    # First entry per key as a partial aggregate (min_by on the order columns):
+    # a key shared by a large share of the aliases is combined map-side instead
+    # of being sorted inside one task.
+    return e.groupBy("key").agg(F.min_by(keep, F.struct(*ORDER_COLS)).alias("_e")).select("key", "_e.*")
 
 
 def build_vector_index(master: DataFrame, alias: DataFrame) -> DataFrame:
@@ -93,10 +91,18 @@ def master_with_aliases(master: DataFrame, alias: DataFrame, active_only: bool =
 
 
 def _next_ids(existing: DataFrame, id_col: str, new_rows: DataFrame, order_cols: list[str]) -> DataFrame:
-    """Assign ids max(existing)+1.. to ``new_rows`` in ``order_cols`` order (dimension-sized batch)."""
+    """Assign ids max(existing)+1.. to ``new_rows`` in ``order_cols`` order.
+
+    A distributed sort followed by ``zipWithIndex`` (per-partition offsets), so
+    no step gathers the new rows into one task; ids are stable for a given input.
+    """
+    from pyspark.sql import types as T
+
     mx = existing.agg(F.coalesce(F.max(id_col), F.lit(0)).cast("long")).first()[0]  # one scalar
-    w = Window.orderBy(*order_cols)
-    return new_rows.withColumn(id_col, F.lit(mx) + F.row_number().over(w))
+    cols = [c for c in new_rows.columns if c != id_col]
+    ordered = new_rows.select(*cols).orderBy(*order_cols, *[c for c in cols if c not in order_cols])
+    schema = T.StructType(ordered.schema.fields + [T.StructField(id_col, T.LongType(), False)])
+    return ordered.rdd.zipWithIndex().map(lambda p: tuple(p[0]) + (mx + 1 + p[1],)).toDF(schema)
 
 
 def add_institutions(master: DataFrame, new: DataFrame) -> DataFrame:
