@@ -332,7 +332,10 @@ def _eval_sql(variant: str) -> str:
     return with_(*_eval_result(variant), c) + sel
 
 
-COMPANY_VALUES = "company(institution_name) AS (VALUES ('NH농협은행'), ('신한은행'), ('이상한기관'))"
+COMPANY_VALUES = (
+    "company(institution_name) AS (SELECT * FROM (VALUES ('NH농협은행'), ('신한은행'), ('이상한기관')) "
+    "UNION ALL SELECT s_name FROM supplier)"
+)
 
 
 def _completeness_ctes() -> list[str]:

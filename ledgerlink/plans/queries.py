@@ -241,20 +241,27 @@ def q_score_margin(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- completeness
-def _company_result(spark):
+def company_list(spark, sf_dir):
+    """Submitted list: the fixed entries plus every supplier name (counterparties that
+    are not institutions, so they land in the unidentified group)."""
+    fixed = spark.createDataFrame([(n,) for n in COMPANY_ENTRIES], "institution_name string")
+    sup = read_table(spark, sf_dir, "supplier").select(F.col("s_name").alias("institution_name"))
+    return fixed.unionByName(sup)
+
+
+def _company_result(spark, sf_dir):
     m, a = seed_master(spark)
-    c = spark.createDataFrame([(n,) for n in COMPANY_ENTRIES], "institution_name string")
-    return resolve(c, "institution_name", m, a, use_embedding=False)
+    return resolve(company_list(spark, sf_dir), "institution_name", m, a, use_embedding=False)
 
 
 def q_completeness_sets(spark, sf_dir):
-    return C.compare(_company_result(spark), journal_result(spark, sf_dir))
+    return C.compare(_company_result(spark, sf_dir), journal_result(spark, sf_dir))
 
 
 def q_completeness_rows(spark, sf_dir):
     m, _a = seed_master(spark)
     jr = journal_result(spark, sf_dir)
-    return C.completeness_rows(C.compare(_company_result(spark), jr), jr, m, AMOUNT)
+    return C.completeness_rows(C.compare(_company_result(spark, sf_dir), jr), jr, m, AMOUNT)
 
 
 def q_amount_summary(spark, sf_dir):
@@ -265,7 +272,7 @@ def q_amount_summary(spark, sf_dir):
 def q_institution_detail(spark, sf_dir):
     """Confirmed journal rows of every additional candidate (B - A)."""
     jr = journal_result(spark, sf_dir)
-    cand = C.additional_candidates(C.compare(_company_result(spark), jr)).select(
+    cand = C.additional_candidates(C.compare(_company_result(spark, sf_dir), jr)).select(
         F.col("canonical_name").alias("canonical_institution")
     )
     d = C.confirmed(jr).join(cand, "canonical_institution", "left_semi")
@@ -274,7 +281,7 @@ def q_institution_detail(spark, sf_dir):
 
 
 def q_unidentified(spark, sf_dir):
-    return C.unidentified(_company_result(spark), "institution_name")
+    return C.unidentified(_company_result(spark, sf_dir), "institution_name")
 
 
 # ---------------------------------------------------------------- review
