@@ -109,9 +109,11 @@ def eval_cte() -> str:
 def seed_master_cte() -> str:
     m, a = seed_rows()
     mrows = ", ".join(
-        f"({i}, {lit(n)}, {lit(t)}, {lit(e)}, {lit(k)}, {lit(nk)}, {lit(act)})" for i, n, t, e, k, nk, act in m
+        f"(CAST({i} AS BIGINT), {lit(n)}, {lit(t)}, {lit(e)}, {lit(k)}, {lit(nk)}, {lit(act)})" for i, n, t, e, k, nk, act in m
+    )
+    arows = ", ".join(
+        f"(CAST({aid} AS BIGINT), CAST({iid} AS BIGINT), {lit(txt)}, {lit(typ)}, {lit(act)})" for aid, iid, txt, _n, typ, act in a
     )
-    arows = ", ".join(f"({aid}, {iid}, {lit(txt)}, {lit(typ)}, {lit(act)})" for aid, iid, txt, _n, typ, act in a)
     return (
         f"master(institution_id, canonical_name, institution_type, english_name, keywords, negative_keywords, active) AS (VALUES {mrows}), "
         f"alias(alias_id, institution_id, alias_text, alias_type, active) AS (VALUES {arows})"
@@ -353,7 +355,7 @@ def _completeness_ctes() -> list[str]:
 
 
 DECISIONS_VALUES = (
-    "dec(decision_id, detected_expression, context_text, action, override_id, override_name, decided_at) AS (VALUES "
+    "dec0(decision_id, detected_expression, context_text, action, override_id, override_name, decided_at) AS (VALUES "
     "(1, 'Nonghyup Bank', 'Nonghyup Bank | 외화 송금 | 외화예금 | 보통예금', 'CHANGE_INSTITUTION', 1, 'NH농협은행', TIMESTAMP '2025-01-02 09:00:00'), "
     "(2, '테스트전자', '테스트전자 | 제품 판매대금 수령 | 제품매출 | 보통예금', 'NOT_FINANCIAL_INSTITUTION', NULL, NULL, TIMESTAMP '2025-01-02 09:00:00'), "
     "(3, 'NH투자', 'NH투자 | 증권 매매 정산 | 단기매매증권 | 보통예금', 'HOLD', NULL, NULL, TIMESTAMP '2025-01-02 09:00:00'), "
@@ -361,6 +363,8 @@ DECISIONS_VALUES = (
     "(5, 'OO농협', 'OO농협 | 농산물 구매대금 지급 | 원재료 | 외상매입금', 'HOLD', NULL, NULL, TIMESTAMP '2025-01-02 09:00:00'), "
     "(6, '없는거래처', '없는거래처 | 없음', 'APPROVE', NULL, NULL, TIMESTAMP '2025-01-02 09:00:00'), "
     "(7, '샘플물류', NULL, 'NOT_FINANCIAL_INSTITUTION', NULL, NULL, TIMESTAMP '2025-01-02 11:00:00')), "
+    "dec AS (SELECT CAST(decision_id AS BIGINT) AS decision_id, detected_expression, context_text, action, "
+    "CAST(override_id AS BIGINT) AS override_id, override_name, decided_at FROM dec0), "
     "ld AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY detected_expression, context_text "
     "ORDER BY decided_at DESC NULLS LAST, decision_id DESC) AS rn FROM dec) WHERE rn = 1)"
 )
@@ -375,7 +379,28 @@ def _reviews_cte() -> str:
     )
 
 
+def _count_if_to_filter(sql: str) -> str:
+    """count_if(x) -> count(*) FILTER (WHERE x): same value, BIGINT like Spark's count."""
+    out, i, key = [], 0, "count_if("
+    while True:
+        j = sql.find(key, i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        out.append(sql[i:j])
+        depth, k = 1, j + len(key)
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[k], 0)
+            k += 1
+        out.append(f"count(*) FILTER (WHERE {_count_if_to_filter(sql[j + len(key):k - 1])})")
+        i = k
+
+
 def oracle_sql() -> dict[str, str]:
+    return {k: _count_if_to_filter(v) for k, v in _oracle_sql().items()}
+
+
+def _oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
     q["context_text"] = with_(journal_cte()) + f"SELECT voucher_no, vendor, context_text, {mkey('vendor')} AS match_key FROM journal"
     q["lookup_first_wins"] = with_(supplier_master_cte(), lookup_cte()) + "SELECT key, institution_id, canonical_name, match_text, match_source FROM lookup"
@@ -458,7 +483,7 @@ def oracle_sql() -> dict[str, str]:
         "best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id, owner ORDER BY score DESC, ivec) AS r1 FROM sc) WHERE r1 = 1), "
         "rk AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, 'label_' || CAST(owner AS VARCHAR), ivec) AS rank FROM best)"
     )
-    q["vector_top2_by_owner"] = f"WITH {emb} SELECT vec_id, rank, CAST(owner AS BIGINT) AS owner, ivec AS best_vec_id, round(score, 6) AS score FROM rk WHERE rank <= 2"
+    q["vector_top2_by_owner"] = f"WITH {emb} SELECT vec_id, CAST(rank AS INTEGER) AS rank, CAST(owner AS BIGINT) AS owner, ivec AS best_vec_id, round(score, 6) AS score FROM rk WHERE rank <= 2"
     q["score_margin"] = f"WITH {emb} " + (
         "SELECT vec_id, CAST(max(CASE WHEN rank = 1 THEN owner END) AS BIGINT) AS top1_owner, round(max(CASE WHEN rank = 1 THEN score END), 6) AS top1_score, "
         "CAST(max(CASE WHEN rank = 2 THEN owner END) AS BIGINT) AS top2_owner, round(max(CASE WHEN rank = 2 THEN score END), 6) AS top2_score, "

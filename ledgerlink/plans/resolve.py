@@ -1,18 +1,21 @@
 """resolve(): the end-to-end resolution plan.
 
-Shape (distinct - resolve - join back):
-
-    journal --distinct (vendor[, context])--> pairs          (partial aggregation, tiny)
-    pairs --distinct vendor--> match keys --exact/alias join (broadcast lookup)
-                                         \\--misses--> blocked fuzzy top-2 (see operators/match)
-          -> fast record per key -> per pair
-          -> veto on pairs (broadcast master keywords)
-          -> unresolved pairs --distinct vendor--> encoder -> vector top-2 -> record
-    journal --join (null-safe on vendor[, context]) with the pair map (broadcast if bounded)
-
-Every expensive step runs once per distinct value; the journal is scanned once
-for the distinct and once for the join-back, and never shuffled when the pair
-map fits the broadcast bound (a hot vendor then costs nothing extra).
+Shape (distinct vendors - resolve - join back - row rules):
+
+    journal --distinct vendor--> vendors                      (partial aggregation, tiny)
+    vendors --match key--> exact/alias join (broadcast lookup)
+                       \--misses--> blocked fuzzy top-2 (see operators/match)
+            -> fast record per vendor
+            -> unresolved vendors --encoder--> vector top-2 candidates
+    journal --join (null-safe on vendor) with the vendor map (broadcast if bounded)
+            -> veto and context rerank as row expressions on (record, candidates, context)
+
+Every expensive step (fuzzy scoring, encoding, vector search) runs once per
+distinct vendor.  The context only feeds keyword rules, which are cheap
+expressions evaluated on each row after the join, so the map that is joined
+back is keyed by vendor alone: its size does not grow with free-text
+descriptions, and the journal is never shuffled while the map fits the
+broadcast bound (a hot vendor then costs nothing extra).
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from ledgerlink.functions.encoder import HashedNgramEncoder
 from ledgerlink.functions.text import match_key
 from ledgerlink.operators.lookup import build_lookup, build_vector_index
 from ledgerlink.operators.match import exact_alias, fuzzy_topk, lookup_fits, top2_pivot
-from ledgerlink.operators.rules import fast_record, no_vendor_record, vector_record, veto
+from ledgerlink.operators.rules import fast_record, no_vendor_record, vector_record_sql, veto
 from ledgerlink.operators.vector import vector_topk
 from ledgerlink.schema import (
     EMBEDDING_FLOOR,
@@ -55,62 +58,50 @@ def fast_path(vendors: DataFrame, vendor_col: str, lookup: DataFrame, threshold:
     return vk.join(fast, "vkey").select(vendor_col, "res", "_nkw")
 
 
-def vector_path(unresolved: DataFrame, vendor_col: str, context_col: str | None, master: DataFrame,
-                alias: DataFrame, encoder, floor: float, min_margin: float) -> DataFrame:
-    """R6/R7 on unresolved pairs -> pair columns + res (unchanged res where no index exists)."""
+def vector_candidates(unresolved: DataFrame, vendor_col: str, master: DataFrame, alias: DataFrame, encoder) -> DataFrame:
+    """R7: top-2 vector candidates per distinct unresolved vendor -> (_q, v1, v2)."""
     index = encoder.encode(build_vector_index(master, alias), "text")
     q = unresolved.select(F.col(vendor_col).cast("string").alias("_q")).distinct()
     qv = encoder.encode(q, "_q")
     top = vector_topk(qv, index, "_q", k=2)
     cand = F.struct("score", "matched_text", "canonical_name", "institution_id", "keywords", "negative_keywords")
-    piv = top.groupBy("_q").agg(
+    return top.groupBy("_q").agg(
         F.max(F.when(F.col("rank") == 1, cand)).alias("v1"),
         F.max(F.when(F.col("rank") == 2, cand)).alias("v2"),
     )
-    u = unresolved.withColumn("_q", F.col(vendor_col).cast("string")).join(piv, "_q", "left")
-    rec = vector_record(f"`{context_col}`" if context_col else None, "v1", "v2", floor, min_margin)
-    return u.withColumn("res", F.when(F.col("v1").isNotNull(), rec).otherwise(F.col("res"))).drop("_q", "v1", "v2")
 
 
-def resolve_pairs(
-    pairs: DataFrame,
+def resolve_vendors(
+    vendors: DataFrame,
     vendor_col: str,
-    context_col: str | None,
     master: DataFrame,
     alias: DataFrame,
     threshold: float = FUZZY_AUTO_THRESHOLD,
     use_embedding: bool = True,
-    embedding_floor: float = EMBEDDING_FLOOR,
-    min_margin: float = MIN_SCORE_MARGIN,
     encoder=None,
     max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
 ) -> DataFrame:
-    """Resolution record ``res`` for each distinct (vendor[, context]) pair."""
+    """Vendor map: (vendor, res, _nkw, v1, v2) for each distinct vendor (null included).
+
+    ``res`` is the fast-path record, ``_nkw`` the negative keywords of its fuzzy
+    top-1 institution, ``v1``/``v2`` the vector candidates of unresolved vendors.
+    """
     encoder = encoder or DEFAULT_ENCODER
-    pair_cols = [vendor_col] + ([context_col] if context_col else [])
-    pairs = pairs.select(*pair_cols)
     # The lookup feeds several joins; a checkpoint computes it once and keeps
     # the downstream plans short.
     lookup = cut_lineage(build_lookup(master, alias))
     small = lookup_fits(lookup, max_broadcast_rows)
-
-    vendors = pairs.select(vendor_col).distinct()
     fast = fast_path(vendors, vendor_col, lookup, threshold, small, max_broadcast_rows)
     fast = fast.select(F.col(vendor_col).alias("_fv"), "res", "_nkw")
-    res = pairs.join(fast, F.col(vendor_col).eqNullSafe(F.col("_fv")), "left").select(
-        *pair_cols, F.coalesce(F.col("res"), no_vendor_record()).alias("res"), "_nkw"
+    vm = vendors.join(fast, F.col(vendor_col).eqNullSafe(F.col("_fv")), "left").select(
+        vendor_col, F.coalesce(F.col("res"), no_vendor_record()).alias("res"), "_nkw"
     )
-    if context_col:
-        res = res.withColumn("res", veto("res", f"`{context_col}`", "_nkw"))
-    res = res.drop("_nkw")
-
+    cand_type = "struct<score:double,matched_text:string,canonical_name:string,institution_id:bigint,keywords:string,negative_keywords:string>"
     if not use_embedding:
-        return res
-
-    is_unres = (F.col("res.normalization_method") == UNRESOLVED) & F.col(vendor_col).isNotNull()
-    done = res.where(~is_unres | is_unres.isNull())
-    ai = vector_path(res.where(is_unres), vendor_col, context_col, master, alias, encoder, embedding_floor, min_margin)
-    return done.unionByName(ai.select(*pair_cols, "res"))
+        return vm.withColumn("v1", F.lit(None).cast(cand_type)).withColumn("v2", F.lit(None).cast(cand_type))
+    unres = vm.where((F.col("res.normalization_method") == UNRESOLVED) & F.col(vendor_col).isNotNull())
+    cands = vector_candidates(unres, vendor_col, master, alias, encoder)
+    return vm.withColumn("_q", F.col(vendor_col).cast("string")).join(cands, "_q", "left").drop("_q")
 
 
 def resolve(
@@ -133,20 +124,22 @@ def resolve(
     """
     keep = [c for c in df.columns if c not in RESULT_FIELDS and c != "detected_expression"]
     df = df.select(*keep)
-    has_ctx = context_col is not None and context_col in df.columns
-    ctx = context_col if has_ctx else None
-    pair_cols = [vendor_col] + ([ctx] if ctx else [])
+    ctx = context_col if context_col is not None and context_col in df.columns else None
     # Lineage is cut twice: after the distinct (one journal scan feeds every
-    # later step) and after the pair map (the fuzzy and vector work is never
+    # later step) and after the vendor map (fuzzy and vector work is never
     # redone when an executor is lost during the join-back).
-    pairs = cut_lineage(df.select(*pair_cols).distinct())
-    pair_map = resolve_pairs(
-        pairs, vendor_col, ctx, master, alias, threshold, use_embedding,
-        embedding_floor, min_margin, encoder, max_broadcast_rows,
-    )
-    renamed = cut_lineage(pair_map.select(*[F.col(c).alias(f"_pk{i}") for i, c in enumerate(pair_cols)], "res"))
-    pm = bounded_broadcast(renamed, max_broadcast_rows, persist=False)
-    cond = [df[c].eqNullSafe(pm[f"_pk{i}"]) for i, c in enumerate(pair_cols)]
-    out = df.join(pm, cond, "left")
+    vendors = cut_lineage(df.select(vendor_col).distinct())
+    vmap = resolve_vendors(vendors, vendor_col, master, alias, threshold, use_embedding, encoder, max_broadcast_rows)
+    vmap = cut_lineage(vmap.select(F.col(vendor_col).alias("_pk0"), "res", "_nkw", "v1", "v2"))
+    pm = bounded_broadcast(vmap, max_broadcast_rows, persist=False)
+    out = df.join(pm, df[vendor_col].eqNullSafe(pm["_pk0"]), "left")
+    ctx_sql = f"`{ctx}`" if ctx else None
+    if ctx:
+        out = out.withColumn("res", veto("res", ctx_sql, "_nkw"))
+    if use_embedding:
+        rec = vector_record_sql(ctx_sql, "v1", "v2", embedding_floor, min_margin)
+        out = out.withColumn(
+            "res", F.expr(f"CASE WHEN res.normalization_method = 'UNRESOLVED' AND v1 IS NOT NULL THEN {rec} ELSE res END")
+        )
     return out.select(*[df[c] for c in keep], *[F.col("res")[f].alias(f) for f in RESULT_FIELDS],
                       df[vendor_col].alias("detected_expression"))

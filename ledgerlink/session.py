@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark import StorageLevel
 
-# Bounds under which a derived dimension (lookup, pair map, decisions) is
+# Bounds under which a derived dimension (lookup, vendor map, decisions) is
 # broadcast: rows, and bytes estimated from the JSON form of the rows (an
 # over-estimate of the binary size).  Above either bound the join is left to
 # the planner (sort-merge join, AQE skew splitting).
