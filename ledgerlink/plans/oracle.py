@@ -465,7 +465,7 @@ def _oracle_sql() -> dict[str, str]:
     q["fuzzy_top2"] = with_(
         *pm, pairs, f"sc AS (SELECT *, {wratio('s_', 'l_')} AS score FROM pp)",
         "rk AS (SELECT *, row_number() OVER (PARTITION BY vkey ORDER BY score DESC, ord_name, ord_alias, ord_alias_id) AS rank FROM sc)",
-    ) + "SELECT vkey, rank, key, institution_id, round(score, 6) AS score FROM rk WHERE rank <= 2"
+    ) + "SELECT vkey, CAST(rank AS INTEGER) AS rank, key, institution_id, round(score, 6) AS score FROM rk WHERE rank <= 2"
     q["fuzzy_high_cardinality"] = with_(*pm, fast_cte("SELECT vendor FROM nv", FUZZY_AUTO_THRESHOLD)) + (
         f"SELECT n.p_partkey, n.vendor, n.true_label, {RESULT_COLS} FROM nv n LEFT JOIN fast f ON n.vendor = f.vendor"
     )
