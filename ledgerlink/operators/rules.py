@@ -125,13 +125,14 @@ def fast_record(threshold: float) -> Column:
     return F.expr(fast_record_sql(threshold))
 
 
-def veto_sql(res: str, context: str, negative_keywords: str) -> str:
+def veto_sql(res: str, context: str, negative_keywords: str, parsed: bool = False) -> str:
     """R5: a FUZZY + AUTO record whose context holds a negative keyword goes to review.
 
     Method, institution and scores are kept.  ``negative_keywords`` is the CSV
-    string of the record's institution.
+    string of the record's institution, or (``parsed``) its keyword array.
     """
-    hits = keyword_hits_sql(context, keyword_list_sql(negative_keywords))
+    kws = negative_keywords if parsed else keyword_list_sql(negative_keywords)
+    hits = keyword_hits_sql(context, kws)
     fire = (
         f"{res}.normalization_method = 'FUZZY' AND {res}.review_status = 'AUTO' "
         f"AND {negative_keywords} IS NOT NULL AND size({hits}) > 0"
@@ -145,15 +146,14 @@ def veto_sql(res: str, context: str, negative_keywords: str) -> str:
     return f"CASE WHEN {fire} THEN {vetoed} ELSE {res} END"
 
 
-def veto(res: str, context: str, negative_keywords: str) -> Column:
-    return F.expr(veto_sql(res, context, negative_keywords))
-
-
 def rerank_sql(context: str, keywords: str, negative_keywords: str, score: str, margin: str,
-               floor: float, min_margin: float) -> tuple[str, str]:
-    """R3 (first matching rule wins) -> (confirmed, reason) SQL."""
-    neg = keyword_hits_sql(context, keyword_list_sql(negative_keywords))
-    pos = keyword_hits_sql(context, keyword_list_sql(keywords))
+               floor: float, min_margin: float, parsed: bool = False) -> tuple[str, str]:
+    """R3 (first matching rule wins) -> (confirmed, reason) SQL.
+
+    ``keywords``/``negative_keywords`` are CSV strings, or (``parsed``) keyword arrays.
+    """
+    neg = keyword_hits_sql(context, negative_keywords if parsed else keyword_list_sql(negative_keywords))
+    pos = keyword_hits_sql(context, keywords if parsed else keyword_list_sql(keywords))
     fl, mm = sql_lit(float(floor)), sql_lit(float(min_margin))
     r_neg = f"size({neg}) > 0"
     r_margin = f"({margin}) IS NOT NULL AND ({margin}) < {mm}"
@@ -171,36 +171,73 @@ def rerank_sql(context: str, keywords: str, negative_keywords: str, score: str,
     return confirmed, reason
 
 
-def vector_record_sql(context: str | None, v1: str, v2: str, floor: float, min_margin: float) -> str:
-    """R6: record from the top-2 vector candidates v1, v2 (structs: score, matched_text,
-    canonical_name, institution_id, keywords, negative_keywords).
+# ---------------------------------------------------------------------------
+# Row-level form used by resolve(): everything that depends on the vendor only
+# (keyword arrays, scores, margin and floor tests, formatted reason prefixes)
+# is computed once per vendor in the vendor map; each journal row then only
+# runs the keyword substring tests and a string concatenation.
 
-    With a context column (``context`` not None) and a non-null value: CONTEXT_RERANK,
-    AUTO only when R3 confirms.  Otherwise EMBEDDING, always NEEDS_REVIEW.
+def vendor_rule_columns(floor: float, min_margin: float) -> list[tuple[str, str]]:
+    """(name, SQL) columns added to the vendor map (inputs: res, _nkw_csv, v1, v2)."""
+    fl, mm = sql_lit(float(floor)), sql_lit(float(min_margin))
+    margin = "CASE WHEN v2 IS NOT NULL THEN v1.score - v2.score END"
+    return [
+        ("_nkw", keyword_list_sql("_nkw_csv")),
+        ("_v1kw", keyword_list_sql("v1.keywords")),
+        ("_v1nkw", keyword_list_sql("v1.negative_keywords")),
+        ("_veto_prefix", "concat('[Safeguard] fuzzy auto-confirmed ''', res.canonical_institution, "
+                         "''' but the context holds negative keywords ')"),
+        ("_margin_low", f"coalesce(({margin}) < {mm}, false)"),
+        ("_score_ok", f"coalesce(v1.score >= {fl}, false)"),
+        ("_r_margin", f"format_string('Top1/top2 margin %.3f < threshold %.2f; candidates too close, review needed', {margin}, {mm})"),
+        ("_r_ok", f"format_string('Embedding %.3f >= threshold %.2f and keywords ', v1.score, {fl})"),
+        ("_r_else", "format_string('Embedding %.3f, keywords ', v1.score)"),
+        ("_r_noctx", "concat(format_string('Embedding top1=%.3f', v1.score), "
+                     "CASE WHEN v2 IS NOT NULL THEN format_string(', top2=%.3f', v2.score) ELSE '' END, "
+                     "'; no context to rerank with, review needed')"),
+        ("_vmargin", margin),
+    ]
+
+
+def row_fields_sql(ctx: str | None, veto_on: bool, vector_on: bool) -> dict[str, str]:
+    """Per-field SQL of the final record on a joined row (no per-row struct building).
+
+    Inputs: ``res`` (fast record), ``_vhits`` (veto hits), ``_vec`` (vector path
+    applies), ``_neg``/``_pos`` (rerank hits), ``v1``/``v2`` and the vendor-level
+    columns of ``vendor_rule_columns``.
     """
-    margin = f"CASE WHEN {v2} IS NOT NULL THEN {v1}.score - {v2}.score END"
-    has_ctx = f"({context} IS NOT NULL)" if context else "false"
-    ctx = context or "CAST(NULL AS STRING)"
-    confirmed, rr = rerank_sql(ctx, f"{v1}.keywords", f"{v1}.negative_keywords", f"{v1}.score", margin, floor, min_margin)
-    reason = (
-        f"CASE WHEN {has_ctx} THEN concat('[Context rerank] ', {rr}) "
-        f"ELSE concat(format_string('Embedding top1=%.3f', {v1}.score), "
-        f"CASE WHEN {v2} IS NOT NULL THEN format_string(', top2=%.3f', {v2}.score) ELSE '' END, "
-        "'; no context to rerank with, review needed') END"
-    )
-    return record_sql(
-        normalized_expression=f"{v1}.matched_text",
-        canonical_institution=f"{v1}.canonical_name",
-        institution_id=f"{v1}.institution_id",
-        normalization_method=f"CASE WHEN {has_ctx} THEN 'CONTEXT_RERANK' ELSE 'EMBEDDING' END",
-        top1_score=f"{v1}.score",
-        top2_candidate=f"{v2}.canonical_name",
-        top2_score=f"{v2}.score",
-        score_margin=margin,
-        review_status=f"CASE WHEN {has_ctx} AND ({confirmed}) THEN 'AUTO' ELSE 'NEEDS_REVIEW' END",
-        reason=reason,
-    )
-
-
-def vector_record(context: str | None, v1: str, v2: str, floor: float, min_margin: float) -> Column:
-    return F.expr(vector_record_sql(context, v1, v2, floor, min_margin))
+    fields = {f.name: f"res.{f.name}" for f in RESULT_STRUCT.fields}
+    if veto_on:
+        fire = "coalesce(size(_vhits) > 0, false)"
+        fields["review_status"] = f"CASE WHEN {fire} THEN 'NEEDS_REVIEW' ELSE res.review_status END"
+        fields["reason"] = (
+            f"CASE WHEN {fire} THEN concat(_veto_prefix, {render_list_sql('_vhits')}, '; sent to review') ELSE res.reason END"
+        )
+    if vector_on:
+        has_ctx = f"({ctx} IS NOT NULL)" if ctx else "false"
+        confirmed = "(size(_neg) = 0 AND NOT _margin_low AND size(_pos) > 0 AND _score_ok)"
+        reason = (
+            f"CASE WHEN NOT {has_ctx} THEN _r_noctx "
+            f"WHEN size(_neg) > 0 THEN concat('[Context rerank] Negative keywords ', {render_list_sql('_neg')}, "
+            "' in context; auto-confirm refused') "
+            "WHEN _margin_low THEN concat('[Context rerank] ', _r_margin) "
+            f"WHEN size(_pos) > 0 AND _score_ok THEN concat('[Context rerank] ', _r_ok, {render_list_sql('_pos')}, "
+            "' in context; auto-normalized') "
+            f"ELSE concat('[Context rerank] ', _r_else, CASE WHEN size(_pos) > 0 THEN {render_list_sql('_pos')} ELSE 'none' END, "
+            "'; auto-confirm conditions not met, review needed') END"
+        )
+        vec = {
+            "normalized_expression": "v1.matched_text",
+            "canonical_institution": "v1.canonical_name",
+            "institution_id": "v1.institution_id",
+            "normalization_method": f"CASE WHEN {has_ctx} THEN 'CONTEXT_RERANK' ELSE 'EMBEDDING' END",
+            "top1_score": "v1.score",
+            "top2_candidate": "v2.canonical_name",
+            "top2_score": "v2.score",
+            "score_margin": "_vmargin",
+            "review_status": f"CASE WHEN {has_ctx} AND {confirmed} THEN 'AUTO' ELSE 'NEEDS_REVIEW' END",
+            "reason": reason,
+            "user_confirmed": "false",
+        }
+        fields = {f: f"CASE WHEN _vec THEN {vec[f]} ELSE {cur} END" for f, cur in fields.items()}
+    return {f.name: f"CAST({fields[f.name]} AS {f.dataType.simpleString()})" for f in RESULT_STRUCT.fields}

@@ -27,7 +27,13 @@ from ledgerlink.functions.encoder import HashedNgramEncoder
 from ledgerlink.functions.text import match_key
 from ledgerlink.operators.lookup import build_lookup, build_vector_index
 from ledgerlink.operators.match import exact_alias, fuzzy_topk, lookup_fits, top2_pivot
-from ledgerlink.operators.rules import fast_record, no_vendor_record, vector_record_sql, veto
+from ledgerlink.operators.rules import (
+    fast_record,
+    keyword_hits_sql,
+    no_vendor_record,
+    row_fields_sql,
+    vendor_rule_columns,
+)
 from ledgerlink.operators.vector import vector_topk
 from ledgerlink.schema import (
     EMBEDDING_FLOOR,
@@ -130,16 +136,26 @@ def resolve(
     # redone when an executor is lost during the join-back).
     vendors = cut_lineage(df.select(vendor_col).distinct())
     vmap = resolve_vendors(vendors, vendor_col, master, alias, threshold, use_embedding, encoder, max_broadcast_rows)
-    vmap = cut_lineage(vmap.select(F.col(vendor_col).alias("_pk0"), "res", "_nkw", "v1", "v2"))
+    # Everything the rules need that depends on the vendor alone (keyword
+    # arrays, margin and floor tests, formatted reason prefixes) is computed
+    # here, once per vendor; each row then only runs substring tests.
+    vmap = vmap.select(F.col(vendor_col).alias("_pk0"), "res", "v1", "v2", F.col("_nkw").alias("_nkw_csv"))
+    vmap = vmap.select("_pk0", "res", "v1", "v2", *[F.expr(e).alias(n) for n, e in vendor_rule_columns(embedding_floor, min_margin)])
+    vmap = cut_lineage(vmap)
     pm = bounded_broadcast(vmap, max_broadcast_rows, persist=False)
     out = df.join(pm, df[vendor_col].eqNullSafe(pm["_pk0"]), "left")
     ctx_sql = f"`{ctx}`" if ctx else None
+    empty = "CAST(array() AS ARRAY<STRING>)"
     if ctx:
-        out = out.withColumn("res", veto("res", ctx_sql, "_nkw"))
+        fuzzy_auto = "res.normalization_method = 'FUZZY' AND res.review_status = 'AUTO'"
+        out = out.withColumn("_vhits", F.expr(f"CASE WHEN {fuzzy_auto} THEN {keyword_hits_sql(ctx_sql, '_nkw')} END"))
     if use_embedding:
-        rec = vector_record_sql(ctx_sql, "v1", "v2", embedding_floor, min_margin)
-        out = out.withColumn(
-            "res", F.expr(f"CASE WHEN res.normalization_method = 'UNRESOLVED' AND v1 IS NOT NULL THEN {rec} ELSE res END")
-        )
-    return out.select(*[df[c] for c in keep], *[F.col("res")[f].alias(f) for f in RESULT_FIELDS],
+        out = out.withColumn("_vec", F.expr("coalesce(res.normalization_method = 'UNRESOLVED' AND v1 IS NOT NULL, false)"))
+        if ctx:
+            out = out.withColumn("_neg", F.expr(f"CASE WHEN _vec THEN {keyword_hits_sql(ctx_sql, '_v1nkw')} ELSE {empty} END"))
+            out = out.withColumn("_pos", F.expr(f"CASE WHEN _vec THEN {keyword_hits_sql(ctx_sql, '_v1kw')} ELSE {empty} END"))
+        else:
+            out = out.withColumn("_neg", F.expr(empty)).withColumn("_pos", F.expr(empty))
+    fields = row_fields_sql(ctx_sql, veto_on=bool(ctx), vector_on=use_embedding)
+    return out.select(*[df[c] for c in keep], *[F.expr(fields[f]).alias(f) for f in RESULT_FIELDS],
                       df[vendor_col].alias("detected_expression"))
