@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ledgerlink.functions.text import match_key, stored_alias_key
 from ledgerlink.schema import CANONICAL_SOURCE
+from ledgerlink.session import bounded_broadcast
 
 ORDER_COLS = ["ord_name", "ord_alias", "ord_alias_id"]
 
@@ -135,7 +136,7 @@ def set_active(df: DataFrame, id_col: str, ids: DataFrame, active: bool) -> Data
     missing = ids.join(df.select(id_col), id_col, "left_anti").limit(1).collect()
     if missing:
         raise ValueError(f"{id_col}={missing[0][0]} not found")
-    flagged = df.join(F.broadcast(ids.withColumn("_hit", F.lit(True))), id_col, "left")
+    flagged = df.join(bounded_broadcast(ids.withColumn("_hit", F.lit(True))), id_col, "left")
     return flagged.withColumn("active", F.when(F.col("_hit"), F.lit(active)).otherwise(F.col("active"))).select(*df.columns)
 
 

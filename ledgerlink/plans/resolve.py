@@ -64,12 +64,15 @@ def fast_path(vendors: DataFrame, vendor_col: str, lookup: DataFrame, threshold:
     return vk.join(fast, "vkey").select(vendor_col, "res", "_nkw")
 
 
-def vector_candidates(unresolved: DataFrame, vendor_col: str, master: DataFrame, alias: DataFrame, encoder) -> DataFrame:
+def vector_candidates(unresolved: DataFrame, vendor_col: str, master: DataFrame, alias: DataFrame, encoder,
+                      max_index_broadcast_rows: int | None = None) -> DataFrame:
     """R7: top-2 vector candidates per distinct unresolved vendor -> (_q, v1, v2)."""
     index = encoder.encode(build_vector_index(master, alias), "text")
     q = unresolved.select(F.col(vendor_col).cast("string").alias("_q")).distinct()
     qv = encoder.encode(q, "_q")
-    top = vector_topk(qv, index, "_q", k=2)
+    kw = {} if max_index_broadcast_rows is None else {"max_broadcast_rows": max_index_broadcast_rows, "chunk_rows": 4,
+                                                      "query_buckets": 3}
+    top = vector_topk(qv, index, "_q", k=2, **kw)
     cand = F.struct("score", "matched_text", "canonical_name", "institution_id", "keywords", "negative_keywords")
     return top.groupBy("_q").agg(
         F.max(F.when(F.col("rank") == 1, cand)).alias("v1"),
@@ -106,7 +109,8 @@ def resolve_vendors(
     if not use_embedding:
         return vm.withColumn("v1", F.lit(None).cast(cand_type)).withColumn("v2", F.lit(None).cast(cand_type))
     unres = vm.where((F.col("res.normalization_method") == UNRESOLVED) & F.col(vendor_col).isNotNull())
-    cands = vector_candidates(unres, vendor_col, master, alias, encoder)
+    cands = vector_candidates(unres, vendor_col, master, alias, encoder,
+                              None if max_broadcast_rows > 0 else 0)
     return vm.withColumn("_q", F.col(vendor_col).cast("string")).join(cands, "_q", "left").drop("_q")
 
 
