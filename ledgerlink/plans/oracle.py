@@ -216,12 +216,12 @@ def hits(ctx: str, csv: str) -> str:
     return f"(CASE WHEN coalesce({ctx}, '') = '' THEN []::VARCHAR[] ELSE list_filter({kwlist(csv)}, lambda hk: contains({ctx}, hk)) END)"
 
 
-def veto_cte(src: str) -> str:
+def veto_cte(src: str, name: str = "vetoed") -> str:
     """Apply the negative-keyword veto to ``src`` (vendor, context_text, result columns) -> vetoed."""
     h = hits("r.context_text", "m.negative_keywords")
     fire = f"(r.normalization_method = 'FUZZY' AND r.review_status = 'AUTO' AND m.negative_keywords IS NOT NULL AND len({h}) > 0)"
     return (
-        f"vetoed AS (SELECT r.* REPLACE ("
+        f"{name} AS (SELECT r.* REPLACE ("
         f"CASE WHEN {fire} THEN 'NEEDS_REVIEW' ELSE r.review_status END AS review_status, "
         f"CASE WHEN {fire} THEN '[Safeguard] fuzzy auto-confirmed ''' || m.canonical_name || ''' but the context holds negative keywords [' "
         f"|| array_to_string({h}, ', ') || ']; sent to review' ELSE r.reason END AS reason) "
@@ -370,11 +370,11 @@ DECISIONS_VALUES = (
 )
 
 
-def _reviews_cte() -> str:
+def _reviews_cte(name: str = "rv", src: str = "jr") -> str:
     return (
-        "rv AS (SELECT d.decision_id, j.voucher_no AS original_row_id, j.canonical_institution AS model_prediction, "
+        f"{name} AS (SELECT d.decision_id, j.voucher_no AS original_row_id, j.canonical_institution AS model_prediction, "
         "CASE WHEN d.action = 'APPROVE' THEN j.canonical_institution WHEN d.action = 'CHANGE_INSTITUTION' THEN d.override_name ELSE d.action END AS user_decision, "
-        "d.action AS review_action FROM jr j JOIN ld d ON j.vendor = d.detected_expression "
+        f"d.action AS review_action FROM {src} j JOIN ld d ON j.vendor = d.detected_expression "
         "AND (d.context_text IS NULL OR j.context_text IS NOT DISTINCT FROM d.context_text))"
     )
 
@@ -564,6 +564,31 @@ def _oracle_sql() -> dict[str, str]:
         "UNION ALL SELECT 'human_reviews', count(*) FROM rv "
         "UNION ALL SELECT 'feedback_labels', count(DISTINCT decision_id) FROM rv"
     )
+    comp_all = _completeness_ctes()
+    rows_sql = (
+        "SELECT m.institution_id, c.canonical_name, c.company_list_exists, c.journal_detected, "
+        "CAST(coalesce(s.journal_count, 0) AS BIGINT) AS journal_count, s.total_amount, c.status AS review_status "
+        "FROM {cmp} c LEFT JOIN master m ON c.canonical_name = m.canonical_name LEFT JOIN summ s ON c.canonical_name = s.canonical_name"
+    )
+    q["replace_completeness"] = with_(
+        *comp_all,
+        "summ AS (SELECT canonical_institution AS canonical_name, count(*) AS journal_count, CAST(sum(amount) AS DECIMAL(18,2)) AS total_amount "
+        "FROM jr WHERE review_status IN ('AUTO','HUMAN') GROUP BY 1)",
+        f"run2 AS ({rows_sql.format(cmp='cmp')})",
+    ) + (
+        # run 1's old rows are gone; its replacement is run 2's journal-detected rows
+        "SELECT *, CAST(2 AS BIGINT) AS run_id FROM run2 UNION ALL "
+        "SELECT *, CAST(1 AS BIGINT) AS run_id FROM run2 WHERE journal_detected"
+    )
+    q["delete_run_keep_labels"] = with_(
+        *jf, eval_cte(), fast_cte("SELECT vendor FROM ev", FUZZY_AUTO_THRESHOLD, "e"),
+        "er0 AS (SELECT e.*, f.* EXCLUDE (vendor) FROM ev e LEFT JOIN efast f ON e.vendor = f.vendor)",
+        veto_cte("er0", "evetoed"), DECISIONS_VALUES, _reviews_cte("rv1", "jr"), _reviews_cte("rv2", "evetoed"),
+        "rv AS (SELECT *, CAST(1 AS BIGINT) AS run_id FROM rv1 UNION ALL SELECT *, CAST(2 AS BIGINT) AS run_id FROM rv2)",
+    ) + (
+        "SELECT decision_id, max(user_decision) AS confirmed_label, "
+        "CASE WHEN run_id = 1 THEN NULL ELSE decision_id * 10 + run_id END AS source_review_id FROM rv GROUP BY decision_id, run_id"
+    )
     q["evaluate_baseline1"] = _eval_sql("Baseline1_Exact_Alias")
     q["evaluate_baseline2"] = _eval_sql("Baseline2_Fuzzy")
     q["evaluate_model3"] = _eval_sql("Model3_Embedding")

@@ -284,6 +284,43 @@ def q_unidentified(spark, sf_dir):
     return C.unidentified(_company_result(spark, sf_dir), "institution_name")
 
 
+def q_replace_completeness(spark, sf_dir):
+    """Completeness rows of run 1 (fixed list only) and run 2 (fixed list + suppliers);
+    run 1 is then recomputed with the full list and replaces its old rows."""
+    from ledgerlink.sources.store import replace_run_rows
+
+    m, a = seed_master(spark)
+    jr = journal_result(spark, sf_dir)
+    fixed = spark.createDataFrame([(n,) for n in COMPANY_ENTRIES], "institution_name string")
+    first = C.completeness_rows(C.compare(resolve(fixed, "institution_name", m, a, use_embedding=False), jr), jr, m, AMOUNT)
+    full = C.completeness_rows(C.compare(_company_result(spark, sf_dir), jr), jr, m, AMOUNT)
+    table = first.withColumn("run_id", F.lit(1).cast("long")).unionByName(full.withColumn("run_id", F.lit(2).cast("long")))
+    return replace_run_rows(table, full.where("journal_detected"), 1)
+
+
+def q_delete_run_keep_labels(spark, sf_dir):
+    """Run 1 = the journal, run 2 = the labelled journal, both with review rows from the
+    decisions (review id = decision id * 10 + run id) and one label per (decision, run).
+    Deleting run 1 removes its reviews; its labels stay with the review link cleared."""
+    from ledgerlink.sources.store import clear_label_links
+
+    d = decisions(spark)
+    m, a = seed_master(spark)
+    run2 = resolve(evaluation_journal(spark, sf_dir), "vendor", m, a, use_embedding=False, context_col="context_text")
+    rv = (
+        RV.reviews_from_decisions(_stored_rows(spark, sf_dir), d, "original_row_id", "context_text", True)
+        .withColumn("run_id", F.lit(1).cast("long"))
+        .unionByName(
+            RV.reviews_from_decisions(run2.withColumnRenamed("voucher_no", "original_row_id"), d, "original_row_id",
+                                      "context_text", True).withColumn("run_id", F.lit(2).cast("long"))
+        )
+        .withColumn("review_id", F.col("decision_id") * 10 + F.col("run_id"))
+    )
+    labels = rv.groupBy("decision_id", "review_id").agg(F.max("user_decision").alias("confirmed_label")).select(
+        "decision_id", "confirmed_label", F.col("review_id").alias("source_review_id"))
+    return clear_label_links(labels, rv.where("run_id = 1").select("review_id").distinct())
+
+
 # ---------------------------------------------------------------- review
 def decisions(spark) -> DataFrame:
     """Decision table (fixed values): one row per action, a HOLD then a later APPROVE
@@ -383,6 +420,8 @@ REGISTRY = {
     "institution_detail": q_institution_detail,
     "unidentified": q_unidentified,
     "review_queue": q_review_queue,
+    "replace_completeness": q_replace_completeness,
+    "delete_run_keep_labels": q_delete_run_keep_labels,
     "result_preview": q_result_preview,
     "table_counts": q_table_counts,
     "decisions_overlay": q_decisions_overlay,

@@ -163,6 +163,12 @@ def replace_partition(rows: DataFrame, root: str, table: str, run_id: int) -> in
     return int(obs.get["rows"])
 
 
+def replace_run_rows(table: DataFrame, new_rows: DataFrame, run_id: int) -> DataFrame:
+    """Frame form of a run replacement: every other run kept, this run's rows replaced."""
+    fresh = new_rows.withColumn("run_id", F.lit(run_id).cast("long"))
+    return table.where(F.col("run_id") != run_id).unionByName(fresh.select(*table.columns))
+
+
 def load_run(spark: SparkSession, root: str, run_id: int, status: str | None = None) -> DataFrame:
     """Stored results of one run (partition pruning on run_id); unknown run -> empty frame."""
     df = read(spark, root, RESULTS)
