@@ -4,7 +4,7 @@ Shape (distinct vendors - resolve - join back - row rules):
 
     journal --distinct vendor--> vendors                      (partial aggregation, tiny)
     vendors --match key--> exact/alias join (broadcast lookup)
-                       \--misses--> blocked fuzzy top-2 (see operators/match)
+                       +--misses--> blocked fuzzy top-2 (see operators/match)
             -> fast record per vendor
             -> unresolved vendors --encoder--> vector top-2 candidates
     journal --join (null-safe on vendor) with the vendor map (broadcast if bounded)
