@@ -26,6 +26,9 @@ from pyspark.sql import functions as F
 from ledgerlink.functions.encoder import HashedNgramEncoder
 from ledgerlink.functions.text import match_key
 from ledgerlink.operators.lookup import build_lookup, build_vector_index
+
+LOOKUP_COLUMNS = ["key", "institution_id", "canonical_name", "match_text", "match_source", "keywords", "negative_keywords",
+                  "ord_name", "ord_alias", "ord_alias_id"]
 from ledgerlink.operators.match import exact_alias, fuzzy_topk, lookup_fits, top2_pivot
 from ledgerlink.operators.rules import (
     fast_record,
@@ -42,7 +45,14 @@ from ledgerlink.schema import (
     RESULT_FIELDS,
     UNRESOLVED,
 )
-from ledgerlink.session import DEFAULT_BROADCAST_ROWS, bounded_broadcast, cut_lineage
+from ledgerlink.functions.text import chars
+from ledgerlink.session import (
+    DEFAULT_BROADCAST_BYTES,
+    DEFAULT_BROADCAST_ROWS,
+    checkpoint_with_size,
+    cut_lineage,
+    hint_if_small,
+)
 
 DEFAULT_ENCODER = HashedNgramEncoder()
 
@@ -98,8 +108,13 @@ def resolve_vendors(
     encoder = encoder or DEFAULT_ENCODER
     # The lookup feeds several joins; a checkpoint computes it once and keeps
     # the downstream plans short.
-    lookup = cut_lineage(build_lookup(master, alias))
-    small = lookup_fits(lookup, max_broadcast_rows)
+    lookup, stats = checkpoint_with_size(
+        build_lookup(master, alias),
+        nc=F.coalesce(F.sum(F.size(chars("key")) + 1), F.lit(0)),
+        kb=F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*LOOKUP_COLUMNS))) * (F.size(chars("key")) + 1)), F.lit(0)),
+    )
+    # the exploded character table (rows nc, bytes kb) is the largest broadcast side
+    small = stats["rows"] <= max_broadcast_rows and stats["nc"] <= max_broadcast_rows and stats["kb"] <= DEFAULT_BROADCAST_BYTES
     fast = fast_path(vendors, vendor_col, lookup, threshold, small, max_broadcast_rows)
     fast = fast.select(F.col(vendor_col).alias("_fv"), "res", "_nkw")
     vm = vendors.join(fast, F.col(vendor_col).eqNullSafe(F.col("_fv")), "left").select(
@@ -145,8 +160,8 @@ def resolve(
     # here, once per vendor; each row then only runs substring tests.
     vmap = vmap.select(F.col(vendor_col).alias("_pk0"), "res", "v1", "v2", F.col("_nkw").alias("_nkw_csv"))
     vmap = vmap.select("_pk0", "res", "v1", "v2", *[F.expr(e).alias(n) for n, e in vendor_rule_columns(embedding_floor, min_margin)])
-    vmap = cut_lineage(vmap)
-    pm = bounded_broadcast(vmap, max_broadcast_rows, persist=False)
+    vmap, stats = checkpoint_with_size(vmap)
+    pm, _small = hint_if_small(vmap, stats, max_broadcast_rows)
     out = df.join(pm, df[vendor_col].eqNullSafe(pm["_pk0"]), "left")
     ctx_sql = f"`{ctx}`" if ctx else None
     empty = "CAST(array() AS ARRAY<STRING>)"

@@ -85,6 +85,33 @@ def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS, pe
     return (F.broadcast(df), True) if size_fits(df, max_rows, max_bytes) else (df, False)
 
 
+def checkpoint_with_size(df: DataFrame, **extra) -> tuple[DataFrame, dict]:
+    """Checkpoint ``df`` and measure it in the same job (an ``Observation``).
+
+    Returns the checkpointed frame and its metrics: ``rows``, ``bytes`` (JSON
+    size estimate, as in ``size_fits``) and any ``extra`` named aggregates.
+    """
+    import uuid
+
+    from pyspark.sql import Observation
+
+    obs = Observation(f"ckpt_{uuid.uuid4().hex[:12]}")
+    metrics = [
+        F.count(F.lit(1)).alias("rows"),
+        F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))), F.lit(0)).alias("bytes"),
+        *[v.alias(k) for k, v in extra.items()],
+    ]
+    out = cut_lineage(df.observe(obs, *metrics))
+    return out, obs.get
+
+
+def hint_if_small(df: DataFrame, stats: dict, max_rows: int = DEFAULT_BROADCAST_ROWS,
+                  max_bytes: int = DEFAULT_BROADCAST_BYTES) -> tuple[DataFrame, bool]:
+    """Broadcast hint from measured stats (see ``checkpoint_with_size``)."""
+    small = stats["rows"] <= max_rows and stats["bytes"] <= max_bytes
+    return (F.broadcast(df), True) if small else (df, False)
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS, persist: bool = True) -> DataFrame:
     return broadcast_if_small(df, max_rows, persist)[0]
 
