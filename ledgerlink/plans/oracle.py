@@ -9,7 +9,6 @@ the same constants the library uses.
 
 from __future__ import annotations
 
-from ledgerlink.operators.review import QUEUE_COLUMNS  # noqa: F401  (documentation of queue columns)
 from ledgerlink.schema import EMBEDDING_FLOOR, FUZZY_AUTO_THRESHOLD, FUZZY_DISABLED_THRESHOLD, MIN_SCORE_MARGIN
 from ledgerlink.sources.journal import EVALUATION_CASES, TEMPLATES, TOTAL_WEIGHT
 from ledgerlink.sources.master import seed_rows

@@ -1,5 +1,4 @@
 import numpy as np
-from pyspark.sql import functions as F
 
 from ledgerlink.functions.encoder import HashedNgramEncoder, ngram_array
 from ledgerlink.operators.vector import vector_topk
