@@ -154,3 +154,13 @@ def test_above_bound_plans_give_the_same_result(spark, seed):
     default = sorted(map(tuple, resolve(df, "vendor", m, a, context_col="context_text").select(*cols).collect()), key=str)
     forced = sorted(map(tuple, resolve(df, "vendor", m, a, context_col="context_text", max_broadcast_rows=0).select(*cols).collect()), key=str)
     assert default == forced
+
+
+def test_non_string_vendor_and_empty_journal(spark, seed):
+    m, a = seed
+    nums = spark.createDataFrame([(1, "x"), (1, "y"), (None, "z")], "vendor int, context_text string")
+    out = resolve(nums, "vendor", m, a, context_col="context_text").collect()
+    assert len(out) == 3 and {r.normalization_method for r in out} <= {"EMBEDDING", "CONTEXT_RERANK", "UNRESOLVED"}
+    assert all(r.review_status == "NEEDS_REVIEW" for r in out)
+    empty = spark.createDataFrame([], "vendor string, context_text string")
+    assert resolve(empty, "vendor", m, a, context_col="context_text").count() == 0
