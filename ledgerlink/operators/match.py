@@ -12,9 +12,10 @@ the first k lookup entries can be such members.  Those k entries and every
 vendor carry an extra pseudo character '' so the same join emits them; no
 union and no cross join is needed.
 
-The lookup side is a dimension: it is broadcast after a row-count check, and
-then the pairs never leave the vendor's partition (the vendor frame comes out
-of a distinct, hash-partitioned by key), so the top-k window adds no shuffle.
+The lookup side is a dimension: it is broadcast after a size check, so pairs
+are produced where the vendor row lives, and the top-k window is pre-limited
+before its exchange (WindowGroupLimit: at most k rows per vendor and task are
+shuffled).
 Above the bound the join shuffles on (character, salt): each vendor gets one
 salt, each lookup row is replicated over all salts, which splits hot characters.
 """
@@ -86,8 +87,7 @@ def blocked_pairs(
     # Each vendor fans out into one row per candidate entry and the scoring
     # UDF runs on those rows, so parallelism must follow the fan-out, not the
     # (small) number of distinct vendors: an explicit hash repartition on the
-    # key (kept by AQE) spreads the vendors before the join, and the top-k
-    # window later finds its input already partitioned by the key.
+    # key (kept by AQE) spreads the vendors before the join.
     vkeys = vkeys.repartition(scoring_partitions(vkeys), key_col)
     vc = vkeys.select(key_col, F.array_union(chars(key_col), F.array(F.lit(HEAD_CHAR))).alias("vchars")).withColumn(
         "ch", F.explode("vchars")

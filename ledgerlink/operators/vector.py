@@ -34,8 +34,18 @@ SCORE_DECIMALS = 10
 DEFAULT_INDEX_BROADCAST_ROWS = 50_000
 
 
+SCORE_CELLS = 8_000_000  # query rows x index rows scored at once (64 MB of float64)
+
+
 def _topk_owners(q: np.ndarray, idx: np.ndarray, owners: np.ndarray, k: int):
-    """(rows, k) arrays of index positions and scores; -1 where fewer owners exist."""
+    """(rows, k) arrays of index positions and scores; -1 where fewer owners exist.
+
+    Queries are scored in slices so one score matrix never exceeds SCORE_CELLS.
+    """
+    step = max(1, SCORE_CELLS // max(1, len(idx)))
+    if len(q) > step:
+        parts = [_topk_owners(q[i : i + step], idx, owners, k) for i in range(0, len(q), step)]
+        return np.vstack([p[0] for p in parts]), np.vstack([p[1] for p in parts])
     s = np.round(q @ idx.T, SCORE_DECIMALS) if len(idx) else np.zeros((len(q), 0))
     n = len(q)
     pos = np.full((n, k), -1, dtype=np.int64)
@@ -102,6 +112,7 @@ def vector_topk(
     max_broadcast_rows: int = DEFAULT_INDEX_BROADCAST_ROWS,
     chunk_rows: int = 50_000,
     query_buckets: int = 64,
+    query_rows_per_group: int = 20_000,
 ) -> DataFrame:
     """queries: (query_id, vec); index: (institution_id, canonical_name, text, [keywords,
     negative_keywords,] ord_*, vec).
@@ -146,6 +157,9 @@ def vector_topk(
     del ipdf
     n_index = index.count()
     chunks = max(1, math.ceil(n_index / chunk_rows))
+    # each (chunk, bucket) group holds at most ~chunk_rows index rows and
+    # ~query_rows_per_group queries, whatever the number of distinct queries
+    query_buckets = max(query_buckets, math.ceil(queries.count() / query_rows_per_group))
     ic = index.withColumn("_chunk", F.pmod(F.xxhash64(*ORDER_COLS), F.lit(chunks))).withColumn(
         "_qb", F.explode(F.sequence(F.lit(0), F.lit(query_buckets - 1)))
     )

@@ -43,3 +43,15 @@ def test_encoder_udf_equals_native_and_python(spark):
         assert np.allclose(u[t], n[t]) and np.allclose(u[t], ngram_array(t, 16))
     assert np.isclose(np.linalg.norm(u["농협은행"]), 1.0)
     assert not any(u[""])
+
+
+def test_scoring_in_slices_matches_one_matrix(monkeypatch):
+    import ledgerlink.operators.vector as V
+
+    rng = np.random.default_rng(9)
+    q, idx = rng.normal(size=(50, 4)), rng.normal(size=(30, 4))
+    owners = rng.integers(0, 5, size=30)
+    whole = V._topk_owners(q, idx, owners, 2)
+    monkeypatch.setattr(V, "SCORE_CELLS", 61)  # two query rows per slice
+    sliced = V._topk_owners(q, idx, owners, 2)
+    assert (whole[0] == sliced[0]).all() and np.allclose(whole[1], sliced[1])
