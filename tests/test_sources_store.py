@@ -101,3 +101,10 @@ def test_delete_run_frames(spark):
     assert n.first().deleted_results == 1
     assert [r.review_id for r in out[ST.REVIEWS].collect()] == [11]
     assert {r.label_id: r.source_review_id for r in out[ST.LABELS].collect()} == {100: None, 101: 11}
+
+
+def test_positions_are_consecutive_in_partition_order(spark):
+    df = spark.range(0, 1000, 1, 7).select((F.col("id") * 3).alias("v"))
+    rows = sorted((r.position, r.v) for r in ST.with_positions(df).collect())
+    assert [p for p, _ in rows] == list(range(1000))
+    assert [v for _, v in rows] == [3 * i for i in range(1000)]
