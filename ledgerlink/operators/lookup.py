@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ledgerlink.functions.text import match_key, stored_alias_key
 from ledgerlink.schema import CANONICAL_SOURCE
-from ledgerlink.session import bounded_broadcast
+from ledgerlink.session import bounded_broadcast, with_positions
 
 ORDER_COLS = ["ord_name", "ord_alias", "ord_alias_id"]
 
@@ -94,16 +94,14 @@ def master_with_aliases(master: DataFrame, alias: DataFrame, active_only: bool =
 def _next_ids(existing: DataFrame, id_col: str, new_rows: DataFrame, order_cols: list[str]) -> DataFrame:
     """Assign ids max(existing)+1.. to ``new_rows`` in ``order_cols`` order.
 
-    A distributed sort followed by ``zipWithIndex`` (per-partition offsets), so
-    no step gathers the new rows into one task; ids are stable for a given input.
+    A distributed (range-partitioned) sort followed by JVM-side positions
+    (per-partition offsets), so no step gathers the new rows into one task;
+    ids are stable for a given input.
     """
-    from pyspark.sql import types as T
-
     mx = existing.agg(F.coalesce(F.max(id_col), F.lit(0)).cast("long")).first()[0]  # one scalar
     cols = [c for c in new_rows.columns if c != id_col]
     ordered = new_rows.select(*cols).orderBy(*order_cols, *[c for c in cols if c not in order_cols])
-    schema = T.StructType(ordered.schema.fields + [T.StructField(id_col, T.LongType(), False)])
-    return ordered.rdd.zipWithIndex().map(lambda p: tuple(p[0]) + (mx + 1 + p[1],)).toDF(schema)
+    return with_positions(ordered, "_pos").withColumn(id_col, F.lit(mx + 1) + F.col("_pos")).drop("_pos")
 
 
 def add_institutions(master: DataFrame, new: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlink.schema import RESULT_FIELDS, RESULT_ROW_COLUMNS, RUN_COMPLETED, RUN_RUNNING
-from ledgerlink.session import DEFAULT_BROADCAST_ROWS, bounded_broadcast
+from ledgerlink.session import DEFAULT_BROADCAST_ROWS, bounded_broadcast, with_positions  # noqa: F401
 
 RUNS = "processing_runs"
 RESULTS = "normalization_results"
@@ -142,21 +142,6 @@ def to_result_rows(result: DataFrame, master: DataFrame, voucher_col: str | None
     return df.select(*[cols.get(c, F.col(c)).alias(c) for c in RESULT_ROW_COLUMNS])
 
 
-def with_positions(df: DataFrame, name: str = "position") -> DataFrame:
-    """Consecutive 0-based row positions in the frame's partition order (file order
-    for a scan), computed on the JVM: the position inside a partition comes from
-    ``monotonically_increasing_id`` (partition id in the upper bits), and each
-    partition's offset from one count per partition (a frame of at most
-    #partitions rows, broadcast)."""
-    tagged = df.withColumn("_pid", F.spark_partition_id()).withColumn(
-        "_in", F.monotonically_increasing_id() - F.shiftleft(F.col("_pid").cast("long"), 33))
-    counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    from pyspark.sql import Window
-
-    offsets = counts.withColumn("_off", F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).select("_pid", "_off")
-    return tagged.join(F.broadcast(offsets), "_pid").withColumn(name, F.col("_off") + F.col("_in")).drop("_pid", "_in", "_off")
-
-
 def save_results(rows: DataFrame, root: str, run_id: int) -> int:
     """Append result rows of a run (scores stored with 4 decimals); returns the row count."""
     obs = Observation(f"save_{run_id}_{uuid.uuid4().hex[:8]}")
