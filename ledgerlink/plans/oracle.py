@@ -333,15 +333,16 @@ def _eval_sql(variant: str) -> str:
     return with_(*_eval_result(variant), c) + sel
 
 
-COMPANY_VALUES = (
-    "company(institution_name) AS (SELECT * FROM (VALUES ('NH농협은행'), ('신한은행'), ('이상한기관')) "
-    "UNION ALL SELECT s_name FROM supplier)"
-)
+def _company_values() -> str:
+    from ledgerlink.plans.queries import COMPANY_ENTRIES
+
+    vals = ", ".join(f"({lit(n)})" for n in COMPANY_ENTRIES)
+    return f"company(institution_name) AS (SELECT * FROM (VALUES {vals}) UNION ALL SELECT s_name FROM supplier)"
 
 
 def _completeness_ctes() -> list[str]:
     return _journal_fast() + [
-        COMPANY_VALUES,
+        _company_values(),
         fast_cte("SELECT institution_name AS vendor FROM company", FUZZY_AUTO_THRESHOLD, "c"),
         "cr AS (SELECT c.institution_name, f.* EXCLUDE (vendor) FROM company c LEFT JOIN cfast f ON c.institution_name = f.vendor)",
         "a AS (SELECT DISTINCT canonical_institution AS canonical_name FROM cr WHERE review_status IN ('AUTO','HUMAN') AND canonical_institution IS NOT NULL)",
@@ -353,20 +354,20 @@ def _completeness_ctes() -> list[str]:
     ]
 
 
-DECISIONS_VALUES = (
-    "dec0(decision_id, detected_expression, context_text, action, override_id, override_name, decided_at) AS (VALUES "
-    "(1, 'Nonghyup Bank', 'Nonghyup Bank | 외화 송금 | 외화예금 | 보통예금', 'CHANGE_INSTITUTION', 1, 'NH농협은행', TIMESTAMP '2025-01-02 09:00:00'), "
-    "(2, '테스트전자', '테스트전자 | 제품 판매대금 수령 | 제품매출 | 보통예금', 'NOT_FINANCIAL_INSTITUTION', NULL, NULL, TIMESTAMP '2025-01-02 09:00:00'), "
-    "(3, 'NH투자', 'NH투자 | 증권 매매 정산 | 단기매매증권 | 보통예금', 'HOLD', NULL, NULL, TIMESTAMP '2025-01-02 09:00:00'), "
-    "(4, 'NH투자', 'NH투자 | 증권 매매 정산 | 단기매매증권 | 보통예금', 'APPROVE', NULL, NULL, TIMESTAMP '2025-01-02 10:00:00'), "
-    "(5, 'OO농협', 'OO농협 | 농산물 구매대금 지급 | 원재료 | 외상매입금', 'HOLD', NULL, NULL, TIMESTAMP '2025-01-02 09:00:00'), "
-    "(6, '없는거래처', '없는거래처 | 없음', 'APPROVE', NULL, NULL, TIMESTAMP '2025-01-02 09:00:00'), "
-    "(7, '샘플물류', NULL, 'NOT_FINANCIAL_INSTITUTION', NULL, NULL, TIMESTAMP '2025-01-02 11:00:00')), "
-    "dec AS (SELECT CAST(decision_id AS BIGINT) AS decision_id, detected_expression, context_text, action, "
-    "CAST(override_id AS BIGINT) AS override_id, override_name, decided_at FROM dec0), "
-    "ld AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY detected_expression, context_text "
-    "ORDER BY decided_at DESC NULLS LAST, decision_id DESC) AS rn FROM dec) WHERE rn = 1)"
-)
+def _decisions_values() -> str:
+    from ledgerlink.plans.queries import DECISION_ROWS
+
+    vals = ", ".join(
+        f"({i}, {lit(e)}, {lit(c)}, {lit(a)}, {'NULL' if oid is None else oid}, {lit(on)}, TIMESTAMP '2025-01-02 {h:02d}:00:00')"
+        for i, e, c, a, oid, on, h in DECISION_ROWS
+    )
+    return (
+        f"dec0(decision_id, detected_expression, context_text, action, override_id, override_name, decided_at) AS (VALUES {vals}), "
+        "dec AS (SELECT CAST(decision_id AS BIGINT) AS decision_id, detected_expression, context_text, action, "
+        "CAST(override_id AS BIGINT) AS override_id, override_name, decided_at FROM dec0), "
+        "ld AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY detected_expression, context_text "
+        "ORDER BY decided_at DESC NULLS LAST, decision_id DESC) AS rn FROM dec) WHERE rn = 1)"
+    )
 
 
 def _reviews_cte(name: str = "rv", src: str = "jr") -> str:
@@ -519,7 +520,7 @@ def _oracle_sql() -> dict[str, str]:
         "GROUP BY 1, 2) t, LATERAL (SELECT r.canonical_institution, r.top1_score, r.top2_candidate, r.top2_score, r.normalization_method) "
         "ORDER BY detected_expression, context_text LIMIT 30"
     )
-    q["decisions_overlay"] = with_(*jf, DECISIONS_VALUES) + (
+    q["decisions_overlay"] = with_(*jf, _decisions_values()) + (
         "SELECT j.voucher_no, j.vendor AS detected_expression, "
         "CASE WHEN d.action = 'CHANGE_INSTITUTION' THEN d.override_name WHEN d.action = 'NOT_FINANCIAL_INSTITUTION' THEN NULL ELSE j.canonical_institution END AS canonical_institution, "
         "CASE WHEN d.action = 'CHANGE_INSTITUTION' THEN d.override_id WHEN d.action = 'NOT_FINANCIAL_INSTITUTION' THEN NULL ELSE j.institution_id END AS institution_id, "
@@ -527,8 +528,8 @@ def _oracle_sql() -> dict[str, str]:
         "CASE WHEN d.action IN ('APPROVE', 'CHANGE_INSTITUTION') THEN 'AUTO' WHEN d.action IS NOT NULL THEN d.action ELSE j.review_status END AS review_status, "
         "d.action IS NOT NULL AS user_confirmed FROM jr j LEFT JOIN ld d ON j.vendor = d.detected_expression AND j.context_text IS NOT DISTINCT FROM d.context_text"
     )
-    q["reviews_from_decisions"] = with_(*jf, DECISIONS_VALUES, _reviews_cte()) + "SELECT * FROM rv"
-    q["labels_from_decisions"] = with_(*jf, DECISIONS_VALUES, _reviews_cte()) + (
+    q["reviews_from_decisions"] = with_(*jf, _decisions_values(), _reviews_cte()) + "SELECT * FROM rv"
+    q["labels_from_decisions"] = with_(*jf, _decisions_values(), _reviews_cte()) + (
         "SELECT r.decision_id, d.detected_expression AS original_expression, d.context_text, max(r.model_prediction) AS model_prediction, "
         "max(r.user_decision) AS confirmed_label, count(*) AS n_reviews FROM rv r JOIN dec d ON r.decision_id = d.decision_id "
         "GROUP BY r.decision_id, d.detected_expression, d.context_text"
@@ -556,7 +557,7 @@ def _oracle_sql() -> dict[str, str]:
         "top2_candidate, review_status, reason FROM (SELECT DISTINCT vendor AS detected_expression, context_text, canonical_institution, "
         "normalization_method, top1_score, top2_candidate, review_status, reason FROM jr) ORDER BY ALL LIMIT 200"
     )
-    q["table_counts"] = with_(*jf, DECISIONS_VALUES, _reviews_cte()) + (
+    q["table_counts"] = with_(*jf, _decisions_values(), _reviews_cte()) + (
         "SELECT 'institution_master' AS table_name, count(*) AS n_rows FROM supplier "
         "UNION ALL SELECT 'institution_alias', count(*) FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) li "
         "JOIN part ON li.l_partkey = p_partkey "
@@ -582,7 +583,7 @@ def _oracle_sql() -> dict[str, str]:
     q["delete_run_keep_labels"] = with_(
         *jf, eval_cte(), fast_cte("SELECT vendor FROM ev", FUZZY_AUTO_THRESHOLD, "e"),
         "er0 AS (SELECT e.*, f.* EXCLUDE (vendor) FROM ev e LEFT JOIN efast f ON e.vendor = f.vendor)",
-        veto_cte("er0", "evetoed"), DECISIONS_VALUES, _reviews_cte("rv1", "jr"), _reviews_cte("rv2", "evetoed"),
+        veto_cte("er0", "evetoed"), _decisions_values(), _reviews_cte("rv1", "jr"), _reviews_cte("rv2", "evetoed"),
         "rv AS (SELECT *, CAST(1 AS BIGINT) AS run_id FROM rv1 UNION ALL SELECT *, CAST(2 AS BIGINT) AS run_id FROM rv2)",
     ) + (
         "SELECT decision_id, max(user_decision) AS confirmed_label, "

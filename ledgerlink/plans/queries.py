@@ -322,21 +322,24 @@ def q_delete_run_keep_labels(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- review
+# Decision table (fixed values): one row per action, a HOLD then a later APPROVE
+# on one key, one key that matches nothing, one null context.
+# (decision_id, detected_expression, context_text, action, override_id, override_name, decided_at hour)
+DECISION_ROWS = [
+    (1, "Nonghyup Bank", "Nonghyup Bank | 외화 송금 | 외화예금 | 보통예금", "CHANGE_INSTITUTION", 1, "NH농협은행", 9),
+    (2, "테스트전자", "테스트전자 | 제품 판매대금 수령 | 제품매출 | 보통예금", "NOT_FINANCIAL_INSTITUTION", None, None, 9),
+    (3, "NH투자", "NH투자 | 증권 매매 정산 | 단기매매증권 | 보통예금", "HOLD", None, None, 9),
+    (4, "NH투자", "NH투자 | 증권 매매 정산 | 단기매매증권 | 보통예금", "APPROVE", None, None, 10),
+    (5, "OO농협", "OO농협 | 농산물 구매대금 지급 | 원재료 | 외상매입금", "HOLD", None, None, 9),
+    (6, "없는거래처", "없는거래처 | 없음", "APPROVE", None, None, 9),
+    (7, "샘플물류", None, "NOT_FINANCIAL_INSTITUTION", None, None, 11),
+]
+
+
 def decisions(spark) -> DataFrame:
-    """Decision table (fixed values): one row per action, a HOLD then a later APPROVE
-    on one key, one key that matches nothing, one null context."""
     import datetime as dt
 
-    t = lambda h: dt.datetime(2025, 1, 2, h, 0, 0)
-    rows = [
-        (1, "Nonghyup Bank", "Nonghyup Bank | 외화 송금 | 외화예금 | 보통예금", "CHANGE_INSTITUTION", 1, "NH농협은행", t(9)),
-        (2, "테스트전자", "테스트전자 | 제품 판매대금 수령 | 제품매출 | 보통예금", "NOT_FINANCIAL_INSTITUTION", None, None, t(9)),
-        (3, "NH투자", "NH투자 | 증권 매매 정산 | 단기매매증권 | 보통예금", "HOLD", None, None, t(9)),
-        (4, "NH투자", "NH투자 | 증권 매매 정산 | 단기매매증권 | 보통예금", "APPROVE", None, None, t(10)),
-        (5, "OO농협", "OO농협 | 농산물 구매대금 지급 | 원재료 | 외상매입금", "HOLD", None, None, t(9)),
-        (6, "없는거래처", "없는거래처 | 없음", "APPROVE", None, None, t(9)),
-        (7, "샘플물류", None, "NOT_FINANCIAL_INSTITUTION", None, None, t(11)),
-    ]
+    rows = [(i, e, c, a, oid, on, dt.datetime(2025, 1, 2, h, 0, 0)) for i, e, c, a, oid, on, h in DECISION_ROWS]
     return spark.createDataFrame(rows, DECISION_SCHEMA)
 
 
