@@ -108,3 +108,16 @@ def test_positions_are_consecutive_in_partition_order(spark):
     rows = sorted((r.position, r.v) for r in ST.with_positions(df).collect())
     assert [p for p, _ in rows] == list(range(1000))
     assert [v for _, v in rows] == [3 * i for i in range(1000)]
+
+
+def test_load_run_prunes_partitions_and_pushes_status(spark, seed):
+    from ledgerlink.plans.resolve import resolve
+
+    root = tempfile.mkdtemp()
+    df = spark.createDataFrame([("V1", "신한")], "v string, vendor string")
+    rows = ST.to_result_rows(resolve(df, "vendor", *seed, use_embedding=False), seed[0], voucher_col="v")
+    ST.save_results(rows, root, 1)
+    ST.save_results(rows, root, 2)
+    plan = ST.load_run(spark, root, 2, status="AUTO")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(run_id" in plan and "(run_id" in plan and "= 2)" in plan
+    assert "EqualTo(review_status,AUTO)" in plan
