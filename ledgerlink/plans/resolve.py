@@ -61,17 +61,17 @@ def fast_path(vendors: DataFrame, vendor_col: str, lookup: DataFrame, threshold:
               small: bool | None = None, max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """R1 for distinct non-null vendors -> (vendor_col, res, _nkw).
 
-    ``_nkw`` is the negative-keyword list of the fuzzy top-1 institution (for the veto).
+    The exact/alias join runs on the vendor rows themselves (broadcast lookup);
+    fuzzy scoring runs once per distinct missed match key.  ``_nkw`` is the
+    negative-keyword list of the fuzzy top-1 institution (for the veto).
     """
     vk = vendors.where(F.col(vendor_col).isNotNull()).select(vendor_col, match_key(F.col(vendor_col)).alias("vkey"))
-    keys = vk.select("vkey").distinct()
-    ex = exact_alias(keys, lookup, "vkey", small, max_broadcast_rows)
-    misses = ex.where(F.col("match_source").isNull()).select("vkey")
+    ex = exact_alias(vk, lookup, "vkey", small, max_broadcast_rows)
+    misses = ex.where(F.col("match_source").isNull()).select("vkey").distinct()
     top = top2_pivot(fuzzy_topk(misses, lookup, 2, "vkey", max_broadcast_rows, small=small))
-    fast = ex.join(top, "vkey", "left").select(
-        "vkey", fast_record(threshold).alias("res"), F.col("t1.negative_keywords").alias("_nkw")
+    return ex.join(top, "vkey", "left").select(
+        vendor_col, fast_record(threshold).alias("res"), F.col("t1.negative_keywords").alias("_nkw")
     )
-    return vk.join(fast, "vkey").select(vendor_col, "res", "_nkw")
 
 
 def vector_candidates(unresolved: DataFrame, vendor_col: str, master: DataFrame, alias: DataFrame, encoder,
@@ -116,10 +116,10 @@ def resolve_vendors(
     # the exploded character table (rows nc, bytes kb) is the largest broadcast side
     small = stats["rows"] <= max_broadcast_rows and stats["nc"] <= max_broadcast_rows and stats["kb"] <= DEFAULT_BROADCAST_BYTES
     fast = fast_path(vendors, vendor_col, lookup, threshold, small, max_broadcast_rows)
-    fast = fast.select(F.col(vendor_col).alias("_fv"), "res", "_nkw")
-    vm = vendors.join(fast, F.col(vendor_col).eqNullSafe(F.col("_fv")), "left").select(
-        vendor_col, F.coalesce(F.col("res"), no_vendor_record()).alias("res"), "_nkw"
+    nulls = vendors.where(F.col(vendor_col).isNull()).select(
+        vendor_col, no_vendor_record().alias("res"), F.lit(None).cast("string").alias("_nkw")
     )
+    vm = fast.unionByName(nulls)
     cand_type = "struct<score:double,matched_text:string,canonical_name:string,institution_id:bigint,keywords:string,negative_keywords:string>"
     if not use_embedding:
         return vm.withColumn("v1", F.lit(None).cast(cand_type)).withColumn("v2", F.lit(None).cast(cand_type))
