@@ -195,8 +195,8 @@ def wratio_batch(a, b) -> np.ndarray:
     b = pd.Series(list(b) if not isinstance(b, pd.Series) else b, dtype=object).reset_index(drop=True)
     out = np.full(len(a), np.nan)
     valid = (a.notna() & b.notna()).to_numpy()
-    la = a.str.len().fillna(0).to_numpy(dtype=np.int64)
-    lb = b.str.len().fillna(0).to_numpy(dtype=np.int64)
+    la = np.fromiter((len(x) if isinstance(x, str) else 0 for x in a), dtype=np.int64, count=len(a))
+    lb = np.fromiter((len(x) if isinstance(x, str) else 0 for x in b), dtype=np.int64, count=len(b))
     empty = valid & ((la == 0) | (lb == 0))
     out[empty] = 0.0
     swap = la > lb
