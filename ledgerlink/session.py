@@ -35,9 +35,33 @@ def build_session(master: str | None = None, app: str = "ledgerlink", shuffle_pa
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the workers this package (once a Spark context), as ``--py-files`` would.
+
+    Worker functions are pickled by reference, so a worker must be able to
+    import the package also where the driver only has it on ``sys.path``.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_ledgerlink_shipped", False):
+        return
+    import zipfile
+
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="ledgerlink-py-"), "ledgerlink.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(root):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.join("ledgerlink", os.path.relpath(full, root)))
+    sc.addPyFile(path)
+    sc._ledgerlink_shipped = True
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
