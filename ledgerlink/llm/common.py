@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -110,44 +111,54 @@ class ChunkEncoder:
 
     A byte-level pre-tokenizer never joins a non-space character with the white
     space that follows it, so a text may be cut before each run of white space
-    and its chunks encoded one by one; repeated chunks come from a bounded
-    dictionary.  A text with any other white space than blank, tab and line
+    and the ids of its chunks put in a row; the first ``limit`` chunks that a
+    worker meets are remembered.  A text with any other white space than blank, tab and line
     ends goes to the library whole.
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 500_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        vocab = self.library.get_vocab()
+        self.width = np.zeros(max(vocab.values()) + 1, np.int64)  # bytes of an id: a byte-level token has a character for each
+        for token, i in vocab.items():
+            self.width[i] = len(token)
         self.limit = limit
         self.known: dict[str, bytes] = {}
 
-    def _bytes(self, ids) -> bytes:
-        import numpy as np
-
-        return np.asarray(ids, dtype="<u4").tobytes()
+    def _library(self, text: str) -> np.ndarray:
+        return np.asarray(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def _add(self, missing: list[str]) -> dict[str, bytes]:
+        """Ids of chunks: those of " word" form in one call, cut again by the bytes that
+        each id stands for; the others one by one."""
+        plain = [c for c in missing if c[0] == " " and len(c) > 1 and c[1] != " "]
+        out = {c: self._library(c).tobytes() for c in missing if not (c[0] == " " and len(c) > 1 and c[1] != " ")}
+        if plain:
+            ids = self._library("".join(plain))
+            ends = np.cumsum(self.width[ids])
+            cuts = np.searchsorted(ends, np.cumsum([len(c.encode()) for c in plain]), side="right").tolist()
+            raw, at = ids.tobytes(), 0
+            for c, cut in zip(plain, cuts, strict=True):
+                out[c], at = raw[4 * at : 4 * cut], cut
+        return out
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         if _OTHER_SPACE.search(text):
-            return self._bytes(self.library.encode(text, add_special_tokens=False).ids)
+            return self._library(text).tobytes()
         known, chunks = self.known, _CHUNK.findall(text)
-        missing = list({c for c in chunks if c not in known})
-        if not missing:
-            return b"".join(map(known.__getitem__, chunks))
-        new = {c: self._bytes(e.ids) for c, e in zip(missing, self.library.encode_batch_fast(missing, add_special_tokens=False), strict=True)}
-        if len(known) + len(new) > self.limit:
-            need = {c: known[c] for c in chunks if c in known}
-            known.clear()
-            known.update(need)
-        known.update(new)
-        out = b"".join(map(known.__getitem__, chunks))
-        for c in missing:
-            if len(c) > _LONG:
-                del known[c]
+        parts = list(map(known.get, chunks))
+        if None not in parts:
+            return b"".join(parts)
+        new = self._add(list({c for c, p in zip(chunks, parts, strict=True) if p is None}))
+        out = b"".join([new[c] if p is None else p for c, p in zip(chunks, parts, strict=True)])
+        if len(known) < self.limit:
+            known.update((c, p) for c, p in new.items() if len(c) <= _LONG)
         return out
 
 
