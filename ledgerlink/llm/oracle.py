@@ -1,3 +1,15 @@
 """DuckDB SQL of the operators' queries, for those that SQL can express."""
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_exact_dedup": r"""
+with t as (
+  select doc_id, length(coalesce(text, '')) as n,
+         sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) as h
+  from documents),
+r as (
+  select *, row_number() over (partition by h order by n desc, doc_id) as rn,
+         first_value(doc_id) over (partition by h order by n desc, doc_id) as keep_id,
+         count(*) over (partition by h) as group_size
+  from t)
+select doc_id, keep_id, group_size, rn = 1 as kept, h as text_sha256 from r""",
+}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlink.llm import dac, packing, prefix_counts
+from ledgerlink.llm import dac, exact_dedup, packing, prefix_counts
 from ledgerlink.session import read_table
 
 
@@ -14,6 +14,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
 
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(read_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
 def op7_directly_addressable_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.read(dac.write(read_table(spark, sf_dir, "documents"))).select("doc_id", "start", "n_tokens", "ids_crc32")
 
@@ -22,4 +26,4 @@ def op8_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_counts.prefix_counts(read_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_tokens", "over_limit", "cut")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_best_fit_packing, op7_directly_addressable_codes, op8_prefix_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_best_fit_packing, op4_exact_dedup, op7_directly_addressable_codes, op8_prefix_token_counts)}
