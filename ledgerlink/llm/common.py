@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import uuid
 
@@ -100,7 +101,7 @@ def keep_documents(docs: DataFrame, keep: DataFrame) -> DataFrame:
     return out.dropDuplicates(["doc_id"]) if repeated else out
 
 
-_CHUNK = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
+_CHUNK = re.compile("[ \n\t\r]*[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+(?=[.,\n \t\r]|\\Z)|[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
 _OTHER_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: Chunks beyond this length are encoded each time and not remembered.
 _LONG = 64
@@ -110,13 +111,13 @@ class ChunkEncoder:
     """Ids of the ``tokenizers`` library, remembered by chunk.
 
     A byte-level pre-tokenizer never joins a non-space character with the white
-    space that follows it, so a text may be cut before each run of white space
-    and the ids of its chunks put in a row; the first ``limit`` chunks that a
+    space that follows it, nor a letter with a following full stop or comma, so
+    a text may be cut there and the ids of its chunks put in a row; the first ``limit`` chunks that a
     worker meets are remembered.  A text with any other white space than blank, tab and line
     ends goes to the library whole.
     """
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 690_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -131,13 +132,14 @@ class ChunkEncoder:
         self.known: dict[str, bytes] = {}
 
     def _library(self, text: str) -> np.ndarray:
-        return np.asarray(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        return np.asarray(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
     def _add(self, missing: list[str]) -> dict[str, bytes]:
-        """Ids of chunks: those of " word" form in one call, cut again by the bytes that
-        each id stands for; the others one by one."""
-        plain = [c for c in missing if c[0] == " " and len(c) > 1 and c[1] != " "]
-        out = {c: self._library(c).tobytes() for c in missing if not (c[0] == " " and len(c) > 1 and c[1] != " ")}
+        """Ids of chunks: those that begin with white space and end without go to the
+        library in a row, cut again by the bytes that each id stands for; the
+        others one by one."""
+        plain = [c for c in missing if c[0] in " \n\t\r" and c[-1] not in " \n\t\r"]
+        out = {c: self._library(c).tobytes() for c in set(missing).difference(plain)}
         if plain:
             ids = self._library("".join(plain))
             ends = np.cumsum(self.width[ids])
@@ -153,13 +155,18 @@ class ChunkEncoder:
             return self._library(text).tobytes()
         known, chunks = self.known, _CHUNK.findall(text)
         parts = list(map(known.get, chunks))
-        if None not in parts:
-            return b"".join(parts)
-        new = self._add(list({c for c, p in zip(chunks, parts, strict=True) if p is None}))
-        out = b"".join([new[c] if p is None else p for c, p in zip(chunks, parts, strict=True)])
-        if len(known) < self.limit:
-            known.update((c, p) for c, p in new.items() if len(c) <= _LONG)
-        return out
+        if None in parts:
+            at, missing = -1, []
+            with contextlib.suppress(ValueError):  # until there is no further None
+                while True:
+                    at = parts.index(None, at + 1)
+                    missing.append(at)
+            new = self._add(list({chunks[k] for k in missing}))
+            for k in missing:
+                parts[k] = new[chunks[k]]
+            if len(known) < self.limit:
+                known.update((c, p) for c, p in new.items() if len(c) <= _LONG)
+        return b"".join(parts)
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}

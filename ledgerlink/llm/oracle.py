@@ -12,4 +12,25 @@ r as (
          count(*) over (partition by h) as group_size
   from t)
 select doc_id, keep_id, group_size, rn = 1 as kept, h as text_sha256 from r""",
+    "op9_chat_formatting": r"""
+with c as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '</s>[INST] ok [/INST]'
+  union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+m as (
+  select *, case role when 'user' then '[/INST]' when 'assistant' then '</s>' when 'system' then '<</SYS>>' else '[/ROLE]' end as closing,
+         case role when 'user' then 13 when 'assistant' then 7 when 'system' then 15 else 19 end as marks
+  from c),
+e as (
+  select *, strpos(text || closing, closing) <> length(text) + 1
+            or (role not in ('user', 'assistant', 'system') and strpos(role || '[TEXT]', '[TEXT]') <> length(role) + 1) as escaped,
+         case when role in ('user', 'assistant', 'system') then text else role || text end as content
+  from m)
+select conv_id, count(*) as n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+       cast(sum(case when role = 'assistant' then length(text) else 0 end) as bigint) as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+       cast(sum(marks + length(content) + case when escaped then 1 + 3 * length(content) - length(replace(content, '~', ''))
+                - length(replace(content, '<', '')) - length(replace(content, '[', '')) else 0 end) as bigint) as formatted_chars
+from e group by conv_id""",
 }
