@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlink.llm import chat, dac, exact_dedup, packing, prefix_counts, simhash
+from ledgerlink.llm import chat, dac, exact_dedup, packing, prefix_counts, prefix_hash, simhash
 from ledgerlink.session import read_table
 
 
+def op2_prefix_hash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_hash.fingerprints(read_table(spark, sf_dir, "documents"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
@@ -40,4 +44,4 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_best_fit_packing, op4_exact_dedup, op7_directly_addressable_codes, op8_prefix_token_counts, op9_chat_formatting, op10_simhash_near_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_prefix_hash_fingerprints, op3_best_fit_packing, op4_exact_dedup, op7_directly_addressable_codes, op8_prefix_token_counts, op9_chat_formatting, op10_simhash_near_dedup)}
