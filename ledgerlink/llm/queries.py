@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlink.llm import chat, dac, exact_dedup, packing, prefix_counts, prefix_hash, simhash, toxicity
+from ledgerlink.llm import chat, dac, exact_dedup, maxent, packing, prefix_counts, prefix_hash, simhash, toxicity
 from ledgerlink.llm.common import fold
 from ledgerlink.session import read_table
 
 
+def op1_maxent_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score(read_table(spark, sf_dir, "documents"), fold() == 1)
+
+
 def op2_prefix_hash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_hash.fingerprints(read_table(spark, sf_dir, "documents"))
 
@@ -51,4 +55,4 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_prefix_hash_fingerprints, op3_best_fit_packing, op4_exact_dedup, op6_toxicity, op7_directly_addressable_codes, op8_prefix_token_counts, op9_chat_formatting, op10_simhash_near_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_maxent_lm_scoring, op2_prefix_hash_fingerprints, op3_best_fit_packing, op4_exact_dedup, op6_toxicity, op7_directly_addressable_codes, op8_prefix_token_counts, op9_chat_formatting, op10_simhash_near_dedup)}
