@@ -2,23 +2,52 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that the stage before kept
 and returns a DataFrame; all but the last return the columns of ``docs``.
+Of rows that repeat a doc_id the deduplicating stages keep one.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerlink.llm.common import stored
+from ledgerlink.llm.common import fold, keep_documents, stored
+from ledgerlink.llm.exact_dedup import exact_groups
+from ledgerlink.llm.mixing import mix
 from ledgerlink.llm.packing import pack
+from ledgerlink.llm.simhash import near_duplicates
+from ledgerlink.llm.toxicity import accepted, train_model
 from ledgerlink.session import read_table
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier flags, at their language's threshold, go."""
+    model, cuts = train_model(docs, read_table(spark, sf_dir, "labels"), fold("_id") != 0)
+    return accepted(docs, model, cuts)
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts that are equal but for white space, the longest original stays."""
+    return keep_documents(docs, exact_groups(docs).filter("kept").select("doc_id").distinct())
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash component stays (3-word shingles, 3 bits)."""
+    groups = near_duplicates(docs, shingle=3, max_bits=3)
+    return keep_documents(docs, groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct())
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Three quarters of the tokens, shared out evenly over domains, languages and
+    sources as far as these have them; each document at most once."""
+    return keep_documents(docs, mix(docs, share=0.75, max_epochs=1.0).select("doc_id").distinct())
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Best-fit packing of the tokenised documents into sequences of 2048 ids."""
     return pack(docs)
 
 
-STAGES = [("best-fit packing", packing)]
+STAGES = [("toxicity", toxicity), ("exact dedup", exact_dedup), ("SimHash near-dedup", near_dedup), ("mixing to weights", mixing), ("best-fit packing", packing)]
 
 #: A trained classifier decides the first stage, which SQL can't express.
 ORACLE_SQL = None

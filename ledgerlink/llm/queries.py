@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlink.llm import chat, dac, exact_dedup, maxent, packing, prefix_counts, prefix_hash, simhash, toxicity
+from ledgerlink.llm import chat, dac, exact_dedup, maxent, mixing, packing, prefix_counts, prefix_hash, simhash, toxicity
 from ledgerlink.llm.common import fold
 from ledgerlink.session import read_table
 
@@ -28,6 +28,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read_table(spark, sf_dir, "documents"), share=0.75, max_epochs=2.0)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
     return scored.select("doc_id", (fold() == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "threshold", "flagged")
@@ -55,4 +59,4 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_maxent_lm_scoring, op2_prefix_hash_fingerprints, op3_best_fit_packing, op4_exact_dedup, op6_toxicity, op7_directly_addressable_codes, op8_prefix_token_counts, op9_chat_formatting, op10_simhash_near_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_maxent_lm_scoring, op2_prefix_hash_fingerprints, op3_best_fit_packing, op4_exact_dedup, op5_source_mixing, op6_toxicity, op7_directly_addressable_codes, op8_prefix_token_counts, op9_chat_formatting, op10_simhash_near_dedup)}

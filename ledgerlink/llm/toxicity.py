@@ -22,6 +22,7 @@ columns are ignored.
 from __future__ import annotations
 
 import string
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -309,22 +310,25 @@ class Scorer:
 _SCORERS: dict[str, Scorer] = {}
 
 
+def _scorer(shared, name: str) -> Scorer | None:
+    """One scorer a worker process and model."""
+    if shared.value is None:
+        return None
+    if name not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[name] = Scorer(shared.value)
+    return _SCORERS[name]
+
+
 def score(docs: DataFrame, model: Model | None, cuts: dict) -> DataFrame:
     """doc_id, score, threshold (of the row's language), flagged.  A narrow pass; the
     model (8 MB, whatever the data) is broadcast."""
-    import uuid
-
     shared, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        scorer = None
-        if shared.value is not None:
-            if name not in _SCORERS:
-                _SCORERS.clear()
-                _SCORERS[name] = Scorer(shared.value)
-            scorer = _SCORERS[name]
+        scorer = _scorer(shared, name)
         for b in batches:
             scores = [scorer.score(t.as_py()) if scorer else 0.25 for t in b.column(1)]
             cut = [cuts.get(x, cuts[None]) for x in b.column(2).to_pylist()]
@@ -333,6 +337,22 @@ def score(docs: DataFrame, model: Model | None, cuts: dict) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), text_of().alias("text"), F.col("lang").cast("string").alias("lang")).mapInArrow(run, "doc_id long, score double, threshold double, flagged boolean")
 
 
+def accepted(docs: DataFrame, model: Model | None, cuts: dict) -> DataFrame:
+    """The rows of ``docs``, all columns, that aren't flagged; a narrow pass."""
+    shared, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
+    text, lang = docs.columns.index("text"), docs.columns.index("lang")
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        scorer = _scorer(shared, name)
+        for b in batches:
+            keep = [scorer is None or scorer.score(t.as_py() or "") < cuts.get(x, cuts[None]) for t, x in zip(b.column(text), b.column(lang).to_pylist(), strict=True)]
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, train: F.Column | None = None, max_docs: int = 6000) -> DataFrame:
     """Train on the labels of rows whose id satisfies ``train`` (an expression over
     ``_id``; default: crc32 of the id, modulo 5, isn't 0) and score all of ``docs``."""
