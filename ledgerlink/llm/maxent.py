@@ -49,7 +49,7 @@ WORD_UNITS, ENDING_UNITS = 2048, 512
 UNITS = WORD_UNITS + ENDING_UNITS
 START = UNITS
 TABLE = 1 << 14
-ROUNDS, BATCH, RATE = 2, 4096, 0.3
+ROUNDS, BATCH, RATE = 2, 1024, 2.0
 NEIGHBOURS = 48
 BLOCKS = 64
 END = b""  # no word is empty
@@ -278,7 +278,7 @@ def _softmax(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return z
 
 
-def _texts(batches: Iterator, column: int, size: int = 16 * BATCH) -> Iterator:
+def _texts(batches: Iterator, column: int, size: int = 64 * BATCH) -> Iterator:
     """Runs of whole texts of about ``size`` tokens: (batch rows, units, starts).  A text
     beyond that is a run of its own."""
     for b in batches:
@@ -297,19 +297,28 @@ def gradient_steps(weights: np.ndarray, slow: np.ndarray, units: np.ndarray, sta
     """Mini-batch gradient steps over a run of tokens, in place.  ``slow`` sums squared
     gradients of table rows (Adagrad, a rate for each row)."""
     rows, y = feature_rows(units, starts), classes[units]
+
+    def step(hit, grads: np.ndarray) -> None:
+        slow[hit] += np.einsum("ij,ij->i", grads, grads)
+        grads *= (-rate / (np.sqrt(slow[hit]) + 1e-8))[:, None]
+        weights[hit] += grads
+
     for a in range(0, len(y), BATCH):
         r, t = rows[:, a : a + BATCH], y[a : a + BATCH]
         g = _softmax(weights, r)
         g[np.arange(len(t)), t] -= 1
-        g /= len(t)
-        flat = r.ravel()
-        order = np.argsort(flat, kind="stable")
-        ranked = flat[order]
-        cuts = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-        hit = np.concatenate([[0], ranked[cuts]])
-        grads = np.concatenate([g.sum(axis=0, keepdims=True), np.add.reduceat(g[order % len(t)], cuts)])
-        slow[hit] += (grads * grads).sum(axis=1)
-        weights[hit] -= rate * grads / (np.sqrt(slow[hit])[:, None] + 1e-8)
+        g *= np.float32(1 / len(t))
+        step(np.zeros(1, np.int64), g.sum(axis=0, keepdims=True))
+        flat = g.ravel()
+        for f in r.astype(np.uint16):  # 16 bits sort by radix
+            order = f.argsort(kind="stable")
+            ranked = f[order]
+            new = np.concatenate([[True], ranked[1:] != ranked[:-1]])
+            place = np.empty(len(f), np.int64)
+            place[order] = (np.cumsum(new) - 1) * CLASSES
+            hit = ranked[new].astype(np.int64)
+            sums = np.bincount((place[:, None] + np.arange(CLASSES)).ravel(), weights=flat, minlength=len(hit) * CLASSES)
+            step(hit, sums.reshape(len(hit), CLASSES).astype(np.float32))
 
 
 def train(encoded: DataFrame, classes: np.ndarray, bias: np.ndarray, rounds: int = ROUNDS, rate: float = RATE) -> np.ndarray:
