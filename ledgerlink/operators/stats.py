@@ -80,19 +80,23 @@ PREVIEW_COLUMNS = [
 ]
 
 
-def preview(result: DataFrame, limit: int = 200, columns: list[str] | None = None) -> DataFrame:
-    """Distinct result preview (the listed columns that exist), first ``limit`` by those columns."""
+def preview(result: DataFrame, limit: int | None = None, columns: list[str] | None = None) -> DataFrame:
+    """Distinct result preview (the listed columns that exist), by those columns; a page of
+    ``limit`` rows if one is asked for."""
     cols = [c for c in (columns or PREVIEW_COLUMNS) if c in result.columns]
-    return result.select(*cols).distinct().orderBy(*cols).limit(limit)
+    out = result.select(*cols).distinct().orderBy(*cols)
+    return out.limit(limit) if limit else out
 
 
-def head(df: DataFrame, columns: list[str], n: int = 20) -> DataFrame:
-    """Mapped-column preview: the first ``n`` rows of the mapped columns."""
-    return df.select(*[c for c in columns if c in df.columns]).limit(n)
+def head(df: DataFrame, columns: list[str], n: int | None = None) -> DataFrame:
+    """Mapped columns that exist; a page of any ``n`` rows if one is asked for (rows have no order)."""
+    out = df.select(*[c for c in columns if c in df.columns])
+    return out.limit(n) if n else out
 
 
 def table_counts(tables: dict[str, DataFrame], caps: dict[str, int] | None = None) -> DataFrame:
-    """Row count of each named table in one frame (``caps`` bound a count, e.g. runs at 1000)."""
+    """Row count of each named table in one frame.  A table named in ``caps`` is counted up
+    to that number only ("at least"), for callers that show no more."""
     caps = caps or {}
     out = None
     for name, df in tables.items():
@@ -102,6 +106,7 @@ def table_counts(tables: dict[str, DataFrame], caps: dict[str, int] | None = Non
     return out
 
 
-def recent(df: DataFrame, time_col: str, id_col: str, n: int = 20) -> DataFrame:
-    """Newest ``n`` rows (time desc, id desc): run, performance-log and label listings."""
-    return df.orderBy(F.col(time_col).desc_nulls_last(), F.col(id_col).desc()).limit(n)
+def recent(df: DataFrame, time_col: str, id_col: str, n: int | None = None) -> DataFrame:
+    """Rows by time desc, id desc (run, performance-log and label listings); the newest ``n`` if asked for."""
+    out = df.orderBy(F.col(time_col).desc_nulls_last(), F.col(id_col).desc())
+    return out.limit(n) if n else out

@@ -354,12 +354,13 @@ def _completeness_ctes() -> list[str]:
     ]
 
 
-def _decisions_values() -> str:
+def _decisions_values(rows=None) -> str:
+    """dec: all decisions; ld: the latest of each (expression, context)."""
     from ledgerlink.plans.queries import DECISION_ROWS
 
     vals = ", ".join(
         f"({i}, {lit(e)}, {lit(c)}, {lit(a)}, {'NULL' if oid is None else oid}, {lit(on)}, TIMESTAMP '2025-01-02 {h:02d}:00:00')"
-        for i, e, c, a, oid, on, h in DECISION_ROWS
+        for i, e, c, a, oid, on, h in rows or DECISION_ROWS
     )
     return (
         f"dec0(decision_id, detected_expression, context_text, action, override_id, override_name, decided_at) AS (VALUES {vals}), "
@@ -370,15 +371,56 @@ def _decisions_values() -> str:
     )
 
 
-def _reviews_cte(name: str = "rv", src: str = "jr") -> str:
+def _any_context_sql(src: str = "jr") -> str:
+    """oc: rows of ``src`` with the latest decision whose context is theirs or null."""
     return (
-        f"{name} AS (SELECT d.decision_id, j.voucher_no AS original_row_id, j.canonical_institution AS model_prediction, "
+        f"oc AS (SELECT * FROM (SELECT j.*, d.action, d.override_id, d.override_name, row_number() OVER (PARTITION BY j.rid "
+        f"ORDER BY d.decided_at DESC NULLS LAST, d.decision_id DESC) AS rn FROM (SELECT *, row_number() OVER () AS rid FROM {src}) j LEFT JOIN dec d ON j.vendor = d.detected_expression "
+        "AND (d.context_text IS NULL OR d.context_text = j.context_text)) WHERE rn = 1)"
+    )
+
+
+OVERLAY = (
+    "CASE WHEN action = 'CHANGE_INSTITUTION' THEN override_name WHEN action = 'NOT_FINANCIAL_INSTITUTION' THEN NULL ELSE canonical_institution END AS canonical_institution, "
+    "CASE WHEN action = 'CHANGE_INSTITUTION' THEN override_id WHEN action = 'NOT_FINANCIAL_INSTITUTION' THEN NULL ELSE institution_id END AS institution_id, "
+    "CASE WHEN action IS NOT NULL THEN 'HUMAN' ELSE normalization_method END AS normalization_method, "
+    "CASE WHEN action IN ('APPROVE', 'CHANGE_INSTITUTION') THEN 'AUTO' WHEN action IS NOT NULL THEN action ELSE review_status END AS review_status, "
+    "action IS NOT NULL AS user_confirmed"
+)
+
+
+def _reviews_cte(name: str = "rv", src: str = "jr", first: str = "0") -> str:
+    """A review for every decision and row it reaches, numbered by (decision, row) after ``first``."""
+    return (
+        f"{name} AS (SELECT {first} + row_number() OVER (ORDER BY d.decision_id, j.voucher_no) AS review_id, d.decision_id, j.voucher_no AS original_row_id, "
+        "j.canonical_institution AS model_prediction, "
         "CASE WHEN d.action = 'APPROVE' THEN j.canonical_institution WHEN d.action = 'CHANGE_INSTITUTION' THEN d.override_name ELSE d.action END AS user_decision, "
-        f"d.action AS review_action FROM {src} j JOIN ld d ON j.vendor = d.detected_expression "
+        f"d.action AS review_action FROM {src} j JOIN dec d ON j.vendor = d.detected_expression "
         "AND (d.context_text IS NULL OR j.context_text IS NOT DISTINCT FROM d.context_text))"
     )
 
 
+def _two_runs() -> list[str]:
+    """jr (run 1), evetoed (run 2) and their reviews rv1, rv2."""
+    return [
+        *_journal_fast(), eval_cte(), fast_cte("SELECT vendor FROM ev", FUZZY_AUTO_THRESHOLD, "e"),
+        "er0 AS (SELECT e.*, f.* EXCLUDE (vendor) FROM ev e LEFT JOIN efast f ON e.vendor = f.vendor)",
+        veto_cte("er0", "evetoed"), _decisions_values(), _reviews_cte("rv1", "jr"),
+        _reviews_cte("rv2", "evetoed", "(SELECT coalesce(max(review_id), 0) FROM rv1)"),
+    ]
+
+
+def _result_table() -> list[str]:
+    """rt: the 15 stored columns of both runs."""
+    cols = (
+        "voucher_no AS original_row_id, vendor AS detected_expression, normalized_expression, canonical_institution, r.institution_id, m.institution_type, "
+        "normalization_method, round(top1_score, 4) AS top1_score, top2_candidate, round(top2_score, 4) AS top2_score, round(score_margin, 4) AS score_margin, "
+        "review_status, context_text, reason, FALSE AS user_confirmed"
+    )
+    return [*_two_runs(), "rt AS (" + " UNION ALL ".join(
+        f"SELECT {cols}, CAST({n} AS BIGINT) AS run_id FROM {src} r LEFT JOIN master m ON r.institution_id = m.institution_id" for n, src in ((1, "jr"), (2, "evetoed"))) + ")"]
+
+
 def _count_if_to_filter(sql: str) -> str:
     """count_if(x) -> count(*) FILTER (WHERE x): same value, BIGINT like Spark's count."""
     out, i, key = [], 0, "count_if("
@@ -518,7 +560,7 @@ def _oracle_sql() -> dict[str, str]:
         "arg_min(struct_pack(canonical_institution, top1_score, top2_candidate, top2_score, normalization_method), "
         "struct_pack(k1 := coalesce(-top1_score, 'inf'::DOUBLE), k2 := reason)) AS r FROM jr WHERE review_status = 'NEEDS_REVIEW' "
         "GROUP BY 1, 2) t, LATERAL (SELECT r.canonical_institution, r.top1_score, r.top2_candidate, r.top2_score, r.normalization_method) "
-        "ORDER BY detected_expression, context_text LIMIT 30"
+        "ORDER BY detected_expression, context_text"
     )
     q["decisions_overlay"] = with_(*jf, _decisions_values()) + (
         "SELECT j.voucher_no, j.vendor AS detected_expression, "
@@ -531,7 +573,7 @@ def _oracle_sql() -> dict[str, str]:
     q["reviews_from_decisions"] = with_(*jf, _decisions_values(), _reviews_cte()) + "SELECT * FROM rv"
     q["labels_from_decisions"] = with_(*jf, _decisions_values(), _reviews_cte()) + (
         "SELECT r.decision_id, d.detected_expression AS original_expression, d.context_text, max(r.model_prediction) AS model_prediction, "
-        "max(r.user_decision) AS confirmed_label, count(*) AS n_reviews FROM rv r JOIN dec d ON r.decision_id = d.decision_id "
+        "max(r.user_decision) AS confirmed_label, count(*) AS n_reviews, max(r.review_id) AS source_review_id FROM rv r JOIN dec d ON r.decision_id = d.decision_id "
         "GROUP BY r.decision_id, d.detected_expression, d.context_text"
     )
     rr = _eval_result("Model4_ContextRerank")[:-1] + [
@@ -555,7 +597,7 @@ def _oracle_sql() -> dict[str, str]:
     q["result_preview"] = with_(*jf) + (
         "SELECT detected_expression, context_text, canonical_institution, normalization_method, round(top1_score, 6) AS top1_score, "
         "top2_candidate, review_status, reason FROM (SELECT DISTINCT vendor AS detected_expression, context_text, canonical_institution, "
-        "normalization_method, top1_score, top2_candidate, review_status, reason FROM jr) ORDER BY ALL LIMIT 200"
+        "normalization_method, top1_score, top2_candidate, review_status, reason FROM jr)"
     )
     q["table_counts"] = with_(*jf, _decisions_values(), _reviews_cte()) + (
         "SELECT 'institution_master' AS table_name, count(*) AS n_rows FROM supplier "
@@ -580,15 +622,56 @@ def _oracle_sql() -> dict[str, str]:
         "SELECT *, CAST(2 AS BIGINT) AS run_id FROM run2 UNION ALL "
         "SELECT *, CAST(1 AS BIGINT) AS run_id FROM run2 WHERE journal_detected"
     )
-    q["delete_run_keep_labels"] = with_(
-        *jf, eval_cte(), fast_cte("SELECT vendor FROM ev", FUZZY_AUTO_THRESHOLD, "e"),
-        "er0 AS (SELECT e.*, f.* EXCLUDE (vendor) FROM ev e LEFT JOIN efast f ON e.vendor = f.vendor)",
-        veto_cte("er0", "evetoed"), _decisions_values(), _reviews_cte("rv1", "jr"), _reviews_cte("rv2", "evetoed"),
-        "rv AS (SELECT *, CAST(1 AS BIGINT) AS run_id FROM rv1 UNION ALL SELECT *, CAST(2 AS BIGINT) AS run_id FROM rv2)",
+    q["delete_run_keep_labels"] = with_(*_two_runs()) + (
+        "SELECT decision_id, max(user_decision) AS confirmed_label, CAST(NULL AS BIGINT) AS source_review_id FROM rv1 GROUP BY decision_id UNION ALL "
+        "SELECT decision_id, max(user_decision), max(review_id) FROM rv2 GROUP BY decision_id"
+    )
+    from ledgerlink.plans.queries import ANY_CONTEXT_ROWS
+
+    anyc = _decisions_values(ANY_CONTEXT_ROWS)
+    q["decisions_any_context"] = with_(*jf, anyc, _any_context_sql()) + f"SELECT voucher_no, vendor AS detected_expression, {OVERLAY} FROM oc"
+    rt = _result_table()
+    q["result_rows"] = with_(*rt) + "SELECT * EXCLUDE (run_id) FROM rt WHERE run_id = 1"
+    q["load_run_status"] = with_(*rt) + (
+        "SELECT original_row_id, detected_expression, institution_type, top1_score, top2_score, review_status FROM rt WHERE run_id = 2 AND review_status = 'NEEDS_REVIEW'"
+    )
+    q["stored_review"] = with_(*jf, anyc, _any_context_sql()) + (
+        f"SELECT o.voucher_no AS original_row_id, m.institution_type, round(o.top1_score, 4) AS top1_score, {OVERLAY.replace('ELSE institution_id', 'ELSE o.institution_id')} "
+        "FROM oc o LEFT JOIN master m ON o.institution_id = m.institution_id"
+    )
+    q["matching_results"] = with_(*rt, anyc.replace("dec0(", "kd0(").replace("FROM dec0", "FROM kd0").replace("dec AS", "kd AS").replace("FROM dec)", "FROM kd)").replace("ld AS", "kl AS")) + (
+        "SELECT run_id, original_row_id FROM rt WHERE EXISTS (SELECT 1 FROM kd WHERE kd.detected_expression = rt.detected_expression "
+        "AND (kd.context_text IS NULL OR kd.context_text = rt.context_text))"
+    )
+    q["drop_run_tables"] = with_(*rt) + (
+        "SELECT 'normalization_results' AS table_name, count(*) AS n_rows FROM rt WHERE run_id = 2 "
+        "UNION ALL SELECT 'human_reviews', count(*) FROM rv2 "
+        "UNION ALL SELECT 'feedback_labels', (SELECT count(DISTINCT decision_id) FROM rv1) + (SELECT count(DISTINCT decision_id) FROM rv2) "
+        "UNION ALL SELECT 'linked_labels', count(DISTINCT decision_id) FROM rv2 "
+        "UNION ALL SELECT 'deleted_results', count(*) FROM rt WHERE run_id = 1"
+    )
+    q["add_aliases"] = with_(
+        supplier_master_cte(), "mx AS (SELECT coalesce(max(alias_id), 0) AS mx FROM alias)",
+        "fresh AS (SELECT CAST(p_partkey % 50 AS BIGINT) AS institution_id, ' ' || p_name AS alias_text FROM part)",
     ) + (
-        "SELECT decision_id, max(user_decision) AS confirmed_label, "
-        "CASE WHEN run_id = 1 THEN NULL ELSE decision_id * 10 + run_id END AS source_review_id FROM rv GROUP BY decision_id, run_id"
-    )
+        "SELECT alias_id, institution_id, alias_text, upper(trim(alias_text)) AS normalized_alias, alias_type, active FROM alias UNION ALL "
+        "SELECT mx.mx + row_number() OVER (ORDER BY f.institution_id, f.alias_text), f.institution_id, f.alias_text, upper(trim(f.alias_text)), 'ALIAS', TRUE FROM fresh f, mx"
+    )
+    q["set_active"] = with_(supplier_master_cte()) + (
+        "SELECT institution_id, canonical_name, active AND institution_id NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 5000) AS active FROM master"
+    )
+    q["distinct_count"] = with_(*jf) + "SELECT count(DISTINCT canonical_institution) + max(CASE WHEN canonical_institution IS NULL THEN 1 ELSE 0 END) AS n_distinct FROM jr"
+    q["performance_row"] = q["run_stats"].replace("SELECT count(*) AS total_rows", "SELECT CAST(3 AS BIGINT) AS run_id, CAST(1.5 AS DECIMAL(12,3)) AS processing_seconds, count(*) AS total_rows").replace(
+        "count(DISTINCT (vendor, context_text)) AS distinct_pairs, ", "")
+    q["candidate_rows"] = q["fuzzy_top2"].replace(
+        "SELECT vkey, CAST(rank AS INTEGER) AS rank, key, institution_id, round(score, 6) AS score FROM rk",
+        "SELECT vkey AS detected_expression, CAST(rank AS INTEGER) AS candidate_rank, institution_id, ord_name AS candidate_name, round(score, 4) AS fuzzy_score FROM rk")
+    q["report_manual_review"] = with_(*jf) + "SELECT voucher_no, vendor, normalization_method, reason FROM jr WHERE review_status = 'NEEDS_REVIEW'"
+    q["report_completeness"] = with_(*comp) + (
+        "SELECT CASE status WHEN 'MATCHED' THEN 'both' WHEN 'ADDITIONAL_CANDIDATE' THEN 'additional_candidates' ELSE 'company_only' END AS table_name, canonical_name FROM cmp"
+    )
+    q["evaluate_variants"] = " UNION ALL ".join(
+        f"SELECT {lit(v)} AS variant, * FROM ({_eval_sql(v)})" for v in ("Baseline1_Exact_Alias", "Baseline2_Fuzzy", "Model3_Embedding", "Model4_ContextRerank"))
     q["evaluate_baseline1"] = _eval_sql("Baseline1_Exact_Alias")
     q["evaluate_baseline2"] = _eval_sql("Baseline2_Fuzzy")
     q["evaluate_model3"] = _eval_sql("Model3_Embedding")

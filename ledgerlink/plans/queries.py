@@ -16,7 +16,7 @@ from ledgerlink.operators import completeness as C
 from ledgerlink.operators import evaluate as E
 from ledgerlink.operators import review as RV
 from ledgerlink.operators import stats as S
-from ledgerlink.operators.lookup import build_lookup, master_with_aliases, seed_if_absent, add_institutions
+from ledgerlink.operators.lookup import add_aliases, add_institutions, build_lookup, master_with_aliases, seed_if_absent, set_active
 from ledgerlink.operators.match import blocked_pairs, fuzzy_topk
 from ledgerlink.operators.vector import vector_topk
 from ledgerlink.functions.encoder import PrecomputedEncoder
@@ -299,26 +299,27 @@ def q_replace_completeness(spark, sf_dir):
 
 
 def q_delete_run_keep_labels(spark, sf_dir):
-    """Run 1 = the journal, run 2 = the labelled journal, both with review rows from the
-    decisions (review id = decision id * 10 + run id) and one label per (decision, run).
+    """Run 1 = the journal, run 2 = the labelled journal, both with the review rows of the
+    decisions (run 2's ids follow run 1's) and one label per (decision, run).
     Deleting run 1 removes its reviews; its labels stay with the review link cleared."""
     from ledgerlink.sources.store import clear_label_links
 
+    run1, run2 = _two_runs_reviews(spark, sf_dir)
+    labels = RV.labels_from_decisions(run1, decisions(spark)).unionByName(RV.labels_from_decisions(run2, decisions(spark)))
+    return clear_label_links(labels, run1.select("review_id")).select("decision_id", "confirmed_label", "source_review_id")
+
+
+def _two_runs_reviews(spark, sf_dir):
     d = decisions(spark)
+    run1 = RV.reviews_from_decisions(_stored_rows(spark, sf_dir), d)
+    first = (run1.agg(F.max("review_id")).first()[0] or 0) + 1
+    return run1, RV.reviews_from_decisions(_labelled_rows(spark, sf_dir), d, first_id=first)
+
+
+def _labelled_rows(spark, sf_dir):
     m, a = seed_master(spark)
-    run2 = resolve(evaluation_journal(spark, sf_dir), "vendor", m, a, use_embedding=False, context_col="context_text")
-    rv = (
-        RV.reviews_from_decisions(_stored_rows(spark, sf_dir), d, "original_row_id", "context_text", True)
-        .withColumn("run_id", F.lit(1).cast("long"))
-        .unionByName(
-            RV.reviews_from_decisions(run2.withColumnRenamed("voucher_no", "original_row_id"), d, "original_row_id",
-                                      "context_text", True).withColumn("run_id", F.lit(2).cast("long"))
-        )
-        .withColumn("review_id", F.col("decision_id") * 10 + F.col("run_id"))
-    )
-    labels = rv.groupBy("decision_id", "review_id").agg(F.max("user_decision").alias("confirmed_label")).select(
-        "decision_id", "confirmed_label", F.col("review_id").alias("source_review_id"))
-    return clear_label_links(labels, rv.where("run_id = 1").select("review_id").distinct())
+    r = resolve(evaluation_journal(spark, sf_dir), "vendor", m, a, use_embedding=False, context_col="context_text")
+    return r.withColumnRenamed("voucher_no", "original_row_id")
 
 
 # ---------------------------------------------------------------- review
@@ -336,15 +337,141 @@ DECISION_ROWS = [
 ]
 
 
-def decisions(spark) -> DataFrame:
+def decisions(spark, rows=None) -> DataFrame:
     import datetime as dt
 
-    rows = [(i, e, c, a, oid, on, dt.datetime(2025, 1, 2, h, 0, 0)) for i, e, c, a, oid, on, h in DECISION_ROWS]
+    rows = [(i, e, c, a, oid, on, dt.datetime(2025, 1, 2, h, 0, 0)) for i, e, c, a, oid, on, h in rows or DECISION_ROWS]
     return spark.createDataFrame(rows, DECISION_SCHEMA)
 
 
+# Wide (null context) and exact decisions on the same expressions, in both orders of time.
+ANY_CONTEXT_ROWS = DECISION_ROWS + [
+    (8, "NH투자", None, "HOLD", None, None, 8),
+    (9, "샘플물류", "샘플물류 | 운송비 지급 | 운반비 | 외상매입금", "APPROVE", None, None, 12),
+    (10, "OO농협", None, "NOT_FINANCIAL_INSTITUTION", None, None, 9),
+    (11, "신한", None, "CHANGE_INSTITUTION", 2, "KB국민은행", 7),
+    (12, "신한", "다른 문맥", "HOLD", None, None, 8),
+]
+
+
+def q_decisions_any_context(spark, sf_dir):
+    """Overlay in which a null decision context stands for any context."""
+    r = RV.apply_decisions(journal_result(spark, sf_dir), decisions(spark, ANY_CONTEXT_ROWS), "context_text", any_context_on_null=True)
+    return r.select(F.col(VOUCHER).alias("voucher_no"), "detected_expression", "canonical_institution", "institution_id",
+                    "normalization_method", "review_status", "user_confirmed")
+
+
+def _result_table(spark, sf_dir) -> DataFrame:
+    """The result table of two runs as the store holds it: 1 the journal, 2 the labelled journal."""
+    from ledgerlink.sources import store as ST
+
+    m, _a = seed_master(spark)
+    one = ST.to_result_rows(journal_result(spark, sf_dir), m, voucher_col=VOUCHER, context_col="context_text", position_col=VOUCHER)
+    two = ST.to_result_rows(_labelled_rows(spark, sf_dir), m, voucher_col="original_row_id", context_col="context_text", position_col="original_row_id")
+    return ST.stored_scores(one).withColumn("run_id", F.lit(1).cast("long")).unionByName(ST.stored_scores(two).withColumn("run_id", F.lit(2).cast("long")))
+
+
+def q_result_rows(spark, sf_dir):
+    """The 15 stored columns of a run."""
+    from ledgerlink.sources.store import select_run
+
+    return select_run(_result_table(spark, sf_dir), 1)
+
+
+def q_load_run_status(spark, sf_dir):
+    from ledgerlink.sources.store import select_run
+
+    return select_run(_result_table(spark, sf_dir), 2, "NEEDS_REVIEW").select("original_row_id", "detected_expression", "institution_type", "top1_score", "top2_score", "review_status")
+
+
+def q_stored_review(spark, sf_dir):
+    """A stored run after its review: the overlay that the store writes back."""
+    from ledgerlink.sources.store import select_run
+
+    rows = select_run(_result_table(spark, sf_dir), 1)
+    return RV.apply_decisions(rows, decisions(spark, ANY_CONTEXT_ROWS), "context_text", True).select(
+        "original_row_id", "institution_type", "canonical_institution", "institution_id", "normalization_method", "top1_score", "review_status", "user_confirmed")
+
+
+def q_matching_results(spark, sf_dir):
+    """Stored rows that the decisions' keys reach."""
+    from ledgerlink.sources.store import matching_results
+
+    return matching_results(_result_table(spark, sf_dir), decisions(spark, ANY_CONTEXT_ROWS)).select("run_id", "original_row_id")
+
+
+def q_drop_run_tables(spark, sf_dir):
+    """Rows left in each table after run 1 is deleted, and the rows deleted."""
+    from ledgerlink.sources import store as ST
+
+    rid = F.concat(F.col("run_id").cast("string"), F.lit("-"), F.col("original_row_id")).alias("result_id")
+    results = _result_table(spark, sf_dir).select("run_id", rid)
+    run1, run2 = _two_runs_reviews(spark, sf_dir)
+    d = decisions(spark)
+    labels = RV.labels_from_decisions(run1, d).unionByName(RV.labels_from_decisions(run2, d)).select("source_review_id")
+    reviews = run1.withColumn("run_id", F.lit(1)).unionByName(run2.withColumn("run_id", F.lit(2))).select("review_id", rid)
+    out, gone = ST.delete_run_frames({ST.RESULTS: results, ST.REVIEWS: reviews, ST.LABELS: labels}, 1)
+    linked = out[ST.LABELS].where("source_review_id is not null")
+    left = S.table_counts({ST.RESULTS: out[ST.RESULTS], ST.REVIEWS: out[ST.REVIEWS], ST.LABELS: out[ST.LABELS], "linked_labels": linked})
+    return left.unionByName(gone.select(F.lit("deleted_results").alias("table_name"), F.col("deleted_results").alias("n_rows")))
+
+
+def q_add_aliases(spark, sf_dir):
+    """Every part name as an alias of the institution with the part's key, modulo 50."""
+    _m, a = supplier_master(spark, sf_dir)
+    new = read_table(spark, sf_dir, "part").select(
+        (F.col("p_partkey") % 50).cast("long").alias("institution_id"), F.concat(F.lit(" "), "p_name").alias("alias_text"), F.lit("ALIAS").alias("alias_type"))
+    return add_aliases(a, new).select("alias_id", "institution_id", "alias_text", "normalized_alias", "alias_type", "active")
+
+
+def q_set_active(spark, sf_dir):
+    m, _a = supplier_master(spark, sf_dir)
+    ids = read_table(spark, sf_dir, "supplier").where("s_acctbal > 5000").select(F.col("s_suppkey").cast("long").alias("institution_id"))
+    return set_active(m, "institution_id", ids, False).select("institution_id", "canonical_name", "active")
+
+
+def q_distinct_count(spark, sf_dir):
+    return S.distinct_count(journal_result(spark, sf_dir), "canonical_institution")
+
+
+def q_performance_row(spark, sf_dir):
+    from ledgerlink.sources.store import performance_row
+
+    return performance_row(S.run_stats(journal_result(spark, sf_dir), [VENDOR, "context_text"]), 3, 1.5)
+
+
+def q_candidate_rows(spark, sf_dir):
+    from ledgerlink.sources.store import candidate_rows
+
+    _m, _a, lk, v = _part_keys(spark, sf_dir)
+    return candidate_rows(fuzzy_topk(v.select("vkey").distinct(), lk, 2, "vkey"), "vkey", "fuzzy")
+
+
+def q_report_manual_review(spark, sf_dir):
+    from ledgerlink.sources.report import normalization_report
+
+    return normalization_report(journal_result(spark, sf_dir))["manual_review"].select(
+        F.col(VOUCHER).alias("voucher_no"), F.col(VENDOR).alias("vendor"), "normalization_method", "reason")
+
+
+def q_report_completeness(spark, sf_dir):
+    """The three tables of the completeness report, one under the other."""
+    from ledgerlink.sources.report import completeness_report
+
+    out = None
+    for name, df in completeness_report(q_completeness_sets(spark, sf_dir)).items():
+        part = df.select(F.lit(name).alias("table_name"), "canonical_name")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def q_evaluate_variants(spark, sf_dir):
+    m, a = seed_master(spark)
+    return _metrics_view(E.evaluate_variants(evaluation_journal(spark, sf_dir), m, a))
+
+
 def q_review_queue(spark, sf_dir):
-    q = RV.review_queue(journal_result(spark, sf_dir), "context_text", limit=30)
+    q = RV.review_queue(journal_result(spark, sf_dir), "context_text")
     return q.select("detected_expression", "context_text", "canonical_institution", r6("top1_score").alias("top1_score"),
                     "top2_candidate", r6("top2_score").alias("top2_score"), "normalization_method")
 
@@ -369,7 +496,7 @@ def q_labels_from_decisions(spark, sf_dir):
 
 
 def q_result_preview(spark, sf_dir):
-    p = S.preview(journal_result(spark, sf_dir), limit=200)
+    p = S.preview(journal_result(spark, sf_dir))
     return p.select(*[r6(c).alias(c) if c in SCORES else F.col(c) for c in p.columns])
 
 
@@ -428,6 +555,20 @@ REGISTRY = {
     "result_preview": q_result_preview,
     "table_counts": q_table_counts,
     "decisions_overlay": q_decisions_overlay,
+    "decisions_any_context": q_decisions_any_context,
+    "result_rows": q_result_rows,
+    "load_run_status": q_load_run_status,
+    "stored_review": q_stored_review,
+    "matching_results": q_matching_results,
+    "drop_run_tables": q_drop_run_tables,
+    "add_aliases": q_add_aliases,
+    "set_active": q_set_active,
+    "distinct_count": q_distinct_count,
+    "performance_row": q_performance_row,
+    "candidate_rows": q_candidate_rows,
+    "report_manual_review": q_report_manual_review,
+    "report_completeness": q_report_completeness,
+    "evaluate_variants": q_evaluate_variants,
     "reviews_from_decisions": q_reviews_from_decisions,
     "labels_from_decisions": q_labels_from_decisions,
     "evaluate_baseline1": _eval("Baseline1_Exact_Alias"),

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark import StorageLevel
 
 # Bounds under which a derived dimension (lookup, vendor map, decisions) is
 # broadcast: rows, and bytes estimated from the JSON form of the rows (an
@@ -65,11 +65,14 @@ def ship_package(spark: SparkSession) -> None:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting must point at shared storage and is only read.
-    Only when it is unset (local tests) a private folder is created and set.
+    On a cluster this setting must point at shared storage and is only read; an
+    unset one is an error there.  Only in local mode (tests) a private folder is
+    created and set where it is unset.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         d = tempfile.mkdtemp(prefix="ledgerlink-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -99,13 +102,13 @@ def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS, pe
                        max_bytes: int = DEFAULT_BROADCAST_BYTES) -> tuple[DataFrame, bool]:
     """Broadcast-hint ``df`` only after checking its row count and estimated size.
 
-    The side is persisted first (unless it is already checkpointed) so the check
-    and the join read it once.  Above the bound the frame is returned without a
-    hint: the planner then uses a shuffle join and AQE splits skewed partitions.
-    Returns (frame, hinted).
+    The side is checkpointed and measured in one job (``persist``; nothing stays
+    cached), or only measured where it is cheap to read again.  Above the bound
+    the frame is returned without a hint: the planner then uses a shuffle join
+    and AQE splits skewed partitions.  Returns (frame, hinted).
     """
     if persist:
-        df = df.persist(StorageLevel.MEMORY_AND_DISK)
+        return hint_if_small(*checkpoint_with_size(df), max_rows, max_bytes)
     return (F.broadcast(df), True) if size_fits(df, max_rows, max_bytes) else (df, False)
 
 
@@ -144,6 +147,21 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def file_positions(df: DataFrame, name: str = "position") -> DataFrame:
+    """0-based row numbers of a file scan in file order (path, then place in the file).
+
+    Stamped on the scan itself, before any join, so they do not depend on the
+    plan.  A split (file, first byte) is read by one task in order; its offset
+    comes from one count a split (broadcast: a row a split).
+    """
+    tagged = df.withColumns({"_file": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start"), "_mono": F.monotonically_increasing_id()})
+    splits = tagged.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_mono").alias("_first"))
+    before = F.sum("_n").over(Window.orderBy("_file", "_block")) - F.col("_n")
+    offsets = splits.select("_file", "_block", "_first", before.alias("_off"))
+    out = tagged.join(F.broadcast(offsets), ["_file", "_block"])
+    return out.withColumn(name, F.col("_off") + F.col("_mono") - F.col("_first")).drop("_file", "_block", "_mono", "_first", "_off")
+
+
 def with_positions(df: DataFrame, name: str = "position") -> DataFrame:
     """Consecutive 0-based row positions in the frame's partition order (file order
     for a scan), computed on the JVM: the position inside a partition comes from

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlink.functions.text import CONTEXT_SEPARATOR
-from ledgerlink.session import read_table
+from ledgerlink.session import file_positions, read_table
 
 SUPPORTED_SUFFIXES = ("csv", "parquet")
 
@@ -164,7 +164,7 @@ def synth_journal(spark: SparkSession, n_rows: int, seed: int = 42) -> DataFrame
     return template_journal(
         rows,
         F.pmod(h(0), F.lit(TOTAL_WEIGHT)),
-        F.concat(F.lit("V"), F.lpad((F.col("id") + 1).cast("string"), 6, "0")),
+        F.format_string("V%06d", F.col("id") + 1),  # at least six digits, never cut
         F.date_add(F.lit("2025-01-01").cast("date"), F.pmod(h(1), F.lit(365)).cast("int")),
         ((F.pmod(h(2), F.lit(4991)) + 10) * 1000).cast("long"),
     )
@@ -191,26 +191,57 @@ def evaluation_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def company_list_from(journal_result: DataFrame, names=COMPANY_LIST, column: str = "institution_name") -> DataFrame:
-    spark = journal_result.sparkSession
-    return spark.createDataFrame([(n,) for n in names], f"{column} string")
+#: A quote inside a quoted value is doubled; white space at the edges belongs to the value.
+CSV_OPTIONS = {"header": "true", "encoding": "UTF-8", "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+INFER_ROWS = 10_000
 
 
-def read_journal(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """Read a journal by suffix: CSV (header, inferred or given schema, UTF-8) or Parquet."""
+def _inferred(text: DataFrame, rows: int) -> dict[str, str]:
+    """Type of each column from the first ``rows`` rows: the first of int, bigint,
+    double, date that all their values can be cast to; string if none or no value."""
+    kinds = ("int", "bigint", "double", "date")
+    head = text.limit(rows)
+    sums = [F.count_if(F.col(f"`{c}`").isNotNull()).alias(f"{k}_any") for k, c in enumerate(text.columns)]
+    for k, c in enumerate(text.columns):
+        sums += [F.count_if(F.col(f"`{c}`").isNotNull() & F.col(f"`{c}`").try_cast(t).isNull()).alias(f"{k}_{t}") for t in kinds]
+    got = head.agg(*sums).first()
+    return {c: next((t for t in kinds if got[f"{k}_any"] and not got[f"{k}_{t}"]), "string") for k, c in enumerate(text.columns)}
+
+
+def read_journal(spark: SparkSession, path: str, schema=None, multi_line: bool = True, infer_rows: int = INFER_ROWS,
+                 position_col: str | None = None) -> DataFrame:
+    """Read a journal by suffix: CSV (header, UTF-8, given or inferred schema) or Parquet.
+
+    Without a schema the types come from the first ``infer_rows`` rows, so the
+    input isn't read once more; a later value that doesn't fit its column's type
+    is an error, never a null.  ``multi_line=False`` lets Spark split a CSV file
+    and is right only where no value holds a line end.  ``position_col`` adds
+    the row's number in file order, stamped on the scan.
+    """
     suffix = str(path).lower().rsplit(".", 1)[-1].rstrip("/")
     if suffix == "csv":
-        r = spark.read.option("header", True).option("encoding", "UTF-8")
-        r = r.schema(schema) if schema is not None else r.option("inferSchema", True)
-        return r.csv(path)
-    if suffix == "parquet":
-        return spark.read.parquet(path)
-    raise ValueError(f"unsupported file type: .{suffix} (csv, parquet)")
+        # only an unquoted empty value is null: the reader gives it the null text, which no value equals
+        r = spark.read.options(**CSV_OPTIONS).option("multiLine", multi_line).option("nullValue", "\u0000").option("emptyValue", "")
+        if schema is not None:
+            df = r.schema(schema).csv(path)
+        else:
+            df = r.csv(path)
+            kinds = _inferred(df, infer_rows)
+    elif suffix == "parquet":
+        df = spark.read.parquet(path)
+    else:
+        raise ValueError(f"unsupported file type: .{suffix} (csv, parquet)")
+    if position_col:
+        df = file_positions(df, position_col)
+    if suffix == "csv" and schema is None:
+        df = df.select(*[F.col(f"`{c}`").cast(kinds.get(c, "bigint")).alias(c) for c in df.columns])
+    return df
 
 
 def write_journal(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwrite") -> None:
+    """Write a journal; a CSV keeps line ends, quotes and edge spaces, and tells null from empty."""
     if fmt == "csv":
-        df.write.mode(mode).option("header", True).csv(path)
+        df.write.mode(mode).options(**CSV_OPTIONS).option("emptyValue", '""').csv(path)
     elif fmt == "parquet":
         df.write.mode(mode).parquet(path)
     else:

@@ -2,7 +2,8 @@
 
 Rules kept from the workbook report: tables keep their given order, names are
 cut to 31 characters, an empty table becomes one notice row, and a report with
-no tables is refused.
+no tables is refused.  Names that are equal after the cut are refused before
+anything is written, so no table overwrites another.
 """
 
 from __future__ import annotations
@@ -23,6 +24,9 @@ def write_report(sheets: dict[str, DataFrame], path: str, fmt: str = "csv") -> l
     """Write each table to ``path/<name[:31]>``; returns the written names in order."""
     if not sheets:
         raise ValueError("a report needs at least one table")
+    cut = [name[:MAX_NAME] for name in sheets]
+    if len(set(cut)) < len(cut):
+        raise ValueError(f"table names are equal in their first {MAX_NAME} characters: {sorted(n for n in sheets if cut.count(n[:MAX_NAME]) > 1)}")
     names = []
     for name, df in sheets.items():
         safe = name[:MAX_NAME]

@@ -2,11 +2,12 @@
 rows as Parquet tables under one root, partitioned by ``run_id`` where the
 rows belong to a run.
 
-Updates are never in place: a run's results are replaced by dynamic partition
-overwrite, a run is deleted by dropping its partition directories, and the
-one table that outlives runs (feedback labels) is rewritten to a new folder
-and swapped in.  Row counts of writes come from an ``Observation`` of the
-written frame (no second pass).
+A run's results are replaced by dynamic partition overwrite, a run is deleted
+by dropping its partition directories, and the tables without run partitions
+(runs, feedback labels) are rewritten to a new folder and swapped in.  Results
+are partitioned by run and batch: a saved run is batch -1, a streamed one has
+its micro-batches, and both read, load and delete alike.  Row counts of writes
+come from an ``Observation`` of the written frame (no second pass).
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlink.schema import RESULT_FIELDS, RESULT_ROW_COLUMNS, RUN_COMPLETED, RUN_RUNNING
-from ledgerlink.session import DEFAULT_BROADCAST_ROWS, bounded_broadcast, with_positions  # noqa: F401
+from ledgerlink.schema import RESULT_ROW_COLUMNS, RESULT_STRUCT, RUN_COMPLETED, RUN_RUNNING
+from ledgerlink.session import DEFAULT_BROADCAST_ROWS, bounded_broadcast, cut_lineage, with_positions
 
 RUNS = "processing_runs"
 RESULTS = "normalization_results"
@@ -46,6 +47,13 @@ RUN_SCHEMA = T.StructType(
 )
 
 
+_RESULT_TYPES = {f.name: f.dataType for f in RESULT_STRUCT.fields}
+RESULT_ROW_SCHEMA = T.StructType([T.StructField(c, _RESULT_TYPES.get(c, T.StringType())) for c in RESULT_ROW_COLUMNS])
+
+#: Batch of a run that was saved at once.
+WHOLE_RUN = -1
+
+
 def _path(root: str, table: str) -> str:
     return os.path.join(root, table)
 
@@ -70,8 +78,10 @@ def read(spark: SparkSession, root: str, table: str, schema: T.StructType | None
         return empty
     try:
         return spark.read.parquet(path)
-    except AnalysisException:  # folder left without data files (every partition dropped)
-        return empty
+    except AnalysisException as e:
+        if (e.getCondition() or "").startswith("UNABLE_TO_INFER_SCHEMA"):  # every partition dropped: no data file left
+            return empty
+        raise
 
 
 # ------------------------------------------------------------------ runs
@@ -84,14 +94,31 @@ def runs(spark: SparkSession, root: str) -> DataFrame:
 
 def start_run(spark: SparkSession, root: str, file_name: str, file_type: str, total_rows: int,
               started_at: dt.datetime | None = None) -> int:
-    """Append a RUNNING run; its id is the current maximum + 1."""
+    """Append a RUNNING run under a new id: the lowest above all known ones that this
+    call could claim.  A claim is a marker file, created atomically, so two
+    drivers never get one id."""
     r = read(spark, root, RUNS, RUN_SCHEMA)
     run_id = (r.agg(F.max("run_id")).first()[0] or 0) + 1
+    while not _claim(spark, os.path.join(_path(root, "_run_ids"), str(run_id))):
+        run_id += 1
     row = (run_id, file_name, file_type, int(total_rows), RUN_RUNNING, started_at or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None), None, None, 1)
     spark.createDataFrame([row], RUN_SCHEMA).write.mode("append").parquet(_path(root, RUNS))
     return run_id
 
 
+def _claim(spark: SparkSession, path: str) -> bool:
+    from py4j.protocol import Py4JJavaError
+
+    fs, p = _fs(spark, path)
+    fs.mkdirs(p.getParent())
+    try:
+        return bool(fs.createNewFile(p))
+    except Py4JJavaError as e:
+        if "FileAlreadyExists" in str(e.java_exception):
+            return False
+        raise
+
+
 def complete_run(spark: SparkSession, root: str, run_id: int, seconds: float, status: str = RUN_COMPLETED,
                  completed_at: dt.datetime | None = None) -> None:
     cur = runs(spark, root).where(F.col("run_id") == run_id).collect()
@@ -105,61 +132,75 @@ def complete_run(spark: SparkSession, root: str, run_id: int, seconds: float, st
     spark.createDataFrame([row], RUN_SCHEMA).write.mode("append").parquet(_path(root, RUNS))
 
 
-def list_runs(spark: SparkSession, root: str, limit: int = 20) -> DataFrame:
-    return runs(spark, root).orderBy(F.col("started_at").desc_nulls_last(), F.col("run_id").desc()).limit(limit)
+def list_runs(spark: SparkSession, root: str, limit: int | None = None) -> DataFrame:
+    """Runs, newest first; a page of ``limit`` if asked for."""
+    out = runs(spark, root).orderBy(F.col("started_at").desc_nulls_last(), F.col("run_id").desc())
+    return out.limit(limit) if limit else out
 
 
 # ------------------------------------------------------------------ results
 def to_result_rows(result: DataFrame, master: DataFrame, voucher_col: str | None = None,
-                   context_col: str | None = None, order_col: str | None = None) -> DataFrame:
-    """Persistable projection: the 15 stored columns.
-
-    Row id = voucher value, else the row's position (``order_col`` order, or file
-    order through ``zipWithIndex``) as a string; institution type from the master.
+                   context_col: str | None = None, order_col: str | None = None, position_col: str | None = None,
+                   id_prefix: str = "") -> DataFrame:
+    """Persistable projection: the 15 stored columns, institution type from the master.
+
+    Row id: the voucher's value; where there is none, the row's position.  Give
+    ``position_col`` (stamped on the input, see ``read_journal(position_col=)`` or
+    ``with_positions``) for ids that don't depend on the plan; else positions
+    are numbered in ``order_col`` order, or in the order of this frame's partitions.
     """
     df = result
-    if voucher_col:
-        rid = F.col(voucher_col).cast("string")
-    elif order_col:
-        from pyspark.sql import Window
-
-        df = df.withColumn("_pos", F.row_number().over(Window.orderBy(order_col)) - 1)
-        rid = F.col("_pos").cast("string")
+    if position_col:
+        pos = F.col(position_col).cast("string")
     else:
-        df = with_positions(df, "_pos")
-        rid = F.col("_pos").cast("string")
+        df = with_positions(cut_lineage(df.orderBy(order_col)) if order_col else df, "_pos")
+        pos = F.col("_pos").cast("string")
+    rid = F.concat(F.lit(id_prefix), pos)
+    if voucher_col:
+        rid = F.coalesce(F.col(voucher_col).cast("string"), rid)
     types = bounded_broadcast(master.select(F.col("institution_id").alias("_tid"), F.col("institution_type")),
                               DEFAULT_BROADCAST_ROWS)
     df = df.join(types, F.col("institution_id") == F.col("_tid"), "left")
-    # A null voucher falls back to a content hash: deterministic, so a task
-    # recomputed after an executor loss writes the same id.
-    content_id = F.concat(F.lit("h"), F.xxhash64(*[F.col(c) for c in result.columns]).cast("string"))
     cols = {
-        "original_row_id": F.coalesce(rid, content_id) if voucher_col else rid,
+        "original_row_id": rid,
         "context_text": F.col(context_col) if context_col else F.lit(None).cast("string"),
         "user_confirmed": F.coalesce(F.col("user_confirmed"), F.lit(False)),
     }
     return df.select(*[cols.get(c, F.col(c)).alias(c) for c in RESULT_ROW_COLUMNS])
 
 
-def save_results(rows: DataFrame, root: str, run_id: int) -> int:
-    """Append result rows of a run (scores stored with 4 decimals); returns the row count."""
-    obs = Observation(f"save_{run_id}_{uuid.uuid4().hex[:8]}")
-    out = rows.select(
-        *[F.round(c, 4).alias(c) if c in ("top1_score", "top2_score", "score_margin") else F.col(c) for c in RESULT_ROW_COLUMNS],
-        F.lit(run_id).cast("long").alias("run_id"),
-    ).observe(obs, F.count(F.lit(1)).alias("rows"))
-    out.write.mode("append").partitionBy("run_id").parquet(_path(root, RESULTS))
-    return int(obs.get["rows"])
+def stored_scores(rows: DataFrame) -> DataFrame:
+    """The stored columns, scores with 4 decimals."""
+    return rows.select(*[F.round(c, 4).alias(c) if c in ("top1_score", "top2_score", "score_margin") else F.col(c) for c in RESULT_ROW_COLUMNS])
+
+
+def save_results(rows: DataFrame, root: str, run_id: int, batch_id: int = WHOLE_RUN) -> int:
+    """Store the result rows of a run, or of one of its batches; returns the row count.
+
+    What the run (the batch) had before is replaced, so saving again after a
+    failure doubles nothing.
+    """
+    return replace_partition(stored_scores(rows).withColumn("batch_id", F.lit(batch_id).cast("long")), root, RESULTS, run_id, batch_id)
 
 
-def replace_partition(rows: DataFrame, root: str, table: str, run_id: int) -> int:
-    """Replace one run's rows of a run-partitioned table (dynamic partition overwrite)."""
+def replace_partition(rows: DataFrame, root: str, table: str, run_id: int, batch_id: int | None = None) -> int:
+    """Replace one run's rows (with ``batch_id``: one batch's) of a run-partitioned table.
+
+    Dynamic partition overwrite; an empty replacement drops the partition.
+    """
+    spark = rows.sparkSession
+    keys = ["run_id"] + ([] if batch_id is None else ["batch_id"])
     obs = Observation(f"replace_{table}_{run_id}_{uuid.uuid4().hex[:8]}")
     out = rows.withColumn("run_id", F.lit(run_id).cast("long")).observe(obs, F.count(F.lit(1)).alias("rows"))
-    (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id")
+    (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys)
      .parquet(_path(root, table)))
-    return int(obs.get["rows"])
+    n = int(obs.get["rows"])
+    if not n:
+        part = os.path.join(_path(root, table), f"run_id={run_id}", *([] if batch_id is None else [f"batch_id={batch_id}"]))
+        if exists(spark, part):
+            fs, p = _fs(spark, part)
+            fs.delete(p, True)
+    return n
 
 
 def replace_run_rows(table: DataFrame, new_rows: DataFrame, run_id: int) -> DataFrame:
@@ -168,23 +209,31 @@ def replace_run_rows(table: DataFrame, new_rows: DataFrame, run_id: int) -> Data
     return table.where(F.col("run_id") != run_id).unionByName(fresh.select(*table.columns))
 
 
-def load_run(spark: SparkSession, root: str, run_id: int, status: str | None = None) -> DataFrame:
-    """Stored results of one run (partition pruning on run_id); unknown run -> empty frame."""
-    df = read(spark, root, RESULTS)
-    if df is None:
-        return spark.createDataFrame([], T.StructType([T.StructField(c, T.StringType()) for c in RESULT_ROW_COLUMNS]))
-    df = df.where(F.col("run_id") == run_id)
+def select_run(results: DataFrame, run_id: int, status: str | None = None) -> DataFrame:
+    """Result rows of one run, of one review status if given."""
+    df = results.where(F.col("run_id") == run_id)
     if status is not None:
         df = df.where(F.col("review_status") == status)
     return df.select(*RESULT_ROW_COLUMNS)
 
 
+def load_run(spark: SparkSession, root: str, run_id: int, status: str | None = None) -> DataFrame:
+    """Stored results of one run, saved or streamed (partition pruning on run_id); unknown run -> empty frame."""
+    df = read(spark, root, RESULTS)
+    if df is None:
+        return spark.createDataFrame([], RESULT_ROW_SCHEMA)
+    return select_run(df, run_id, status)
+
+
 def matching_results(stored: DataFrame, keys: DataFrame, context_col: str = "context_text") -> DataFrame:
     """Stored results of the given (detected_expression[, context_text]) keys; a null
-    context in ``keys`` matches any context.  A semi join, never a collected id list."""
-    k = keys.select(F.col("detected_expression").alias("_e"), F.col(context_col).alias("_c") if context_col in keys.columns else F.lit(None).cast("string").alias("_c"))
-    cond = (F.col("detected_expression") == F.col("_e")) & (F.col("_c").isNull() | (F.col(context_col) == F.col("_c")))
-    return stored.join(bounded_broadcast(k), cond, "left_semi")
+    context in ``keys`` matches any context.  Equi joins on distinct keys, never a collected id list."""
+    k = keys.select(F.col("detected_expression").alias("_e"), F.col(context_col).alias("_c") if context_col in keys.columns else F.lit(None).cast("string").alias("_c")).distinct()
+    wide = k.where(F.col("_c").isNull()).select("_e", F.lit(True).alias("_any"))
+    exact = k.where(F.col("_c").isNotNull()).select(F.col("_e").alias("_e2"), "_c", F.lit(True).alias("_one"))
+    out = stored.join(bounded_broadcast(wide), F.col("detected_expression") == F.col("_e"), "left")
+    out = out.join(bounded_broadcast(exact), (F.col("detected_expression") == F.col("_e2")) & (F.col(context_col) == F.col("_c")), "left")
+    return out.where(F.col("_any") | F.col("_one")).select(*[F.col(f"`{c}`") for c in stored.columns])
 
 
 def drop_run(spark: SparkSession, root: str, run_id: int) -> int:
@@ -246,16 +295,25 @@ def delete_run_frames(tables: dict[str, DataFrame], run_id: int) -> tuple[dict[s
 
 
 def _swap(spark: SparkSession, new_path: str, final_path: str) -> None:
-    """Replace ``final_path`` with ``new_path`` (written completely beforehand)."""
+    """Replace ``final_path`` with ``new_path`` (written completely beforehand).
+
+    A rename that reports failure is an error, and the old folder is deleted
+    only after the new one is in its place (and put back if it can't get there).
+    """
     fs, fin = _fs(spark, final_path)
     _, new = _fs(spark, new_path)
+    old = None
     if fs.exists(fin):
         old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(final_path + f".old-{uuid.uuid4().hex[:8]}")
-        fs.rename(fin, old)
-        fs.rename(new, fin)
+        if not fs.rename(fin, old):
+            raise OSError(f"{final_path} could not be set aside; the new data is in {new_path}")
+    moved = fs.exists(new) and fs.rename(new, fin)
+    if not moved:
+        if old is not None:
+            fs.rename(old, fin)
+        raise OSError(f"{new_path} could not be moved to {final_path}")
+    if old is not None:
         fs.delete(old, True)
-    else:
-        fs.rename(new, fin)
 
 
 def append(rows: DataFrame, root: str, table: str, partition_by_run: bool = True) -> int:
@@ -278,26 +336,25 @@ def performance_row(stats: DataFrame, run_id: int, seconds: float) -> DataFrame:
     )
 
 
-RESULT_COLUMNS = RESULT_FIELDS  # re-export for callers building frames by hand
-
-
 def apply_review_to_store(spark: SparkSession, root: str, run_id: int, decisions: DataFrame,
                           any_context_on_null: bool = True) -> int:
-    """Overlay review decisions on a stored run and rewrite that run's partition.
+    """Overlay review decisions on a stored run and rewrite that run's partitions.
 
     The run is read, overlaid (same rules as the frame overlay; a null decision
     context matches any stored context by default, as stored reviews do) and
-    written to a fresh folder first, then swapped in as the run's partition, so
-    the partition being read is never overwritten.  Returns the rows written.
+    checkpointed; its partitions are then overwritten from the checkpoint, so
+    nothing is read from a folder that is being written.  Returns the rows written.
     """
     from ledgerlink.operators.review import apply_decisions
 
-    stored = load_run(spark, root, run_id)
-    updated = apply_decisions(stored, decisions, "context_text", any_context_on_null)
-    tmp = _path(root, f"{RESULTS}.run{run_id}.new-{uuid.uuid4().hex[:8]}")
+    stored = read(spark, root, RESULTS)
+    if stored is None:
+        return 0
+    rows = stored.where(F.col("run_id") == run_id)
+    updated = cut_lineage(apply_decisions(rows, decisions, "context_text", any_context_on_null))
     obs = Observation(f"review_{run_id}_{uuid.uuid4().hex[:8]}")
-    updated.observe(obs, F.count(F.lit(1)).alias("rows")).write.parquet(tmp)
-    _swap(spark, tmp, os.path.join(_path(root, RESULTS), f"run_id={run_id}"))
+    (updated.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("run_id", "batch_id").parquet(_path(root, RESULTS)))
     return int(obs.get["rows"])
 
 

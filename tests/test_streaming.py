@@ -1,6 +1,7 @@
 import os
 import tempfile
 
+from ledgerlink.sources import store as ST
 from ledgerlink.streaming.resolve_stream import resolve_stream
 
 
@@ -12,6 +13,6 @@ def test_stream_batches_land_in_store(spark, seed):
     q = resolve_stream(stream, "vendor", *seed, root=out, checkpoint_location=os.path.join(out, "_ckpt"), run_id=1,
                        voucher_col="v", trigger_once=True, use_embedding=False)
     q.awaitTermination(120)
-    res = spark.read.parquet(os.path.join(out, "normalization_results_stream"))
+    res = ST.load_run(spark, out, 1)
     assert res.count() == 2
     assert {r.original_row_id: r.normalization_method for r in res.collect()} == {"V1": "ALIAS", "V2": "FUZZY"}
