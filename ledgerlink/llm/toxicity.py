@@ -24,6 +24,7 @@ from __future__ import annotations
 import string
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,35 +53,54 @@ def features(word: str) -> list[int]:
 
 
 class Vocabulary:
-    """Rows for words; row 0 is padding without a feature."""
+    """Rows for words; row 0 is padding without a feature.  Features lie end to end."""
 
     def __init__(self):
         self.rows: dict[str, int] = {}
-        self.feats: list[list[int]] = [[]]
+        self.flat, self.ends = array("i"), array("q", [0])
 
     def ids(self, words: list[str]) -> list[int]:
         rows, out = self.rows, []
         for w in words:
             k = rows.get(w)
             if k is None:
-                k = rows[w] = len(self.feats)
-                self.feats.append(features(w))
+                k = rows[w] = len(self.ends)
+                self.flat.extend(features(w))
+                self.ends.append(len(self.flat))
             out.append(k)
         return out
 
+    def features_of(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Buckets of these rows, end to end, and how many each has."""
+        ends = np.frombuffer(self.ends, np.int64)
+        flat = np.frombuffer(self.flat, np.int32) if len(self.flat) else np.zeros(0, np.int32)
+        first = np.where(rows > 0, ends[np.maximum(rows - 1, 0)], 0)
+        counts = ends[rows] - first
+        at = np.repeat(first - np.concatenate([[0], np.cumsum(counts)])[:-1], counts) + np.arange(counts.sum())
+        return flat[at], counts
 
-def vectors(table: np.ndarray, feats: list[list[int]]) -> np.ndarray:
+
+def vectors(table: np.ndarray, flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Word vectors: sums of their features' embeddings, scaled by the root of their number."""
-    counts = np.array([len(f) for f in feats])
-    out = np.zeros((len(feats), table.shape[1]), np.float32)
+    out = np.zeros((len(counts), table.shape[1]), np.float32)
     full = np.flatnonzero(counts)
     if len(full):
-        flat = np.fromiter((b for f in feats for b in f), np.int64, int(counts.sum()))
         starts = np.concatenate([[0], np.cumsum(counts[full])])[:-1]
-        out[full] = np.add.reduceat(table[flat], starts) / np.sqrt(counts[full])[:, None]
+        out[full] = np.add.reduceat(table[flat], starts) / np.sqrt(counts[full])[:, None].astype(np.float32)
     return out
 
 
+def scores_of(model: Model, vocab: Vocabulary, docs: list[np.ndarray]) -> np.ndarray:
+    """Scores of texts given as rows; only the words of a block of texts are expanded at once."""
+    out = []
+    for a in range(0, len(docs), 64):
+        block = docs[a : a + 64]
+        used = np.unique(np.concatenate([np.zeros(1, np.int64), *block]))
+        terms = model.terms(vectors(model.table, *vocab.features_of(used)))
+        out += [model.score(terms, np.searchsorted(used, d)) for d in block]
+    return np.array(out)
+
+
 class Model:
     """Embeddings, filters (width -> width x dims x filters), filter biases, output layer."""
 
@@ -120,11 +140,11 @@ class Model:
         return new
 
 
-def _evidence(docs: list[np.ndarray], y: np.ndarray, weight: np.ndarray, feats: list[list[int]]) -> np.ndarray:
+def _evidence(docs: list[np.ndarray], y: np.ndarray, weight: np.ndarray, vocab: Vocabulary) -> np.ndarray:
     """Shrunken log-odds of each bucket's presence in toxic against clean texts."""
     seen = np.zeros((2, BUCKETS))
     for d, label, w in zip(docs, y, weight, strict=True):
-        buckets = np.unique(np.fromiter((b for i in np.unique(d) for b in feats[i]), np.int64))
+        buckets = np.unique(vocab.features_of(np.unique(d))[0])
         seen[int(label), buckets] += w
     a, b = seen[1], seen[0]
     na, nb = max(weight[y == 1].sum(), 1e-9), max(weight[y == 0].sum(), 1e-9)
@@ -137,10 +157,11 @@ def fit(texts: list[str], y: np.ndarray, weight: np.ndarray, kept_back: np.ndarr
     kept back is returned."""
     model, vocab = Model(seed), Vocabulary()
     docs = [np.array(vocab.ids(words_of(t)) or [0], np.int64) for t in texts]
+    vocab.rows.clear()  # the words themselves aren't needed any more
     y, weight = np.asarray(y, np.float64), np.asarray(weight, np.float64)
     train, check = np.flatnonzero(~kept_back), np.flatnonzero(kept_back)
     share = (weight[train] * y[train]).sum() + 0.5, (weight[train] * (1 - y[train])).sum() + 0.5
-    model.table[:, 0] = _evidence([docs[i] for i in train], y[train], weight[train], vocab.feats) if len(train) else 0
+    model.table[:, 0] = _evidence([docs[i] for i in train], y[train], weight[train], vocab) if len(train) else 0
     model.bias[0] = np.log(share[0] / share[1]) - 1
     slow = {k: np.zeros_like(v) for k, v in (("table", model.table), ("out", model.out), ("bias", model.bias), *((("f", k), model.filters[k]) for k in WIDTHS), *((("s", k), model.shift[k]) for k in WIDTHS))}
 
@@ -154,10 +175,9 @@ def fit(texts: list[str], y: np.ndarray, weight: np.ndarray, kept_back: np.ndarr
             if at == 0:
                 order = r.permutation(train)
             rows = order[at : at + batch]
-            _train(model, [docs[i] for i in rows], y[rows], weight[rows], vocab.feats, step)
-        terms = model.terms(vectors(model.table, vocab.feats))
+            _train(model, [docs[i] for i in rows], y[rows], weight[rows], vocab, step)
         judged = check if len(check) else train
-        s = np.array([model.score(terms, docs[i]) for i in judged])
+        s = scores_of(model, vocab, [docs[i] for i in judged])
         loss = float(-(weight[judged] * np.where(y[judged] == 1, np.log(s + 1e-9), np.log(1 - s + 1e-9))).sum())
         if best is None or loss < best[0]:
             best, patience = (loss, model.copy()), 0
@@ -166,12 +186,12 @@ def fit(texts: list[str], y: np.ndarray, weight: np.ndarray, kept_back: np.ndarr
     return best[1] if best else model
 
 
-def _train(model: Model, docs: list[np.ndarray], y: np.ndarray, weight: np.ndarray, feats: list[list[int]], step) -> None:
+def _train(model: Model, docs: list[np.ndarray], y: np.ndarray, weight: np.ndarray, vocab: Vocabulary, step) -> None:
     pad = np.zeros(max(WIDTHS), np.int64)
     flat = np.concatenate([np.concatenate([d, pad]) for d in docs])
     used, flat = np.unique(flat, return_inverse=True)
-    own = [feats[i] for i in used]
-    v = vectors(model.table, own)
+    own, sizes = vocab.features_of(used)
+    v = vectors(model.table, own, sizes)
     lens = np.array([len(d) for d in docs])
     starts = np.concatenate([[0], np.cumsum(lens + len(pad))])[:-1]
     spans = np.stack([starts, starts + lens], axis=1).ravel()
@@ -201,16 +221,13 @@ def _train(model: Model, docs: list[np.ndarray], y: np.ndarray, weight: np.ndarr
         step(("s", k), model.shift[k], g.sum(axis=0))
     step("out", model.out, h.T @ err)
     step("bias", model.bias, err.sum(keepdims=True))
-    hit = np.flatnonzero(np.abs(gv).sum(axis=1))
+    each = np.repeat(gv / np.sqrt(np.maximum(sizes, 1))[:, None].astype(np.float32), sizes, axis=0)
+    hit = np.flatnonzero(each.any(axis=1))
     if len(hit):
-        counts = np.array([len(own[i]) for i in hit])
-        buckets = np.fromiter((b for i in hit for b in own[i]), np.int64, int(counts.sum()))
-        if len(buckets):
-            each = np.repeat(gv[hit] / np.sqrt(np.maximum(counts, 1))[:, None], counts, axis=0)
-            rows, back = np.unique(buckets, return_inverse=True)
-            grad = np.zeros((len(rows), DIMS), np.float32)
-            np.add.at(grad, back, each)
-            step("table", model.table, grad, rows)
+        rows, back = np.unique(own[hit], return_inverse=True)
+        grad = np.zeros((len(rows), DIMS), np.float32)
+        np.add.at(grad, back, each[hit])
+        step("table", model.table, grad, rows)
 
 
 def thresholds(scores: np.ndarray, y: np.ndarray, weight: np.ndarray, lang: list, least: int = 20) -> dict:
@@ -271,9 +288,7 @@ def train_model(docs: DataFrame, labels: DataFrame, train: F.Column, max_docs: i
         return model, {None: 0.5}
     held = rows[spare]
     vocab = Vocabulary()
-    ids = [np.array(vocab.ids(words_of(t)) or [0], np.int64) for t in held["text"]]
-    terms = model.terms(vectors(model.table, vocab.feats))
-    s = np.array([model.score(terms, i) for i in ids])
+    s = scores_of(model, vocab, [np.array(vocab.ids(words_of(t)) or [0], np.int64) for t in held["text"]])
     return model, thresholds(s, y[spare], weight[spare], held["lang"].tolist())
 
 
@@ -300,7 +315,9 @@ class Scorer:
             need = self.used + len(new)
             if need > len(self.terms):
                 self.terms = np.concatenate([self.terms, np.zeros((max(need - len(self.terms), len(self.terms)), self.terms.shape[1]), np.float32)])
-            self.terms[self.used : need] = self.model.terms(vectors(self.model.table, [features(w) for w in new]))
+            feats = [features(w) for w in new]
+            flat = np.fromiter((b for f in feats for b in f), np.int64)
+            self.terms[self.used : need] = self.model.terms(vectors(self.model.table, flat, np.array([len(f) for f in feats])))
             self.rows.update(zip(new, range(self.used, need), strict=True))
             self.used = need
             ids = list(map(self.rows.__getitem__, words))

@@ -148,7 +148,7 @@ def test_terms_give_the_convolution(seed):
     """A text's score from per-word terms equals filters run over its word vectors."""
     m, v = toxicity.Model(seed), toxicity.Vocabulary()
     ids = np.array(v.ids(sentence(seed).split() + WORDS))
-    x = toxicity.vectors(m.table, v.feats)
+    x = toxicity.vectors(m.table, *v.features_of(np.arange(len(v.ends))))
     padded = np.concatenate([x[ids], np.zeros((3, toxicity.DIMS))])
     h = [np.max([sum(padded[t + j] @ m.filters[k][j] for j in range(k)) for t in range(len(ids))], axis=0) + m.shift[k] for k in toxicity.WIDTHS]
     z = np.maximum(np.concatenate(h), 0) @ m.out + m.bias[0]
