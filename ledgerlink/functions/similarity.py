@@ -12,9 +12,8 @@ hold no white space (match keys never do).  For such strings it reduces to::
            = ratio                      if q < 1.5
            = max(ratio, c * partial)    otherwise, c = 0.9 if q <= 8 else 0.6
 
-LCS uses the bit-parallel recurrence over Python integers (any length).  The
-UDF is Arrow-batched; it only ever sees blocked candidate pairs (see
-operators/match.py), never a cross product.
+LCS uses the bit-parallel recurrence.  ``wratio_batch`` does the work; the plain
+functions above it state the definition for single pairs and serve the tests.
 """
 
 from __future__ import annotations
@@ -120,122 +119,139 @@ def wratio(a: str | None, b: str | None) -> float | None:
     return max(r, partial_ratio(s, l) * scale)
 
 
-MAX_VECTOR_LEN = 63  # patterns up to 63 characters fit one uint64 word (no carry loss)
+#: Positions of longer strings (times 64-bit words of the shorter ones) worked on at once.
+BATCH_CELLS = 2_000_000
 
 
 def _ratio_arr(lcs: np.ndarray, lensum: np.ndarray) -> np.ndarray:
     return (1.0 - (lensum - 2 * lcs) / lensum) * 100.0
 
 
-def _codes(strs, width: int, pad: int) -> np.ndarray:
-    """Code points of each string in a (len(strs), width) array, padded with ``pad``.
-
-    Strings are factorised first, so each distinct string is decoded once.
-    """
-    labels, uniques = pd.factorize(pd.Series(strs, dtype=object))
-    table = np.full((len(uniques), width), pad, dtype=np.int64)
-    for k, x in enumerate(uniques):
-        table[k, : len(x)] = np.frombuffer(x.encode("utf-32-le"), dtype=np.uint32)
-    return table[labels]
-
-
-def _lcs_passes(pm: np.ndarray, full: np.ndarray, n: np.ndarray, m: np.ndarray, start: int, steps: int) -> np.ndarray:
-    """(steps, P) LCS lengths after each character read from ``start`` (frozen past the text end)."""
-    p, mmax = pm.shape
-    steps = max(0, min(steps, mmax - start))
-    out = np.empty((steps, p), dtype=np.int64)
+def _code_points(x: str) -> np.ndarray:
+    return np.frombuffer(x.encode("utf-32-le"), dtype=np.uint32)
+
+
+def _step(v: np.ndarray, pm: np.ndarray, full: np.ndarray) -> np.ndarray:
+    """One character of the LCS recurrence for many pairs; patterns are rows of 64-bit words."""
+    u = v & pm
+    total = np.empty_like(v)
+    carry = np.zeros(len(v), dtype=np.uint64)
+    for w in range(v.shape[1]):
+        t = v[:, w] + u[:, w]
+        over = t < v[:, w]
+        t2 = t + carry
+        carry = (over | (t2 < t)).astype(np.uint64)
+        total[:, w] = t2
+    return (total | (v & ~u)) & full
+
+
+def _lcs_of(v: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return n - np.bitwise_count(v).sum(axis=1, dtype=np.int64)
+
+
+def _wratio_class(short: list[str], long: list[str], words: int) -> np.ndarray:
+    """WRatio of non-empty pairs whose shorter strings have at most 64 x ``words``
+    characters.  Longer strings lie end to end, so none is padded to another's length."""
+    n = np.array([len(x) for x in short], dtype=np.int64)
+    m = np.array([len(x) for x in long], dtype=np.int64)
+    order = np.argsort(-m, kind="stable")  # longest first: the pairs still being read are a prefix
+    back = np.argsort(order, kind="stable")
+    n, m = n[order], m[order]
+    off = np.concatenate([[0], np.cumsum(m)])[:-1]
+    pair = np.repeat(np.arange(len(m)), m)
+    text = np.concatenate([_code_points(long[k]) for k in order])
+    width = int(n.max())
+    pattern = np.full((len(n), width), 0xFFFFFFFF, dtype=np.uint32)
+    for r, k in enumerate(order):
+        pattern[r, : n[r]] = _code_points(short[k])
+    pm = np.zeros((len(text), words), dtype=np.uint64)  # bit j of pm[t]: pattern[j] == text[t]
+    for j in range(width):
+        pm[:, j >> 6] |= (pattern[pair, j] == text).astype(np.uint64) << np.uint64(j & 63)
+    left = np.clip(n[:, None] - 64 * np.arange(words)[None], 0, 64)
+    full = np.where(left == 64, np.uint64(0xFFFFFFFFFFFFFFFF), (np.uint64(1) << (left % 64).astype(np.uint64)) - np.uint64(1))
     v = full.copy()
-    for k in range(steps):
-        t = start + k
-        u = v & pm[:, t]
-        nv = ((v + u) | (v - u)) & full
-        v = np.where(t < m, nv, v)
-        out[k] = n - np.bitwise_count(v)
-    return out
-
-
-def _partial_batch(pm: np.ndarray, full: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """Best window ratio per pair: prefixes < n, every full window, suffixes < n."""
-    p, mmax = pm.shape
-    nmax = int(n.max())
-    rows = np.arange(p)
-    best = np.zeros(p)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        pre = _lcs_passes(pm, full, n, m, 0, nmax)
-        for i in range(1, min(nmax, pre.shape[0] + 1)):
-            ok = (i < n) & (i <= m)
-            best = np.where(ok, np.maximum(best, _ratio_arr(pre[i - 1], n + i)), best)
-        for st in range(0, mmax):
-            live = st < m
-            if not live.any():
-                break
-            lcs = _lcs_passes(pm, full, n, m, st, nmax)
-            if lcs.shape[0] == 0:
-                break
-            last = lcs.shape[0] - 1
-            full_ok = st + n <= m
-            got = lcs[np.minimum(n - 1, last), rows]
-            best = np.where(full_ok, np.maximum(best, _ratio_arr(got, 2 * n)), best)
-            suf_ok = (st > m - n) & live
-            got = lcs[np.clip(m - st - 1, 0, last), rows]
-            best = np.where(suf_ok, np.maximum(best, _ratio_arr(got, n + m - st)), best)
-    return best
+    live = len(m)
+    for t in range(int(m[0])):
+        while m[live - 1] <= t:
+            live -= 1
+        v[:live] = _step(v[:live], pm[off[:live] + t], full[:live])
+    lcs = _lcs_of(v, n)
+    r = _ratio_arr(lcs, n + m)
+    q = m / n
+    same = (n == m) & (lcs == n)
+    need = np.flatnonzero((q >= PARTIAL_MIN_LEN_RATIO) & ~same & (lcs > 0))
+    if len(need):
+        r[need] = np.maximum(r[need], _partial(pm, full, n, m, off, need) * np.where(q[need] <= LONG_LEN_RATIO, PARTIAL_SCALE, LONG_PARTIAL_SCALE))
+    r[same] = 100.0
+    return r[back]
+
+
+def _partial(pm: np.ndarray, full: np.ndarray, n: np.ndarray, m: np.ndarray, off: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """Best window ratio of each needed pair.  Every start in a longer string is a row, and
+    all rows read one character a step: from the first start come the prefixes, from
+    others a full window or a suffix."""
+    lens = m[need]
+    row = np.repeat(need, lens)
+    starts = np.concatenate([[0], np.cumsum(lens)])[:-1]
+    st = np.arange(len(row)) - np.repeat(starts, lens)
+    at, nn, rest = off[row] + st, n[row], m[row] - st
+    best, v = np.zeros(len(row)), full[row]
+    for k in range(int(n[need].max())):
+        act = np.flatnonzero((k < nn) & (k < rest))
+        if not len(act):
+            break
+        v[act] = _step(v[act], pm[at[act] + k], full[row[act]])
+        ends = act[(k == nn[act] - 1) | (k == rest[act] - 1) | (st[act] == 0)]
+        best[ends] = np.maximum(best[ends], _ratio_arr(_lcs_of(v[ends], nn[ends]), nn[ends] + k + 1))
+    return np.maximum.reduceat(best, starts)
 
 
 def wratio_batch(a, b) -> np.ndarray:
-    """WRatio of many pairs at once (same values as ``wratio``).
+    """WRatio of many pairs at once (same values as ``wratio``; null gives nan).
 
-    All pairs advance in lock-step through the bit-parallel LCS recurrence on
-    uint64 words: one pass for the full strings, then, for the pairs that need
-    a partial ratio, one pass per window start (prefix, full and suffix windows
-    fall out of the same passes).  Pairs whose shorter string exceeds 63
-    characters, and nulls, take the scalar path.
+    Pairs are grouped by the words their shorter string needs and worked on in
+    slices of bounded size, so a long string costs its own length only.
     """
-    a = pd.Series(list(a) if not isinstance(a, pd.Series) else a, dtype=object).reset_index(drop=True)
-    b = pd.Series(list(b) if not isinstance(b, pd.Series) else b, dtype=object).reset_index(drop=True)
+    a, b = list(a), list(b)
     out = np.full(len(a), np.nan)
-    valid = (a.notna() & b.notna()).to_numpy()
-    la = np.fromiter((len(x) if isinstance(x, str) else 0 for x in a), dtype=np.int64, count=len(a))
-    lb = np.fromiter((len(x) if isinstance(x, str) else 0 for x in b), dtype=np.int64, count=len(b))
-    empty = valid & ((la == 0) | (lb == 0))
-    out[empty] = 0.0
-    swap = la > lb
-    short_len = np.minimum(la, lb)
-    scalar = valid & ~empty & (short_len > MAX_VECTOR_LEN)
-    for i in np.flatnonzero(scalar):
-        out[i] = wratio(a[i], b[i])
-    vec = np.flatnonzero(valid & ~empty & ~scalar)
-    if len(vec) == 0:
-        return out
-    av, bv, sw = a.to_numpy()[vec], b.to_numpy()[vec], swap[vec]
-    ss = np.where(sw, bv, av)
-    ls = np.where(sw, av, bv)
-    idx = vec
-    n = np.minimum(la, lb)[vec]
-    m = np.maximum(la, lb)[vec]
-    nmax, mmax = int(n.max()), int(m.max())
-    s_codes = _codes(ss, nmax, -1)
-    l_codes = _codes(ls, mmax, -2)
-    bits = np.left_shift(np.uint64(1), np.arange(nmax, dtype=np.uint64))
-    pm = np.zeros((len(ss), mmax), dtype=np.uint64)  # bit j of pm[k, t]: s_k[j] == l_k[t]
-    for j in range(nmax):
-        pm |= np.where(s_codes[:, j : j + 1] == l_codes, bits[j], np.uint64(0))
-    full = np.left_shift(np.uint64(1), n.astype(np.uint64)) - np.uint64(1)
-    lcs_full = _lcs_passes(pm, full, n, m, 0, mmax)[-1]
-    r = _ratio_arr(lcs_full, n + m)
-    same = (n == m) & (lcs_full == n)
-    q = m / n
-    need = np.flatnonzero((q >= PARTIAL_MIN_LEN_RATIO) & ~same & (lcs_full > 0))
-    res = r.copy()
-    if len(need):
-        best = _partial_batch(pm[need], full[need], n[need], m[need])
-        scale = np.where(q[need] <= LONG_LEN_RATIO, PARTIAL_SCALE, LONG_PARTIAL_SCALE)
-        res[need] = np.maximum(r[need], best * scale)
-    res[same] = 100.0
-    out[idx] = res
+    classes: dict[int, list[int]] = {}
+    for k, (x, y) in enumerate(zip(a, b)):
+        if isinstance(x, str) and isinstance(y, str):
+            if x == y:
+                out[k] = 100.0 if x else 0.0
+            elif not x or not y:
+                out[k] = 0.0
+            else:
+                classes.setdefault(1 << (max(0, -(-min(len(x), len(y)) // 64) - 1)).bit_length(), []).append(k)
+    for words, rows in classes.items():
+        rows.sort(key=lambda k: max(len(a[k]), len(b[k])))
+        at = 0
+        while at < len(rows):
+            end, cells = at, 0
+            while end < len(rows) and (end == at or cells + words * max(len(a[rows[end]]), len(b[rows[end]])) <= BATCH_CELLS):
+                cells += words * max(len(a[rows[end]]), len(b[rows[end]]))
+                end += 1
+            part = rows[at:end]
+            short = [a[k] if len(a[k]) <= len(b[k]) else b[k] for k in part]
+            long = [b[k] if len(a[k]) <= len(b[k]) else a[k] for k in part]
+            out[part] = _wratio_class(short, long, words)
+            at = end
     return out
 
 
+def wratio_bound(common: np.ndarray, la: np.ndarray, lb: np.ndarray) -> np.ndarray:
+    """Upper bound of WRatio from the number of characters that two strings have in common
+    (with multiplicity): the LCS of strings or windows is no longer than that."""
+    n, m = np.minimum(la, lb), np.maximum(la, lb)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        whole = 200.0 * common / (n + m)
+        window = 200.0 * common / (n + common)
+        q = m / n
+        scale = np.where(q < PARTIAL_MIN_LEN_RATIO, 0.0, np.where(q <= LONG_LEN_RATIO, PARTIAL_SCALE, LONG_PARTIAL_SCALE))
+        bound = np.maximum(whole, scale * window)
+    return np.where((n == 0) | (common == 0), 0.0, bound)
+
+
 @pandas_udf(T.DoubleType())
 def wratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(wratio_batch(a, b), dtype="float64")

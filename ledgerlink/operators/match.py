@@ -1,36 +1,39 @@
-"""Candidate generation: exact/alias equi-join and blocked fuzzy top-k.
-
-Fuzzy plan (lossless blocking)
-------------------------------
-A vendor key and a lookup key with no character in common score exactly 0, so
-only pairs sharing a character can have a positive score.  Both sides are
-exploded to (character, row) and equi-joined on the character; a pair sharing
-several characters is kept once, through its smallest shared character.
-
-Zero-score pairs can still be top-k members (ties go to lookup order), and only
-the first k lookup entries can be such members.  Those k entries and every
-vendor carry an extra pseudo character '' so the same join emits them; no
-union and no cross join is needed.
-
-The lookup side is a dimension: it is broadcast after a size check, so pairs
-are produced where the vendor row lives, and the top-k window is pre-limited
-before its exchange (WindowGroupLimit: at most k rows per vendor and task are
-shuffled).
-Above the bound the join shuffles on (character, salt): each vendor gets one
-salt, each lookup row is replicated over all salts, which splits hot characters.
+"""Candidate generation: exact/alias equi-join and exact, pruned fuzzy top-k.
+
+Fuzzy plan
+----------
+WRatio is bounded from above by the number of characters two keys have in
+common.  For an Arrow batch of vendor keys the bounds against all lookup keys
+are one sum of minima of character counts; only pairs whose bound reaches the
+vendor's k-th best score so far are scored, best bounds first.  So the top-k is
+exact (ties by lookup order) while few pairs are scored, and pairs never become
+rows: a bounded lookup (rows and bytes are checked) goes to the workers once.
+
+A larger lookup is dealt into chunks and the vendors into buckets; each
+(chunk, bucket) group yields k keys a vendor, and a window merges them.  A key
+beaten inside its chunk is beaten overall, so this is exact too.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 
-from ledgerlink.functions.similarity import wratio_col
-from ledgerlink.functions.text import chars
+from ledgerlink.functions.similarity import wratio_batch, wratio_bound
 from ledgerlink.operators.lookup import ORDER_COLS
-from ledgerlink.session import DEFAULT_BROADCAST_BYTES, DEFAULT_BROADCAST_ROWS
 
-HEAD_CHAR = ""  # pseudo character shared by every vendor and the first k lookup entries
+#: A lookup of at most this size is worked on whole in each worker.
+INDEX_ROWS, INDEX_BYTES = 50_000, 32 * 1024 * 1024
+CHUNK_ROWS = 20_000
+#: Vendor rows x lookup rows of bounds held at once.
+BOUND_CELLS = 2_000_000
+ATTRIBUTES = ["institution_id", "canonical_name", "match_text", "match_source", "keywords", "negative_keywords"]
 
 
 def scoring_partitions(df: DataFrame) -> int:
@@ -39,92 +42,197 @@ def scoring_partitions(df: DataFrame) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
-def lookup_fits(lookup: DataFrame, max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> bool:
-    """One job: do the lookup and its exploded character table both fit the broadcast bound?"""
-    r = lookup.limit(max_broadcast_rows + 1).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.size(chars("key")) + 1).alias("nc"),
-        F.sum(F.octet_length(F.to_json(F.struct(*lookup.columns))) * (F.size(chars("key")) + 1)).alias("b"),
-    ).first()
-    return (r["n"] <= max_broadcast_rows and (r["nc"] or 0) <= max_broadcast_rows
-            and (r["b"] or 0) <= DEFAULT_BROADCAST_BYTES)
-
-
-def exact_alias(vkeys: DataFrame, lookup: DataFrame, key_col: str = "vkey", small: bool | None = None,
-                max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+class FuzzyIndex:
+    """Lookup keys in lookup order, with their character counts."""
+
+    def __init__(self, keys: list[str]):
+        self.keys = np.array(keys, dtype=object)
+        self.lens = np.array([len(k) for k in keys], dtype=np.int64)
+        self.column = {c: i for i, c in enumerate(sorted({c for k in keys for c in k}))}
+        self.counts = self._counts(keys)
+
+    def _counts(self, keys: list[str]) -> np.ndarray:
+        out = np.zeros((len(self.column), len(keys)), dtype=np.int32)
+        for r, k in enumerate(keys):
+            for c in k:
+                i = self.column.get(c)
+                if i is not None:
+                    out[i, r] += 1
+        return out
+
+    def bounds(self, vkeys: list[str]) -> np.ndarray:
+        """Upper bounds, vendors x lookup keys."""
+        common = np.zeros((len(vkeys), len(self.keys)), dtype=np.int32)
+        for mine, theirs in zip(self._counts(vkeys), self.counts):
+            has = np.flatnonzero(mine)
+            if len(has):
+                common[has] += np.minimum(mine[has][:, None], theirs[None])
+        return wratio_bound(common, np.array([len(v) for v in vkeys], dtype=np.int64)[:, None], self.lens[None])
+
+    def _score(self, vkeys: list[str], bound: np.ndarray, score: np.ndarray, todo: np.ndarray) -> int:
+        rows, cols = np.nonzero(todo)
+        score[rows, cols] = wratio_batch([vkeys[r] for r in rows], self.keys[cols])
+        return len(rows)
+
+    def topk(self, vkeys: list[str], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Positions and scores of the k best keys of each vendor (-1, nan beyond the
+        lookup's size), and how many pairs were scored for each."""
+        step = max(1, BOUND_CELLS // max(1, len(self.keys)))
+        if len(vkeys) > step:
+            parts = [self.topk(vkeys[a : a + step], k) for a in range(0, len(vkeys), step)]
+            return tuple(np.concatenate(x) for x in zip(*parts))
+        size, kk = len(self.keys), min(k, len(self.keys))
+        pos, got, scored = np.full((len(vkeys), k), -1), np.full((len(vkeys), k), np.nan), np.zeros(len(vkeys), np.int64)
+        if not size or not vkeys:
+            return pos, got, scored
+        bound = self.bounds(vkeys)
+        score = np.where(bound == 0, 0.0, -1.0)  # nothing in common scores 0
+        width = kk
+        while True:
+            kth = np.partition(score, size - kk, axis=1)[:, size - kk]
+            todo = (score < 0) & (bound >= kth[:, None] - 1e-9)
+            rows = np.flatnonzero(todo.any(axis=1))
+            if not len(rows):
+                break
+            open_ = np.where(todo[rows], bound[rows], -1.0)
+            if width < size:
+                cut = np.partition(open_, size - width, axis=1)[:, size - width]
+                open_[open_ < cut[:, None]] = -1.0
+            pick = np.zeros_like(todo)
+            pick[rows] = open_ > 0
+            self._score(vkeys, bound, score, pick)
+            scored += pick.sum(axis=1)
+            width += kk
+        best = np.argsort(-score, axis=1, kind="stable")[:, :kk]  # ties in lookup order
+        pos[:, :kk], got[:, :kk] = best, np.take_along_axis(score, best, axis=1)
+        return pos, got, scored
+
+    def above(self, vkeys: list[str], floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """(vendor, position, score) of every pair at or above ``floor``, and pairs scored."""
+        step, out, n = max(1, BOUND_CELLS // max(1, len(self.keys))), [], 0
+        for a in range(0, len(vkeys), step):
+            part = vkeys[a : a + step]
+            bound = self.bounds(part)
+            score = np.full(bound.shape, -1.0)
+            n += self._score(part, bound, score, bound >= floor - 1e-9)
+            r, c = np.nonzero(score >= floor)
+            out.append((r + a, c, score[r, c]))
+        return (*(np.concatenate(x) for x in zip(*out)), n) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0), 0)
+
+
+def lookup_entries(lookup: DataFrame, max_rows: int = INDEX_ROWS, max_bytes: int = INDEX_BYTES) -> pd.DataFrame | None:
+    """The lookup in its order, or None if it exceeds the bounds; at most ``max_rows`` + 1 rows are fetched."""
+    if max_rows <= 0:
+        return None
+    rows = lookup.select("key", *ATTRIBUTES, *ORDER_COLS).limit(max_rows + 1).toPandas()
+    if len(rows) > max_rows or sum(len(x.encode()) for c in ("key", "canonical_name", "match_text", "keywords", "negative_keywords") for x in rows[c].dropna()) > max_bytes:
+        return None
+    return rows.sort_values(ORDER_COLS, kind="stable").reset_index(drop=True)
+
+
+def exact_alias(vkeys: DataFrame, lookup: DataFrame, key_col: str = "vkey", small: bool = False) -> DataFrame:
     """Left join of vendor keys with the lookup on the match key."""
-    lk = lookup.select(
-        F.col("key").alias(key_col), "institution_id", "canonical_name", "match_text", "match_source",
-        "keywords", "negative_keywords",
-    )
-    if small is None:
-        small = lookup_fits(lookup, max_broadcast_rows)
+    lk = lookup.select(F.col("key").alias(key_col), *ATTRIBUTES)
     return vkeys.join(F.broadcast(lk) if small else lk, key_col, "left")
 
 
-def blocked_pairs(
-    vkeys: DataFrame,
-    lookup: DataFrame,
-    k: int = 2,
-    key_col: str = "vkey",
-    max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
-    salt_buckets: int = 32,
-    small: bool | None = None,
-) -> DataFrame:
-    """Every (vendor key, lookup entry) pair sharing a character, plus the head-entry pairs."""
-    head = lookup.orderBy(*ORDER_COLS).limit(k).select("key", F.lit(True).alias("_head"))
-    lk = lookup.join(F.broadcast(head), "key", "left")  # k rows: bounded
-    kc = lk.select(
-        "key",
-        "institution_id",
-        "canonical_name",
-        "match_text",
-        "keywords",
-        "negative_keywords",
-        *ORDER_COLS,
-        F.when(F.col("_head"), F.array_union(chars("key"), F.array(F.lit(HEAD_CHAR)))).otherwise(chars("key")).alias("kchars"),
-    ).withColumn("ch", F.explode("kchars"))
-    # Each vendor fans out into one row per candidate entry and the scoring
-    # UDF runs on those rows, so parallelism must follow the fan-out, not the
-    # (small) number of distinct vendors: an explicit hash repartition on the
-    # key (kept by AQE) spreads the vendors before the join.
-    vkeys = vkeys.repartition(scoring_partitions(vkeys), key_col)
-    vc = vkeys.select(key_col, F.array_union(chars(key_col), F.array(F.lit(HEAD_CHAR))).alias("vchars")).withColumn(
-        "ch", F.explode("vchars")
-    )
-    if small is None:
-        small = lookup_fits(lookup, max_broadcast_rows)
-    if small:
-        joined = vc.join(F.broadcast(kc), "ch")
-    else:
-        vc = vc.withColumn("salt", F.pmod(F.xxhash64(key_col), F.lit(salt_buckets)))
-        kc_rep = kc.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1))))
-        joined = vc.join(kc_rep, ["ch", "salt"]).drop("salt")
-    return joined.where(F.col("ch") == F.array_min(F.array_intersect("vchars", "kchars"))).drop("vchars", "kchars", "ch")
-
-
-def fuzzy_topk(
-    vkeys: DataFrame,
-    lookup: DataFrame,
-    k: int = 2,
-    key_col: str = "vkey",
-    max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
-    salt_buckets: int = 32,
-    small: bool | None = None,
-) -> DataFrame:
+_CANDIDATE = "struct<score:double,match_text:string,canonical_name:string,institution_id:bigint,keywords:string,negative_keywords:string>"
+
+
+def top2_columns(entries: pd.DataFrame, vkey: Column, skip: Column) -> dict[str, Column]:
+    """Columns t1 and t2 (candidate structs, null when absent) for a bounded lookup; rows
+    with ``skip`` get none.  One Arrow pass beside the other columns."""
+    index, attrs = FuzzyIndex(entries["key"].tolist()), entries[["match_text", "canonical_name", "institution_id", "keywords", "negative_keywords"]]
+    fields = ["score", *attrs.columns]
+    schema = T.StructType([T.StructField(f"{f}_{r}", T.DoubleType() if f == "score" else T.LongType() if f == "institution_id" else T.StringType()) for r in (1, 2) for f in fields])
+
+    @pandas_udf(schema)
+    def top2(keys: pd.Series) -> pd.DataFrame:
+        full = np.flatnonzero(keys.notna().to_numpy())
+        labels, distinct = pd.factorize(keys.iloc[full])
+        pos, score, _ = index.topk(list(distinct), 2)
+        out = {}
+        for r in (0, 1):
+            p = np.full(len(keys), -1)
+            p[full] = pos[labels, r] if len(full) else -1
+            s = np.full(len(keys), np.nan)
+            s[full] = score[labels, r] if len(full) else np.nan
+            out[f"score_{r + 1}"] = pd.array(np.where(p >= 0, s, 0.0), dtype="Float64")
+            out[f"score_{r + 1}"][p < 0] = pd.NA
+            for f in attrs.columns:
+                values = np.empty(len(keys), dtype=object)
+                values[p >= 0] = attrs[f].to_numpy(dtype=object)[p[p >= 0]]
+                values[[x is None or x != x for x in values]] = None
+                out[f"{f}_{r + 1}"] = pd.array([pd.NA if x is None else int(x) for x in values], dtype="Int64") if f == "institution_id" else pd.Series(values, dtype=object)
+        return pd.DataFrame(out)
+
+    t = top2(F.when(~skip, vkey))
+    return {f"t{r}": F.when(t[f"score_{r}"].isNotNull(), F.struct(*[t[f"{f}_{r}"].alias(f) for f in fields])).cast(_CANDIDATE) for r in (1, 2)}
+
+
+def _grouped(vkeys: DataFrame, lookup: DataFrame, key_col: str, chunk_rows: int, score, schema: str) -> DataFrame:
+    """``score(vendor keys, FuzzyIndex)`` over lookup chunks x vendor buckets."""
+    chunks = max(1, math.ceil(lookup.count() / chunk_rows))
+    buckets = scoring_partitions(vkeys)
+    lk = lookup.select("key", *ORDER_COLS).withColumn("_chunk", F.pmod(F.xxhash64("key"), F.lit(chunks))).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
+    vk = vkeys.select(key_col).withColumn("_b", F.pmod(F.xxhash64(key_col), F.lit(buckets))).withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        right = right.sort_values(ORDER_COLS, kind="stable")
+        return score(left[key_col].tolist(), FuzzyIndex(right["key"].tolist()))
+
+    return vk.groupBy("_chunk", "_b").cogroup(lk.groupBy("_chunk", "_b")).applyInPandas(run, schema)
+
+
+def _ranked(keys: list[str], index: FuzzyIndex, k: int, key_col: str) -> pd.DataFrame:
+    pos, score, scored = index.topk(keys, k)
+    r, c = np.nonzero(pos >= 0)
+    return pd.DataFrame({key_col: np.array(keys, dtype=object)[r], "rank": (c + 1).astype("int32"), "key": index.keys[pos[r, c]], "score": score[r, c], "scored": scored[r]})
+
+
+def _keys_in_batches(vkeys: DataFrame, entries: pd.DataFrame, key_col: str, score, schema: str) -> DataFrame:
+    index = FuzzyIndex(entries["key"].tolist())
+
+    def run(batches):
+        for b in batches:
+            if len(b):
+                yield score(b[key_col].tolist(), index)
+
+    return vkeys.select(key_col).repartition(scoring_partitions(vkeys), key_col).mapInPandas(run, schema)
+
+
+def fuzzy_topk(vkeys: DataFrame, lookup: DataFrame, k: int = 2, key_col: str = "vkey", max_index_rows: int = INDEX_ROWS,
+               chunk_rows: int = CHUNK_ROWS, with_scored: bool = False) -> DataFrame:
     """Top-k lookup entries per vendor key by WRatio, ties by lookup order.
 
-    Columns: key_col, rank, key, institution_id, canonical_name, match_text, keyword lists, score.
+    Columns: key_col, rank, key, institution_id, canonical_name, match_text, keyword lists, score
+    (and ``scored``: the pairs scored for the vendor where it was found).
     """
-    pairs = blocked_pairs(vkeys, lookup, k, key_col, max_broadcast_rows, salt_buckets, small)
-    scored = pairs.withColumn("score", wratio_col(F.col(key_col), F.col("key")))
-    w = Window.partitionBy(key_col).orderBy(F.col("score").desc(), *ORDER_COLS)
-    return (
-        scored.withColumn("rank", F.row_number().over(w))
-        .where(F.col("rank") <= k)
-        .select(key_col, "rank", "key", "institution_id", "canonical_name", "match_text", "keywords",
-                "negative_keywords", "score")
-    )
+    schema = f"{key_col} string, rank int, key string, score double, scored long"
+    entries = lookup_entries(lookup, max_index_rows)
+    attrs = lookup.select("key", "institution_id", "canonical_name", "match_text", "keywords", "negative_keywords", *ORDER_COLS)
+    if entries is not None:
+        top = _keys_in_batches(vkeys, entries, key_col, lambda keys, index: _ranked(keys, index, k, key_col), schema)
+        out = top.join(F.broadcast(attrs), "key")
+    else:
+        found = _grouped(vkeys, lookup, key_col, chunk_rows, lambda keys, index: _ranked(keys, index, k, key_col), schema).drop("rank")
+        w = Window.partitionBy(key_col).orderBy(F.col("score").desc(), *ORDER_COLS)
+        out = found.join(attrs, "key").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return out.select(key_col, "rank", "key", "institution_id", "canonical_name", "match_text", "keywords", "negative_keywords", "score", *["scored"] * with_scored)
+
+
+def fuzzy_pairs(vkeys: DataFrame, lookup: DataFrame, floor: float, key_col: str = "vkey", max_index_rows: int = INDEX_ROWS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Every (vendor key, lookup key) pair with a WRatio of at least ``floor``: key_col, key, score."""
+    schema = f"{key_col} string, key string, score double"
+
+    def score(keys: list[str], index: FuzzyIndex) -> pd.DataFrame:
+        r, c, s, _ = index.above(keys, floor)
+        return pd.DataFrame({key_col: np.array(keys, dtype=object)[r], "key": index.keys[c], "score": s})
+
+    entries = lookup_entries(lookup, max_index_rows)
+    if entries is not None:
+        return _keys_in_batches(vkeys, entries, key_col, score, schema)
+    return _grouped(vkeys, lookup, key_col, chunk_rows, score, schema)
 
 
 def top2_pivot(topk: DataFrame, key_col: str = "vkey") -> DataFrame:

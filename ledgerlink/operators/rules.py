@@ -60,10 +60,6 @@ def record_sql(**fields) -> str:
     return "named_struct(" + ", ".join(parts) + ")"
 
 
-def copy_record_sql(res: str, **overrides) -> str:
-    return record_sql(**{f.name: overrides.get(f.name, f"{res}.{f.name}") for f in RESULT_STRUCT.fields})
-
-
 def no_vendor_record_sql() -> str:
     return record_sql(normalization_method="'UNRESOLVED'", review_status="'NEEDS_REVIEW'", reason="'No vendor value'")
 
@@ -125,52 +121,6 @@ def fast_record(threshold: float) -> Column:
     return F.expr(fast_record_sql(threshold))
 
 
-def veto_sql(res: str, context: str, negative_keywords: str, parsed: bool = False) -> str:
-    """R5: a FUZZY + AUTO record whose context holds a negative keyword goes to review.
-
-    Method, institution and scores are kept.  ``negative_keywords`` is the CSV
-    string of the record's institution, or (``parsed``) its keyword array.
-    """
-    kws = negative_keywords if parsed else keyword_list_sql(negative_keywords)
-    hits = keyword_hits_sql(context, kws)
-    fire = (
-        f"{res}.normalization_method = 'FUZZY' AND {res}.review_status = 'AUTO' "
-        f"AND {negative_keywords} IS NOT NULL AND size({hits}) > 0"
-    )
-    vetoed = copy_record_sql(
-        res,
-        review_status="'NEEDS_REVIEW'",
-        reason=f"concat('[Safeguard] fuzzy auto-confirmed ''', {res}.canonical_institution, "
-        f"''' but the context holds negative keywords ', {render_list_sql(hits)}, '; sent to review')",
-    )
-    return f"CASE WHEN {fire} THEN {vetoed} ELSE {res} END"
-
-
-def rerank_sql(context: str, keywords: str, negative_keywords: str, score: str, margin: str,
-               floor: float, min_margin: float, parsed: bool = False) -> tuple[str, str]:
-    """R3 (first matching rule wins) -> (confirmed, reason) SQL.
-
-    ``keywords``/``negative_keywords`` are CSV strings, or (``parsed``) keyword arrays.
-    """
-    neg = keyword_hits_sql(context, negative_keywords if parsed else keyword_list_sql(negative_keywords))
-    pos = keyword_hits_sql(context, keywords if parsed else keyword_list_sql(keywords))
-    fl, mm = sql_lit(float(floor)), sql_lit(float(min_margin))
-    r_neg = f"size({neg}) > 0"
-    r_margin = f"({margin}) IS NOT NULL AND ({margin}) < {mm}"
-    r_ok = f"size({pos}) > 0 AND {score} >= {fl}"
-    confirmed = f"CASE WHEN {r_neg} THEN false WHEN {r_margin} THEN false ELSE ({r_ok}) END"
-    reason = (
-        f"CASE WHEN {r_neg} THEN concat('Negative keywords ', {render_list_sql(neg)}, ' in context; auto-confirm refused') "
-        f"WHEN {r_margin} THEN format_string('Top1/top2 margin %.3f < threshold %.2f; candidates too close, review needed', {margin}, {mm}) "
-        f"WHEN {r_ok} THEN concat(format_string('Embedding %.3f >= threshold %.2f and keywords ', {score}, {fl}), "
-        f"{render_list_sql(pos)}, ' in context; auto-normalized') "
-        f"ELSE concat(format_string('Embedding %.3f, keywords ', {score}), "
-        f"CASE WHEN size({pos}) > 0 THEN {render_list_sql(pos)} ELSE 'none' END, "
-        "'; auto-confirm conditions not met, review needed') END"
-    )
-    return confirmed, reason
-
-
 # ---------------------------------------------------------------------------
 # Row-level form used by resolve(): everything that depends on the vendor only
 # (keyword arrays, scores, margin and floor tests, formatted reason prefixes)

@@ -4,7 +4,7 @@ the top-k owners (ties by index order).
 Exact brute force is inherent in the semantics (every query against every index
 text), so the scores are never materialised as pair rows.  Two plans:
 
-* bounded index (row count checked): the index is shipped once to every
+* bounded index (rows and bytes checked): the index is shipped once to every
   executor as a NumPy matrix; ``mapInPandas`` scores an Arrow batch of queries
   with one matrix product and keeps k owners per query;
 * larger index: queries are hashed into ``query_buckets`` and index rows into
@@ -30,8 +30,9 @@ from pyspark.sql import types as T
 from ledgerlink.operators.lookup import ORDER_COLS
 
 SCORE_DECIMALS = 10
-# 50,000 index rows x 128 float64 dims = 51 MB shipped once per executor.
+# An index within both bounds is shipped once per executor (50,000 rows x 128 float64 dims = 51 MB).
 DEFAULT_INDEX_BROADCAST_ROWS = 50_000
+INDEX_BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 SCORE_CELLS = 8_000_000  # query rows x index rows scored at once (64 MB of float64)
@@ -127,13 +128,13 @@ def vector_topk(
             index = index.withColumn(c, F.lit(None).cast("string"))
     icols = ["institution_id", "canonical_name", "text", "keywords", "negative_keywords", *ORDER_COLS, vec_col]
     index = index.select(*icols)
-    # One job: fetch at most max_broadcast_rows + 1 rows; more means the index is large.
-    ipdf = index.orderBy(*ORDER_COLS).limit(max_broadcast_rows + 1).toPandas()
-    n_index = len(ipdf)
-    if n_index == 0:
+    # The size is known before anything is fetched: at most max_broadcast_rows + 1 rows are looked at.
+    seen = index.select(F.size(vec_col).alias("d")).limit(max_broadcast_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("d")).first()
+    if seen["n"] == 0:
         return queries.sparkSession.createDataFrame([], schema)
 
-    if n_index <= max_broadcast_rows:
+    if seen["n"] <= max_broadcast_rows and 8 * seen["n"] * (seen["d"] or 0) <= INDEX_BROADCAST_BYTES:
+        ipdf = index.toPandas().sort_values(ORDER_COLS, kind="stable").reset_index(drop=True)
         mat = np.vstack([np.asarray(v, dtype=np.float64) for v in ipdf[vec_col]])
         owners = ipdf["institution_id"].to_numpy()
         meta = ipdf.drop(columns=[vec_col])
@@ -154,13 +155,13 @@ def vector_topk(
         return q.repartition(scoring_partitions(q), query_id).mapInPandas(score_batches, schema)
 
     # Large index: blocked brute force without a driver round trip.
-    del ipdf
+    # Only ids, order and vectors are copied to the buckets; names and keywords join the winners.
     n_index = index.count()
     chunks = max(1, math.ceil(n_index / chunk_rows))
     # each (chunk, bucket) group holds at most ~chunk_rows index rows and
     # ~query_rows_per_group queries, whatever the number of distinct queries
     query_buckets = max(query_buckets, math.ceil(queries.count() / query_rows_per_group))
-    ic = index.withColumn("_chunk", F.pmod(F.xxhash64(*ORDER_COLS), F.lit(chunks))).withColumn(
+    ic = index.select("institution_id", *ORDER_COLS, vec_col).withColumn("_chunk", F.pmod(F.xxhash64(*ORDER_COLS), F.lit(chunks))).withColumn(
         "_qb", F.explode(F.sequence(F.lit(0), F.lit(query_buckets - 1)))
     )
     qc = (
@@ -169,17 +170,27 @@ def vector_topk(
         .withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
     )
 
+    slim = T.StructType([f for f in schema.fields if f.name in (query_id, "rank", "institution_id", "score", *ORDER_COLS)])
+
     def score_group(qpdf: pd.DataFrame, ipdf: pd.DataFrame) -> pd.DataFrame:
         if len(qpdf) == 0 or len(ipdf) == 0:
-            return pd.DataFrame({f.name: [] for f in schema.fields})
+            return pd.DataFrame({f.name: pd.Series([], dtype=object) for f in slim.fields})
         ipdf = ipdf.sort_values(ORDER_COLS, kind="stable").reset_index(drop=True)
         mat = np.vstack([np.asarray(v, dtype=np.float64) for v in ipdf[vec_col]])
         q = np.vstack([np.asarray(v, dtype=np.float64) for v in qpdf[vec_col]])
         pos, sc = _topk_owners(q, mat, ipdf["institution_id"].to_numpy(), k)
-        return _emit(qpdf[query_id].to_numpy(), pos, sc, ipdf.drop(columns=[vec_col]), query_id, k)
-
-    per_chunk = qc.groupBy("_chunk", "_qb").cogroup(ic.groupBy("_chunk", "_qb")).applyInPandas(score_group, schema)
+        rows, ranks = np.nonzero(pos >= 0)
+        at = pos[rows, ranks]
+        out = {query_id: qpdf[query_id].to_numpy()[rows], "rank": (ranks + 1).astype("int32"), "institution_id": ipdf["institution_id"].to_numpy()[at], "score": sc[rows, ranks]}
+        out |= {c: ipdf[c].to_numpy()[at] for c in ORDER_COLS}
+        out["ord_alias"] = out["ord_alias"].astype("int32")
+        return pd.DataFrame(out)[[f.name for f in slim.fields]]
+
+    per_chunk = qc.groupBy("_chunk", "_qb").cogroup(ic.groupBy("_chunk", "_qb")).applyInPandas(score_group, slim)
     w_owner = Window.partitionBy(query_id, "institution_id").orderBy(F.col("score").desc(), *ORDER_COLS)
     best = per_chunk.withColumn("_r", F.row_number().over(w_owner)).where("_r = 1").drop("_r")
     w = Window.partitionBy(query_id).orderBy(F.col("score").desc(), *ORDER_COLS)
-    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(*[f.name for f in schema.fields])
+    won = best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    names = index.select(*[F.col(c).alias(f"_{c}") for c in ORDER_COLS], "canonical_name", F.col("text").alias("matched_text"), "keywords", "negative_keywords")
+    named = won.join(names, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ORDER_COLS])
+    return named.select(*[f.name for f in schema.fields])

@@ -304,6 +304,51 @@ def _eval_result(variant: str) -> list[str]:
     ]
 
 
+def _rerank_confirm_sql() -> str:
+    """The cascade with vectors from a table, reasons included."""
+    from ledgerlink.plans.queries import AXES, RERANK_ROWS, VENDOR_VECTORS
+
+    vecs = ", ".join(f"({lit(t)}, {v}::DOUBLE[])" for t, v in AXES + VENDOR_VECTORS)
+    more = ", ".join(f"({k}, {lit(v)}, {lit(c)})" for k, (v, c) in enumerate(RERANK_ROWS))
+    fl, mm = repr(float(EMBEDDING_FLOOR)), repr(float(MIN_SCORE_MARGIN))
+    neg, pos, margin = hits("u.context_text", "m.negative_keywords"), hits("u.context_text", "m.keywords"), "(c.s1 - c.s2)"
+    ok = f"len({neg}) = 0 AND NOT coalesce({margin} < {mm}, false) AND len({pos}) > 0 AND c.s1 >= {fl}"
+    why = (
+        "CASE WHEN u.context_text IS NULL THEN printf('Embedding top1=%.3f, top2=%.3f', c.s1, c.s2) || '; no context to rerank with, review needed' "
+        f"WHEN len({neg}) > 0 THEN '[Context rerank] Negative keywords [' || array_to_string({neg}, ', ') || '] in context; auto-confirm refused' "
+        f"WHEN {margin} < {mm} THEN printf('[Context rerank] Top1/top2 margin %.3f < threshold %.2f; candidates too close, review needed', {margin}, {mm}) "
+        f"WHEN {ok} THEN printf('[Context rerank] Embedding %.3f >= threshold %.2f and keywords [', c.s1, {fl}) || array_to_string({pos}, ', ') || '] in context; auto-normalized' "
+        f"ELSE printf('[Context rerank] Embedding %.3f, keywords ', c.s1) || CASE WHEN len({pos}) > 0 THEN '[' || array_to_string({pos}, ', ') || ']' ELSE 'none' END "
+        "|| '; auto-confirm conditions not met, review needed' END"
+    )
+    return with_(
+        eval_cte(), seed_master_cte(), f"more(k, vendor, context_text) AS (VALUES {more})",
+        "allrows AS (SELECT voucher_no, vendor, context_text FROM ev UNION ALL SELECT 'S' || CAST(s_suppkey AS VARCHAR), o.vendor, o.context_text "
+        f"FROM supplier JOIN more o ON s_suppkey % {len(RERANK_ROWS)} = o.k)",
+        lookup_cte(), fast_cte("SELECT vendor FROM allrows", FUZZY_AUTO_THRESHOLD),
+        "er0 AS (SELECT e.*, f.* EXCLUDE (vendor) FROM allrows e LEFT JOIN fast f ON e.vendor = f.vendor)", veto_cte("er0"),
+        f"tv(t, v) AS (VALUES {vecs})",
+        "vidx AS (SELECT e.*, coalesce(tv.v, [0.0, 0.0, 0.0, 0.0]::DOUBLE[]) AS v FROM entries e LEFT JOIN tv ON e.text = tv.t)",
+        "vq AS (SELECT q, coalesce(tv.v, [0.0, 0.0, 0.0, 0.0]::DOUBLE[]) AS v FROM (SELECT DISTINCT vendor AS q FROM vetoed WHERE normalization_method = 'UNRESOLVED') LEFT JOIN tv ON q = tv.t)",
+        "vs AS (SELECT vq.q, i.institution_id, i.canonical_name, i.text, i.ord_name, i.ord_alias, i.ord_alias_id, "
+        "round(CASE WHEN list_dot_product(vq.v, vq.v) = 0 OR list_dot_product(i.v, i.v) = 0 THEN 0.0 ELSE list_cosine_similarity(vq.v, i.v) END, 10) AS score FROM vq CROSS JOIN vidx i)",
+        "vbest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q, institution_id ORDER BY score DESC, ord_name, ord_alias, ord_alias_id) AS r1 FROM vs) WHERE r1 = 1)",
+        "vtop AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, ord_name, ord_alias, ord_alias_id) AS rk FROM vbest)",
+        "c AS (SELECT q, max(CASE WHEN rk = 1 THEN score END) AS s1, max(CASE WHEN rk = 1 THEN text END) AS t1, max(CASE WHEN rk = 1 THEN canonical_name END) AS c1, "
+        "max(CASE WHEN rk = 1 THEN institution_id END) AS o1, max(CASE WHEN rk = 2 THEN score END) AS s2, max(CASE WHEN rk = 2 THEN canonical_name END) AS c2 FROM vtop WHERE rk <= 2 GROUP BY q)",
+    ) + (
+        "SELECT u.voucher_no, u.vendor, u.context_text, "
+        "CASE WHEN c.q IS NULL THEN u.normalized_expression ELSE c.t1 END AS normalized_expression, CASE WHEN c.q IS NULL THEN u.canonical_institution ELSE c.c1 END AS canonical_institution, "
+        "CASE WHEN c.q IS NULL THEN u.institution_id ELSE c.o1 END AS institution_id, "
+        "CASE WHEN c.q IS NULL THEN u.normalization_method WHEN u.context_text IS NULL THEN 'EMBEDDING' ELSE 'CONTEXT_RERANK' END AS normalization_method, "
+        "round(CASE WHEN c.q IS NULL THEN u.top1_score ELSE c.s1 END, 6) AS top1_score, CASE WHEN c.q IS NULL THEN u.top2_candidate ELSE c.c2 END AS top2_candidate, "
+        "round(CASE WHEN c.q IS NULL THEN u.top2_score ELSE c.s2 END, 6) AS top2_score, round(CASE WHEN c.q IS NULL THEN u.score_margin ELSE c.s1 - c.s2 END, 6) AS score_margin, "
+        f"CASE WHEN c.q IS NULL THEN u.review_status WHEN u.context_text IS NOT NULL AND {ok} THEN 'AUTO' ELSE 'NEEDS_REVIEW' END AS review_status, "
+        f"CASE WHEN c.q IS NULL THEN u.reason ELSE {why} END AS reason "
+        "FROM vetoed u LEFT JOIN c ON u.normalization_method = 'UNRESOLVED' AND u.vendor = c.q LEFT JOIN master m ON c.o1 = m.institution_id"
+    )
+
+
 def _metrics_sql(src: str) -> str:
     pred = "(CASE WHEN review_status IN ('AUTO', 'HUMAN') THEN canonical_institution END)"
     c = (
@@ -502,12 +547,23 @@ def _oracle_sql() -> dict[str, str]:
         f"FROM (SELECT DISTINCT {mkey('vendor')} AS vkey FROM nv) v CROSS JOIN lookup l)"
     )
     q["fuzzy_scores"] = with_(*pm, pairs, f"sc AS (SELECT vkey, key, {wratio('s_', 'l_')} AS score FROM pp)") + (
-        "SELECT vkey, key, round(score, 6) AS score FROM sc WHERE score > 0"
+        f"SELECT vkey, key, round(score, 6) AS score FROM sc WHERE score >= {FUZZY_AUTO_THRESHOLD}"
     )
     q["fuzzy_top2"] = with_(
         *pm, pairs, f"sc AS (SELECT *, {wratio('s_', 'l_')} AS score FROM pp)",
         "rk AS (SELECT *, row_number() OVER (PARTITION BY vkey ORDER BY score DESC, ord_name, ord_alias, ord_alias_id) AS rank FROM sc)",
     ) + "SELECT vkey, CAST(rank AS INTEGER) AS rank, key, institution_id, round(score, 6) AS score FROM rk WHERE rank <= 2"
+    wide = (
+        "master AS (SELECT CAST(p_partkey AS BIGINT) AS institution_id, p_name || ' ' || CAST(p_partkey AS VARCHAR) AS canonical_name, 'OTHER' AS institution_type, "
+        "CAST(NULL AS VARCHAR) AS english_name, CAST(NULL AS VARCHAR) AS keywords, CAST(NULL AS VARCHAR) AS negative_keywords, TRUE AS active FROM part), "
+        "alias AS (SELECT CAST(NULL AS BIGINT) AS alias_id, CAST(NULL AS BIGINT) AS institution_id, CAST(NULL AS VARCHAR) AS alias_text, "
+        "CAST(NULL AS VARCHAR) AS alias_type, FALSE AS active WHERE FALSE)"
+    )
+    wide_pairs = pairs.replace(f"SELECT DISTINCT {mkey('vendor')} AS vkey FROM nv", f"SELECT DISTINCT {mkey('substr(p_name, 2) || CAST(s_suppkey AS VARCHAR)')} AS vkey FROM supplier JOIN part ON s_suppkey = p_partkey")
+    q["fuzzy_wide_lookup"] = with_(
+        wide, lookup_cte(), wide_pairs, f"sc AS (SELECT *, {wratio('s_', 'l_')} AS score FROM pp)",
+        "rk AS (SELECT *, row_number() OVER (PARTITION BY vkey ORDER BY score DESC, ord_name, ord_alias, ord_alias_id) AS rank FROM sc)",
+    ) + "SELECT vkey, CAST(rank AS INTEGER) AS rank, key, institution_id, round(score, 6) AS score FROM rk WHERE rank <= 2"
     q["fuzzy_high_cardinality"] = with_(*pm, fast_cte("SELECT vendor FROM nv", FUZZY_AUTO_THRESHOLD)) + (
         f"SELECT n.p_partkey, n.vendor, n.true_label, {RESULT_COLS} FROM nv n LEFT JOIN fast f ON n.vendor = f.vendor"
     )
@@ -526,6 +582,7 @@ def _oracle_sql() -> dict[str, str]:
         "rk AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, 'label_' || CAST(owner AS VARCHAR), ivec) AS rank FROM best)"
     )
     q["vector_top2_by_owner"] = f"WITH {emb} SELECT vec_id, CAST(rank AS INTEGER) AS rank, CAST(owner AS BIGINT) AS owner, ivec AS best_vec_id, round(score, 6) AS score FROM rk WHERE rank <= 2"
+    q["vector_top2_blocked"] = q["vector_top2_by_owner"]
     q["score_margin"] = f"WITH {emb} " + (
         "SELECT vec_id, CAST(max(CASE WHEN rank = 1 THEN owner END) AS BIGINT) AS top1_owner, round(max(CASE WHEN rank = 1 THEN score END), 6) AS top1_score, "
         "CAST(max(CASE WHEN rank = 2 THEN owner END) AS BIGINT) AS top2_owner, round(max(CASE WHEN rank = 2 THEN score END), 6) AS top2_score, "
@@ -594,6 +651,7 @@ def _oracle_sql() -> dict[str, str]:
         "round(top1_score, 6) AS top1_score, top2_candidate, round(top2_score, 6) AS top2_score, round(score_margin, 6) AS score_margin, "
         "review_status FROM er"
     )
+    q["rerank_confirm"] = _rerank_confirm_sql()
     q["result_preview"] = with_(*jf) + (
         "SELECT detected_expression, context_text, canonical_institution, normalization_method, round(top1_score, 6) AS top1_score, "
         "top2_candidate, review_status, reason FROM (SELECT DISTINCT vendor AS detected_expression, context_text, canonical_institution, "

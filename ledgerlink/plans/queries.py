@@ -17,12 +17,11 @@ from ledgerlink.operators import evaluate as E
 from ledgerlink.operators import review as RV
 from ledgerlink.operators import stats as S
 from ledgerlink.operators.lookup import add_aliases, add_institutions, build_lookup, master_with_aliases, seed_if_absent, set_active
-from ledgerlink.operators.match import blocked_pairs, fuzzy_topk
+from ledgerlink.operators.match import fuzzy_pairs, fuzzy_topk
 from ledgerlink.operators.vector import vector_topk
 from ledgerlink.functions.encoder import PrecomputedEncoder
-from ledgerlink.functions.similarity import wratio_col
 from ledgerlink.plans.resolve import resolve
-from ledgerlink.schema import DECISION_SCHEMA, RESULT_FIELDS
+from ledgerlink.schema import ALIAS_SCHEMA, DECISION_SCHEMA, FUZZY_AUTO_THRESHOLD, RESULT_FIELDS
 from ledgerlink.session import read_table
 from ledgerlink.sources.journal import (
     COMPANY_LIST,
@@ -161,11 +160,25 @@ def _part_keys(spark, sf_dir):
 
 
 def q_fuzzy_scores(spark, sf_dir):
-    """Every (vendor key, part-name key) pair with a positive WRatio (blocked join)."""
+    """Every (vendor key, part-name key) pair at or above the automatic threshold (90)."""
     _m, _a, lk, v = _part_keys(spark, sf_dir)
-    keys = v.select("vkey").distinct()
-    p = blocked_pairs(keys, lk, k=2, key_col="vkey").withColumn("score", wratio_col("vkey", "key"))
-    return p.where("score > 0").select("vkey", "key", r6("score").alias("score"))
+    return fuzzy_pairs(v.select("vkey").distinct(), lk, FUZZY_AUTO_THRESHOLD).select("vkey", "key", r6("score").alias("score"))
+
+
+def _wide_lookup(spark, sf_dir):
+    """Thousands of distinct names: a part's name with its key."""
+    p = read_table(spark, sf_dir, "part")
+    name = F.concat(F.col("p_name"), F.lit(" "), F.col("p_partkey").cast("string"))
+    m = p.select(F.col("p_partkey").cast("long").alias("institution_id"), name.alias("canonical_name"), F.lit("OTHER").alias("institution_type"),
+                 *[F.lit(None).cast("string").alias(c) for c in ("english_name", "keywords", "negative_keywords")], F.lit(True).alias("active"))
+    return build_lookup(m, spark.createDataFrame([], ALIAS_SCHEMA))
+
+
+def q_fuzzy_wide_lookup(spark, sf_dir):
+    """Top-2 of every supplier name with a part name against one name a part."""
+    s = read_table(spark, sf_dir, "supplier").join(read_table(spark, sf_dir, "part").select("p_partkey", "p_name"), F.col("s_suppkey") == F.col("p_partkey"))
+    keys = s.select(match_key(F.concat(F.substring("p_name", 2, 100), F.col("s_suppkey").cast("string"))).alias("vkey")).distinct()
+    return fuzzy_topk(keys, _wide_lookup(spark, sf_dir), 2, "vkey").select("vkey", "rank", "key", "institution_id", r6("score").alias("score"))
 
 
 def q_fuzzy_top2(spark, sf_dir):
@@ -203,6 +216,43 @@ def q_rerank_rules(spark, sf_dir):
     return _result_view(r, ["voucher_no", "vendor", "context_text"]).drop("reason")
 
 
+# Vectors over the three seeded institutions' axes (fixed values), chosen so that every
+# rerank rule decides some labelled vendor: (text, vector).
+AXES = [("NH농협은행", [1.0, 0.0, 0.0, 0.0]), ("KB국민은행", [0.0, 1.0, 0.0, 0.0]), ("신한은행", [0.0, 0.0, 1.0, 0.0])]
+VENDOR_VECTORS = [
+    ("Nonghyup Bank", [0.99, 0.05, 0.0, 0.1]), ("OO농협", [0.97, 0.1, 0.0, 0.2]), ("농협유통", [0.95, 0.0, 0.1, 0.3]), ("NH투자", [0.9, 0.0, 0.0, 0.44]),
+    ("테스트전자", [0.1, 0.72, 0.7, 0.0]), ("샘플물류", [0.0, 0.3, 0.2, 0.93]), ("가상상사", [0.0, 0.99, 0.1, 0.05]), ("ABC부품", [0.2, 0.1, 0.6, 0.77]),
+    ("외국계", [0.05, 0.98, 0.02, 0.1]),
+]
+# Vendors beside the labelled ones, so that confirmations occur: (vendor, context) (fixed values).
+RERANK_ROWS = [("외국계", "외국계 | 외화 송금 | 외화예금 | 보통예금"), ("외국계", "외국계 | 비품 구매 | 소모품비 | 미지급금"), ("외국계", None), ("외국계", "")]
+
+
+class TableEncoder:
+    """Vectors from a small table of texts; a text without one gets the zero vector."""
+
+    def __init__(self, rows):
+        self.rows = rows
+
+    def encode(self, df, text_col, out_col="vec"):
+        known = F.create_map(*[x for t, v in self.rows for x in (F.lit(t), F.array(*map(F.lit, v)))])
+        vec = F.coalesce(F.try_element_at(known, F.col(text_col)), F.array(*[F.lit(0.0)] * 4))
+        norm = F.sqrt(F.aggregate(vec, F.lit(0.0), lambda acc, x: acc + x * x))
+        return df.withColumn(out_col, F.when(norm > 0, F.transform(vec, lambda x: x / norm)).otherwise(vec))
+
+
+def q_rerank_confirm(spark, sf_dir):
+    """Rerank with precomputed vectors: every rule fires, confirmation included; reasons are kept."""
+    m, a = seed_master(spark)
+    ev = evaluation_journal(spark, sf_dir).select("voucher_no", "vendor", "context_text")
+    more = read_table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("voucher_no"),
+        F.element_at(F.array(*[F.struct(F.lit(v).alias("v"), F.lit(c).cast("string").alias("c")) for v, c in RERANK_ROWS]), (F.col("s_suppkey") % len(RERANK_ROWS) + 1).cast("int")).alias("r"),
+    ).select("voucher_no", F.col("r.v").alias("vendor"), F.col("r.c").alias("context_text"))
+    r = resolve(ev.unionByName(more), "vendor", m, a, use_embedding=True, context_col="context_text", encoder=TableEncoder(AXES + VENDOR_VECTORS))
+    return _result_view(r, ["voucher_no", "vendor", "context_text"])
+
+
 # ---------------------------------------------------------------- vectors
 def _emb_split(spark, sf_dir):
     e = read_table(spark, sf_dir, "embeddings")
@@ -227,6 +277,13 @@ def q_vector_top2_by_owner(spark, sf_dir):
     return t.select("vec_id", "rank", F.col("institution_id").alias("owner"), F.col("matched_text").cast("long").alias("best_vec_id"), r6("score").alias("score"))
 
 
+def q_vector_top2_blocked(spark, sf_dir):
+    """The same search by the plan for an index above the bounds (chunks x buckets)."""
+    q, idx = _emb_split(spark, sf_dir)
+    t = vector_topk(q, idx, "vec_id", k=2, max_broadcast_rows=0, chunk_rows=40, query_buckets=4)
+    return t.select("vec_id", "rank", F.col("institution_id").alias("owner"), F.col("matched_text").cast("long").alias("best_vec_id"), r6("score").alias("score"))
+
+
 def q_score_margin(spark, sf_dir):
     q, idx = _emb_split(spark, sf_dir)
     t = vector_topk(q, idx, "vec_id", k=2)
@@ -538,11 +595,14 @@ REGISTRY = {
     "distinct_pairs": q_distinct_pairs,
     "fuzzy_scores": q_fuzzy_scores,
     "fuzzy_top2": q_fuzzy_top2,
+    "fuzzy_wide_lookup": q_fuzzy_wide_lookup,
     "fuzzy_high_cardinality": q_fuzzy_high_cardinality,
     "fast_cascade": q_fast_cascade,
     "fuzzy_veto": q_fuzzy_veto,
     "rerank_rules": q_rerank_rules,
+    "rerank_confirm": q_rerank_confirm,
     "vector_top2_by_owner": q_vector_top2_by_owner,
+    "vector_top2_blocked": q_vector_top2_blocked,
     "score_margin": q_score_margin,
     "completeness_sets": q_completeness_sets,
     "completeness_rows": q_completeness_rows,

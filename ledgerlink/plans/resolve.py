@@ -4,7 +4,7 @@ Shape (distinct vendors - resolve - join back - row rules):
 
     journal --distinct vendor--> vendors                      (partial aggregation, tiny)
     vendors --match key--> exact/alias join (broadcast lookup)
-                       +--misses--> blocked fuzzy top-2 (see operators/match)
+                       +--misses--> pruned fuzzy top-2, in the same pass (see operators/match)
             -> fast record per vendor
             -> unresolved vendors --encoder--> vector top-2 candidates
     journal --join (null-safe on vendor) with the vendor map (broadcast if bounded)
@@ -27,9 +27,7 @@ from ledgerlink.functions.encoder import HashedNgramEncoder
 from ledgerlink.functions.text import match_key
 from ledgerlink.operators.lookup import build_lookup, build_vector_index
 
-LOOKUP_COLUMNS = ["key", "institution_id", "canonical_name", "match_text", "match_source", "keywords", "negative_keywords",
-                  "ord_name", "ord_alias", "ord_alias_id"]
-from ledgerlink.operators.match import exact_alias, fuzzy_topk, top2_pivot
+from ledgerlink.operators.match import INDEX_ROWS, exact_alias, fuzzy_topk, lookup_entries, scoring_partitions, top2_columns, top2_pivot
 from ledgerlink.operators.rules import (
     fast_record,
     keyword_hits_sql,
@@ -37,7 +35,7 @@ from ledgerlink.operators.rules import (
     row_fields_sql,
     vendor_rule_columns,
 )
-from ledgerlink.operators.vector import vector_topk
+from ledgerlink.operators.vector import DEFAULT_INDEX_BROADCAST_ROWS, vector_topk
 from ledgerlink.schema import (
     EMBEDDING_FLOOR,
     FUZZY_AUTO_THRESHOLD,
@@ -45,9 +43,7 @@ from ledgerlink.schema import (
     RESULT_FIELDS,
     UNRESOLVED,
 )
-from ledgerlink.functions.text import chars
 from ledgerlink.session import (
-    DEFAULT_BROADCAST_BYTES,
     DEFAULT_BROADCAST_ROWS,
     checkpoint_with_size,
     cut_lineage,
@@ -57,32 +53,41 @@ from ledgerlink.session import (
 DEFAULT_ENCODER = HashedNgramEncoder()
 
 
-def fast_path(vendors: DataFrame, vendor_col: str, lookup: DataFrame, threshold: float,
-              small: bool | None = None, max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """R1 for distinct non-null vendors -> (vendor_col, res, _nkw).
+def fast_path(vendors: DataFrame, vendor_col: str, lookup: DataFrame, threshold: float, max_index_rows: int = INDEX_ROWS) -> DataFrame:
+    """R1 for distinct vendors -> (vendor_col, res, _nkw); a null vendor gets its own record.
 
-    The exact/alias join runs on the vendor rows themselves (broadcast lookup);
-    fuzzy scoring runs once per distinct missed match key.  ``_nkw`` is the
-    negative-keyword list of the fuzzy top-1 institution (for the veto).
+    With a bounded lookup (checked) the exact/alias join is a broadcast and the
+    misses are scored in the same pass over the vendor rows; else both are
+    shuffle plans and fuzzy scoring runs once per distinct missed key.
+    ``_nkw`` is the negative-keyword list of the fuzzy top-1 institution (for the veto).
     """
-    vk = vendors.where(F.col(vendor_col).isNotNull()).select(vendor_col, match_key(F.col(vendor_col)).alias("vkey"))
-    ex = exact_alias(vk, lookup, "vkey", small, max_broadcast_rows)
-    misses = ex.where(F.col("match_source").isNull()).select("vkey").distinct()
-    top = top2_pivot(fuzzy_topk(misses, lookup, 2, "vkey", max_broadcast_rows, small=small))
-    return ex.join(top, "vkey", "left").select(
-        vendor_col, fast_record(threshold).alias("res"), F.col("t1.negative_keywords").alias("_nkw")
-    )
+    vk = vendors.select(vendor_col, match_key(F.col(vendor_col)).alias("vkey"))
+    entries = lookup_entries(lookup, max_index_rows)
+    null = F.col(vendor_col).isNull()
+    if entries is not None:
+        local = entries.astype(object).where(entries.notna(), None)
+        small = lookup.sparkSession.createDataFrame(list(local[lookup_columns(lookup)].itertuples(index=False, name=None)), lookup.select(*lookup_columns(lookup)).schema)
+        ex = exact_alias(vk, small, "vkey", True)
+        ex = ex.withColumns(top2_columns(entries, F.col("vkey"), null | F.col("match_source").isNotNull()))
+    else:
+        ex = exact_alias(vk, lookup, "vkey")
+        misses = ex.where(~null & F.col("match_source").isNull()).select("vkey").distinct()
+        ex = ex.join(top2_pivot(fuzzy_topk(misses, lookup, 2, "vkey", max_index_rows)), "vkey", "left")
+    res = F.when(null, no_vendor_record()).otherwise(fast_record(threshold))
+    return ex.select(vendor_col, res.alias("res"), F.when(~null, F.col("t1.negative_keywords")).alias("_nkw"))
+
+
+def lookup_columns(lookup: DataFrame) -> list[str]:
+    return ["key", *[c for c in lookup.columns if c != "key"]]
 
 
 def vector_candidates(unresolved: DataFrame, vendor_col: str, master: DataFrame, alias: DataFrame, encoder,
-                      max_index_broadcast_rows: int | None = None) -> DataFrame:
+                      max_vector_rows: int = DEFAULT_INDEX_BROADCAST_ROWS) -> DataFrame:
     """R7: top-2 vector candidates per distinct unresolved vendor -> (_q, v1, v2)."""
     index = encoder.encode(build_vector_index(master, alias), "text")
     q = unresolved.select(F.col(vendor_col).cast("string").alias("_q")).distinct()
     qv = encoder.encode(q, "_q")
-    kw = {} if max_index_broadcast_rows is None else {"max_broadcast_rows": max_index_broadcast_rows, "chunk_rows": 4,
-                                                      "query_buckets": 3}
-    top = vector_topk(qv, index, "_q", k=2, **kw)
+    top = vector_topk(qv, index, "_q", k=2, max_broadcast_rows=max_vector_rows)
     cand = F.struct("score", "matched_text", "canonical_name", "institution_id", "keywords", "negative_keywords")
     return top.groupBy("_q").agg(
         F.max(F.when(F.col("rank") == 1, cand)).alias("v1"),
@@ -98,7 +103,8 @@ def resolve_vendors(
     threshold: float = FUZZY_AUTO_THRESHOLD,
     use_embedding: bool = True,
     encoder=None,
-    max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
+    max_index_rows: int = INDEX_ROWS,
+    max_vector_rows: int = DEFAULT_INDEX_BROADCAST_ROWS,
 ) -> DataFrame:
     """Vendor map: (vendor, res, _nkw, v1, v2) for each distinct vendor (null included).
 
@@ -106,26 +112,13 @@ def resolve_vendors(
     top-1 institution, ``v1``/``v2`` the vector candidates of unresolved vendors.
     """
     encoder = encoder or DEFAULT_ENCODER
-    # The lookup feeds several joins; a checkpoint computes it once and keeps
-    # the downstream plans short.
-    lookup, stats = checkpoint_with_size(
-        build_lookup(master, alias),
-        nc=F.coalesce(F.sum(F.size(chars("key")) + 1), F.lit(0)),
-        kb=F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*LOOKUP_COLUMNS))) * (F.size(chars("key")) + 1)), F.lit(0)),
-    )
-    # the exploded character table (rows nc, bytes kb) is the largest broadcast side
-    small = stats["rows"] <= max_broadcast_rows and stats["nc"] <= max_broadcast_rows and stats["kb"] <= DEFAULT_BROADCAST_BYTES
-    fast = fast_path(vendors, vendor_col, lookup, threshold, small, max_broadcast_rows)
-    nulls = vendors.where(F.col(vendor_col).isNull()).select(
-        vendor_col, no_vendor_record().alias("res"), F.lit(None).cast("string").alias("_nkw")
-    )
-    vm = fast.unionByName(nulls)
+    vm = fast_path(vendors, vendor_col, build_lookup(master, alias), threshold, max_index_rows)
     cand_type = "struct<score:double,matched_text:string,canonical_name:string,institution_id:bigint,keywords:string,negative_keywords:string>"
     if not use_embedding:
         return vm.withColumn("v1", F.lit(None).cast(cand_type)).withColumn("v2", F.lit(None).cast(cand_type))
+    vm = cut_lineage(vm)  # two readers: the unresolved vendors and the map itself
     unres = vm.where((F.col("res.normalization_method") == UNRESOLVED) & F.col(vendor_col).isNotNull())
-    cands = vector_candidates(unres, vendor_col, master, alias, encoder,
-                              None if max_broadcast_rows > 0 else 0)
+    cands = vector_candidates(unres, vendor_col, master, alias, encoder, max_vector_rows)
     return vm.withColumn("_q", F.col(vendor_col).cast("string")).join(cands, "_q", "left").drop("_q")
 
 
@@ -141,20 +134,26 @@ def resolve(
     min_margin: float = MIN_SCORE_MARGIN,
     encoder=None,
     max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
+    max_index_rows: int = INDEX_ROWS,
+    max_vector_rows: int = DEFAULT_INDEX_BROADCAST_ROWS,
 ) -> DataFrame:
     """Add the 11 result columns and ``detected_expression`` to every row of ``df``.
 
     Original columns are kept; result columns already present are replaced.
+    Bounds: ``max_broadcast_rows`` of the vendor map that is joined back,
+    ``max_index_rows`` of the fuzzy lookup, ``max_vector_rows`` of the vector index.
     Encoder errors are raised (re-run with ``use_embedding=False`` to fall back).
     """
     keep = [c for c in df.columns if c not in RESULT_FIELDS and c != "detected_expression"]
     df = df.select(*keep)
     ctx = context_col if context_col is not None and context_col in df.columns else None
-    # Lineage is cut twice: after the distinct (one journal scan feeds every
-    # later step) and after the vendor map (fuzzy and vector work is never
-    # redone when an executor is lost during the join-back).
-    vendors = cut_lineage(df.select(vendor_col).distinct())
-    vmap = resolve_vendors(vendors, vendor_col, master, alias, threshold, use_embedding, encoder, max_broadcast_rows)
+    # One journal scan makes the vendor map; its lineage is cut below, so fuzzy
+    # and vector work is never redone when an executor is lost in the join-back.
+    # Few vendors may need much scoring: an explicit partition count, which AQE
+    # doesn't coalesce, spreads them.
+    vendors = df.select(vendor_col).distinct()
+    vendors = vendors.repartition(scoring_partitions(vendors), vendor_col)
+    vmap = resolve_vendors(vendors, vendor_col, master, alias, threshold, use_embedding, encoder, max_index_rows, max_vector_rows)
     # Everything the rules need that depends on the vendor alone (keyword
     # arrays, margin and floor tests, formatted reason prefixes) is computed
     # here, once per vendor; each row then only runs substring tests.

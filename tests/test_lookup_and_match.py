@@ -56,6 +56,34 @@ def _brute_top2(vkeys, entries):
     return out
 
 
+def test_few_pairs_are_scored(spark):
+    """Noisy copies of 2,000 names: the bounds leave under 5 % of the pairs to score."""
+    from pyspark.sql import Observation
+
+    rng = random.Random(5)
+    words = "almond antique azure beige bisque black blue blush brown chiffon coral cream cyan dark deep drab forest ghost green grey hot indian ivory khaki lace lemon lime linen".split()
+    names = sorted({"".join(rng.sample(words, 3)) for _ in range(2000)})
+    m = spark.createDataFrame([(i + 1, n, "BANK", None, None, None, True) for i, n in enumerate(names)], MASTER_SCHEMA)
+    vk = spark.createDataFrame([(n[:4].upper() + n[5:].upper(),) for n in names[::10]], "vkey string")
+    seen = Observation("scored")
+    out = fuzzy_topk(vk, build_lookup(m, spark.createDataFrame([], ALIAS_SCHEMA)), 2, "vkey", with_scored=True).where("rank = 1")
+    rows = out.observe(seen, F.sum("scored").alias("n")).collect()
+    assert {r.vkey: r.key for r in rows} == {n[:4].upper() + n[5:].upper(): n.upper() for n in names[::10]}
+    assert seen.get["n"] < 0.05 * vk.count() * len(names)
+
+
+def test_pairs_at_a_floor_equal_brute_force(spark):
+    from ledgerlink.operators.match import fuzzy_pairs
+
+    rng = random.Random(3)
+    m, a = _random_lookup(spark, rng, 40)
+    keys = [r.key for r in build_lookup(m, a).collect()]
+    vk = sorted({"".join(rng.choice("가나다라AB#1") for _ in range(rng.randint(0, 7))) for _ in range(80)})
+    for bounds in ({}, {"max_index_rows": 0, "chunk_rows": 9}):
+        got = {(r.vkey, r.key): r.score for r in fuzzy_pairs(spark.createDataFrame([(v,) for v in vk], "vkey string"), build_lookup(m, a), 60.0, **bounds).collect()}
+        assert got == {(v, k): wratio(v, k) for v in vk for k in keys if wratio(v, k) >= 60.0}
+
+
 def test_blocked_top2_equals_brute_force_on_both_plans(spark):
     rng = random.Random(11)
     m, a = _random_lookup(spark, rng, 25)
@@ -64,9 +92,9 @@ def test_blocked_top2_equals_brute_force_on_both_plans(spark):
     vk = sorted({"".join(rng.choice("가나다라ABXY") for _ in range(rng.randint(0, 7))) for _ in range(60)})
     vdf = spark.createDataFrame([(v,) for v in vk], "vkey string")
     expect = _brute_top2(vk, entries)
-    for small in (True, False):  # broadcast plan and salted shuffle plan
+    for bounds in ({}, {"max_index_rows": 0, "chunk_rows": 7}):  # whole lookup in each worker, and chunks x buckets
         got = {}
-        for r in fuzzy_topk(vdf, lk, 2, "vkey", small=small, salt_buckets=4).orderBy("vkey", "rank").collect():
+        for r in fuzzy_topk(vdf, lk, 2, "vkey", **bounds).orderBy("vkey", "rank").collect():
             got.setdefault(r.vkey, []).append((r.key, round(r.score, 6)))
         assert got == expect
 

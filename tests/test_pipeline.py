@@ -145,14 +145,14 @@ def test_evaluation_cases_are_consistent():
 
 
 def test_above_bound_plans_give_the_same_result(spark, seed):
-    """Salted fuzzy join, shuffle join-back and blocked vector search (all bounds 0)."""
+    """Chunked fuzzy search, shuffle join-back and blocked vector search (all bounds 0)."""
     m, a = seed
     rows = [(v, f"{v} | {d} | {acc} | {c}") for v, d, acc, c, _w in TEMPLATES] + [(v, f"{v} | {t}") for v, t, *_ in EXTRA] + [(None, "x")]
     df = spark.createDataFrame(rows, "vendor string, context_text string")
     cols = ["vendor", "context_text", "normalization_method", "canonical_institution", "top1_score", "top2_candidate",
             "top2_score", "review_status", "reason"]
     default = sorted(map(tuple, resolve(df, "vendor", m, a, context_col="context_text").select(*cols).collect()), key=str)
-    forced = sorted(map(tuple, resolve(df, "vendor", m, a, context_col="context_text", max_broadcast_rows=0).select(*cols).collect()), key=str)
+    forced = sorted(map(tuple, resolve(df, "vendor", m, a, context_col="context_text", max_broadcast_rows=0, max_index_rows=0, max_vector_rows=0).select(*cols).collect()), key=str)
     assert default == forced
 
 

@@ -1,19 +1,38 @@
-"""Context rerank (R3) and veto (R5) rules evaluated as SQL expressions."""
+"""Context rerank (R3) and veto (R5): the row expressions that ``resolve`` uses."""
 
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlink.operators.rules import rerank_sql, veto_sql
+from ledgerlink.operators.rules import keyword_hits_sql, row_fields_sql, vendor_rule_columns
+from ledgerlink.schema import RESULT_STRUCT
 
 KW = "대출,차입,이자,예금,계좌,송금"
 NEG = "농산물,원재료,조합원,유통,증권"
+RECORD = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in RESULT_STRUCT.fields)
+CANDIDATE = "struct<score:double,matched_text:string,canonical_name:string,institution_id:bigint,keywords:string,negative_keywords:string>"
+
+
+def _rows(spark, rows, floor=0.85):
+    """Result fields of (record, v1, v2, negative keywords, context) rows, as ``resolve`` computes them."""
+    df = spark.createDataFrame(rows, f"res struct<{RECORD.replace(' ', ':').replace(',:', ',')}>, v1 {CANDIDATE}, v2 {CANDIDATE}, _nkw_csv string, ctx string")
+    df = df.select("*", *[F.expr(e).alias(n) for n, e in vendor_rule_columns(floor, 0.05)])
+    df = df.withColumn("_vhits", F.expr(f"CASE WHEN res.normalization_method = 'FUZZY' AND res.review_status = 'AUTO' THEN {keyword_hits_sql('ctx', '_nkw')} END"))
+    df = df.withColumn("_vec", F.expr("res.normalization_method = 'UNRESOLVED' AND v1 IS NOT NULL"))
+    for name, words in (("_neg", "_v1nkw"), ("_pos", "_v1kw")):
+        df = df.withColumn(name, F.expr(keyword_hits_sql("ctx", words)))
+    fields = row_fields_sql("ctx", veto_on=True, vector_on=True)
+    return df.select(F.expr(fields["review_status"]).alias("s"), F.expr(fields["reason"]).alias("r"), F.expr(fields["normalization_method"]).alias("m")).collect()
+
+
+def _record(method, status, reason="r"):
+    values = {"normalization_method": method, "review_status": status, "canonical_institution": "NH농협은행", "reason": reason, "user_confirmed": False}
+    return tuple(values.get(f.name) for f in RESULT_STRUCT.fields)
 
 
 def _decide(spark, ctx, score, margin=None, floor=0.85):
-    df = spark.createDataFrame([(ctx, KW, NEG, float(score), margin)],
-                               "ctx string, kw string, nkw string, score double, margin double")
-    confirmed, reason = rerank_sql("ctx", "kw", "nkw", "score", "margin", floor, 0.05)
-    return df.select(F.expr(confirmed).alias("c"), F.expr(reason).alias("r")).first()
+    v2 = None if margin is None else (score - margin, "t", "KB국민은행", 2, None, None)
+    r = _rows(spark, [(_record("UNRESOLVED", "NEEDS_REVIEW"), (float(score), "t", "NH농협은행", 1, KW, NEG), v2, None, ctx)], floor)[0]
+    return type("R", (), {"c": r.s == "AUTO", "r": r.r, "m": r.m})
 
 
 def test_negative_keyword_blocks_even_high_score(spark):
@@ -44,16 +63,13 @@ def test_small_margin_refuses(spark):
     assert r.c is False and "0.043" in r.r
 
 
+def test_no_context_is_the_vector_record(spark):
+    r = _decide(spark, None, 0.99, margin=0.5)
+    assert r.m == "EMBEDDING" and r.r == "Embedding top1=0.990, top2=0.490; no context to rerank with, review needed"
+
+
 def test_veto_only_fuzzy_auto(spark):
-    df = spark.createDataFrame(
-        [("FUZZY", "AUTO", "농협 | 농산물 구매"), ("ALIAS", "AUTO", "농협 | 농산물 구매"), ("FUZZY", "AUTO", "농협 | 대출")],
-        "m string, s string, ctx string",
-    ).select(F.struct(F.col("m").alias("normalization_method"), F.col("s").alias("review_status"),
-                      F.lit("NH농협은행").alias("canonical_institution"), F.lit("r").alias("reason")).alias("res"), "ctx")
-    # veto_sql rebuilds the full result struct, so give it every field
-    from ledgerlink.schema import RESULT_STRUCT
-
-    full = df.select(F.struct(*[(F.col(f"res.{f.name}") if f.name in ("normalization_method", "review_status", "canonical_institution", "reason")
-                                 else F.lit(None).cast(f.dataType)).alias(f.name) for f in RESULT_STRUCT.fields]).alias("res"), "ctx")
-    out = full.select(F.expr(veto_sql("res", "ctx", f"'{NEG}'")).alias("v")).collect()
-    assert [r.v.review_status for r in out] == ["NEEDS_REVIEW", "AUTO", "AUTO"]
+    rows = [("FUZZY", "AUTO", "농협 | 농산물 구매"), ("ALIAS", "AUTO", "농협 | 농산물 구매"), ("FUZZY", "AUTO", "농협 | 대출")]
+    out = _rows(spark, [(_record(m, s), None, None, NEG, ctx) for m, s, ctx in rows])
+    assert [r.s for r in out] == ["NEEDS_REVIEW", "AUTO", "AUTO"]
+    assert out[0].r == "[Safeguard] fuzzy auto-confirmed 'NH농협은행' but the context holds negative keywords [농산물]; sent to review"

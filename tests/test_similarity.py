@@ -92,8 +92,21 @@ def test_vectorised_batch_equals_scalar(pairs):
         assert (w is None and math.isnan(g)) or w == g
 
 
-def test_vectorised_batch_long_strings_fall_back():
+def test_vectorised_batch_long_strings():
     from ledgerlink.functions.similarity import wratio_batch
 
-    a, b = "가" * 70 + "A", "가" * 200
-    assert wratio_batch([a], [b])[0] == wratio(a, b)
+    rng = random.Random(9)
+    make = lambda n: "".join(rng.choice("가나AB") for _ in range(n))
+    pairs = [("가" * 70 + "A", "가" * 200)] + [(make(a), make(b)) for a, b in ((63, 64), (64, 64), (64, 130), (65, 200), (128, 129), (129, 500), (300, 310), (2, 900))]
+    assert wratio_batch(*zip(*pairs)).tolist() == [wratio(a, b) for a, b in pairs]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet="AB농협X", max_size=20), st.text(alphabet="AB농협Y", max_size=40))
+def test_bound_is_never_below_the_score(a, b):
+    import numpy as np
+
+    from ledgerlink.functions.similarity import wratio_bound
+
+    common = sum(min(a.count(c), b.count(c)) for c in set(a))
+    assert wratio(a, b) <= wratio_bound(np.array([common]), np.array([len(a)]), np.array([len(b)]))[0] + 1e-9
