@@ -103,6 +103,31 @@ def completeness_rows(cmp: DataFrame, journal_result: DataFrame, master: DataFra
     return out.select(*cols)
 
 
+def completeness(company_result: DataFrame, journal_result: DataFrame, master: DataFrame, amount_col: str | None) -> DataFrame:
+    """``completeness_rows(compare(...), ...)`` from one aggregate of the journal.
+
+    The names found in the journal, their row counts and their amounts come from
+    the same pass: confirmed rows by institution, partially aggregated.
+    """
+    aggs = [F.count(F.lit(1)).alias("journal_count")]
+    has_amount = bool(amount_col) and amount_col in journal_result.columns
+    if has_amount:
+        aggs.append(F.coalesce(F.sum(F.col(amount_col).cast("decimal(18,2)")), F.lit(0)).cast("decimal(18,2)").alias("total_amount"))
+    found = confirmed(journal_result).where(F.col("canonical_institution").isNotNull()).groupBy(F.col("canonical_institution").alias("canonical_name")).agg(*aggs)
+    both_ = confirmed_names(company_result).withColumn("_a", F.lit(True)).join(found, "canonical_name", "full_outer")
+    ina, inb = F.coalesce("_a", F.lit(False)), F.col("journal_count").isNotNull()
+    rows = both_.join(master.select("canonical_name", "institution_id"), "canonical_name", "left")
+    return rows.select(
+        "institution_id",
+        "canonical_name",
+        ina.alias("company_list_exists"),
+        inb.alias("journal_detected"),
+        F.coalesce(F.col("journal_count"), F.lit(0)).cast("long").alias("journal_count"),
+        F.col("total_amount") if has_amount else F.lit(None).cast("decimal(18,2)").alias("total_amount"),
+        F.when(ina & inb, F.lit(MATCHED)).when(inb, F.lit(ADDITIONAL_CANDIDATE)).otherwise(F.lit(COMPANY_ONLY_NOT_FOUND)).alias("review_status"),
+    )
+
+
 def institution_detail(journal_result: DataFrame, canonical_name: str, columns: list[str]) -> DataFrame:
     """Confirmed rows of one institution, keeping the requested columns that exist (all if none)."""
     rows = confirmed(journal_result).where(F.col("canonical_institution") == canonical_name)

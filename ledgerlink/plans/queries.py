@@ -317,8 +317,7 @@ def q_completeness_sets(spark, sf_dir):
 
 def q_completeness_rows(spark, sf_dir):
     m, _a = seed_master(spark)
-    jr = journal_result(spark, sf_dir)
-    return C.completeness_rows(C.compare(_company_result(spark, sf_dir), jr), jr, m, AMOUNT)
+    return C.completeness(_company_result(spark, sf_dir), journal_result(spark, sf_dir), m, AMOUNT)
 
 
 def q_amount_summary(spark, sf_dir):
@@ -349,8 +348,8 @@ def q_replace_completeness(spark, sf_dir):
     m, a = seed_master(spark)
     jr = journal_result(spark, sf_dir)
     fixed = spark.createDataFrame([(n,) for n in COMPANY_ENTRIES], "institution_name string")
-    first = C.completeness_rows(C.compare(resolve(fixed, "institution_name", m, a, use_embedding=False), jr), jr, m, AMOUNT)
-    full = C.completeness_rows(C.compare(_company_result(spark, sf_dir), jr), jr, m, AMOUNT)
+    first = C.completeness(resolve(fixed, "institution_name", m, a, use_embedding=False), jr, m, AMOUNT)
+    full = C.completeness(_company_result(spark, sf_dir), jr, m, AMOUNT)
     table = first.withColumn("run_id", F.lit(1).cast("long")).unionByName(full.withColumn("run_id", F.lit(2).cast("long")))
     return replace_run_rows(table, full.where("journal_detected"), 1)
 

@@ -37,6 +37,13 @@ def test_sets_and_rows(spark, company, journal, seed):
     assert rows["신한은행"].review_status == "COMPANY_ONLY_NOT_FOUND" and rows["NH농협은행"].institution_id == 1
 
 
+def test_one_aggregate_gives_the_same_rows(spark, company, journal, seed):
+    for amount in ("amount", "nope"):
+        a = C.completeness_rows(C.compare(company, journal), journal, seed[0], amount)
+        b = C.completeness(company, journal, seed[0], amount)
+        assert a.columns == b.columns and sorted(map(tuple, a.collect()), key=str) == sorted(map(tuple, b.collect()), key=str)
+
+
 def test_summary_all_null_amount_is_zero_and_no_amount_column(spark, journal):
     names = spark.createDataFrame([("KB국민은행",)], "canonical_name string")
     j = journal.where("vendor = 'KB국민'")
