@@ -149,7 +149,7 @@ def build_snapshot(rows: DataFrame, shards: int | None = None) -> tuple[DataFram
 def screen(batch: DataFrame, filters: DataFrame, shards: int, split: int = 8) -> DataFrame:
     """The batch's groups with ``maybe``: False where the shard's filter rejects the
     digest.  A filter (about 120 kB) goes to ``split`` parts of its shard."""
-    batch = batch.withColumn("key", _key()).withColumn("shard", (F.col("key") % shards).cast("int")).withColumn("part", (F.floor(F.col("key") / shards) % split).cast("int"))
+    batch = batch.withColumn("key", _key()).withColumn("shard", (F.col("key") % shards).cast("int")).withColumn("part", (F.shiftright("key", 30) % split).cast("int"))
     parts = filters.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(split - 1))))
 
     def ask(left, right):

@@ -61,6 +61,12 @@ def test_exact_groups_over_many_shards(spark):
     assert {r.digest: (r.best.doc_id, r.group_size) for r in groups} == expected_groups(rows)
 
 
+def test_screening_is_spread_over_parts(spark):
+    rows = exact_dedup.digests(frame(spark, [(i, str(i), "en", "a") for i in range(4000)])).withColumn("key", exact_dedup._key())
+    n = [r["count"] for r in rows.groupBy(F.shiftright("key", 30) % 8).count().collect()]
+    assert len(n) == 8 and max(n) < 2 * min(n)
+
+
 def test_exact_groups_empty(empty):
     assert exact_dedup.exact_groups(empty).count() == 0
 
