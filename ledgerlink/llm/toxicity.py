@@ -30,7 +30,6 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ledgerlink.llm.common import fold, text_of
 
@@ -265,8 +264,8 @@ def sample(docs: DataFrame, labels: DataFrame, train: F.Column, max_docs: int):
     share = F.pmod(F.shiftright(key, 20), F.lit(bins))
     wide = {t: min(bins, int(np.ceil(bins * (quota[t] * 1.2 + 50) / max(counts.get(t, 1), 1)))) for t in (0, 1)}
     near = usable.filter(share < F.when(F.col("toxic") == 1, wide[1]).otherwise(wide[0]))
-    nth = F.row_number().over(W.partitionBy("toxic").orderBy(key, "_id"))
-    chosen = near.withColumn("nth", nth).filter(F.col("nth") <= F.when(F.col("toxic") == 1, quota[1]).otherwise(quota[0])).select("_id", "toxic")
+    first = [near.filter(F.col("toxic") == t).orderBy(key, "_id").limit(quota[t]).select("_id", "toxic") for t in (0, 1)]
+    chosen = first[0].unionByName(first[1])  # at most max_docs ids: what is broadcast below is bounded
     rows = docs.select("doc_id", text_of().alias("text"), F.col("lang").cast("string").alias("lang")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
     got = rows.select("doc_id", "text", "lang", "toxic", F.crc32(F.concat(F.lit("v"), F.col("doc_id").cast("string")).cast("binary")).alias("order")).toPandas()
     got = got.sort_values(["doc_id", "text"]).drop_duplicates("doc_id").reset_index(drop=True)
