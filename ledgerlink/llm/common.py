@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import re
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -169,11 +170,23 @@ class ChunkEncoder:
         return b"".join(parts)
 
 
-_ENCODERS: dict[str, ChunkEncoder] = {}
+_SLOT: dict[tuple, object] = {}
+
+
+def per_worker(key: tuple, make: Callable[[], object]) -> object:
+    """The one large object that a worker process keeps between tasks (a vocabulary with its
+    memory, a model's scorer); another key takes its place."""
+    if key not in _SLOT:
+        _SLOT.clear()
+        _SLOT[key] = make()
+    return _SLOT[key]
+
+
+def release() -> None:
+    """Drop it: called by tasks that keep nothing, on workers that ran other tasks before."""
+    _SLOT.clear()
 
 
 def encoder(path: str) -> ChunkEncoder:
     """One encoder a worker process and vocabulary."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkEncoder(path)
-    return _ENCODERS[path]
+    return per_worker(("encoder", path), lambda: ChunkEncoder(path))

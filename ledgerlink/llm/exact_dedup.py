@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ledgerlink.llm.common import ASCII_SPACE, shuffle_partitions, text_of
+from ledgerlink.llm.common import ASCII_SPACE, release, text_of
 from ledgerlink.session import broadcast_if_small, cut_lineage
 
 #: Digests for each filter, about; shards grow in number, not in size.
@@ -139,6 +139,7 @@ def build_snapshot(rows: DataFrame, shards: int | None = None) -> tuple[DataFram
     def build(group):
         import pandas as pd
 
+        release()
         seed, segment, segments, cells = build_filter(group["key"].to_numpy().astype(np.uint64))
         return pd.DataFrame({"shard": [group["shard"].iloc[0]], "seed": [seed], "segment": [segment], "segments": [segments], "cells": [cells]})
 

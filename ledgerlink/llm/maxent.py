@@ -38,7 +38,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlink.llm.common import shuffle_partitions, stored, text_of
+from ledgerlink.llm.common import release, shuffle_partitions, stored, text_of
 from ledgerlink.session import cut_lineage
 
 HEAD, HEAD_BYTES = 1 << 17, 64
@@ -75,6 +75,7 @@ def word_counts(docs: DataFrame, learn: Column, flush: int = 300_000) -> DataFra
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        release()
         seen: Counter = Counter()
 
         def made() -> pa.RecordBatch:

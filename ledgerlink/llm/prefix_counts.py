@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlink.llm.common import WORD_BPE, text_of, vocabulary
+from ledgerlink.llm.common import WORD_BPE, per_worker, text_of, vocabulary
 
 _CHUNK = re.compile(r"[ \n\t\r\f\v]*[^ \n\t\r\f\v]+|[ \n\t\r\f\v]+")
 
@@ -240,13 +240,8 @@ def truncate(deltas: bytes, budget: int) -> int:
     return int(fit[-1]) + 1 if len(fit) else 0
 
 
-_COUNTERS: dict[str, PrefixCounter] = {}
-
-
 def counter(path: str) -> PrefixCounter:
-    if path not in _COUNTERS:
-        _COUNTERS[path] = PrefixCounter(path)
-    return _COUNTERS[path]
+    return per_worker(("prefix counts", path), lambda: PrefixCounter(path))
 
 
 def prefix_counts(docs: DataFrame, budget: int = 2048, path: str | None = None, with_store: bool = False) -> DataFrame:

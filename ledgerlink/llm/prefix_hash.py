@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlink.llm.common import range_buckets, shuffle_partitions, text_of
+from ledgerlink.llm.common import range_buckets, release, shuffle_partitions, text_of
 
 P = (1 << 31) - 1
 BASES = (1_000_003_193, 1_644_587_321)
@@ -190,6 +190,7 @@ def fingerprints(docs: DataFrame, window: int = WINDOW, sketch: int = SKETCH, bu
 
         types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
         names = [x.split()[0] for x in SCHEMA.split(", ")]
+        release()
         held = None  # the bucket and the document that waits for its next one
 
         def row(doc_id, a: PrefixHash, b: PrefixHash) -> tuple:

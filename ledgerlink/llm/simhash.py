@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlink.llm.common import text_of
+from ledgerlink.llm.common import release, text_of
 from ledgerlink.session import cut_lineage
 
 BITS = 64
@@ -68,6 +68,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        release()
         for b in batches:
             fps = np.array([fingerprint(t.as_py(), shingle, seed) for t in b.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])

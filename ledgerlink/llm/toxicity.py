@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlink.llm.common import fold, text_of
+from ledgerlink.llm.common import fold, per_worker, text_of
 
 BUCKETS = 1 << 18
 DIMS = 8
@@ -323,17 +323,9 @@ class Scorer:
         return self.model.score(self.terms, np.array(ids, np.int64))
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
 def _scorer(shared, name: str) -> Scorer | None:
     """One scorer a worker process and model."""
-    if shared.value is None:
-        return None
-    if name not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[name] = Scorer(shared.value)
-    return _SCORERS[name]
+    return None if shared.value is None else per_worker(("scorer", name), lambda: Scorer(shared.value))
 
 
 def score(docs: DataFrame, model: Model | None, cuts: dict) -> DataFrame:
