@@ -203,19 +203,21 @@ def tokens_at(segments: DataFrame, places: DataFrame) -> DataFrame:
     """Random access: ``places`` (doc_id, position) with the id found there, by rank
     lookups in the segments' levels; a place outside its document gives null.
 
-    Places are exchanged to their segment through the document table, and only
-    the segments that hold one are opened.
+    Distinct places are exchanged to their segment through the document table, so
+    a group has at most the tokens of a segment, and only segments that hold a
+    place are opened.
     """
     spans = read(segments).select("doc_id", "bucket", "segment", "doc", "n_tokens")
-    asked = places.select(F.col("doc_id").cast("long"), F.col("position").cast("long")).join(spans, "doc_id", "left")
+    places = places.select(F.col("doc_id").cast("long"), F.col("position").cast("long"))
+    inside = F.col("position").between(0, F.col("n_tokens") - 1)
+    asked = places.distinct().join(spans, "doc_id").filter(inside).drop("n_tokens")
 
     def look(key, left, right):
-        import pandas as pd
-
-        out, seg = left[["doc_id", "position"]].copy(), Segment(right["blob"].iloc[0]) if len(right) else None
-        out["token"] = [seg.token(int(d), int(p)) if seg is not None and 0 <= p < n else None for d, p, n in zip(left["doc"], left["position"], left["n_tokens"], strict=True)]
-        out["token"] = out["token"].astype(pd.Int64Dtype())
-        return out
-
-    return asked.groupBy("bucket", "segment").cogroup(segments.select("bucket", "segment", "blob").join(
-        asked.select("bucket", "segment").distinct(), ["bucket", "segment"], "left_semi").groupBy("bucket", "segment")).applyInPandas(look, "doc_id long, position long, token long")
+        seg = Segment(right["blob"].iloc[0]) if len(right) else None
+        out = left[["doc_id", "position"]].copy()
+        out["token"] = [seg.token(int(d), int(p)) for d, p in zip(left["doc"], left["position"], strict=True)]
+        return out.astype("int64")
+
+    opened = segments.select("bucket", "segment", "blob").join(asked.select("bucket", "segment").distinct(), ["bucket", "segment"], "left_semi")
+    found = asked.groupBy("bucket", "segment").cogroup(opened.groupBy("bucket", "segment")).applyInPandas(look, "doc_id long, position long, token long")
+    return places.join(found, ["doc_id", "position"], "left")
