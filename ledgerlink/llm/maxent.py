@@ -14,7 +14,7 @@ and an unknown word of each class.
 Training reads every training token once.  In each round a task runs mini-batch
 gradient steps over its rows from the shared weights, and the tasks' changes
 are averaged by tokens (sums by block of the table, in two levels).  Weights are
-2^14 x 64 floats, whatever the data.
+2^14 x 48 floats, whatever the data.
 
 Counts of words are kept for the whole vocabulary, in a distributed table.  Only
 the commonest words (at most ``HEAD``, of at most 64 bytes each) are broadcast;
@@ -42,7 +42,7 @@ from ledgerlink.llm.common import release, shuffle_partitions, stored, text_of
 from ledgerlink.session import cut_lineage
 
 HEAD, HEAD_BYTES = 1 << 17, 64
-SINGLES, CLUSTERS = 32, 32
+SINGLES, CLUSTERS = 24, 24
 CLASSES = SINGLES + CLUSTERS
 #: The first units are the commonest words, the rest buckets of word endings; the last stands before a text.
 WORD_UNITS, ENDING_UNITS = 2048, 512
