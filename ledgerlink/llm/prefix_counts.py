@@ -11,7 +11,7 @@ added up.
 A text's store is one signed byte a code point: by how much the count changes
 there.  It answers ``count_at`` and ``truncate`` without encoding again.
 Chunks (white space, then other characters) repeat; their bytes are kept in a
-bounded dictionary.
+bounded dictionary: the first ``limit`` that a worker meets.
 
 Defined cases: a null text counts as empty, with no token; special strings
 inside a text are one token each, as the library has it by default, and a
@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 
 from ledgerlink.llm.common import WORD_BPE, per_worker, text_of, vocabulary
 
-_CHUNK = re.compile(r"[ \n\t\r\f\v]*[^ \n\t\r\f\v]+|[ \n\t\r\f\v]+")
+#: White space, then other characters; a run of Latin letters before a full stop or comma is a chunk of its own.
+_CHUNK = re.compile("[ \n\t\r\f\v]*[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+(?=[.,\n \t\r]|\\Z)|[ \n\t\r\f\v]*[^ \n\t\r\f\v]+|[ \n\t\r\f\v]+")
 
 
 def _byte_symbols() -> dict[int, str]:
@@ -58,7 +59,7 @@ class PrefixCounter:
     word ends).  The library normalises text and cuts it into words, but for
     Latin text, where a pattern does the same; the counts are made here."""
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 690_000):
         from tokenizers import Tokenizer
 
         model = json.load(open(path, encoding="utf-8"))
@@ -104,7 +105,7 @@ class PrefixCounter:
                 after_b, b = y[0], y[1]
 
     def _fits(self, a: str, b: str) -> bool:
-        if len(self.fits) > self.limit:
+        if len(self.fits) > 400_000:
             self.fits.clear()
         out = self.fits[a, b] = self.compatible(a, b)
         return out
