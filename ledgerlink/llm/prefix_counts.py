@@ -59,7 +59,7 @@ class PrefixCounter:
     word ends).  The library normalises text and cuts it into words, but for
     Latin text, where a pattern does the same; the counts are made here."""
 
-    def __init__(self, path: str, limit: int = 690_000):
+    def __init__(self, path: str, limit: int = 1_000_000):
         from tokenizers import Tokenizer
 
         model = json.load(open(path, encoding="utf-8"))
