@@ -28,11 +28,10 @@ WARM_DIR = "/root/testdata/sf0.001"
 
 def save_results(spark, sf_dir):
     """Resolve the journal (fast path + veto) and append its 15-column rows to a store."""
-    root = tempfile.mkdtemp(prefix="ledgerlink-bench-store-")
     m, _a = seed_master(spark)
-    rows = ST.to_result_rows(Q.journal_result(spark, sf_dir), m, voucher_col=Q.VOUCHER, context_col="context_text")
-    ST.save_results(rows, root, 1)
-    return None
+    rows = ST.to_result_rows(Q.journal_result(spark, sf_dir), m, voucher_col=Q.VOUCHER, context_col="context_text", position_col=Q.VOUCHER)
+    with tempfile.TemporaryDirectory(prefix="ledgerlink-bench-store-") as root:
+        ST.save_results(rows, root, 1)
 
 
 def _synth_1m(spark):
@@ -54,11 +53,10 @@ def save_1m_rows(spark, sf_dir):
     """Resolve 1,000,000 rows and store the 15-column result rows (published: COPY 42.36 s)."""
     from ledgerlink.plans.resolve import resolve
 
-    root = tempfile.mkdtemp(prefix="ledgerlink-bench-store-")
     m, a = seed_master(spark)
     res = resolve(_synth_1m(spark), Q.VENDOR, m, a, context_col="context_text", use_embedding=True)
-    ST.save_results(ST.to_result_rows(res, m, voucher_col=Q.VOUCHER, context_col="context_text"), root, 1)
-    return None
+    with tempfile.TemporaryDirectory(prefix="ledgerlink-bench-store-") as root:
+        ST.save_results(ST.to_result_rows(res, m, voucher_col=Q.VOUCHER, context_col="context_text", position_col=Q.VOUCHER), root, 1)
 
 
 HEADLINE = [
