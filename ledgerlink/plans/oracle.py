@@ -718,6 +718,9 @@ def _oracle_sql() -> dict[str, str]:
     q["set_active"] = with_(supplier_master_cte()) + (
         "SELECT institution_id, canonical_name, active AND institution_id NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 5000) AS active FROM master"
     )
+    q["list_institutions"] = with_(supplier_master_cte()) + "SELECT institution_id, canonical_name, institution_type FROM master WHERE active"
+    q["list_aliases"] = with_(supplier_master_cte()) + "SELECT alias_id, alias_text, alias_type, active FROM alias WHERE institution_id = 3"
+    q["recent_orders"] = "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS o_orderdate FROM orders ORDER BY CAST(o_orderdate AS DATE) DESC NULLS LAST, o_orderkey DESC LIMIT 50"
     q["distinct_count"] = with_(*jf) + "SELECT count(DISTINCT canonical_institution) + max(CASE WHEN canonical_institution IS NULL THEN 1 ELSE 0 END) AS n_distinct FROM jr"
     q["performance_row"] = q["run_stats"].replace("SELECT count(*) AS total_rows", "SELECT CAST(3 AS BIGINT) AS run_id, CAST(1.5 AS DECIMAL(12,3)) AS processing_seconds, count(*) AS total_rows").replace(
         "count(DISTINCT (vendor, context_text)) AS distinct_pairs, ", "")

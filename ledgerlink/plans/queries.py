@@ -16,7 +16,7 @@ from ledgerlink.operators import completeness as C
 from ledgerlink.operators import evaluate as E
 from ledgerlink.operators import review as RV
 from ledgerlink.operators import stats as S
-from ledgerlink.operators.lookup import add_aliases, add_institutions, build_lookup, master_with_aliases, seed_if_absent, set_active
+from ledgerlink.operators.lookup import add_aliases, add_institutions, build_lookup, list_aliases, list_institutions, master_with_aliases, seed_if_absent, set_active
 from ledgerlink.operators.match import fuzzy_pairs, fuzzy_topk
 from ledgerlink.operators.vector import vector_topk
 from ledgerlink.functions.encoder import PrecomputedEncoder
@@ -486,6 +486,22 @@ def q_set_active(spark, sf_dir):
     return set_active(m, "institution_id", ids, False).select("institution_id", "canonical_name", "active")
 
 
+def q_list_institutions(spark, sf_dir):
+    m, _a = supplier_master(spark, sf_dir)
+    return list_institutions(m, active_only=True).select("institution_id", "canonical_name", "institution_type")
+
+
+def q_list_aliases(spark, sf_dir):
+    _m, a = supplier_master(spark, sf_dir)
+    return list_aliases(a, 3).select("alias_id", "alias_text", "alias_type", "active")
+
+
+def q_recent_orders(spark, sf_dir):
+    """The listing rule (time, then id, newest first) as a page of 50 rows: the page is the feature."""
+    o = read_table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("o_orderdate"))
+    return S.recent(o, "o_orderdate", "o_orderkey", 50)
+
+
 def q_distinct_count(spark, sf_dir):
     return S.distinct_count(journal_result(spark, sf_dir), "canonical_institution")
 
@@ -622,6 +638,9 @@ REGISTRY = {
     "drop_run_tables": q_drop_run_tables,
     "add_aliases": q_add_aliases,
     "set_active": q_set_active,
+    "list_institutions": q_list_institutions,
+    "list_aliases": q_list_aliases,
+    "recent_orders": q_recent_orders,
     "distinct_count": q_distinct_count,
     "performance_row": q_performance_row,
     "candidate_rows": q_candidate_rows,
