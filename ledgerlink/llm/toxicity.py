@@ -8,14 +8,17 @@ terms of each distinct word once.
 
 The classifier is fitted on at most ``max_docs`` labelled rows (half of them
 toxic, where there are as many; weights undo that), in the order of a hash of
-the id.  A fifth of these are kept back to stop the training and to calibrate a
-threshold for each language.  Labels, language, source and id never enter a
+the id.  A fifth of these are kept back to stop the training.  The threshold of each
+language comes from histograms over every labelled training row: rows outside the
+sample have the classifier's score, and each fifth of the sample the score of a classifier
+fitted on the other four.  Labels, language, source and id never enter a
 score; the language only picks the threshold of ``flagged``.
 
 Defined cases: a null text counts as empty and has a score too; labels that are
 null, repeated or of unknown documents are left out, repeated or without
 effect; without any usable label every score is the prior 0.5 / (1 + 1) = 0.25;
-rows that repeat a doc_id are scored each; an empty table gives no rows; other
+rows that repeat a doc_id are scored each, and of those in the sample one counts for
+thresholds; an empty table gives no rows; other
 columns are ignored.
 """
 
@@ -31,13 +34,16 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlink.llm.common import fold, per_worker, text_of
+from ledgerlink.llm.common import fold, per_worker, stored, text_of
+from ledgerlink.session import cut_lineage
 
 BUCKETS = 1 << 18
 DIMS = 8
 FILTERS = 8
 WIDTHS = (1, 2, 3)
 PREFIXES = (4, 5, 6, 7, 8)
+#: Folds of the sample, and bins of scores for thresholds.
+FOLDS, BINS = 5, 10_000
 
 
 def words_of(text: str) -> list[str]:
@@ -151,12 +157,10 @@ def _evidence(docs: list[np.ndarray], y: np.ndarray, weight: np.ndarray, vocab:
     return (odds * (a + b) / (a + b + 4)).astype(np.float32)
 
 
-def fit(texts: list[str], y: np.ndarray, weight: np.ndarray, kept_back: np.ndarray, epochs: int = 12, batch: int = 128, rate: float = 0.05, seed: int = 1) -> Model:
+def fit(docs: list[np.ndarray], vocab: Vocabulary, y: np.ndarray, weight: np.ndarray, kept_back: np.ndarray, epochs: int = 12, batch: int = 128, rate: float = 0.05, seed: int = 1) -> Model:
     """Train by mini-batches (Adagrad); the state with the least loss on the rows
     kept back is returned."""
-    model, vocab = Model(seed), Vocabulary()
-    docs = [np.array(vocab.ids(words_of(t)) or [0], np.int64) for t in texts]
-    vocab.rows.clear()  # the words themselves aren't needed any more
+    model = Model(seed)
     y, weight = np.asarray(y, np.float64), np.asarray(weight, np.float64)
     train, check = np.flatnonzero(~kept_back), np.flatnonzero(kept_back)
     share = (weight[train] * y[train]).sum() + 0.5, (weight[train] * (1 - y[train])).sum() + 0.5
@@ -229,30 +233,54 @@ def _train(model: Model, docs: list[np.ndarray], y: np.ndarray, weight: np.ndarr
         step("table", model.table, grad, rows)
 
 
-def thresholds(scores: np.ndarray, y: np.ndarray, weight: np.ndarray, lang: list, least: int = 20) -> dict:
-    """A threshold for each language: the cut with the best F0.5 (clean documents count
-    more than missed toxic ones) on rows kept back; the one over all languages
-    (key None) where a language has fewer than ``least`` toxic rows."""
-    def cut(rows: np.ndarray) -> float:
-        order = rows[np.argsort(-scores[rows], kind="stable")]
-        hits, taken = np.cumsum(weight[order] * y[order]), np.cumsum(weight[order])
-        f = 1.25 * hits / (taken + 0.25 * max(hits[-1], 1e-9))
-        k = int(np.argmax(f))
-        low = scores[order[k + 1]] if k + 1 < len(order) else 0.0
-        return float(np.clip((scores[order[k]] + low) / 2, 0.2, 0.8))
-
-    out = {None: cut(np.arange(len(y))) if y.sum() >= least else 0.5}
-    for name in sorted({x for x in lang if x is not None}):
-        rows = np.array([i for i, x in enumerate(lang) if x == name])
-        if y[rows].sum() >= least:
-            out[name] = cut(rows)
+def best_cut(bins: np.ndarray, toxic: np.ndarray, n: np.ndarray) -> float:
+    """The cut with the best F0.5 (clean documents count more than missed toxic ones), from
+    how many rows, and toxic ones, each bin of scores has."""
+    order = np.argsort(-bins)
+    bins, hits, taken = bins[order], np.cumsum(toxic[order]), np.cumsum(n[order])
+    k = int(np.argmax(1.25 * hits / (taken + 0.25 * max(hits[-1], 1e-9))))
+    low = bins[k + 1] + 1 if k + 1 < len(bins) else 0
+    return float(np.clip((bins[k] + low) / 2 / BINS, 0.2, 0.8))
+
+
+def thresholds(scored: DataFrame, marked: DataFrame, fitted, least: int = 20) -> dict:
+    """A threshold for each language with at least ``least`` toxic rows, and the one over
+    all rows (key None), from every labelled training row.
+
+    ``scored``: doc_id, lang, score of all rows; ``marked``: ``_id`` and toxic of the training
+    labels.  Rows of the sample count with the scores in ``fitted`` (pandas: doc_id,
+    lang, toxic, score), by models that weren't fitted on them.  One row a language, and at most
+    ``BINS`` + 1 bins, reach the driver.
+    """
+    spark, bin_ = scored.sparkSession, F.floor(F.col("score") * BINS).cast("int")
+    own = fitted[["doc_id", "lang", "toxic", "score"]].astype(object).where(fitted.notna(), None).values.tolist()
+    own = spark.createDataFrame(own, "doc_id long, lang string, toxic int, score double")
+    others = scored.join(marked, scored["doc_id"] == marked["_id"]).join(F.broadcast(own.select(F.col("doc_id").alias("_own"))), F.col("doc_id") == F.col("_own"), "left_anti")
+    rows = others.select("lang", "toxic", "score").unionByName(own.select("lang", "toxic", "score"))
+    hist = cut_lineage(rows.groupBy("lang", bin_.alias("bin")).agg(F.sum("toxic").alias("toxic"), F.count(F.lit(1)).alias("n")))
+    every = hist.groupBy("bin").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n")).toPandas()
+
+    def cut(group):
+        import pandas as pd
+
+        enough = group["toxic"].sum() >= least
+        return pd.DataFrame({"lang": [group["lang"].iloc[0]], "cut": [best_cut(*(group[c].to_numpy() for c in ("bin", "toxic", "n"))) if enough else -1.0]})
+
+    out = {None: best_cut(*(every[c].to_numpy() for c in ("bin", "toxic", "n"))) if every["toxic"].sum() >= least else 0.5}
+    for r in hist.filter("lang is not null").groupBy("lang").applyInPandas(cut, "lang string, cut double").filter("cut >= 0").collect():
+        out[r["lang"]] = r["cut"]
     return out
 
 
+def usable_labels(labels: DataFrame, train: F.Column) -> DataFrame:
+    """``_id`` and toxic (0 or 1), a row an id, of the ids that satisfy ``train``."""
+    marked = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1) and _id is not null").dropDuplicates(["_id"])
+    return marked.filter(train)
+
+
 def sample(docs: DataFrame, labels: DataFrame, train: F.Column, max_docs: int):
     """The labelled rows to fit on (pandas): doc_id, text, lang, toxic, n (rows of that label)."""
-    marked = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1) and _id is not null").dropDuplicates(["_id"])
-    usable = marked.filter(train)
+    usable = usable_labels(labels, train)
     # ids first: only the chosen rows' texts move.  Half the sample for each label, the rest to the other
     have = docs.select("doc_id").distinct()
     usable = usable.join(have, usable["_id"] == have["doc_id"], "left_semi")
@@ -273,22 +301,37 @@ def sample(docs: DataFrame, labels: DataFrame, train: F.Column, max_docs: int):
     return got
 
 
-def train_model(docs: DataFrame, labels: DataFrame, train: F.Column, max_docs: int = 6000) -> tuple[Model | None, dict]:
-    """Model and thresholds from labelled rows whose id (``_id``) satisfies ``train``."""
+def fit_sample(docs: DataFrame, labels: DataFrame, train: F.Column, max_docs: int):
+    """The model, and the sample's rows (pandas: doc_id, lang, toxic, score), each scored by a
+    model fitted on the other folds; None and no rows without a usable label.
+
+    The model itself is the one with fold 0 kept back."""
     rows = sample(docs, labels, train, max_docs)
     if not len(rows):
-        return None, {None: 0.5}
+        return None, rows.assign(score=0.25)
     y = rows["toxic"].to_numpy(np.float64)
     weight = np.array([n / max((y == t).sum(), 1) for n, t in zip(rows["n"], y, strict=True)])
     weight /= weight.mean()
-    spare = (rows["order"].to_numpy(np.int64) % 5) == 0
-    model = fit(rows["text"].tolist(), y, weight, spare)
-    if not spare.any():
-        return model, {None: 0.5}
-    held = rows[spare]
+    part = rows["order"].to_numpy(np.int64) % FOLDS
     vocab = Vocabulary()
-    s = scores_of(model, vocab, [np.array(vocab.ids(words_of(t)) or [0], np.int64) for t in held["text"]])
-    return model, thresholds(s, y[spare], weight[spare], held["lang"].tolist())
+    texts = [np.array(vocab.ids(words_of(t)) or [0], np.int64) for t in rows.pop("text")]
+    vocab.rows.clear()  # the words themselves aren't needed any more
+    model, scores = None, np.zeros(len(rows))
+    for k in range(FOLDS):
+        back = np.flatnonzero(part == k)
+        if k and not len(back):
+            continue
+        fitted = fit(texts, vocab, y, weight, part == k)
+        if len(back):
+            scores[back] = scores_of(fitted, vocab, [texts[i] for i in back])
+        model = model or fitted
+    return model, rows.assign(score=scores)
+
+
+def train_model(docs: DataFrame, labels: DataFrame, train: F.Column, max_docs: int = 6000) -> tuple[Model | None, dict]:
+    """Model and thresholds from labelled rows whose id (``_id``) satisfies ``train``."""
+    model, fitted = fit_sample(docs, labels, train, max_docs)
+    return model, thresholds(score(docs, model), usable_labels(labels, train), fitted) if model else {None: 0.5}
 
 
 class Scorer:
@@ -328,9 +371,8 @@ def _scorer(shared, name: str) -> Scorer | None:
     return None if shared.value is None else per_worker(("scorer", name), lambda: Scorer(shared.value))
 
 
-def score(docs: DataFrame, model: Model | None, cuts: dict) -> DataFrame:
-    """doc_id, score, threshold (of the row's language), flagged.  A narrow pass; the
-    model (8 MB, whatever the data) is broadcast."""
+def score(docs: DataFrame, model: Model | None) -> DataFrame:
+    """doc_id, lang, score.  A narrow pass; the model (8 MB, whatever the data) is broadcast."""
     shared, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def run(batches: Iterator) -> Iterator:
@@ -339,10 +381,9 @@ def score(docs: DataFrame, model: Model | None, cuts: dict) -> DataFrame:
         scorer = _scorer(shared, name)
         for b in batches:
             scores = [scorer.score(t.as_py()) if scorer else 0.25 for t in b.column(1)]
-            cut = [cuts.get(x, cuts[None]) for x in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array(cut, pa.float64()), pa.array([s >= c for s, c in zip(scores, cut, strict=True)], pa.bool_())], ["doc_id", "score", "threshold", "flagged"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(scores, pa.float64())], ["doc_id", "lang", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text"), F.col("lang").cast("string").alias("lang")).mapInArrow(run, "doc_id long, score double, threshold double, flagged boolean")
+    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text"), F.col("lang").cast("string").alias("lang")).mapInArrow(run, "doc_id long, lang string, score double")
 
 
 def accepted(docs: DataFrame, model: Model | None, cuts: dict) -> DataFrame:
@@ -364,5 +405,11 @@ def accepted(docs: DataFrame, model: Model | None, cuts: dict) -> DataFrame:
 def toxicity(docs: DataFrame, labels: DataFrame, train: F.Column | None = None, max_docs: int = 6000) -> DataFrame:
     """Train on the labels of rows whose id satisfies ``train`` (an expression over
     ``_id``; default: crc32 of the id, modulo 5, isn't 0) and score all of ``docs``."""
-    model, cuts = train_model(docs, labels, fold("_id") != 0 if train is None else train, max_docs)
-    return score(docs, model, cuts)
+    train = fold("_id") != 0 if train is None else train
+    model, fitted = fit_sample(docs, labels, train, max_docs)
+    scored = stored(score(docs, model), "scores")  # thresholds and result read the same scores
+    cuts = thresholds(scored, usable_labels(labels, train), fitted) if model else {None: 0.5}
+    names = [x for x in cuts if x is not None]
+    named = F.map_from_arrays(F.lit(names).cast("array<string>"), F.lit([cuts[x] for x in names]).cast("array<double>")) if names else None
+    threshold = F.coalesce(F.try_element_at(named, F.col("lang")), F.lit(cuts[None])) if names else F.lit(cuts[None])
+    return scored.select("doc_id", "score", threshold.alias("threshold")).withColumn("flagged", F.col("score") >= F.col("threshold"))
