@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that the stage before kept
 and returns a DataFrame; all but the last return the columns of ``docs``.
-Of rows that repeat a doc_id the deduplicating stages keep one.
+Rows are told apart by a key of their own (file and place), not by doc_id, so exactly
+the chosen rows stay, and rows without an id stay or go each by its own text.  Of the
+rows that exact dedup chose and that share an id, it keeps one (smallest text digest).
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlink.llm.common import fold, keep_documents, stored
+from ledgerlink.llm.common import ROW, fold, keep_rows, stored, with_keys
 from ledgerlink.llm.exact_dedup import exact_groups
 from ledgerlink.llm.mixing import mix
 from ledgerlink.llm.packing import pack
@@ -27,19 +29,23 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that are equal but for white space, the longest original stays."""
-    return keep_documents(docs, exact_groups(docs).filter("kept").select("doc_id").distinct())
+    docs = with_keys(docs)
+    kept = exact_groups(docs).filter("kept")
+    by_id = kept.filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("text_sha256", ROW)).alias("first"))
+    return keep_rows(docs, by_id.select(f"first.{ROW}").unionByName(kept.filter("doc_id is null").select(ROW)))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component stays (3-word shingles, 3 bits)."""
-    groups = near_duplicates(docs, shingle=3, max_bits=3)
-    return keep_documents(docs, groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct())
+    docs = with_keys(docs)
+    return keep_rows(docs, near_duplicates(docs, shingle=3, max_bits=3).filter("kept"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Three quarters of the tokens, shared out evenly over domains, languages and
     sources as far as these have them; each document at most once."""
-    return keep_documents(docs, mix(docs, share=0.75, max_epochs=1.0).select("doc_id").distinct())
+    docs = with_keys(docs)
+    return keep_rows(docs, mix(docs, share=0.75, max_epochs=1.0))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -90,16 +90,24 @@ def same(a: DataFrame, b: DataFrame, *keys: str) -> Column:
     return on
 
 
-def keep_documents(docs: DataFrame, keep: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is in ``keep`` (one column, distinct ids), with the columns of ``docs``.
+#: Column of a row's key (see ``with_keys``).
+ROW = "_ledgerlink_row"
 
-    Of rows that repeat a kept id one stays; that costs a second exchange, paid
-    only where such rows exist.
+
+def with_keys(docs: DataFrame) -> DataFrame:
+    """``docs`` with the column ``ROW``: a row's file (64 bits of its path) and place in it.
+
+    Each reading of the same files gives a row the same key, whatever its id and
+    text and however tasks are dealt or rerun.  Anything but a scan is stored first.
     """
-    ids = keep.select(F.col(keep.columns[0]).alias("_keep"))
-    repeated = docs.groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    out = docs.join(ids, docs["doc_id"].eqNullSafe(ids["_keep"]), "left_semi")
-    return out.dropDuplicates(["doc_id"]) if repeated else out
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        docs = stored(docs, "keyed")
+    return docs.withColumn(ROW, F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")))
+
+
+def keep_rows(docs: DataFrame, keep: DataFrame) -> DataFrame:
+    """Exactly the rows of ``docs`` (see ``with_keys``) whose key is in ``keep``, without the key."""
+    return docs.join(keep.select(ROW), ROW, "left_semi").drop(ROW)
 
 
 _CHUNK = re.compile("[ \n\t\r]*[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+(?=[.,\n \t\r]|\\Z)|[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ledgerlink.llm.common import ASCII_SPACE, release, text_of
+from ledgerlink.llm.common import ASCII_SPACE, ROW, release, text_of
 from ledgerlink.session import broadcast_if_small, cut_lineage
 
 #: Digests for each filter, about; shards grow in number, not in size.
@@ -107,13 +107,17 @@ def normalised(column: str = "text") -> Column:
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars (code points of the original text), digest (SHA-256, hex) of every row."""
-    return docs.select(F.col("doc_id").cast("long"), F.char_length(text_of()).alias("n_chars"), F.sha2(normalised().cast("binary"), 256).alias("digest"))
+    """doc_id, n_chars (code points of the original text), digest (SHA-256, hex) of every row, and its key where it has one."""
+    return docs.select(F.col("doc_id").cast("long"), F.char_length(text_of()).alias("n_chars"), F.sha2(normalised().cast("binary"), 256).alias("digest"), *_key_of(docs))
 
 
-def _best() -> Column:
-    """The row that stays: most code points, then smallest doc_id."""
-    return F.min(F.struct((-F.col("n_chars")).alias("less"), F.col("doc_id").isNull().alias("none"), F.col("doc_id"))).alias("best")
+def _key_of(rows: DataFrame) -> list[str]:
+    return [ROW] if ROW in rows.columns else []
+
+
+def _best(*key: str) -> Column:
+    """The row that stays: most code points, then smallest doc_id, then smallest key."""
+    return F.min(F.struct((-F.col("n_chars")).alias("less"), F.col("doc_id").isNull().alias("none"), F.col("doc_id"), *key)).alias("best")
 
 
 def _key() -> Column:
@@ -124,7 +128,7 @@ def _key() -> Column:
 def grouped(rows: DataFrame) -> DataFrame:
     """One row a digest: the best row and the number of rows.  Partial aggregation
     collapses copies before the exchange, however many they are."""
-    return rows.groupBy("digest").agg(_best(), F.count(F.lit(1)).alias("n"))
+    return rows.groupBy("digest").agg(_best(*_key_of(rows)), F.count(F.lit(1)).alias("n"))
 
 
 def build_snapshot(rows: DataFrame, shards: int | None = None) -> tuple[DataFrame, DataFrame, int]:
@@ -191,7 +195,8 @@ def colliding(docs: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def exact_groups(docs: DataFrame, snapshot_rows: Column | None = None) -> DataFrame:
-    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
+    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256; with
+    the key of each row where ``docs`` has keys, and then ``kept`` is true for just the best row.
 
     ``snapshot_rows`` says which rows form the snapshot; the others are the new
     batch (default: half of the rows, by a hash of the id, so that both
@@ -204,6 +209,8 @@ def exact_groups(docs: DataFrame, snapshot_rows: Column | None = None) -> DataFr
     groups = cut_lineage(merge(buckets, batch))
     if (bad := colliding(docs, groups)).limit(1).count():
         raise ValueError(f"different texts have the digest {bad.first()['digest']}")
+    if _key_of(rows):
+        return rows.join(groups, "digest").select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col(ROW) == F.col(f"best.{ROW}")).alias("kept"), F.col("digest").alias("text_sha256"), ROW)
     out = rows.join(groups, "digest").select(
         "doc_id", "n_chars", F.col("best.doc_id").alias("keep_id"), "group_size", F.col("digest").alias("text_sha256"),
         (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("n_chars") == -F.col("best.less"))).alias("kept"))

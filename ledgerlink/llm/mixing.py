@@ -14,7 +14,8 @@ range in which the budget ends, so a leaf may hold any share of the rows.
 
 Defined cases: a null text has no token; a null or empty name at a level is the
 name ""; rows that repeat a doc_id are one document (the one with most tokens;
-of equal ones the first leaf by name), and one with a null id likewise; documents
+of equal ones the first leaf by name), and one with a null id likewise, unless the
+rows have keys (in the pipeline), and then each is a document; documents
 without a token belong to the prefix if the order reaches them; weights default
 to 1, and nodes of weight 0 get nothing; an empty table or budget gives no rows
 (but for documents without a token); other columns are ignored.
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ledgerlink.llm.common import text_of
+from ledgerlink.llm.common import ROW, text_of
 from ledgerlink.session import cut_lineage
 
 #: Hash ranges of a leaf for the first level of sums.
@@ -89,17 +90,25 @@ def budgets(leaves: Mapping[tuple, float], budget: float, weights: Mapping[tuple
     return out
 
 
+def _key_of(rows: DataFrame) -> list[str]:
+    return [ROW] if ROW in rows.columns else []
+
+
 def units(docs: DataFrame, levels: Mapping[str, Column], tokens: Column) -> DataFrame:
-    """One row a document: doc_id, the levels' names, tokens."""
+    """One row a document: doc_id, the levels' names, tokens; rows with keys (column ``ROW``) are
+    a document each, whatever their ids."""
     names = [f"_l{k}" for k in range(len(levels))]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, c in zip(names, levels.values(), strict=True)], tokens.alias("_tokens"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, c in zip(names, levels.values(), strict=True)], tokens.alias("_tokens"), *_key_of(docs))
+    if _key_of(docs):
+        return rows
     best = F.min(F.struct((-F.col("_tokens")).alias("less"), *names)).alias("b")
     return rows.groupBy("doc_id").agg(best).select("doc_id", *[F.col(f"b.{n}").alias(n) for n in names], (-F.col("b.less")).alias("_tokens"))
 
 
 def mix(docs: DataFrame, budget: float | None = None, share: float = 0.75, weights: Mapping[tuple, float] | None = None, levels: Mapping[str, Column] | None = None,
         tokens: Column | None = None, max_epochs: float = 1.0, seed: int = 17, max_leaves: int = 200_000) -> DataFrame:
-    """The chosen documents: doc_id, epoch, the levels, n_tokens, leaf_tokens, leaf_budget.
+    """The chosen documents: doc_id, epoch, the levels, n_tokens, leaf_tokens, leaf_budget,
+    and the row's key where ``docs`` has keys.
 
     ``budget`` in tokens, or else ``share`` of all tokens.  ``weights``: path of names
     from the root, such as ("domain1", "en"), -> weight among its siblings.
@@ -126,7 +135,7 @@ def mix(docs: DataFrame, budget: float | None = None, share: float = 0.75, weigh
     whole = rows.filter("_full > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_full") - 1)))
     out = whole.unionByName(_prefixes(rows.filter("_budget > 0 and (_rest > 0 or _all = 0)"), names, seed))
     return out.select("doc_id", F.col("epoch").cast("int").alias("epoch"), *[F.col(n).alias(k) for n, k in zip(names, levels, strict=True)],
-                      F.col("_tokens").alias("n_tokens"), F.col("_all").alias("leaf_tokens"), F.col("_budget").alias("leaf_budget"))
+                      F.col("_tokens").alias("n_tokens"), F.col("_all").alias("leaf_tokens"), F.col("_budget").alias("leaf_budget"), *_key_of(out))
 
 
 def order_of(seed: int, epoch: Column, doc_id: Column) -> Column:
@@ -142,6 +151,6 @@ def _prefixes(rows: DataFrame, names: list[str], seed: int) -> DataFrame:
     placed = rows.join(ends, [*names, "_range"])
     inside = placed.filter("_end <= _rest").drop("_end", "_sum", "_h", "_range")
     split = placed.filter("_end > _rest and _end - _sum <= _rest")
-    run = F.sum("_tokens").over(W.partitionBy(*names, "_range").orderBy("_h", "doc_id").rowsBetween(W.unboundedPreceding, 0))
+    run = F.sum("_tokens").over(W.partitionBy(*names, "_range").orderBy("_h", "doc_id", *_key_of(rows)).rowsBetween(W.unboundedPreceding, 0))
     cut = split.withColumn("_run", F.col("_end") - F.col("_sum") + run).filter("_run <= _rest").drop("_run", "_end", "_sum", "_h", "_range")
     return inside.unionByName(cut)

@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlink.llm.common import release, text_of
+from ledgerlink.llm.common import ROW, release, text_of
 from ledgerlink.session import cut_lineage
 
 BITS = 64
@@ -63,7 +63,8 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long); a narrow pass over the texts."""
+    """doc_id, fp (the fingerprint as a signed long), and the row's key where it has one; a narrow pass over the texts."""
+    key = [ROW] if ROW in docs.columns else []
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -71,9 +72,10 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame
         release()
         for b in batches:
             fps = np.array([fingerprint(t.as_py(), shingle, seed) for t in b.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), *b.columns[2:]], ["doc_id", "fp", *key])
 
-    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(run, "doc_id long, fp long")
+    schema = "doc_id long, fp long" + "".join(f", {k} {docs.schema[k].dataType.simpleString()}" for k in key)
+    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text"), *key).mapInArrow(run, schema)
 
 
 # -- partitions and thresholds ------------------------------------------------
@@ -238,9 +240,13 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3, seed: int = 42) -> DataFrame:
-    """doc_id, fp, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
+    """doc_id, fp, fingerprint (16 hex digits), component_id (smallest doc_id reachable); with
+    the key of each row where ``docs`` has keys, and ``kept``: true for one row of each
+    component, the one with the smallest doc_id (null ids last), then key."""
     rows = cut_lineage(fingerprints(docs, shingle, seed))
-    nodes = cut_lineage(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    keyed = ROW in rows.columns
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW) if keyed else F.col("doc_id")
+    nodes = cut_lineage(rows.groupBy("fp").agg(F.min(first).alias("first")))
     n, both = bit_counts(nodes)
     groups, thresholds = allot(n, both, max_bits)
     roots = components(links(nodes, groups, thresholds, max_bits))
@@ -248,7 +254,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3, seed:
     ids = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     # a root may stand for many fingerprints, and a fingerprint for many rows; both joins split there
     named = cut_lineage(placed.join(ids, "root").select("fp", "component_id"))
-    return rows.join(named, "fp").select("doc_id", "fp", hex16("fp").alias("fingerprint"), "component_id")
+    named = rows.join(named, "fp")
+    if keyed:
+        first = F.col("component_id")
+        return named.select("doc_id", "fp", hex16("fp").alias("fingerprint"), first["doc_id"].alias("component_id"), ROW, (F.col(ROW) == first[ROW]).alias("kept"))
+    return named.select("doc_id", "fp", hex16("fp").alias("fingerprint"), "component_id")
 
 
 def hex16(column: str) -> Column:
