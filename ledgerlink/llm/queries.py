@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlink.llm import chat, dac, exact_dedup, maxent, mixing, packing, prefix_counts, prefix_hash, simhash, toxicity
+from ledgerlink.llm import chat, dac, exact_dedup, line_dedup, maxent, mixing, packing, prefix_counts, prefix_hash, prefix_trie, simhash, structure_repair, toxicity
 from ledgerlink.llm.common import fold
 from ledgerlink.session import read_table
 
@@ -59,4 +59,20 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_maxent_lm_scoring, op2_prefix_hash_fingerprints, op3_best_fit_packing, op4_exact_dedup, op5_source_mixing, op6_toxicity, op7_directly_addressable_codes, op8_prefix_token_counts, op9_chat_formatting, op10_simhash_near_dedup)}
+def op11_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(prefix_trie.rebuilt(prefix_trie.coded(read_table(spark, sf_dir, "conversations"))))
+
+
+def op12_conversation_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure_repair.repair(structure_repair.damaged(read_table(spark, sf_dir, "conversations")))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.line_dedup(read_table(spark, sf_dir, "documents"), min_docs=2, min_chars=10)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+_ALL = (
+    op1_maxent_lm_scoring, op2_prefix_hash_fingerprints, op3_best_fit_packing, op4_exact_dedup, op5_source_mixing, op6_toxicity, op7_directly_addressable_codes,
+    op8_prefix_token_counts, op9_chat_formatting, op10_simhash_near_dedup, op11_conversation_prefix_trie, op12_conversation_structure_repair, op13_line_dedup)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
