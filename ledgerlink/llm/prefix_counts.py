@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,8 +48,12 @@ def _byte_symbols() -> dict[int, str]:
 #: Below this code point lower-casing keeps lengths and NFC changes nothing, and
 #: character classes are the same in every Unicode version.
 _LATIN = 0x130
-_LATIN_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_\u00b2\u00b3\u00b9\u00bc-\u00be]+|[\d\u00b2\u00b3\u00b9\u00bc-\u00be]|(?:[^\s\w]|_)+")
-_OTHER_LATIN_SPACE = re.compile("[\x1c-\x1f\x85\xa0]")
+_LATIN_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼-¾]+|[\d²³¹¼-¾]|(?:[^\s\w]|[_\x1c-\x1f])+")
+_OTHER_LATIN_SPACE = re.compile("[\x85\xa0]")
+#: Characters that stand for themselves in the byte-level alphabet.
+_PLAIN = re.compile(r"[!-~]+\Z")
+#: Longer chunks are cut before their prefixes are counted.
+_PIECE = 256
 
 
 _BYTES = _byte_symbols()
@@ -69,7 +74,12 @@ class PrefixCounter:
         tokens = model["model"]["vocab"]
         self.inner = {t for t in tokens if not t.endswith(end)}
         self.closed = {t.removesuffix(end): t for t in tokens if t.endswith(end)}
-        self.longest = max(map(len, [*self.inner, *self.closed]))
+        #: last two symbols -> symbols of the longest token that ends in them
+        self.reach: dict[str, int] = {}
+        for t in [*self.inner, *self.closed]:
+            if len(t) > self.reach.get(t[-2:], 0):
+                self.reach[t[-2:]] = len(t)
+        self.longest = max(self.reach.values())
         self.rank: dict[tuple[str, str], int] = {}
         self.made: dict[str, tuple[int, str, str]] = {}
         for i, m in enumerate(model["model"]["merges"]):
@@ -83,6 +93,7 @@ class PrefixCounter:
         self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
         self.fits: dict[tuple[str, str], bool] = {}
+        self.kinds: dict[str, str] = {}
 
     def compatible(self, a: str, b: str) -> bool:
         """Does the text of tokens ``a``, ``b`` encode to just these two?
@@ -110,32 +121,40 @@ class PrefixCounter:
         out = self.fits[a, b] = self.compatible(a, b)
         return out
 
-    def word(self, w: str) -> list[int] | bytes:
-        """Token counts of w[:1], w[:2], ..., w, each as a word of its own (with its word end)."""
-        known = self.words.get(w)
-        if known is not None:
-            return known
-        inner, closed, fits, longest = self.inner, self.closed, self.fits, self.longest
-        count, last, out = [0], [""], []
-        for k in range(1, len(w) + 1):
+    def _run(self, w: str, count: list[int], last: list[str | None], out: list[int]) -> None:
+        """Fills the places of ``w`` beyond ``count``: tokens and last token of each prefix
+        (without the word's end), and to ``out`` its tokens as a whole word.  ``last``
+        is None where the word begins."""
+        inner, closed, fits, reach = self.inner, self.closed, self.fits, self.reach
+        for k in range(len(count), len(w) + 1):
             here = done = 0
-            for j in range(k - longest if k > longest else 0, k):
+            tail = ""
+            far = k - reach.get(w[k - 2 if k > 1 else 0 : k], 1)
+            for j in range(far if far > 0 else 0, k):
                 t, before = w[j:k], last[j]
                 if not here and t in inner:
-                    if not j or ((ok := fits.get((before, t))) is None and self._fits(before, t)) or ok:
+                    if before is None or ((ok := fits.get((before, t))) is None and self._fits(before, t)) or ok:
                         here = count[j] + 1
                         tail = t
                         if done:
                             break
                 if not done and t in closed:
                     t = closed[t]
-                    if not j or ((ok := fits.get((before, t))) is None and self._fits(before, t)) or ok:
+                    if before is None or ((ok := fits.get((before, t))) is None and self._fits(before, t)) or ok:
                         done = count[j] + 1
                         if here:
                             break
             count.append(here)
             last.append(tail)
             out.append(done)
+
+    def word(self, w: str) -> list[int] | bytes:
+        """Token counts of w[:1], w[:2], ..., w, each as a word of its own (with its word end)."""
+        known = self.words.get(w)
+        if known is not None:
+            return known
+        out: list[int] = []
+        self._run(w, [0], [None], out)
         if len(w) <= 64:
             out = bytes(out)
             if len(self.words) < self.limit:
@@ -150,16 +169,65 @@ class PrefixCounter:
         return [w for w, _ in self.split.pre_tokenize_str(self.normal.normalize_str(s))]
 
     def _total(self, s: str) -> int:
-        """Tokens of a chunk, from the words' last entries."""
-        n, at = 0, 0
-        for m in self.special.finditer(s):
-            n, at = n + 1 + sum(self.word(w)[-1] for w in self._pieces(s[at : m.start()])), m.end()
-        return n + sum(self.word(w)[-1] for w in self._pieces(s[at:]))
+        """Tokens of a piece of text without special strings, from the words' last entries."""
+        return sum(self.word(w)[-1] for w in self._pieces(s))
 
     def _prefixes(self, s: str) -> list[int]:
         """Counts of s[:1], ..., s for a chunk."""
-        if self.special.search(s):  # a prefix may end inside a special string: each prefix from its words
-            return [self._total(s[:k]) for k in range(1, len(s) + 1)]
+        out, before, at = [], 0, 0
+        for m in self.special.finditer(s):
+            plain = s[at : m.start()]
+            counts, rest = self._plain(plain)
+            out += [before + n for n in counts]
+            # a prefix may end inside the special string, whose characters then go on with what can't be cut off
+            end = before + (counts[-1] if counts else 0)
+            if rest and self._ends(rest[-1], m.group()[0]):
+                rest = ""
+            base = end - self._total(rest)
+            out += [base + self._total(rest + m.group()[:k]) for k in range(1, len(m.group()))]
+            out.append(end + 1)
+            before, at = end + 1, m.end()
+        return out + [before + n for n in self._plain(s[at:])[0]]
+
+    def _kind(self, c: str) -> str:
+        """What the library takes a character for: l(etter), n(umber), o(ther), s(pace); or
+        x if it may combine with the one before it or is normalised to more than one."""
+        got = self.kinds.get(c)
+        if got is None:
+            normal = self.normal.normalize_str(c)
+            if unicodedata.category(c)[0] == "M" or "\u1160" <= c <= "\u11ff" or len(normal) != 1:
+                got = "x"
+            else:
+                beside = len(self.split.pre_tokenize_str("a" + normal))
+                got = "s" if not self.split.pre_tokenize_str(normal) else "l" if beside == 1 else "n" if len(self.split.pre_tokenize_str(normal + normal)) == 2 else "o"
+            self.kinds[c] = got
+        return got
+
+    def _ends(self, before: str, c: str) -> bool:
+        """Does a word end between these characters, whatever stands beside them?"""
+        a, b = self._kind(before), self._kind(c)
+        return "x" not in (a, b) and (a != b or a == "n") and not (b == "l" and before == "'")
+
+    def _plain(self, s: str) -> tuple[list[int], str]:
+        """As ``_prefixes``, without special strings, and what stands after the last cut.
+
+        A long chunk is cut where words end whatever follows: where the kind of
+        character changes (but between an apostrophe and a letter) and after a number,
+        before a character that doesn't combine.  So the work stays linear.
+        """
+        if not s:
+            return [], s
+        kinds = [self._kind(c) for c in s] if len(s) > _PIECE else []
+        out, before, at = [], 0, 0
+        for k in range(1, len(kinds)):
+            if k - at >= 64 and (kinds[k - 1] != kinds[k] or kinds[k] == "n") and self._ends(s[k - 1], s[k]):
+                out += [before + n for n in self._piece(s[at:k])]
+                before, at = out[-1], k
+        rest = s[at:]
+        return out + [before + n for n in self._piece(rest)], rest if kinds else s
+
+    def _piece(self, s: str) -> list[int]:
+        """As ``_plain``, word by word."""
         if not (s.isascii() or max(s) < chr(_LATIN)):
             return self._any_script(s)
         out, before, at = [], 0, 0
@@ -171,7 +239,7 @@ class PrefixCounter:
             w = m.group()
             if w[0] == "'" and len(w) > 1 and w[1].isalpha():  # a contraction: its prefixes are other words
                 out += [before + self._total(w[:k]) for k in range(1, len(w) + 1)]
-            elif w.isascii():
+            elif _PLAIN.match(w):
                 out += [before + n for n in self.word(w)]
             else:
                 counts, k = self.word("".join([symbol[c] for c in w])), 0
@@ -181,26 +249,72 @@ class PrefixCounter:
             before, at = out[-1], b
         return out + [before] * (len(s) - at)
 
+    def _by_word(self, text: str) -> list[int]:
+        """Counts of the prefixes of a normalised text."""
+        out, before, at = [], 0, 0
+        for w, (a, b) in self.split.pre_tokenize_str(text):
+            out += [before] * (a - at)
+            if text[a] == "'" and b - a > 1 and text[a + 1].isalpha():  # a contraction
+                out += [before + sum(self.word(v)[-1] for v, _ in self.split.pre_tokenize_str(text[a : a + k])) for k in range(1, b - a + 1)]
+            else:
+                counts, k = self.word(w), 0
+                for c in text[a:b]:
+                    k += len(c.encode())
+                    out.append(before + counts[k - 1])
+            before, at = out[-1], b
+        return out + [before] * (len(text) - at)
+
     def _any_script(self, s: str) -> list[int]:
-        """As ``_prefixes``, for any characters.  Where each character is normalised
-        by itself, a prefix's words are prefixes of the chunk's words; else (it
-        has characters that combine) each prefix is cut into words anew."""
+        """As ``_piece``, for any characters.  Where each character is normalised by
+        itself, a prefix's words are prefixes of the piece's words; else (it has
+        characters that combine) the prefixes that end before a character that doesn't
+        combine are such, and the others end in a tail that is worked out anew."""
         normal = self.normal.normalize_str
-        own = {c: normal(c) for c in set(s)}
         whole = normal(s)
-        if "".join([own[c] for c in s]) != whole or "'" in s:
+        own = {c: normal(c) for c in set(s)}
+        if "".join([own[c] for c in s]) == whole:
+            counts, ends = self._by_word(whole), np.cumsum([len(own[c]) for c in s])
+            return [counts[e - 1] if e else 0 for e in ends.tolist()]
+        if len(s) <= _PIECE:
             return [self._total(s[:k]) for k in range(1, len(s) + 1)]
-        out, before, at = [], 0, 0  # by characters of the normalised chunk
-        for w, (a, b) in self.split.pre_tokenize_str(whole):
-            out += [before] * (a - at)
-            counts, k = self.word(w), 0
-            for c in whole[a:b]:
-                k += len(c.encode())
-                out.append(before + counts[k - 1])
-            before, at = out[-1], b
-        out += [before] * (len(whole) - at)
-        ends = np.cumsum([len(own[c]) for c in s])
-        return [out[e - 1] if e else 0 for e in ends.tolist()]
+        starts = [k for k, c in enumerate(s) if k == 0 or self._kind(c) != "x"]
+        clusters = [normal(s[a:b]) for a, b in zip(starts, [*starts[1:], len(s)], strict=True)]
+        if "".join(clusters) != whole:
+            return [self._total(s[:k]) for k in range(1, len(s) + 1)]
+        counts, words = self._by_word(whole), self.split.pre_tokenize_str(whole)
+        out, place, w = [], 0, 0  # place: in the normalised piece
+        states: tuple[int, list, list] = (-1, [], [])
+        for a, b, cluster in zip(starts, [*starts[1:], len(s)], clusters, strict=True):
+            while w + 1 < len(words) and words[w + 1][1][0] < place:
+                w += 1
+            for k in range(a + 1, b):  # inside the cluster
+                tail = normal(s[a:k])
+                if not words or not words[w][1][0] < place <= words[w][1][1]:
+                    before = counts[place - 1] if place else 0
+                    out.append(before + sum(self.word(v)[-1] for v, _ in self.split.pre_tokenize_str(tail)))
+                    continue
+                if states[0] != w:
+                    states = (w, [0], [None])
+                    self._run(words[w][0], states[1], states[2], [])
+                out.append(self._tail(whole, words[w], states, place, tail, counts))
+            place += len(cluster)
+            out.append(counts[place - 1] if place else 0)
+        return out
+
+    def _tail(self, whole: str, word: tuple, states: tuple, place: int, tail: str, counts: list[int]) -> int:
+        """Tokens of whole[:place] + tail, where ``place`` is inside or at the end of ``word``."""
+        symbols, (a, _) = word
+        before = counts[a - 1] if a else 0
+        begun = len(whole[a:place].encode())
+        first, *more = self.split.pre_tokenize_str(whole[place - 1] + tail) or [("", (0, 0))]
+        joined = len(whole[place - 1].encode())
+        if whole[a] == "'" or len(first[0]) < joined:  # may be a contraction: the word is short
+            return before + self._total(whole[a:place] + tail) if place - a <= _PIECE else counts[place - 1] + self._total(tail)
+        low = max(0, begun - self.longest)
+        count, last, out = states[1][low : begun + 1], states[2][low : begun + 1], []
+        self._run(symbols[low:begun] + first[0][joined:], count, last, out)
+        here = out[-1] if out else counts[place - 1] - before
+        return before + here + sum(self.word(v)[-1] for v, _ in more)
 
     def deltas(self, text: str) -> bytes:
         """Change of the count at each code point of the text, a signed byte each."""
@@ -211,24 +325,13 @@ class PrefixCounter:
             for k, (c, p) in enumerate(zip(chunks, parts, strict=True)):
                 if p is None:
                     if c not in new:
-                        counts = self._prefixes(c) if len(c) <= 256 else self._long(c)
+                        counts = self._prefixes(c)
                         new[c] = bytes([(n - m) & 255 for n, m in zip(counts, [0, *counts])])
                     parts[k] = new[c]
             if len(known) < self.limit:
                 known.update((c, p) for c, p in new.items() if len(c) <= 64)
         return b"".join(parts)
 
-    def _long(self, s: str) -> list[int]:
-        """As ``_prefixes``, for a long chunk: it is cut where words end and
-        normalisation has no effect (beside an ASCII digit), so the work stays linear."""
-        out, before, at = [], 0, 0
-        cuts = [m.start() for m in re.finditer(r"(?<=[0-9])(?=[0-9A-Za-z])|(?<=[A-Za-z])(?=[0-9])", s)]
-        for cut in [*cuts, len(s)]:
-            if cut - at >= 64 or cut == len(s):
-                out += [before + n for n in self._prefixes(s[at:cut])]
-                before, at = out[-1], cut
-        return out
-
 
 def count_at(deltas: bytes, prefix: int) -> int:
     """Tokens of the text's first ``prefix`` code points."""

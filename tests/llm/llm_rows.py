@@ -28,6 +28,7 @@ MESSY = [
     (None, sentence(4), "es", "a"),
     (10, "日本語のテキスト <|endoftext|> ½ don't Ünïcödé 🙂 x", "de", "d"),
     (11, LONG, "en", "a"),
+    (14, "ctl \x00\x01a\x1cb \x7f. é\x1f\x85<|endoftext|>'s", "en", "a"),
     (12, sentence(5).upper(), None, None),
     (-13, sentence(5), "en", "a"),
 ]

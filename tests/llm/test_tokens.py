@@ -1,11 +1,13 @@
 """Chunk encoder, packing, directly addressable codes, prefix counts."""
 
+import time
 import zlib
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from ledgerlink.llm import dac, packing, prefix_counts
 from ledgerlink.llm.common import BYTE_BPE, WORD_BPE, encoder, vocabulary
@@ -41,6 +43,39 @@ def test_counts_at_every_prefix(text):
         assert prefix_counts.truncate(store, budget) == max(k for k, n in enumerate(want) if n <= budget)
 
 
+@pytest.mark.parametrize("form", ["{}", "a{}", "{}a", "a{}b", "a {} b", "{0}{0}", ".{}.", "é{}", "'{}s", "日{}本", "<|endoftext|>{}", "x'{}"])
+def test_every_byte_value_counts_as_the_library_counts_it(form):
+    c = prefix_counts.counter(vocabulary(WORD_BPE))
+    lib = Tokenizer.from_file(vocabulary(WORD_BPE))
+    for b in [*range(256), 0x301, 0xE33, 0x93E, 0x1161, 0x200B, 0x2028, 0x3000, 0xFEFF]:
+        text = form.format(chr(b))
+        store = c.deltas(text)
+        assert [prefix_counts.count_at(store, k) for k in range(len(text) + 1)] == [len(lib.encode(text[:k], add_special_tokens=False).ids) for k in range(len(text) + 1)], text
+
+
+PARTS = ["a", "B", "é", "e\u0301", "'s", "'re", "'", "!", "..", "1", "23", "\x00", "\x1c", "日本", "か\u3099", "\u1112\u1161\u11ab", "İ", "<|endoftext|>", "<|endof", "\u3000", "\xa0", "ß", "the", "_", "½", "हिं", "🙂", "\u200d"]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(PARTS), min_size=1, max_size=5, unique=True), st.integers(100, 500), st.randoms(use_true_random=False))
+def test_long_chunks_are_cut_where_it_makes_no_difference(parts, n, r):
+    text = "".join(r.choice(parts) for _ in range(n))
+    c = prefix_counts.counter(vocabulary(WORD_BPE))
+    lib = Tokenizer.from_file(vocabulary(WORD_BPE))
+    store = c.deltas(text)
+    for k in [len(text), *[r.randrange(len(text) + 1) for _ in range(8)]]:
+        assert prefix_counts.count_at(store, k) == len(lib.encode(text[:k], add_special_tokens=False).ids)
+
+
+@pytest.mark.parametrize("text", ["ab" * 50_000 + "<|endoftext|>", "日本語" * 16_000 + "'" + "日本語" * 17_000, "'" + "日本語" * 33_000, "it's" * 25_000, "हि" * 50_000, "か\u3099" * 50_000, "." * 100_000])
+def test_unspaced_texts_take_linear_time(text):
+    c = prefix_counts.counter(vocabulary(WORD_BPE))
+    began = time.process_time()
+    store = c.deltas(text)
+    assert time.process_time() - began < 10  # quadratic work would take hours
+    assert prefix_counts.count_at(store, len(text)) == len(Tokenizer.from_file(vocabulary(WORD_BPE)).encode(text, add_special_tokens=False).ids)
+
+
 def test_prefix_counts_on_messy_rows(messy, empty):
     from tokenizers import Tokenizer
 
