@@ -9,9 +9,11 @@ vendor's k-th best score so far are scored, best bounds first.  So the top-k is
 exact (ties by lookup order) while few pairs are scored, and pairs never become
 rows: a bounded lookup (rows and bytes are checked) goes to the workers once.
 
-A larger lookup is dealt into chunks and the vendors into buckets; each
-(chunk, bucket) group yields k keys a vendor, and a window merges them.  A key
-beaten inside its chunk is beaten overall, so this is exact too.
+A larger lookup gets an inverted index (see operators/fuzzy_index): vendors whose
+k-th best score is high enough meet a few postings only, by a join.  For the other
+vendors, and for very long keys, the lookup is dealt into chunks and the vendors
+into buckets; each (chunk, bucket) group yields k keys a vendor, and a window merges
+them.  A key beaten inside its chunk is beaten overall, so all of this is exact.
 """
 
 from __future__ import annotations
@@ -20,13 +22,15 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from ledgerlink.functions.similarity import wratio_batch, wratio_bound
+from ledgerlink.operators import fuzzy_index
 from ledgerlink.operators.lookup import ORDER_COLS
+from ledgerlink.session import cut_lineage
 
 #: A lookup of at most this size is worked on whole in each worker.
 INDEX_ROWS, INDEX_BYTES = 50_000, 32 * 1024 * 1024
@@ -42,31 +46,33 @@ def scoring_partitions(df: DataFrame) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
+def _by_character(keys: list[str]):
+    """(character, rows, counts) of each character that the keys hold."""
+    lens = np.array([len(k) for k in keys], dtype=np.int64)
+    point = np.frombuffer("".join(keys).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+    cells, counts = np.unique(point * max(1, len(keys)) + np.repeat(np.arange(len(keys)), lens), return_counts=True)
+    char, row = np.divmod(cells, max(1, len(keys)))
+    starts = np.flatnonzero(np.diff(char, prepend=-1))
+    for a, z in zip(starts, [*starts[1:], len(char)]):
+        yield chr(char[a]), row[a:z], counts[a:z]
+
+
 class FuzzyIndex:
-    """Lookup keys in lookup order, with their character counts."""
+    """Lookup keys in lookup order, with the keys and counts of each character (8 bytes
+    a character of the keys)."""
 
     def __init__(self, keys: list[str]):
         self.keys = np.array(keys, dtype=object)
         self.lens = np.array([len(k) for k in keys], dtype=np.int64)
-        self.column = {c: i for i, c in enumerate(sorted({c for k in keys for c in k}))}
-        self.counts = self._counts(keys)
-
-    def _counts(self, keys: list[str]) -> np.ndarray:
-        out = np.zeros((len(self.column), len(keys)), dtype=np.int32)
-        for r, k in enumerate(keys):
-            for c in k:
-                i = self.column.get(c)
-                if i is not None:
-                    out[i, r] += 1
-        return out
+        self.chars = {c: (rows.astype(np.int32), n.astype(np.int32)) for c, rows, n in _by_character(keys)}
 
     def bounds(self, vkeys: list[str]) -> np.ndarray:
         """Upper bounds, vendors x lookup keys."""
         common = np.zeros((len(vkeys), len(self.keys)), dtype=np.int32)
-        for mine, theirs in zip(self._counts(vkeys), self.counts):
-            has = np.flatnonzero(mine)
-            if len(has):
-                common[has] += np.minimum(mine[has][:, None], theirs[None])
+        for c, rows, mine in _by_character(vkeys):
+            if c in self.chars:
+                cols, theirs = self.chars[c]
+                common[np.ix_(rows, cols)] += np.minimum(mine[:, None], theirs[None])
         return wratio_bound(common, np.array([len(v) for v in vkeys], dtype=np.int64)[:, None], self.lens[None])
 
     def _score(self, vkeys: list[str], bound: np.ndarray, score: np.ndarray, todo: np.ndarray) -> int:
@@ -142,12 +148,14 @@ _CANDIDATE = "struct<score:double,match_text:string,canonical_name:string,instit
 def top2_columns(entries: pd.DataFrame, vkey: Column, skip: Column) -> dict[str, Column]:
     """Columns t1 and t2 (candidate structs, null when absent) for a bounded lookup; rows
     with ``skip`` get none.  One Arrow pass beside the other columns."""
-    index, attrs = FuzzyIndex(entries["key"].tolist()), entries[["match_text", "canonical_name", "institution_id", "keywords", "negative_keywords"]]
+    attrs = entries[["match_text", "canonical_name", "institution_id", "keywords", "negative_keywords"]]
+    shared = SparkSession.active().sparkContext.broadcast((FuzzyIndex(entries["key"].tolist()), attrs))
     fields = ["score", *attrs.columns]
     schema = T.StructType([T.StructField(f"{f}_{r}", T.DoubleType() if f == "score" else T.LongType() if f == "institution_id" else T.StringType()) for r in (1, 2) for f in fields])
 
     @pandas_udf(schema)
     def top2(keys: pd.Series) -> pd.DataFrame:
+        index, attrs = shared.value
         full = np.flatnonzero(keys.notna().to_numpy())
         labels, distinct = pd.factorize(keys.iloc[full])
         pos, score, _ = index.topk(list(distinct), 2)
@@ -191,12 +199,12 @@ def _ranked(keys: list[str], index: FuzzyIndex, k: int, key_col: str) -> pd.Data
 
 
 def _keys_in_batches(vkeys: DataFrame, entries: pd.DataFrame, key_col: str, score, schema: str) -> DataFrame:
-    index = FuzzyIndex(entries["key"].tolist())
+    shared = vkeys.sparkSession.sparkContext.broadcast(FuzzyIndex(entries["key"].tolist()))
 
     def run(batches):
         for b in batches:
             if len(b):
-                yield score(b[key_col].tolist(), index)
+                yield score(b[key_col].tolist(), shared.value)
 
     return vkeys.select(key_col).repartition(scoring_partitions(vkeys), key_col).mapInPandas(run, schema)
 
@@ -206,7 +214,7 @@ def fuzzy_topk(vkeys: DataFrame, lookup: DataFrame, k: int = 2, key_col: str = "
     """Top-k lookup entries per vendor key by WRatio, ties by lookup order.
 
     Columns: key_col, rank, key, institution_id, canonical_name, match_text, keyword lists, score
-    (and ``scored``: the pairs scored for the vendor where it was found).
+    (and ``scored``: the pairs scored for the vendor where it was found; 1 for a pair from the index).
     """
     schema = f"{key_col} string, rank int, key string, score double, scored long"
     entries = lookup_entries(lookup, max_index_rows)
@@ -215,7 +223,15 @@ def fuzzy_topk(vkeys: DataFrame, lookup: DataFrame, k: int = 2, key_col: str = "
         top = _keys_in_batches(vkeys, entries, key_col, lambda keys, index: _ranked(keys, index, k, key_col), schema)
         out = top.join(F.broadcast(attrs), "key")
     else:
-        found = _grouped(vkeys, lookup, key_col, chunk_rows, lambda keys, index: _ranked(keys, index, k, key_col), schema).drop("rank")
+        keys, lookup = cut_lineage(vkeys.select(key_col)), cut_lineage(lookup)
+        attrs = lookup.select(*attrs.columns)
+        postings = fuzzy_index.build(lookup)
+        asked, served, rest = fuzzy_index.plan(keys, fuzzy_index.thresholds(keys, lookup, k, key_col), postings, key_col)
+        dense = [(rest, lookup), (served, lookup.where(F.char_length("key") > fuzzy_index.MAX_LENGTH))]
+        found = fuzzy_index.scored(fuzzy_index.candidates(asked, postings, key_col), key_col, "scored")
+        for some, part in dense:
+            if not some.isEmpty() and not part.isEmpty():
+                found = found.unionByName(_grouped(some, part, key_col, chunk_rows, lambda keys, index: _ranked(keys, index, k, key_col), schema).drop("rank"))
         w = Window.partitionBy(key_col).orderBy(F.col("score").desc(), *ORDER_COLS)
         out = found.join(attrs, "key").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return out.select(key_col, "rank", "key", "institution_id", "canonical_name", "match_text", "keywords", "negative_keywords", "score", *["scored"] * with_scored)
@@ -232,7 +248,15 @@ def fuzzy_pairs(vkeys: DataFrame, lookup: DataFrame, floor: float, key_col: str
     entries = lookup_entries(lookup, max_index_rows)
     if entries is not None:
         return _keys_in_batches(vkeys, entries, key_col, score, schema)
-    return _grouped(vkeys, lookup, key_col, chunk_rows, score, schema)
+    keys, lookup = cut_lineage(vkeys.select(key_col)), cut_lineage(lookup)
+    postings = fuzzy_index.build(lookup)
+    least = keys.where(F.char_length(key_col) > 0).distinct().withColumn("least", F.lit(float(floor)))
+    asked, served, rest = fuzzy_index.plan(keys, least, postings, key_col)
+    found = fuzzy_index.scored(fuzzy_index.candidates(asked, postings, key_col), key_col)
+    for some, part in [(rest, lookup), (served, lookup.where(F.char_length("key") > fuzzy_index.MAX_LENGTH))]:
+        if not some.isEmpty() and not part.isEmpty():
+            found = found.unionByName(_grouped(some, part, key_col, chunk_rows, score, schema))
+    return found
 
 
 def top2_pivot(topk: DataFrame, key_col: str = "vkey") -> DataFrame:

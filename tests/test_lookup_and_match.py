@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
 from ledgerlink.functions.similarity import wratio
@@ -125,3 +127,54 @@ def test_match_key_of_lookup_equals_python_rule(spark, seed):
     m, a = seed
     for r in build_lookup(m, a).select("key", "match_text", match_key("match_text").alias("k2")).collect():
         assert r.key == "".join(r.match_text.split()).upper() == r.k2
+
+
+def _index_case(seed, n_names, n_vendors, words):
+    rng = random.Random(seed)
+    names = sorted({"".join(rng.sample(words, rng.randint(1, 3))) + rng.choice(["", "#", str(rng.randrange(99))]) for _ in range(n_names)})
+    vendors = set()
+    for n in rng.sample(names, min(n_vendors, len(names))):
+        k = rng.randrange(len(n))
+        vendors.add(rng.choice([n, n[:k] + n[k + 1 :], n + "본점", "ZQ" + n, n[k:], "", rng.choice(words)]))
+    return names, sorted(vendors)
+
+
+def _name_lookup(spark, names):
+    m = spark.createDataFrame([(i + 1, n, "BANK", None, None, None, True) for i, n in enumerate(names)], MASTER_SCHEMA)
+    return build_lookup(m, spark.createDataFrame([], ALIAS_SCHEMA))
+
+
+def test_inverted_index_equals_brute_force(spark):
+    """Seeds, probes and dense rest together, with keys beyond the index's length on both sides."""
+    words = "ALMOND ANTIQUE AZURE 농협 은행 신한 국민 증권 BEIGE 🙂X BLACK".split()
+    names, vendors = _index_case(7, 150, 60, words)
+    names, vendors = [*names, "ALMOND" * 14, "농협" * 40 + "X"], [*vendors, "ALMOND" * 13 + "Z", "농협" * 40]
+    lk = _name_lookup(spark, names)
+    entries = [(r.key, (r.ord_name, r.ord_alias, r.ord_alias_id)) for r in lk.collect()]
+    got = {}
+    for r in fuzzy_topk(spark.createDataFrame([(v,) for v in vendors], "vkey string"), lk, 2, "vkey", max_index_rows=0, chunk_rows=50).orderBy("vkey", "rank").collect():
+        got.setdefault(r.vkey, []).append((r.key, round(r.score, 6)))
+    assert got == _brute_top2(vendors, entries)
+
+
+def test_inverted_index_looks_at_few_pairs(spark):
+    """The bound of under 5 % of all pairs is ever computed, dense rest included (100 vendors, 2,000 names)."""
+    from ledgerlink.operators import fuzzy_index
+    from ledgerlink.plans import queries
+
+    lk, vk = queries._wide_lookup(spark, "/root/testdata/sf0.01"), queries._wide_vendors(spark, "/root/testdata/sf0.01")
+    postings = fuzzy_index.build(lk)
+    asked, served, rest = fuzzy_index.plan(vk, fuzzy_index.thresholds(vk, lk, 2, "vkey"), postings, "vkey")
+    assert served.count() + rest.count() == vk.count()
+    looked = fuzzy_index.candidates(asked, postings, "vkey").count() + rest.count() * postings.keys
+    assert looked < 0.05 * vk.count() * postings.keys
+
+
+def test_needed_characters_invert_the_bound(spark):
+    from ledgerlink.functions.similarity import wratio_bound
+    from ledgerlink.operators import fuzzy_index
+
+    rows = [(n, m, t / 2) for n in (1, 2, 5, 9, 30) for m in (1, 3, 7, 14, 60) for t in range(1, 201, 7)]
+    for r in spark.createDataFrame(rows, "n int, m int, t double").withColumn("c", fuzzy_index.needed(F.col("n"), F.col("m"), F.col("t"))).collect():
+        reach = [c for c in range(1, min(r.n, r.m) + 1) if wratio_bound(np.array([c]), np.array([r.n]), np.array([r.m]))[0] >= r.t - 1e-9]
+        assert (reach[0] if reach else min(r.n, r.m) + 1) == min(r.c, min(r.n, r.m) + 1)
