@@ -1,17 +1,18 @@
 """Vector candidates: for every query vector, the best index text per owner, then
 the top-k owners (ties by index order).
 
-Exact brute force is inherent in the semantics (every query against every index
-text), so the scores are never materialised as pair rows.  Two plans:
+The result is that of exact brute force, and scores are never materialised as pair
+rows.  Two plans:
 
 * bounded index (rows and bytes checked): the index is shipped once to every
   executor as a NumPy matrix; ``mapInPandas`` scores an Arrow batch of queries
   with one matrix product and keeps k owners per query;
-* larger index: queries are hashed into ``query_buckets`` and index rows into
-  chunks; each (chunk, bucket) group is scored by ``cogroup.applyInPandas`` and
-  yields k owners per query and chunk; a window merges the per-chunk winners.
-  The per-chunk top-k owners contain the global top-k (an owner beaten inside
-  a chunk is beaten globally), so the merge is exact.
+* larger index: its rows lie in cells round pivots (see operators/vector_cells), and a
+  query goes only to the cells that its k-th best score lets it need.  Each block of
+  a cell's rows and queries is scored by ``cogroup.applyInPandas`` and yields k
+  owners per query; a window merges them.  The per-block top-k owners contain the
+  global top-k (an owner beaten inside a block is beaten globally), so the merge
+  is exact.
 
 Scores are cosines of L2-normalised vectors, rounded to 10 decimals so that
 mathematically equal scores tie the same way in every engine.
@@ -19,15 +20,15 @@ mathematically equal scores tie the same way in every engine.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerlink.operators import vector_cells
 from ledgerlink.operators.lookup import ORDER_COLS
+from ledgerlink.session import cut_lineage
 
 SCORE_DECIMALS = 10
 # An index within both bounds is shipped once per executor (50,000 rows x 128 float64 dims = 51 MB).
@@ -112,7 +113,6 @@ def vector_topk(
     vec_col: str = "vec",
     max_broadcast_rows: int = DEFAULT_INDEX_BROADCAST_ROWS,
     chunk_rows: int = 50_000,
-    query_buckets: int = 64,
     query_rows_per_group: int = 20_000,
 ) -> DataFrame:
     """queries: (query_id, vec); index: (institution_id, canonical_name, text, [keywords,
@@ -154,21 +154,9 @@ def vector_topk(
         q = queries.select(query_id, vec_col)
         return q.repartition(scoring_partitions(q), query_id).mapInPandas(score_batches, schema)
 
-    # Large index: blocked brute force without a driver round trip.
-    # Only ids, order and vectors are copied to the buckets; names and keywords join the winners.
-    n_index = index.count()
-    chunks = max(1, math.ceil(n_index / chunk_rows))
-    # each (chunk, bucket) group holds at most ~chunk_rows index rows and
-    # ~query_rows_per_group queries, whatever the number of distinct queries
-    query_buckets = max(query_buckets, math.ceil(queries.count() / query_rows_per_group))
-    ic = index.select("institution_id", *ORDER_COLS, vec_col).withColumn("_chunk", F.pmod(F.xxhash64(*ORDER_COLS), F.lit(chunks))).withColumn(
-        "_qb", F.explode(F.sequence(F.lit(0), F.lit(query_buckets - 1)))
-    )
-    qc = (
-        queries.select(query_id, vec_col)
-        .withColumn("_qb", F.pmod(F.xxhash64(query_id), F.lit(query_buckets)))
-        .withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    )
+    # Large index: cells round pivots, without a driver round trip of rows.
+    # Only ids, order and vectors go to the cells; names and keywords join the winners.
+    placed, cells = vector_cells.build(cut_lineage(index.select("institution_id", *ORDER_COLS, vec_col)), vec_col)
 
     slim = T.StructType([f for f in schema.fields if f.name in (query_id, "rank", "institution_id", "score", *ORDER_COLS)])
 
@@ -186,7 +174,7 @@ def vector_topk(
         out["ord_alias"] = out["ord_alias"].astype("int32")
         return pd.DataFrame(out)[[f.name for f in slim.fields]]
 
-    per_chunk = qc.groupBy("_chunk", "_qb").cogroup(ic.groupBy("_chunk", "_qb")).applyInPandas(score_group, slim)
+    per_chunk = vector_cells.search(queries, placed, cells, query_id, k, vec_col, chunk_rows, query_rows_per_group, score_group, slim)
     w_owner = Window.partitionBy(query_id, "institution_id").orderBy(F.col("score").desc(), *ORDER_COLS)
     best = per_chunk.withColumn("_r", F.row_number().over(w_owner)).where("_r = 1").drop("_r")
     w = Window.partitionBy(query_id).orderBy(F.col("score").desc(), *ORDER_COLS)

@@ -242,13 +242,17 @@ def with_(*ctes: str) -> str:
 DIM = 128
 
 
-def ngram_counts(t: str) -> str:
+def ngram_buckets(t: str) -> str:
+    """SQL of the buckets of a text's n-grams, with repeats."""
     grams = " , ".join(
         f"list_transform(range(1, length({t}) - {n} + 2), lambda gi: substr({t}, gi, {n}))" for n in (1, 2, 3)
     )
     g = f"list_concat(list_concat({grams.split(' , ')[0]}, {grams.split(' , ')[1]}), {grams.split(' , ')[2]})"
-    b = f"list_transform({g}, lambda gg: list_reduce(list_transform(string_split(gg, ''), lambda gc: CAST(unicode(gc) AS BIGINT)), lambda ga, gx: ga * 31 + gx, 0::BIGINT) % {DIM})"
-    return f"list_transform(range({DIM}), lambda bb: CAST(len(list_filter({b}, lambda bx: bx = bb)) AS DOUBLE))"
+    return f"list_transform({g}, lambda gg: list_reduce(list_transform(string_split(gg, ''), lambda gc: CAST(unicode(gc) AS BIGINT)), lambda ga, gx: ga * 31 + gx, 0::BIGINT) % {DIM})"
+
+
+def ngram_counts(t: str) -> str:
+    return f"list_transform(range({DIM}), lambda bb: CAST(len(list_filter({ngram_buckets(t)}, lambda bx: bx = bb)) AS DOUBLE))"
 
 
 def vector_ctes(unresolved: str, has_context: bool, floor: float = EMBEDDING_FLOOR, min_margin: float = MIN_SCORE_MARGIN) -> str:
@@ -567,6 +571,14 @@ def _oracle_sql() -> dict[str, str]:
     q["fuzzy_high_cardinality"] = with_(*pm, fast_cte("SELECT vendor FROM nv", FUZZY_AUTO_THRESHOLD)) + (
         f"SELECT n.p_partkey, n.vendor, n.true_label, {RESULT_COLS} FROM nv n LEFT JOIN fast f ON n.vendor = f.vendor"
     )
+    hot = (
+        "hj AS (SELECT l_orderkey, l_linenumber, CASE WHEN (l_orderkey * 7 + l_linenumber) % 10 < 3 THEN 'small ring' ELSE vendor END AS vendor "
+        "FROM lineitem JOIN nv ON l_partkey = p_partkey)"
+    )
+    q["join_back_hot_vendor"] = with_(*pm, hot, fast_cte("SELECT vendor FROM hj", FUZZY_AUTO_THRESHOLD)) + (
+        "SELECT l_orderkey, l_linenumber, h.vendor, canonical_institution, normalization_method, round(top1_score, 6) AS top1_score, review_status "
+        "FROM hj h LEFT JOIN fast f ON h.vendor = f.vendor"
+    )
     ev_fast = [eval_cte(), seed_master_cte(), lookup_cte(), fast_cte("SELECT vendor FROM ev", FUZZY_AUTO_THRESHOLD)]
     q["fast_cascade"] = with_(*ev_fast) + f"SELECT vendor, {RESULT_COLS} FROM fast"
     q["fuzzy_veto"] = with_(
@@ -708,6 +720,24 @@ def _oracle_sql() -> dict[str, str]:
         "UNION ALL SELECT 'linked_labels', count(DISTINCT decision_id) FROM rv2 "
         "UNION ALL SELECT 'deleted_results', count(*) FROM rt WHERE run_id = 1"
     )
+    q["stored_lookup"] = q["matching_results"]
+    q["stored_rows"] = with_(*rt) + "SELECT * FROM rt"
+    q["stored_runs"] = with_(*rt) + (
+        "SELECT run_id, CASE run_id WHEN 1 THEN 'journal.csv' ELSE 'labelled.parquet' END AS file_name, CASE run_id WHEN 1 THEN 'csv' ELSE 'parquet' END AS file_type, "
+        "'COMPLETED' AS status, count(*) AS total_rows, TRUE AS timed, count_if(normalization_method = 'EXACT') AS fast_path_count, "
+        "count_if(normalization_method = 'ALIAS') AS alias_count, count_if(normalization_method = 'FUZZY') AS fuzzy_count, "
+        "count_if(review_status = 'NEEDS_REVIEW') AS manual_review_count, count_if(normalization_method = 'UNRESOLVED') AS unresolved_count, "
+        "count(*) - count(DISTINCT (detected_expression, context_text)) AS cache_hit_count FROM rt GROUP BY run_id"
+    )
+    reached = q["matching_results"].split("SELECT run_id, original_row_id FROM rt WHERE ")[1]
+    confirmed = "(SELECT count(DISTINCT canonical_institution) FROM rt WHERE run_id = 2 AND review_status IN ('AUTO', 'HUMAN'))"
+    ones, labels = "(SELECT count(*) FROM rt WHERE run_id = 1)", "(SELECT count(DISTINCT decision_id) FROM rv1)"
+    steps = {
+        "loaded": ones, "needs_review": "(SELECT count(*) FROM rt WHERE run_id = 1 AND review_status = 'NEEDS_REVIEW')", "reviews": "(SELECT count(*) FROM rv1)",
+        "labels": labels, "rewritten": ones, "human": f"(SELECT count(*) FROM rt WHERE run_id = 1 AND {reached})", "completeness": confirmed, "completeness_read": confirmed,
+        "clustered": ones, "dropped": ones, "left": "(SELECT count(*) FROM rt WHERE run_id = 2)", "runs_left": "CAST(1 AS BIGINT)", "labels_left": labels, "labels_linked": "CAST(0 AS BIGINT)",
+    }
+    q["store_life_cycle"] = q["matching_results"].split("SELECT run_id, original_row_id FROM rt WHERE ")[0] + " UNION ALL ".join(f"SELECT {lit(k)} AS step, {v} AS n_rows" for k, v in steps.items())
     q["add_aliases"] = with_(
         supplier_master_cte(), "mx AS (SELECT coalesce(max(alias_id), 0) AS mx FROM alias)",
         "fresh AS (SELECT CAST(p_partkey % 50 AS BIGINT) AS institution_id, ' ' || p_name AS alias_text FROM part)",
@@ -733,6 +763,9 @@ def _oracle_sql() -> dict[str, str]:
     )
     q["evaluate_variants"] = " UNION ALL ".join(
         f"SELECT {lit(v)} AS variant, * FROM ({_eval_sql(v)})" for v in ("Baseline1_Exact_Alias", "Baseline2_Fuzzy", "Model3_Embedding", "Model4_ContextRerank"))
+    q["encoder_weights"] = with_(supplier_master_cte(), lookup_cte(), f"b AS (SELECT unnest(list_distinct({ngram_buckets('text')})) AS bucket FROM entries)") + (
+        "SELECT bucket, count(*) AS texts, round(ln((1.0 + (SELECT count(*) FROM entries)) / (1.0 + count(*))) + 1.0, 6) AS weight FROM b GROUP BY bucket"
+    )
     q["evaluate_baseline1"] = _eval_sql("Baseline1_Exact_Alias")
     q["evaluate_baseline2"] = _eval_sql("Baseline2_Fuzzy")
     q["evaluate_model3"] = _eval_sql("Model3_Embedding")

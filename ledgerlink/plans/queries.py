@@ -16,10 +16,10 @@ from ledgerlink.operators import completeness as C
 from ledgerlink.operators import evaluate as E
 from ledgerlink.operators import review as RV
 from ledgerlink.operators import stats as S
-from ledgerlink.operators.lookup import add_aliases, add_institutions, build_lookup, list_aliases, list_institutions, master_with_aliases, seed_if_absent, set_active
+from ledgerlink.operators.lookup import add_aliases, add_institutions, build_lookup, build_vector_index, list_aliases, list_institutions, master_with_aliases, seed_if_absent, set_active
 from ledgerlink.operators.match import fuzzy_pairs, fuzzy_topk
 from ledgerlink.operators.vector import vector_topk
-from ledgerlink.functions.encoder import PrecomputedEncoder
+from ledgerlink.functions.encoder import FittedEncoder, PrecomputedEncoder, bucket_weights
 from ledgerlink.plans.resolve import resolve
 from ledgerlink.schema import ALIAS_SCHEMA, DECISION_SCHEMA, FUZZY_AUTO_THRESHOLD, RESULT_FIELDS
 from ledgerlink.session import read_table
@@ -198,6 +198,21 @@ def q_fuzzy_high_cardinality(spark, sf_dir):
     return _result_view(r, ["p_partkey", "vendor", "true_label"])
 
 
+def _hot_journal(spark, sf_dir):
+    """Noisy part vendors on every lineitem row; one vendor has three rows in ten."""
+    line = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("p_partkey"))
+    often = F.pmod(F.col("l_orderkey") * 7 + F.col("l_linenumber"), F.lit(10)) < 3
+    rows = line.join(noisy_part_vendors(spark, sf_dir), "p_partkey")
+    return rows.select("l_orderkey", "l_linenumber", F.when(often, F.lit("small ring")).otherwise(F.col("vendor")).alias("vendor"))
+
+
+def q_join_back_hot_vendor(spark, sf_dir):
+    """The join-back above the broadcast bound, with one vendor at 30 % of the rows."""
+    m, a = part_name_master(spark, sf_dir)
+    r = resolve(_hot_journal(spark, sf_dir), "vendor", m, a, use_embedding=False, max_broadcast_rows=0)
+    return r.select("l_orderkey", "l_linenumber", "vendor", "canonical_institution", "normalization_method", r6("top1_score").alias("top1_score"), "review_status")
+
+
 def q_fast_cascade(spark, sf_dir):
     """Fast cascade per distinct vendor of the labelled journal (no context, no vectors)."""
     m, a = seed_master(spark)
@@ -257,6 +272,35 @@ def q_rerank_confirm(spark, sf_dir):
     return _result_view(r, ["voucher_no", "vendor", "context_text"])
 
 
+# Misspelt institutions that fuzzy matching refuses, and look-alikes: (vendor, context, label) (fixed values).
+TYPO_ROWS = [
+    ("NH농헙은행", "NH농헙은행 | 대출이자 지급 | 이자비용 | 장기차입금", "NH농협은행"), ("국민은헹", "국민은헹 | 보통예금 입금 | 보통예금 | 제품매출", "KB국민은행"),
+    ("KB국밍은행", "KB국밍은행 | 대출이자 지급 | 이자비용 | 장기차입금", "KB국민은행"), ("하나은행", "하나은행 | 대출이자 지급 | 이자비용 | 장기차입금", None),
+    ("농협은헹", "농협은헹 | 농산물 구매대금 지급 | 원재료 | 외상매입금", None), ("테스트은핼", "테스트은핼 | 보통예금 입금 | 보통예금 | 제품매출", None),
+]
+
+
+def _typo_journal(spark, sf_dir):
+    """The labelled journal, and a misspelt vendor a supplier."""
+    one = F.element_at(F.array(*[F.struct(F.lit(v).alias("v"), F.lit(c).alias("c"), F.lit(t).cast("string").alias("t")) for v, c, t in TYPO_ROWS]), (F.col("s_suppkey") % len(TYPO_ROWS) + 1).cast("int"))
+    more = read_table(spark, sf_dir, "supplier").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("voucher_no"), one.alias("r"))
+    more = more.select("voucher_no", F.col("r.v").alias("vendor"), F.col("r.c").alias("context_text"), F.col("r.t").alias("true_label"))
+    return evaluation_journal(spark, sf_dir).select(*more.columns).unionByName(more)
+
+
+def q_encoder_weights(spark, sf_dir):
+    """Inverse document frequencies of the hashed n-grams over the supplier master's texts."""
+    m, a = supplier_master(spark, sf_dir)
+    w = bucket_weights(build_vector_index(m, a).select("text"), "text", 128)
+    return w.select(F.col("bucket").cast("long").alias("bucket"), "texts", r6("weight").alias("weight"))
+
+
+def q_evaluate_model4_fitted(spark, sf_dir):
+    """Model 4 over labelled rows and misspelt ones, with an encoder fitted to the master."""
+    m, a = seed_master(spark)
+    return _metrics_view(E.metrics(E.run_variant(_typo_journal(spark, sf_dir), "Model4_ContextRerank", m, a, encoder=FittedEncoder.fit(m, a))))
+
+
 # ---------------------------------------------------------------- vectors
 def _emb_split(spark, sf_dir):
     e = read_table(spark, sf_dir, "embeddings")
@@ -282,9 +326,9 @@ def q_vector_top2_by_owner(spark, sf_dir):
 
 
 def q_vector_top2_blocked(spark, sf_dir):
-    """The same search by the plan for an index above the bounds (chunks x buckets)."""
+    """The same search by the plan for an index above the bounds (cells round pivots, in chunks and buckets)."""
     q, idx = _emb_split(spark, sf_dir)
-    t = vector_topk(q, idx, "vec_id", k=2, max_broadcast_rows=0, chunk_rows=40, query_buckets=4)
+    t = vector_topk(q, idx, "vec_id", k=2, max_broadcast_rows=0, chunk_rows=40, query_rows_per_group=200)
     return t.select("vec_id", "rank", F.col("institution_id").alias("owner"), F.col("matched_text").cast("long").alias("best_vec_id"), r6("score").alias("score"))
 
 
@@ -460,6 +504,80 @@ def q_matching_results(spark, sf_dir):
     return matching_results(_result_table(spark, sf_dir), decisions(spark, ANY_CONTEXT_ROWS)).select("run_id", "original_row_id")
 
 
+def _store_root(spark) -> str:
+    """A new store in the shared checkpoint folder."""
+    import uuid
+
+    from ledgerlink.session import checkpoint_dir
+
+    return f"{checkpoint_dir(spark)}/store-{uuid.uuid4().hex}"
+
+
+def _saved_runs(spark, sf_dir) -> str:
+    """A store with two processed runs: 1 the journal, 2 the labelled journal."""
+    from ledgerlink.plans.runs import process_run
+
+    root = _store_root(spark)
+    m, a = seed_master(spark)
+    process_run(journal(spark, sf_dir), VENDOR, m, a, root, "journal.csv", voucher_col=VOUCHER, context_col="context_text", position_col=VOUCHER, use_embedding=False)
+    process_run(evaluation_journal(spark, sf_dir), "vendor", m, a, root, "labelled.parquet", "parquet", "voucher_no", "context_text", "voucher_no", use_embedding=False)
+    return root
+
+
+def q_stored_lookup(spark, sf_dir):
+    """The decisions' keys looked up in stored, clustered runs."""
+    from ledgerlink.sources import store as ST
+
+    root = _saved_runs(spark, sf_dir)
+    ST.cluster_run(spark, root, 1)
+    return ST.lookup_results(spark, root, decisions(spark, ANY_CONTEXT_ROWS)).select(F.col("run_id").cast("long").alias("run_id"), "original_row_id")
+
+
+def q_stored_rows(spark, sf_dir):
+    """The 15 columns of both runs, written and read back."""
+    from ledgerlink.sources import store as ST
+
+    root = _saved_runs(spark, sf_dir)
+    parts = [ST.load_run(spark, root, r).withColumn("run_id", F.lit(r).cast("long")) for r in (1, 2)]
+    return parts[0].unionByName(parts[1])
+
+
+def q_stored_runs(spark, sf_dir):
+    """The listing of runs with their performance rows (times left out)."""
+    from ledgerlink.sources import store as ST
+
+    root = _saved_runs(spark, sf_dir)
+    logs = ST.performance_logs(spark, root).drop("processing_seconds", "total_rows")
+    return ST.list_runs(spark, root).join(logs, "run_id").select(
+        "run_id", "file_name", "file_type", "status", "total_rows", (F.col("processing_seconds") >= 0).alias("timed"),
+        "fast_path_count", "alias_count", "fuzzy_count", "manual_review_count", "unresolved_count", "cache_hit_count")
+
+
+def q_store_life_cycle(spark, sf_dir):
+    """Rows that each step of a store's life reaches: save, load, review, replace, drop."""
+    from ledgerlink.sources import store as ST
+
+    root, d = _saved_runs(spark, sf_dir), decisions(spark, ANY_CONTEXT_ROWS)
+    m, _a = seed_master(spark)
+    steps = [("loaded", ST.load_run(spark, root, 1).count()), ("needs_review", ST.load_run(spark, root, 1, "NEEDS_REVIEW").count())]
+    reviews = RV.reviews_from_decisions(ST.load_run(spark, root, 1), decisions(spark), "original_row_id", "context_text", True)
+    steps.append(("reviews", ST.append(reviews.withColumn("run_id", F.lit(1).cast("long")), root, ST.REVIEWS)))
+    linked = ST.read(spark, root, ST.REVIEWS)
+    steps.append(("labels", ST.append(RV.labels_from_decisions(linked, decisions(spark)), root, ST.LABELS, False)))
+    steps.append(("rewritten", ST.apply_review_to_store(spark, root, 1, d)))
+    steps.append(("human", ST.load_run(spark, root, 1).where("normalization_method = 'HUMAN'").count()))
+    names = C.confirmed_names(ST.load_run(spark, root, 2))
+    ST.replace_partition(names.limit(0), root, ST.COMPLETENESS, 2)
+    steps.append(("completeness", ST.replace_partition(names, root, ST.COMPLETENESS, 2)))
+    steps.append(("completeness_read", ST.completeness_of_run(spark, root, 2).count()))
+    steps.append(("clustered", ST.cluster_run(spark, root, 1)))
+    steps.append(("dropped", ST.drop_run(spark, root, 1)))
+    steps += [("left", ST.read(spark, root, ST.RESULTS).count()), ("runs_left", ST.runs(spark, root).count())]
+    labels = ST.read(spark, root, ST.LABELS)
+    steps += [("labels_left", labels.count()), ("labels_linked", labels.where("source_review_id is not null").count())]
+    return spark.createDataFrame(steps, "step string, n_rows long")
+
+
 def q_drop_run_tables(spark, sf_dir):
     """Rows left in each table after run 1 is deleted, and the rows deleted."""
     from ledgerlink.sources import store as ST
@@ -616,6 +734,7 @@ REGISTRY = {
     "fuzzy_top2": q_fuzzy_top2,
     "fuzzy_wide_lookup": q_fuzzy_wide_lookup,
     "fuzzy_high_cardinality": q_fuzzy_high_cardinality,
+    "join_back_hot_vendor": q_join_back_hot_vendor,
     "fast_cascade": q_fast_cascade,
     "fuzzy_veto": q_fuzzy_veto,
     "rerank_rules": q_rerank_rules,
@@ -640,6 +759,10 @@ REGISTRY = {
     "stored_review": q_stored_review,
     "matching_results": q_matching_results,
     "drop_run_tables": q_drop_run_tables,
+    "stored_lookup": q_stored_lookup,
+    "stored_rows": q_stored_rows,
+    "stored_runs": q_stored_runs,
+    "store_life_cycle": q_store_life_cycle,
     "add_aliases": q_add_aliases,
     "set_active": q_set_active,
     "list_institutions": q_list_institutions,
@@ -657,4 +780,6 @@ REGISTRY = {
     "evaluate_baseline2": _eval("Baseline2_Fuzzy"),
     "evaluate_model3": _eval("Model3_Embedding"),
     "evaluate_model4": _eval("Model4_ContextRerank"),
+    "evaluate_model4_fitted": q_evaluate_model4_fitted,
+    "encoder_weights": q_encoder_weights,
 }

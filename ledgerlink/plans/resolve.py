@@ -7,7 +7,8 @@ Shape (distinct vendors - resolve - join back - row rules):
                        +--misses--> pruned fuzzy top-2, in the same pass (see operators/match)
             -> fast record per vendor
             -> unresolved vendors --encoder--> vector top-2 candidates
-    journal --join (null-safe on vendor) with the vendor map (broadcast if bounded)
+    journal --join (null-safe on vendor) with the vendor map (broadcast if bounded; else hot
+               vendors broadcast, the others by an exchange)
             -> veto and context rerank as row expressions on (record, candidates, context)
 
 Every expensive step (fuzzy scoring, encoding, vector search) runs once per
@@ -95,6 +96,36 @@ def vector_candidates(unresolved: DataFrame, vendor_col: str, master: DataFrame,
     )
 
 
+#: Vendors that may be broadcast as hot ones, and how many the search for them keeps track of.
+HOT_VENDORS, TRACKED = 256, 4096
+
+
+def hot_vendors(df: DataFrame, vendor_col: str, partitions: int) -> DataFrame:
+    """The vendors (and null) with more rows than half a partition's share, found by a
+    frequent-items sketch: at most ``HOT_VENDORS`` + 1 rows."""
+    text = F.col(vendor_col).cast("string")
+    seen = df.select(text.alias("v")).agg(F.expr(f"approx_top_k(v, {HOT_VENDORS}, {TRACKED})").alias("top"), F.count(F.lit(1)).alias("n")).first()
+    rows = [(t["item"],) for t in seen["top"] or [] if t["item"] is not None and t["count"] > seen["n"] / (2 * max(1, partitions))]
+    return df.sparkSession.createDataFrame([*rows, (None,)], "_hot string")
+
+
+def join_back(df: DataFrame, vendor_col: str, vmap: DataFrame, key: str, stats: dict, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """Each row of ``df`` with its vendor's row of ``vmap`` (null-safe on ``key``, one row a vendor).
+
+    A map within the bounds is broadcast.  Of a larger one only the hot vendors' rows are, and
+    their rows are not exchanged; the others are joined by an exchange in which no
+    vendor fills a partition.
+    """
+    pm, small = hint_if_small(vmap, stats, max_rows)
+    if small:
+        return df.join(pm, df[vendor_col].eqNullSafe(pm[key]), "left")
+    hot = hot_vendors(df, vendor_col, scoring_partitions(df))
+    few = F.broadcast(vmap.join(F.broadcast(hot), F.col(key).cast("string").eqNullSafe(F.col("_hot"))).drop("_hot"))
+    often = df.join(few, df[vendor_col].eqNullSafe(few[key]))
+    rare = df.join(F.broadcast(few.select(F.col(key).alias("_k"))), df[vendor_col].eqNullSafe(F.col("_k")), "left_anti")
+    return often.unionByName(rare.join(vmap, rare[vendor_col] == vmap[key], "left"))
+
+
 def resolve_vendors(
     vendors: DataFrame,
     vendor_col: str,
@@ -160,8 +191,7 @@ def resolve(
     vmap = vmap.select(F.col(vendor_col).alias("_pk0"), "res", "v1", "v2", F.col("_nkw").alias("_nkw_csv"))
     vmap = vmap.select("_pk0", "res", "v1", "v2", *[F.expr(e).alias(n) for n, e in vendor_rule_columns(embedding_floor, min_margin)])
     vmap, stats = checkpoint_with_size(vmap)
-    pm, _small = hint_if_small(vmap, stats, max_broadcast_rows)
-    out = df.join(pm, df[vendor_col].eqNullSafe(pm["_pk0"]), "left")
+    out = join_back(df, vendor_col, vmap, "_pk0", stats, max_broadcast_rows)
     ctx_sql = f"`{ctx}`" if ctx else None
     empty = "CAST(array() AS ARRAY<STRING>)"
     if ctx:
@@ -175,5 +205,5 @@ def resolve(
         else:
             out = out.withColumn("_neg", F.expr(empty)).withColumn("_pos", F.expr(empty))
     fields = row_fields_sql(ctx_sql, veto_on=bool(ctx), vector_on=use_embedding)
-    return out.select(*[df[c] for c in keep], *[F.expr(fields[f]).alias(f) for f in RESULT_FIELDS],
-                      df[vendor_col].alias("detected_expression"))
+    return out.select(*[F.col(f"`{c}`") for c in keep], *[F.expr(fields[f]).alias(f) for f in RESULT_FIELDS],
+                      F.col(f"`{vendor_col}`").alias("detected_expression"))

@@ -8,6 +8,11 @@ by dropping its partition directories, and the tables without run partitions
 are partitioned by run and batch: a saved run is batch -1, a streamed one has
 its micro-batches, and both read, load and delete alike.  Row counts of writes
 come from an ``Observation`` of the written frame (no second pass).
+
+Results are clustered for review: each file is sorted by (detected_expression,
+context_text), in small row groups with Bloom filters on both, so looking up a
+few keys reads a few row groups.  ``cluster_run`` deals a whole run out by ranges
+of these keys, after which a key is in one file or, if it is a hot one, in several.
 """
 
 from __future__ import annotations
@@ -30,6 +35,11 @@ LABELS = "feedback_labels"
 COMPLETENESS = "completeness_results"
 PERFORMANCE = "performance_logs"
 CANDIDATES = "candidate_scores"
+#: Keys of a review, by which results are clustered.
+REVIEW_KEYS = ("detected_expression", "context_text")
+ROW_GROUP_BYTES = 8 * 1024 * 1024
+#: Expressions that a lookup hands to the file reader.
+MAX_PUSHED = 500
 RUN_TABLES = (RESULTS, REVIEWS, COMPLETENESS, PERFORMANCE, CANDIDATES)
 
 RUN_SCHEMA = T.StructType(
@@ -174,16 +184,43 @@ def stored_scores(rows: DataFrame) -> DataFrame:
     return rows.select(*[F.round(c, 4).alias(c) if c in ("top1_score", "top2_score", "score_margin") else F.col(c) for c in RESULT_ROW_COLUMNS])
 
 
-def save_results(rows: DataFrame, root: str, run_id: int, batch_id: int = WHOLE_RUN) -> int:
+def clustered(rows: DataFrame) -> DataFrame:
+    """Rows in the order of the review keys, within partitions (no exchange)."""
+    return rows.sortWithinPartitions(*REVIEW_KEYS)
+
+
+def cluster_options(row_group_bytes: int = ROW_GROUP_BYTES) -> dict[str, str]:
+    """Writer options of the results: small row groups, Bloom filters on the review keys."""
+    blooms = {f"parquet.bloom.filter.enabled#{c}": "true" for c in REVIEW_KEYS}
+    return blooms | {"parquet.block.size": str(row_group_bytes)}
+
+
+def save_results(rows: DataFrame, root: str, run_id: int, batch_id: int = WHOLE_RUN, row_group_bytes: int = ROW_GROUP_BYTES) -> int:
     """Store the result rows of a run, or of one of its batches; returns the row count.
 
     What the run (the batch) had before is replaced, so saving again after a
     failure doubles nothing.
     """
-    return replace_partition(stored_scores(rows).withColumn("batch_id", F.lit(batch_id).cast("long")), root, RESULTS, run_id, batch_id)
+    batch = clustered(stored_scores(rows)).withColumn("batch_id", F.lit(batch_id).cast("long"))
+    return replace_partition(batch, root, RESULTS, run_id, batch_id, cluster_options(row_group_bytes))
+
+
+def cluster_run(spark: SparkSession, root: str, run_id: int, files: int | None = None, row_group_bytes: int = ROW_GROUP_BYTES) -> int:
+    """Write a stored run anew, dealt out by ranges of the review keys (and of the row id,
+    so a hot key fills several files); its batches become one.  Returns the rows."""
+    rows = cut_lineage(load_run(spark, root, run_id))  # not read from the folders that are written
+    dealt = rows.repartitionByRange(files or int(spark.conf.get("spark.sql.shuffle.partitions")), *REVIEW_KEYS, "original_row_id")
+    n = save_results(dealt, root, run_id, WHOLE_RUN, row_group_bytes)
+    run = os.path.join(_path(root, RESULTS), f"run_id={run_id}")
+    fs, p = _fs(spark, run)
+    if exists(spark, run):
+        for part in fs.listStatus(p):
+            if part.getPath().getName() != f"batch_id={WHOLE_RUN}":
+                fs.delete(part.getPath(), True)
+    return n
 
 
-def replace_partition(rows: DataFrame, root: str, table: str, run_id: int, batch_id: int | None = None) -> int:
+def replace_partition(rows: DataFrame, root: str, table: str, run_id: int, batch_id: int | None = None, options: dict[str, str] | None = None) -> int:
     """Replace one run's rows (with ``batch_id``: one batch's) of a run-partitioned table.
 
     Dynamic partition overwrite; an empty replacement drops the partition.
@@ -192,7 +229,7 @@ def replace_partition(rows: DataFrame, root: str, table: str, run_id: int, batch
     keys = ["run_id"] + ([] if batch_id is None else ["batch_id"])
     obs = Observation(f"replace_{table}_{run_id}_{uuid.uuid4().hex[:8]}")
     out = rows.withColumn("run_id", F.lit(run_id).cast("long")).observe(obs, F.count(F.lit(1)).alias("rows"))
-    (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys)
+    (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").options(**(options or {})).partitionBy(*keys)
      .parquet(_path(root, table)))
     n = int(obs.get["rows"])
     if not n:
@@ -236,6 +273,26 @@ def matching_results(stored: DataFrame, keys: DataFrame, context_col: str = "con
     return out.where(F.col("_any") | F.col("_one")).select(*[F.col(f"`{c}`") for c in stored.columns])
 
 
+def pushed_keys(stored: DataFrame, keys: DataFrame, max_pushed: int = MAX_PUSHED) -> DataFrame:
+    """``stored`` with a filter on the keys' expressions that Parquet's statistics and
+    Bloom filters can test, where there are at most ``max_pushed`` of them (reviews are made
+    by hand); else as it is."""
+    few = keys.select("detected_expression").distinct().limit(max_pushed + 1).collect()
+    return stored if len(few) > max_pushed else stored.where(F.col("detected_expression").isin([r[0] for r in few if r[0] is not None]))
+
+
+def lookup_results(spark: SparkSession, root: str, keys: DataFrame, run_id: int | None = None, max_pushed: int = MAX_PUSHED) -> DataFrame:
+    """Stored results of the given (detected_expression[, context_text]) keys, of one run
+    or of all; see ``matching_results``."""
+    stored = read(spark, root, RESULTS)
+    if stored is None:
+        schema = T.StructType([*RESULT_ROW_SCHEMA.fields, T.StructField("run_id", T.LongType()), T.StructField("batch_id", T.LongType())])
+        return spark.createDataFrame([], schema)
+    if run_id is not None:
+        stored = stored.where(F.col("run_id") == run_id)
+    return matching_results(pushed_keys(stored, keys, max_pushed), keys)
+
+
 def drop_run(spark: SparkSession, root: str, run_id: int) -> int:
     """Delete a run: its partitions in every run table and its run rows; labels are
     kept with ``source_review_id`` cleared for reviews of the run.  Returns the
@@ -353,11 +410,26 @@ def apply_review_to_store(spark: SparkSession, root: str, run_id: int, decisions
     rows = stored.where(F.col("run_id") == run_id)
     updated = cut_lineage(apply_decisions(rows, decisions, "context_text", any_context_on_null))
     obs = Observation(f"review_{run_id}_{uuid.uuid4().hex[:8]}")
-    (updated.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("run_id", "batch_id").parquet(_path(root, RESULTS)))
+    (updated.observe(obs, F.count(F.lit(1)).alias("rows")).sortWithinPartitions("batch_id", *REVIEW_KEYS).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").options(**cluster_options()).partitionBy("run_id", "batch_id").parquet(_path(root, RESULTS)))
     return int(obs.get["rows"])
 
 
+def completeness_of_run(spark: SparkSession, root: str, run_id: int) -> DataFrame | None:
+    """Stored completeness rows of a run, by name; None where none was ever stored."""
+    rows = read(spark, root, COMPLETENESS)
+    return None if rows is None else rows.where(F.col("run_id") == run_id).drop("run_id").orderBy("canonical_name")
+
+
+def performance_logs(spark: SparkSession, root: str, limit: int | None = None) -> DataFrame | None:
+    """Performance rows, newest run first; a page of ``limit`` if asked for."""
+    rows = read(spark, root, PERFORMANCE)
+    if rows is None:
+        return None
+    out = rows.orderBy(F.col("run_id").desc())
+    return out.limit(limit) if limit else out
+
+
 def candidate_rows(topk: DataFrame, query_col: str, kind: str) -> DataFrame:
     """Candidate list rows (query, rank, institution, name, score) for the candidate table."""
     score = "embedding_score" if kind == "vector" else "fuzzy_score"

@@ -164,3 +164,34 @@ def test_non_string_vendor_and_empty_journal(spark, seed):
     assert all(r.review_status == "NEEDS_REVIEW" for r in out)
     empty = spark.createDataFrame([], "vendor string, context_text string")
     assert resolve(empty, "vendor", m, a, context_col="context_text").count() == 0
+
+
+def test_hot_vendors_are_not_exchanged(spark):
+    """Above the broadcast bound: a vendor and null with 30 % of the rows each leave even partitions."""
+    from pyspark.sql import functions as F
+
+    from ledgerlink.plans.resolve import hot_vendors, join_back
+
+    i = F.col("id")
+    vendor = F.when(i % 10 < 3, "hot").when(i % 10 < 6, None).otherwise(F.concat(F.lit("v"), (i % 1999).cast("string")))
+    df = spark.range(0, 40_000, 1, 6).select("id", vendor.alias("vendor"))
+    vmap = df.select(F.col("vendor").alias("k")).distinct().withColumn("res", F.concat(F.lit("r"), F.coalesce("k", F.lit("none"))))
+    assert sorted(r[0] or "" for r in hot_vendors(df, "vendor", 8).collect()) == ["", "hot"]
+    out = join_back(df, "vendor", vmap, "k", {"rows": 3, "bytes": 1}, max_rows=0)
+    rows = out.collect()
+    assert len(rows) == 40_000 and len({r.id for r in rows}) == 40_000
+    assert all(r.res == f"r{r.vendor or 'none'}" for r in rows)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r["count"] for r in join_back(df, "vendor", vmap, "k", {"rows": 3, "bytes": 1}, max_rows=0).where("vendor like 'v%'").groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    sizes.sort()
+    assert len(sizes) >= 6 and sizes[-1] < 2 * sizes[len(sizes) // 2]
+
+
+def test_join_back_of_other_types_and_missing_nulls(spark, seed):
+    df = spark.createDataFrame([(1, 7), (2, 7), (3, 8)], "id int, vendor int")
+    a = sorted(map(tuple, resolve(df, "vendor", *seed, use_embedding=False).select("id", "vendor", "normalization_method").collect()))
+    b = sorted(map(tuple, resolve(df, "vendor", *seed, use_embedding=False, max_broadcast_rows=0).select("id", "vendor", "normalization_method").collect()))
+    assert a == b and len(a) == 3

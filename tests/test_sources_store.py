@@ -121,3 +121,68 @@ def test_load_run_prunes_partitions_and_pushes_status(spark, seed):
     plan = ST.load_run(spark, root, 2, status="AUTO")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(run_id" in plan and "(run_id" in plan and "= 2)" in plan
     assert "EqualTo(review_status,AUTO)" in plan
+
+
+def scanned_rows(df):
+    """Rows that the file scan of a plain scan-and-filter plan hands on."""
+    df.collect()
+    leaf = df._jdf.queryExecution().executedPlan().collectLeaves().head()
+    return leaf.metrics().get("numOutputRows").get().value()
+
+
+def _expressions(spark, n):
+    null = [F.lit(None).cast(f.dataType).alias(f.name) for f in ST.RESULT_ROW_SCHEMA.fields]
+    cols = {"original_row_id": F.col("id").cast("string"), "detected_expression": F.concat(F.lit("vendor "), (F.col("id") * 7919 % n).cast("string")),
+            "context_text": F.when(F.col("id") % 3 > 0, F.concat(F.lit("context "), (F.col("id") % 100).cast("string"))), "user_confirmed": F.lit(False), "review_status": F.lit("NEEDS_REVIEW"), "normalization_method": F.lit("UNRESOLVED"), "reason": F.lit("r")}
+    return spark.range(0, n, 1, 4).select(*[cols.get(f.name, c).alias(f.name) for f, c in zip(ST.RESULT_ROW_SCHEMA.fields, null)])
+
+
+def test_a_review_reads_few_row_groups(spark):
+    root, n = tempfile.mkdtemp(), 200_000
+    assert ST.save_results(_expressions(spark, n), root, 1, row_group_bytes=64 * 1024) == n
+    ST.save_results(_expressions(spark, 100), root, 2, row_group_bytes=64 * 1024)
+    keys = spark.createDataFrame([("vendor 5", None), ("vendor 77777", "no such context"), ("nobody", None), (None, None)], "detected_expression string, context_text string")
+    stored = ST.read(spark, root, ST.RESULTS).where("run_id = 1")
+    for _ in range(2):  # sorted within the files that the tasks wrote, then by ranges
+        assert scanned_rows(ST.pushed_keys(stored, keys)) < 0.1 * n
+        assert [r.detected_expression for r in ST.lookup_results(spark, root, keys, 1).collect()] == ["vendor 5"]
+        assert ST.lookup_results(spark, root, keys, 1, max_pushed=1).count() == 1  # too many keys to push: the join alone
+        before = sorted(map(tuple, ST.load_run(spark, root, 1).collect()), key=str)
+        assert ST.cluster_run(spark, root, 1, files=6, row_group_bytes=64 * 1024) == n
+        assert sorted(map(tuple, ST.load_run(spark, root, 1).collect()), key=str) == before
+        stored = ST.read(spark, root, ST.RESULTS).where("run_id = 1")
+    assert scanned_rows(ST.pushed_keys(stored, keys)) < 0.02 * n
+    assert sorted(r.run_id for r in ST.lookup_results(spark, root, keys).collect()) == [1, 2]
+
+
+def test_clustering_joins_batches_and_splits_hot_keys(spark):
+    root = tempfile.mkdtemp()
+    hot = _expressions(spark, 4000).withColumn("detected_expression", F.when(F.col("original_row_id").cast("int") % 3 == 0, "hot").otherwise(F.col("detected_expression")))
+    for b in range(3):
+        ST.save_results(hot.where(F.col("original_row_id").cast("int") % 3 == b), root, 1, batch_id=b)
+    assert ST.cluster_run(spark, root, 1, files=5) == 4000
+    folder = os.path.join(root, ST.RESULTS, "run_id=1")
+    assert [x for x in os.listdir(folder) if not x.startswith(".")] == ["batch_id=-1"]
+    rows = spark.read.parquet(folder)
+    files = rows.where("detected_expression = 'hot'").select(F.input_file_name()).distinct().count()
+    assert rows.count() == 4000 and files >= 2
+
+
+def test_lookup_without_results(spark):
+    keys = spark.createDataFrame([("x", None)], "detected_expression string, context_text string")
+    assert ST.lookup_results(spark, tempfile.mkdtemp(), keys).count() == 0
+
+
+def test_a_run_in_one_call(spark, seed):
+    from ledgerlink.plans.runs import process_run
+
+    root = tempfile.mkdtemp()
+    df = spark.createDataFrame([("V1", "신한"), ("V2", "테스트전자")], "v string, vendor string")
+    run = process_run(df, "vendor", *seed, root, "j.csv", voucher_col="v", use_embedding=False)
+    assert (run.run_id, run.rows) == (1, 2) and ST.runs(spark, root).first().status == "COMPLETED"
+    log = ST.performance_logs(spark, root, 5).first()
+    assert (log.total_rows, log.alias_count, log.unresolved_count) == (2, 1, 1)
+    assert ST.completeness_of_run(spark, root, 1) is None
+    with pytest.raises(Exception):
+        process_run(df, "no such column", *seed, root, "j.csv", use_embedding=False)
+    assert {r.run_id: r.status for r in ST.runs(spark, root).collect()} == {1: "COMPLETED", 2: "RUNNING"}
