@@ -28,8 +28,12 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+#: Target weights: long documents twice their share, and below that siblings by the root of their tokens.
+MIXTURE = {"weights": {("long",): 2.0, ("medium",): 1.0, ("short",): 1.0}, "temperature": 0.5}
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(read_table(spark, sf_dir, "documents"), share=0.75, max_epochs=2.0)
+    return mixing.mix(read_table(spark, sf_dir, "documents"), share=0.75, max_epochs=2.0, **MIXTURE)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,8 +15,8 @@ fitted on the other four.  Labels, language, source and id never enter a
 score; the language only picks the threshold of ``flagged``.
 
 Defined cases: a null text counts as empty and has a score too; labels that are
-null, repeated or of unknown documents are left out, repeated or without
-effect; without any usable label every score is the prior 0.5 / (1 + 1) = 0.25;
+null or of unknown documents have no effect, of several for one document the greatest
+counts; without any usable label every score is the prior 0.5 / (1 + 1) = 0.25;
 rows that repeat a doc_id are scored each, and of those in the sample one counts for
 thresholds; an empty table gives no rows; other
 columns are ignored.
@@ -24,6 +24,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import pickle
 import string
 import uuid
 import zlib
@@ -33,8 +34,9 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ledgerlink.llm.common import fold, per_worker, stored, text_of
+from ledgerlink.llm.common import fold, per_worker, release, stored, text_of
 from ledgerlink.session import cut_lineage
 
 BUCKETS = 1 << 18
@@ -64,6 +66,13 @@ class Vocabulary:
         self.rows: dict[str, int] = {}
         self.flat, self.ends = array("i"), array("q", [0])
 
+    @classmethod
+    def of(cls, flat: np.ndarray, ends: np.ndarray) -> Vocabulary:
+        """The features of another one, without its words."""
+        new = object.__new__(cls)
+        new.rows, new.flat, new.ends = {}, flat, ends
+        return new
+
     def ids(self, words: list[str]) -> list[int]:
         rows, out = self.rows, []
         for w in words:
@@ -77,7 +86,7 @@ class Vocabulary:
 
     def features_of(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Buckets of these rows, end to end, and how many each has."""
-        ends = np.frombuffer(self.ends, np.int64)
+        rows, ends = rows.astype(np.int64), np.frombuffer(self.ends, np.int64)
         flat = np.frombuffer(self.flat, np.int32) if len(self.flat) else np.zeros(0, np.int32)
         first = np.where(rows > 0, ends[np.maximum(rows - 1, 0)], 0)
         counts = ends[rows] - first
@@ -274,8 +283,8 @@ def thresholds(scored: DataFrame, marked: DataFrame, fitted, least: int = 20) ->
 
 def usable_labels(labels: DataFrame, train: F.Column) -> DataFrame:
     """``_id`` and toxic (0 or 1), a row an id, of the ids that satisfy ``train``."""
-    marked = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1) and _id is not null").dropDuplicates(["_id"])
-    return marked.filter(train)
+    marked = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1) and _id is not null")
+    return marked.groupBy("_id").agg(F.max("toxic").alias("toxic")).filter(train)
 
 
 def sample(docs: DataFrame, labels: DataFrame, train: F.Column, max_docs: int):
@@ -314,20 +323,39 @@ def fit_sample(docs: DataFrame, labels: DataFrame, train: F.Column, max_docs: in
     weight /= weight.mean()
     part = rows["order"].to_numpy(np.int64) % FOLDS
     vocab = Vocabulary()
-    texts = [np.array(vocab.ids(words_of(t)) or [0], np.int64) for t in rows.pop("text")]
-    vocab.rows.clear()  # the words themselves aren't needed any more
+    ids = [np.array(vocab.ids(words_of(t)) or [0], np.int32) for t in rows.pop("text")]
+    sizes = np.array([len(i) for i in ids])
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast((np.concatenate(ids), sizes, np.frombuffer(vocab.flat, np.int32) if len(vocab.flat) else np.zeros(0, np.int32), np.frombuffer(vocab.ends, np.int64), y, weight, part))
+    del ids, vocab
     model, scores = None, np.zeros(len(rows))
-    for k in range(FOLDS):
-        back = np.flatnonzero(part == k)
-        if k and not len(back):
-            continue
-        fitted = fit(texts, vocab, y, weight, part == k)
-        if len(back):
-            scores[back] = scores_of(fitted, vocab, [texts[i] for i in back])
-        model = model or fitted
+    for r in spark.range(0, FOLDS, 1, FOLDS).mapInArrow(_fold_fitter(shared), "fold long, scores binary, model binary").collect():
+        scores[part == r["fold"]] = np.frombuffer(r["scores"])
+        model = pickle.loads(r["model"]) if r["model"] is not None else model
+    shared.unpersist()
     return model, rows.assign(score=scores)
 
 
+def _fold_fitter(shared):
+    """A task a fold: a model fitted on the other folds scores it; fold 0's model is the model."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        release()
+        flat, sizes, own, ends, y, weight, part = shared.value
+        vocab = Vocabulary.of(own, ends)
+        texts = np.split(flat, np.cumsum(sizes)[:-1])
+        for b in batches:
+            for k in b.column(0).to_pylist():
+                back = np.flatnonzero(part == k)
+                fitted = fit(texts, vocab, y, weight, part == k) if len(back) or not k else None
+                scores = scores_of(fitted, vocab, [texts[i] for i in back]) if len(back) else np.zeros(0)
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([scores.astype(np.float64).tobytes()], pa.binary()), pa.array([None if k else pickle.dumps(fitted)], pa.binary())], ["fold", "scores", "model"])
+
+    return run
+
+
 def train_model(docs: DataFrame, labels: DataFrame, train: F.Column, max_docs: int = 6000) -> tuple[Model | None, dict]:
     """Model and thresholds from labelled rows whose id (``_id``) satisfies ``train``."""
     model, fitted = fit_sample(docs, labels, train, max_docs)
@@ -386,20 +414,46 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), text_of().alias("text"), F.col("lang").cast("string").alias("lang")).mapInArrow(run, "doc_id long, lang string, score double")
 
 
-def accepted(docs: DataFrame, model: Model | None, cuts: dict) -> DataFrame:
-    """The rows of ``docs``, all columns, that aren't flagged; a narrow pass."""
+#: Column of a row's score in ``accepted``.
+SCORE = "_ledgerlink_toxicity"
+
+
+def scored_rows(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs``, all columns, and ``SCORE``; a narrow pass."""
     shared, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
-    text, lang = docs.columns.index("text"), docs.columns.index("lang")
+    text = docs.columns.index("text")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         scorer = _scorer(shared, name)
         for b in batches:
-            keep = [scorer is None or scorer.score(t.as_py() or "") < cuts.get(x, cuts[None]) for t, x in zip(b.column(text), b.column(lang).to_pylist(), strict=True)]
-            yield b.filter(pa.array(keep, pa.bool_()))
+            scores = [scorer.score(t.as_py() or "") for t in b.column(text)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], [*b.schema.names, SCORE])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(SCORE, T.DoubleType())]))
+
+
+def threshold_of(cuts: dict, lang: F.Column) -> F.Column:
+    """The threshold of a row's language, or the one over all."""
+    names = [x for x in cuts if x is not None]
+    if not names:
+        return F.lit(cuts[None])
+    named = F.map_from_arrays(F.lit(names).cast("array<string>"), F.lit([cuts[x] for x in names]).cast("array<double>"))
+    return F.coalesce(F.try_element_at(named, lang), F.lit(cuts[None]))
 
-    return docs.mapInArrow(run, docs.schema)
+
+def accepted(docs: DataFrame, labels: DataFrame, train: F.Column | None = None, max_docs: int = 6000) -> DataFrame:
+    """The rows of ``docs``, all columns, that aren't flagged.  Each row is scored once:
+    the scores are stored beside it, thresholds and choice read them there."""
+    train = fold("_id") != 0 if train is None else train
+    model, fitted = fit_sample(docs, labels, train, max_docs)
+    if model is None:
+        return docs
+    rows = stored(scored_rows(docs, model), "toxicity")
+    lang = F.col("lang").cast("string")
+    cuts = thresholds(rows.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), F.col(SCORE).alias("score")), usable_labels(labels, train), fitted)
+    return rows.filter(F.col(SCORE) < threshold_of(cuts, lang)).drop(SCORE)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, train: F.Column | None = None, max_docs: int = 6000) -> DataFrame:
@@ -409,7 +463,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, train: F.Column | None = None,
     model, fitted = fit_sample(docs, labels, train, max_docs)
     scored = stored(score(docs, model), "scores")  # thresholds and result read the same scores
     cuts = thresholds(scored, usable_labels(labels, train), fitted) if model else {None: 0.5}
-    names = [x for x in cuts if x is not None]
-    named = F.map_from_arrays(F.lit(names).cast("array<string>"), F.lit([cuts[x] for x in names]).cast("array<double>")) if names else None
-    threshold = F.coalesce(F.try_element_at(named, F.col("lang")), F.lit(cuts[None])) if names else F.lit(cuts[None])
-    return scored.select("doc_id", "score", threshold.alias("threshold")).withColumn("flagged", F.col("score") >= F.col("threshold"))
+    return scored.select("doc_id", "score", threshold_of(cuts, F.col("lang")).alias("threshold")).withColumn("flagged", F.col("score") >= F.col("threshold"))

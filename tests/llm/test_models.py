@@ -132,11 +132,15 @@ def test_messy_rows_and_labels(spark, messy, empty):
     assert all(0 <= r.score <= 1 for r in rows)
     assert toxicity.toxicity(empty, labels).count() == 0
     assert {r.score for r in toxicity.toxicity(messy, labels.limit(0)).collect()} == {0.25}
-    model, cuts = toxicity.train_model(messy, labels, fold("_id") != 0)
-    kept = toxicity.accepted(messy, model, cuts)
+    kept = toxicity.accepted(messy, labels)
     assert kept.columns == messy.columns and kept.count() == sum(not r.flagged for r in rows)
 
 
+def test_of_several_labels_the_greatest_counts(spark):
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (2, None), (3, 5), (4, 1), (4, 0)], "doc_id long, toxic int")
+    assert {(r._id, r.toxic) for r in toxicity.usable_labels(labels, F.lit(True)).collect()} == {(1, 1), (2, 0), (4, 1)}
+
+
 def test_sample_is_bounded_and_balanced(spark):
     rows, labels = labelled(400)
     got = toxicity.sample(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), F.lit(True), 60)

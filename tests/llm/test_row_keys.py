@@ -30,6 +30,13 @@ def test_rows_without_an_id_stay_by_their_texts(spark, small_dir):
     assert (7, A + " more  of it") in pairs(got) and got.columns == docs.columns
 
 
+def test_texts_that_share_an_id_all_stay(spark, small_dir):
+    rows = [(5, A, "en", "a"), (5, B, "en", "a"), (6, sentence(9, 45), "en", "a")]
+    docs = frame(spark, rows)
+    assert pairs(corpus_pipeline.exact_dedup(spark, docs, small_dir)) == {(5, A): 1, (5, B): 1, (6, sentence(9, 45)): 1}
+    assert pairs(corpus_pipeline.near_dedup(spark, docs, small_dir)) == {(5, A): 1, (5, B): 1, (6, sentence(9, 45)): 1}
+
+
 def test_near_dedup_keeps_one_row_of_each_component(spark, small_dir):
     rows = [(5, A, "en", "a"), (5, B, "en", "a"), (3, B, "en", "a"), (None, sentence(9, 50), "en", "a"), (None, sentence(11, 70), "en", "a"), (None, A, "en", "a")]
     got = pairs(corpus_pipeline.near_dedup(spark, frame(spark, rows), small_dir))
