@@ -3,36 +3,32 @@
 Each stage takes (spark, docs, sf_dir), works on all that the stage before kept
 and returns a DataFrame; all but the last return the columns of ``docs``.
 Rows are told apart by a key of their own (file and place), not by doc_id, so exactly
-the chosen rows stay, and rows without an id stay or go each by its own text.  Of the
-rows that exact dedup chose and that share an id, it keeps one (smallest text digest).
+the chosen rows stay: rows without an id, or that share one, stay or go each by its own text.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ledgerlink.llm.common import ROW, fold, keep_rows, stored, with_keys
+from ledgerlink.llm.common import keep_rows, stored, with_keys
 from ledgerlink.llm.exact_dedup import exact_groups
 from ledgerlink.llm.mixing import mix
 from ledgerlink.llm.packing import pack
+from ledgerlink.llm.queries import MIXTURE
 from ledgerlink.llm.simhash import near_duplicates
-from ledgerlink.llm.toxicity import accepted, train_model
+from ledgerlink.llm.toxicity import accepted
 from ledgerlink.session import read_table
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier flags, at their language's threshold, go."""
-    model, cuts = train_model(docs, read_table(spark, sf_dir, "labels"), fold("_id") != 0)
-    return accepted(docs, model, cuts)
+    return accepted(docs, read_table(spark, sf_dir, "labels"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that are equal but for white space, the longest original stays."""
     docs = with_keys(docs)
-    kept = exact_groups(docs).filter("kept")
-    by_id = kept.filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("text_sha256", ROW)).alias("first"))
-    return keep_rows(docs, by_id.select(f"first.{ROW}").unionByName(kept.filter("doc_id is null").select(ROW)))
+    return keep_rows(docs, exact_groups(docs).filter("kept"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,10 +38,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Three quarters of the tokens, shared out evenly over domains, languages and
-    sources as far as these have them; each document at most once."""
+    """Three quarters of the tokens, shared out by the mixture's weights as far as the
+    sources have them; each document at most once."""
     docs = with_keys(docs)
-    return keep_rows(docs, mix(docs, share=0.75, max_epochs=1.0))
+    return keep_rows(docs, mix(docs, share=0.75, max_epochs=1.0, **MIXTURE))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
