@@ -1,5 +1,6 @@
 """Language model and toxicity classifier."""
 
+import hashlib
 import math
 import zlib
 from collections import Counter
@@ -35,6 +36,30 @@ def test_tokens_cut_and_fold_ascii_only():
     assert maxent.tokens("A B \x0b\x1c c É") == ["a b".encode(), b"\x1c", b"c", "É".encode(), b""]
 
 
+def test_long_words_are_counted_as_digests(spark):
+    long = "x" * 65
+    assert maxent.tokens(f"{'y' * 64} {long}")[:2] == [b"y" * 64, b"\xff" + hashlib.sha256(long.encode()).digest()[:16]]
+    rows = [(i, f"{'-' * 80} {'=' * (70 + i % 3)} " * 20 + sentence(i, 10), "en", "a") for i in range(60)]
+    got = maxent.score(frame(spark, rows), fold() == 1).collect()
+    assert found(got) == base_scores(rows) and all(r.n_known == r.n_tokens for r in got)
+
+
+def test_neighbours_count_pairs_inside_texts(spark):
+    units = [[3, 1, 2, 60], [1], [2, 2], [700, 0]]
+    df = spark.createDataFrame([(np.array(u, "<u2").tobytes(), False) for u in units] + [(np.array([5, 5], "<u2").tobytes(), True)], "units binary, held_out boolean")
+    got = maxent.neighbours(df, maxent.Sizes(700, 100, 24, 32, 1024, 1024))
+    want = np.zeros_like(got)
+    for u in units:
+        for x in u:
+            want[x, -1] += 1
+        for a, z in zip(u[:-1], u[1:]):
+            if a < maxent.NEIGHBOURS:
+                want[z, a] += 1
+            if z < maxent.NEIGHBOURS:
+                want[a, maxent.NEIGHBOURS + z] += 1
+    assert (got == want).all()
+
+
 def test_base_scores_on_messy_rows(messy, empty):
     rows = maxent.score(messy, fold() == 1).collect()
     assert found(rows) == base_scores(MESSY)
@@ -65,31 +90,72 @@ def test_context_beats_the_unigram_on_held_out_texts(spark):
     assert gain > 0.06  # of log10(2) = 0.30 at most, from 24,000 tokens
 
 
-def test_probabilities_add_up(spark):
-    """Over classes, and inside each class over its words and one unknown word."""
-    r = np.random.default_rng(9)
-    weights = r.standard_normal((maxent.TABLE, maxent.CLASSES)).astype(np.float32)
-    units = r.integers(0, maxent.UNITS, 50)
-    p = maxent._softmax(weights, maxent.feature_rows(units, np.array([0, 20])))
-    assert np.allclose(p.sum(axis=1), 1, atol=1e-5)
+def random_model(sizes, seed=9):
+    r = np.random.default_rng(seed)
+    counts = r.integers(1, 50, sizes.units).astype(float)
+    classes = maxent.cluster(np.c_[r.integers(0, 9, (sizes.units, 2 * maxent.NEIGHBOURS)), counts + 9], sizes.words, sizes)
+    m = maxent.Model(sizes, classes, counts)
+    return m.load(m.flat() + r.standard_normal(len(m.flat())).astype(np.float32))
+
+
+def test_classes_have_at_most_so_many_units():
+    sizes = maxent.Sizes(200, 50, 24, 16, 1024, 1024)
+    classes = random_model(sizes).classes[: sizes.units]
+    sizes_ = np.bincount(classes)
+    assert classes[:24].tolist() == list(range(24)) and (sizes_[:24] == 1).all() and sizes_[24:].max() <= 16 and sizes_.sum() == sizes.units
+
+
+def test_units_have_probabilities_that_add_up_to_one():
+    """After any history, over all units: class factor times unit factor."""
+    sizes = maxent.Sizes(60, 20, 24, 8, 1024, 1024)
+    m = random_model(sizes)
+    for before in ([], [3], [59, 3], [7, 70]):
+        p = [10 ** maxent.unit_logs(m, np.array([*before, u]), np.array([0]))[-1] for u in range(sizes.units)]
+        assert abs(sum(p) - 1) < 1e-4 and min(p) > 0
+
+
+def test_scores_are_the_models_and_add_up_to_one(spark):
+    """First words: all units and, below an ending, its words and an unknown one share the whole
+    probability; and a text's score is the sum of its tokens' logs."""
+    held_ids = [i for i in range(10_000, 40_000) if held(i)]
+    rows = [(i, " ".join(f"w{(i * 7 + j * j) % 40}" for j in range(12)), "en", "a") for i in range(150)]
+    rows += [(held_ids[k], f"w{k} w{k + 1} never{k}", "en", "a") for k in range(30)]
+    docs = frame(spark, rows).coalesce(1)
+    got = {r.doc_id: r.score for r in maxent.score(docs, fold() == 1).collect()}
+    _, _, lex, model, below = maxent.fitted(docs, fold() == 1)
+    at = {w: k for k, w in enumerate(lex.words)}
+    assert len(at) < model.sizes.words and (below[len(at) :] == np.log10(0.5)).all()  # known words are units; an ending has its unknown word
+    first = [10 ** maxent.unit_logs(model, np.array([u]), np.array([0]))[0] for u in range(model.sizes.units)]
+    assert abs(sum(first) - 1) < 1e-4
+    for i, text, *_ in rows:
+        units = np.array([at.get(w, maxent.ending_unit(w, model.sizes)) for w in maxent.tokens(text)])
+        unknown = sum(w not in at for w in maxent.tokens(text))
+        want = maxent.unit_logs(model, units, np.array([0])).sum() + unknown * (np.log10(0.5) - np.log10(0.5))
+        assert abs(got[i] - want) < 1e-2
 
 
 def test_features_stay_inside_their_text():
     units = np.arange(10)
-    alone = maxent.feature_rows(units[4:], np.array([0]))
-    assert (maxent.feature_rows(units, np.array([0, 4]))[:, 4:] == alone).all()
-    ones = maxent.feature_rows(np.array([7, 7, 7]), np.array([0, 1, 2]))
-    assert (ones == ones[:, :1]).all()
+    alone = maxent.history(units[4:], np.array([0]), 99)
+    both = maxent.history(units, np.array([0, 4]), 99)
+    assert all((b[4:] == a).all() for a, b in zip(alone, both))
+    one, two = maxent.history(np.array([7, 7, 7]), np.array([0, 1, 2]), 99)
+    assert (one == 99).all() and (two == 99).all()
 
 
 def test_gradient_steps_lower_the_loss():
-    units = np.tile([40, 41, 42, 5], 3000)
-    classes = np.arange(maxent.UNITS + 1) % maxent.CLASSES
-    weights, slow = np.zeros((maxent.TABLE, maxent.CLASSES), np.float32), np.full(maxent.TABLE, 1e-6, np.float32)
-    starts = np.array([0])
-    before = maxent.class_logs(weights, units, starts, classes).mean()
-    maxent.gradient_steps(weights, slow, units, starts, classes, 0.3)
-    assert maxent.class_logs(weights, units, starts, classes).mean() > before / 4
+    sizes = maxent.Sizes(100, 20, 24, 16, 1024, 1024)
+    m = random_model(sizes).load(np.zeros_like(random_model(sizes).flat()))
+    units, starts = np.tile([40, 41, 42, 5], 3000), np.array([0])
+    before = maxent.unit_logs(m, units, starts).mean()
+    own = maxent.unit_logs(m, units, starts)[1::4].mean()
+    maxent.Trainer(m).steps(units, starts, 0.3)
+    assert maxent.unit_logs(m, units, starts).mean() > before / 4 and maxent.unit_logs(m, units, starts)[1::4].mean() > own / 4
+
+
+def test_sizes_grow_with_the_corpus():
+    a, b, c = (maxent.sizes_for(10**k, 10**9) for k in (6, 9, 12))
+    assert a.units < b.units < c.units < 65_535 and a.table < b.table < c.table and maxent.sizes_for(10**9, 200).words == 200
 
 
 # -- toxicity -----------------------------------------------------------------
