@@ -85,6 +85,22 @@ class Codes:
             shift += WIDTH
         return value
 
+    def at(self, places: np.ndarray) -> np.ndarray:
+        """The ids at many places at once, each by its bits and ranks; no block is decoded."""
+        i, out, own, shift = np.asarray(places, np.int64), np.zeros(len(places), np.uint32), np.arange(len(places)), 0
+        for chunks, bits, ranks in self.levels:
+            out[own] |= chunks[i].astype(np.uint32) << np.uint32(shift)
+            more = (bits[i >> 3] >> (i & 7).astype(np.uint8)) & 1 > 0
+            own, i, shift = own[more], i[more], shift + WIDTH
+            if not len(i):
+                break
+            first = i // STRIDE * (STRIDE // 8)
+            cells = first[:, None] + np.arange(STRIDE // 8)
+            lead = np.where(cells < (i >> 3)[:, None], bits[np.minimum(cells, len(bits) - 1)], 0)
+            below = bits[i >> 3] & ((1 << (i & 7)) - 1).astype(np.uint8)
+            i = ranks[i // STRIDE].astype(np.int64) + np.bitwise_count(lead).sum(axis=1, dtype=np.int64) + np.bitwise_count(below)
+        return out
+
     def all(self) -> np.ndarray:
         """All ids, level by level from the last one."""
         values = np.zeros(0, np.uint32)
@@ -174,8 +190,9 @@ def segment_starts(segments: DataFrame) -> DataFrame:
 
 def read(segments: DataFrame) -> DataFrame:
     """Every document of the files: doc_id, bucket, segment, doc (its number there),
-    start (global), n_tokens, ids_crc32."""
-    schema = "bucket int, segment int, doc int, doc_id long, within long, n_tokens long, ids_crc32 long"
+    start (global), n_tokens, ids_crc32 (from all ids, decoded), first_token and last_token
+    (by random access)."""
+    schema = "bucket int, segment int, doc int, doc_id long, within long, n_tokens long, ids_crc32 long, first_token long, last_token long"
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -187,12 +204,13 @@ def read(segments: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(raw[4 * s : 4 * (s + c)]) for s, c in zip(seg.starts.tolist(), seg.counts.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([bucket] * n, pa.int32()), pa.array([number] * n, pa.int32()), pa.array(np.arange(n), pa.int32()), pa.array(seg.doc_ids, pa.int64()),
-                     pa.array(seg.starts, pa.int64()), pa.array(seg.counts, pa.int64()), pa.array(crc, pa.int64())],
-                    ["bucket", "segment", "doc", "doc_id", "within", "n_tokens", "ids_crc32"])
+                     pa.array(seg.starts, pa.int64()), pa.array(seg.counts, pa.int64()), pa.array(crc, pa.int64()),
+                     *[pa.array(np.concatenate([seg.codes.at(x[a : a + 4096]) for a in range(0, n, 4096)] or [np.zeros(0)]), pa.int64()) for x in (seg.starts, seg.starts + seg.counts - 1)]],
+                    ["bucket", "segment", "doc", "doc_id", "within", "n_tokens", "ids_crc32", "first_token", "last_token"])
 
     rows = segments.select("bucket", "segment", "blob").mapInArrow(run, schema)
     return rows.join(segment_starts(segments), ["bucket", "segment"]).select(
-        _id().alias("doc_id"), "bucket", "segment", "doc", (F.col("segment_start") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
+        _id().alias("doc_id"), "bucket", "segment", "doc", (F.col("segment_start") + F.col("within")).alias("start"), "n_tokens", "ids_crc32", "first_token", "last_token")
 
 
 def _id() -> Column:

@@ -42,7 +42,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_directly_addressable_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dac.read(dac.write(read_table(spark, sf_dir, "documents"))).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return dac.read(dac.write(read_table(spark, sf_dir, "documents"))).select("doc_id", "start", "n_tokens", "ids_crc32", "first_token", "last_token")
 
 
 def op8_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -158,6 +158,9 @@ def test_codes_give_every_id(values):
     codes = dac.Codes(dac.encode(np.array(values, np.uint32)))
     assert codes.all().tolist() == values
     assert [codes[i] for i in range(len(codes))] == values
+    places = np.random.default_rng(len(values)).integers(0, max(1, len(values)), len(values))
+    assert codes.at(places).tolist() == [values[i] for i in places]
+    assert codes.at(np.arange(len(values))).tolist() == values
 
 
 def test_codes_of_messy_rows(spark, messy, empty):
@@ -169,6 +172,7 @@ def test_codes_of_messy_rows(spark, messy, empty):
         want = [*ids(t), 2]
         assert (r.doc_id, r.start, r.n_tokens) == (i, at, len(want))
         assert r.ids_crc32 == zlib.crc32(np.array(want, "<u4").tobytes())
+        assert (r.first_token, r.last_token) == (want[0], 2)
         at += len(want)
     want = {i: [*ids(t), 2] for i, t, *_ in MESSY if i in (6, 10, 11)}
     asked = [(i, p) for i, v in want.items() for p in (0, 3, len(v) // 2, len(v) - 1, len(v))]
