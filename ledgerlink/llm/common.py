@@ -50,9 +50,24 @@ def stored(df: DataFrame, what: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
+    _STORED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: What this driver has stored so far.
+_STORED: list[str] = []
+
+
+def clean_up(spark: SparkSession) -> int:
+    """Delete the data sets that this driver stored; for a caller that has written its
+    results and reads no frame of these operators any more.  Returns their number."""
+    n, jvm = 0, spark.sparkContext._jvm
+    while _STORED:
+        path = jvm.org.apache.hadoop.fs.Path(_STORED.pop())
+        n += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+    return n
+
+
 def range_buckets(df: DataFrame, key: str, buckets: int) -> tuple[list, Column]:
     """Equal-depth lower bounds of ``key`` (at most ``buckets`` - 1 numbers) and the
     expression of a row's bucket.

@@ -66,13 +66,6 @@ class Vocabulary:
         self.rows: dict[str, int] = {}
         self.flat, self.ends = array("i"), array("q", [0])
 
-    @classmethod
-    def of(cls, flat: np.ndarray, ends: np.ndarray) -> Vocabulary:
-        """The features of another one, without its words."""
-        new = object.__new__(cls)
-        new.rows, new.flat, new.ends = {}, flat, ends
-        return new
-
     def ids(self, words: list[str]) -> list[int]:
         rows, out = self.rows, []
         for w in words:
@@ -257,13 +250,12 @@ def thresholds(scored: DataFrame, marked: DataFrame, fitted, least: int = 20) ->
     all rows (key None), from every labelled training row.
 
     ``scored``: doc_id, lang, score of all rows; ``marked``: ``_id`` and toxic of the training
-    labels.  Rows of the sample count with the scores in ``fitted`` (pandas: doc_id,
-    lang, toxic, score), by models that weren't fitted on them.  One row a language, and at most
+    labels.  Rows of the sample count with the scores in ``fitted`` (doc_id, lang,
+    toxic, score), by models that weren't fitted on them.  One row a language, and at most
     ``BINS`` + 1 bins, reach the driver.
     """
     spark, bin_ = scored.sparkSession, F.floor(F.col("score") * BINS).cast("int")
-    own = fitted[["doc_id", "lang", "toxic", "score"]].astype(object).where(fitted.notna(), None).values.tolist()
-    own = spark.createDataFrame(own, "doc_id long, lang string, toxic int, score double")
+    own = spark.createDataFrame(fitted, "doc_id long, lang string, toxic int, score double")
     others = scored.join(marked, scored["doc_id"] == marked["_id"]).join(F.broadcast(own.select(F.col("doc_id").alias("_own"))), F.col("doc_id") == F.col("_own"), "left_anti")
     rows = others.select("lang", "toxic", "score").unionByName(own.select("lang", "toxic", "score"))
     hist = cut_lineage(rows.groupBy("lang", bin_.alias("bin")).agg(F.sum("toxic").alias("toxic"), F.count(F.lit(1)).alias("n")))
@@ -287,8 +279,8 @@ def usable_labels(labels: DataFrame, train: F.Column) -> DataFrame:
     return marked.groupBy("_id").agg(F.max("toxic").alias("toxic")).filter(train)
 
 
-def sample(docs: DataFrame, labels: DataFrame, train: F.Column, max_docs: int):
-    """The labelled rows to fit on (pandas): doc_id, text, lang, toxic, n (rows of that label)."""
+def sample(docs: DataFrame, labels: DataFrame, train: F.Column, max_docs: int) -> DataFrame:
+    """The labelled rows to fit on: doc_id, text, lang, toxic, part (fold), n (rows of that label)."""
     usable = usable_labels(labels, train)
     # ids first: only the chosen rows' texts move.  Half the sample for each label, the rest to the other
     have = docs.select("doc_id").distinct()
@@ -303,57 +295,44 @@ def sample(docs: DataFrame, labels: DataFrame, train: F.Column, max_docs: int):
     near = usable.filter(share < F.when(F.col("toxic") == 1, wide[1]).otherwise(wide[0]))
     first = [near.filter(F.col("toxic") == t).orderBy(key, "_id").limit(quota[t]).select("_id", "toxic") for t in (0, 1)]
     chosen = first[0].unionByName(first[1])  # at most max_docs ids: what is broadcast below is bounded
-    rows = docs.select("doc_id", text_of().alias("text"), F.col("lang").cast("string").alias("lang")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
-    got = rows.select("doc_id", "text", "lang", "toxic", F.crc32(F.concat(F.lit("v"), F.col("doc_id").cast("string")).cast("binary")).alias("order")).toPandas()
-    got = got.sort_values(["doc_id", "text"]).drop_duplicates("doc_id").reset_index(drop=True)
-    got["n"] = got["toxic"].map(counts)
-    return got
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), F.col("lang").cast("string").alias("lang")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    one = rows.groupBy("doc_id", "toxic").agg(F.min(F.struct("text", "lang")).alias("one"))  # of rows that repeat an id, one
+    part = F.crc32(F.concat(F.lit("v"), F.col("doc_id").cast("string")).cast("binary")) % FOLDS
+    n = F.when(F.col("toxic") == 1, F.lit(counts.get(1, 0))).otherwise(F.lit(counts.get(0, 0))).cast("long")
+    return one.select("doc_id", "one.text", "one.lang", "toxic", part.alias("part"), n.alias("n"))
 
 
 def fit_sample(docs: DataFrame, labels: DataFrame, train: F.Column, max_docs: int):
-    """The model, and the sample's rows (pandas: doc_id, lang, toxic, score), each scored by a
+    """The model, and the sample's rows (doc_id, lang, toxic, score), each scored by a
     model fitted on the other folds; None and no rows without a usable label.
 
-    The model itself is the one with fold 0 kept back."""
+    A task a fold has the whole sample, whose size is bounded; its texts don't reach the
+    driver.  The model itself is the one with fold 0 kept back."""
     rows = sample(docs, labels, train, max_docs)
-    if not len(rows):
-        return None, rows.assign(score=0.25)
-    y = rows["toxic"].to_numpy(np.float64)
-    weight = np.array([n / max((y == t).sum(), 1) for n, t in zip(rows["n"], y, strict=True)])
-    weight /= weight.mean()
-    part = rows["order"].to_numpy(np.int64) % FOLDS
-    vocab = Vocabulary()
-    ids = [np.array(vocab.ids(words_of(t)) or [0], np.int32) for t in rows.pop("text")]
-    sizes = np.array([len(i) for i in ids])
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((np.concatenate(ids), sizes, np.frombuffer(vocab.flat, np.int32) if len(vocab.flat) else np.zeros(0, np.int32), np.frombuffer(vocab.ends, np.int64), y, weight, part))
-    del ids, vocab
-    model, scores = None, np.zeros(len(rows))
-    for r in spark.range(0, FOLDS, 1, FOLDS).mapInArrow(_fold_fitter(shared), "fold long, scores binary, model binary").collect():
-        scores[part == r["fold"]] = np.frombuffer(r["scores"])
-        model = pickle.loads(r["model"]) if r["model"] is not None else model
-    shared.unpersist()
-    return model, rows.assign(score=scores)
-
-
-def _fold_fitter(shared):
-    """A task a fold: a model fitted on the other folds scores it; fold 0's model is the model."""
+    fold_of = F.explode(F.sequence(F.lit(0), F.lit(FOLDS - 1)))
+    got = rows.withColumn("fold", fold_of).groupBy("fold").applyInPandas(_fit_fold, "doc_id array<long>, lang array<string>, toxic array<int>, score array<double>, model binary").collect()
+    models = [r["model"] for r in got if r["model"] is not None]
+    rows = [x for r in got for x in zip(r["doc_id"], r["lang"], r["toxic"], r["score"], strict=True)]
+    return (pickle.loads(models[0]) if models else None), sorted(rows, key=lambda x: x[0])
 
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
 
-        release()
-        flat, sizes, own, ends, y, weight, part = shared.value
-        vocab = Vocabulary.of(own, ends)
-        texts = np.split(flat, np.cumsum(sizes)[:-1])
-        for b in batches:
-            for k in b.column(0).to_pylist():
-                back = np.flatnonzero(part == k)
-                fitted = fit(texts, vocab, y, weight, part == k) if len(back) or not k else None
-                scores = scores_of(fitted, vocab, [texts[i] for i in back]) if len(back) else np.zeros(0)
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([scores.astype(np.float64).tobytes()], pa.binary()), pa.array([None if k else pickle.dumps(fitted)], pa.binary())], ["fold", "scores", "model"])
+def _fit_fold(key, rows):
+    """A model fitted on the other folds scores this one; fold 0's model comes with it."""
+    import pandas as pd
 
-    return run
+    release()
+    rows = rows.sort_values("doc_id").reset_index(drop=True)
+    y, part, back = rows["toxic"].to_numpy(np.float64), rows["part"].to_numpy(np.int64), rows["part"].to_numpy() == key[0]
+    weight = rows["n"].to_numpy(np.float64) / np.where(y == 1, max((y == 1).sum(), 1), max((y == 0).sum(), 1))
+    weight /= weight.mean()
+    vocab = Vocabulary()
+    texts = [np.array(vocab.ids(words_of(t)) or [0], np.int32) for t in rows.pop("text")]
+    vocab.rows.clear()  # the words themselves aren't needed any more
+    fitted = fit(texts, vocab, y, weight, part == key[0]) if back.any() or not key[0] else None
+    scores = scores_of(fitted, vocab, [texts[i] for i in np.flatnonzero(back)]) if back.any() else np.zeros(0)
+    own = rows[back]
+    lang = [x if isinstance(x, str) else None for x in own["lang"]]
+    return pd.DataFrame({"doc_id": [own["doc_id"].tolist()], "lang": [lang], "toxic": [own["toxic"].tolist()], "score": [scores.tolist()], "model": [None if key[0] else pickle.dumps(fitted)]})
 
 
 def train_model(docs: DataFrame, labels: DataFrame, train: F.Column, max_docs: int = 6000) -> tuple[Model | None, dict]:

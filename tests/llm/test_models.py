@@ -209,7 +209,7 @@ def test_of_several_labels_the_greatest_counts(spark):
 
 def test_sample_is_bounded_and_balanced(spark):
     rows, labels = labelled(400)
-    got = toxicity.sample(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), F.lit(True), 60)
+    got = toxicity.sample(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), F.lit(True), 60).toPandas()
     assert len(got) == 60 and got.toxic.sum() == 30 and set(got[got.toxic == 1].n) == {100}
 
 

@@ -47,3 +47,15 @@ def test_mixing_counts_and_chooses_rows(spark, small_dir):
     rows = [(None if k % 2 else 4, sentence(k, 20), "en", "a") for k in range(40)]
     got = corpus_pipeline.mixing(spark, frame(spark, rows), small_dir).collect()
     assert len(got) == 30  # 600 of 800 tokens
+
+
+def test_stored_data_sets_are_cleaned_up(spark):
+    from ledgerlink.llm.common import _STORED, clean_up, stored
+
+    kept = _STORED[:]
+    _STORED.clear()
+    path = stored(spark.range(5), "some").inputFiles()[0].removeprefix("file://")
+    try:
+        assert os.path.exists(path) and clean_up(spark) == 1 and not os.path.exists(path) and clean_up(spark) == 0
+    finally:
+        _STORED[:] = kept
