@@ -287,15 +287,3 @@ def native_lcs(a, b) -> Column:
 
     last = F.aggregate(cb, init, step_row)
     return F.when(n == 0, F.lit(0)).otherwise(F.element_at(last, -1))
-
-
-# --------------------------------------------------------------------------
-# Vectors
-def cosine_col(a, b) -> Column:
-    """Cosine of two array<float|double> columns (0 when either has zero norm)."""
-    a = F.col(a) if isinstance(a, str) else a
-    b = F.col(b) if isinstance(b, str) else b
-    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, v: acc + v)
-    na = F.sqrt(F.aggregate(a, F.lit(0.0), lambda acc, v: acc + v * v))
-    nb = F.sqrt(F.aggregate(b, F.lit(0.0), lambda acc, v: acc + v * v))
-    return F.when((na == 0) | (nb == 0), F.lit(0.0)).otherwise(dot / (na * nb))

@@ -38,8 +38,11 @@ def keyword_list_sql(csv: str) -> str:
     )
 
 
-def keyword_hits_sql(ctx: str, kwlist: str) -> str:
-    """Keywords of ``kwlist`` found in ``ctx`` (case-sensitive substring), in list order."""
+def keyword_hits_sql(ctx: str, kwlist: str, found: str | None = None) -> str:
+    """Keywords of ``kwlist`` found in ``ctx`` (case-sensitive substring), in list order;
+    ``found``: column of all keywords in the context, where these were looked for."""
+    if found:
+        return f"filter({kwlist}, hk -> coalesce(array_contains({found}, hk), false))"
     return (
         f"(CASE WHEN coalesce({ctx}, '') = '' THEN CAST(array() AS ARRAY<STRING>) "
         f"ELSE filter({kwlist}, hk -> instr(coalesce({ctx}, ''), hk) > 0) END)"

@@ -95,7 +95,7 @@ def journal_cte() -> str:
 
 def eval_cte() -> str:
     rows = [
-        f"({i}, {lit(v)}, {lit(' | '.join([v, d, a, c]))}, {lit(lbl)})" for i, (v, d, a, c, lbl) in enumerate(EVALUATION_CASES)
+        f"({i}, {lit(v)}, {lit(c)}, {lit(lbl)})" for i, (v, c, lbl) in enumerate(EVALUATION_CASES)
     ]
     n = len(EVALUATION_CASES)
     return (
@@ -729,6 +729,20 @@ def _oracle_sql() -> dict[str, str]:
         "count_if(review_status = 'NEEDS_REVIEW') AS manual_review_count, count_if(normalization_method = 'UNRESOLVED') AS unresolved_count, "
         "count(*) - count(DISTINCT (detected_expression, context_text)) AS cache_hit_count FROM rt GROUP BY run_id"
     )
+    pairs = "count(DISTINCT (detected_expression, context_text)) AS exact_pairs, CAST(0 AS DOUBLE) AS pairs_error, count(DISTINCT original_row_id) AS exact_rows, TRUE AS rows_within"
+    q["distinct_over_runs"] = with_(*rt) + (
+        f"SELECT CAST(run_id AS VARCHAR) AS scope, count(*) AS total_rows, {pairs} FROM rt GROUP BY run_id UNION ALL SELECT 'all', count(*), {pairs} FROM rt"
+    )
+    q["csv_documents"] = "SELECT doc_id, sha256(text) AS text_sha256, lang, source, CAST(n_chars AS BIGINT) AS n_chars FROM documents"
+    q["csv_journal"] = with_(journal_cte()) + "SELECT CAST(voucher_no AS VARCHAR) AS voucher_no, vendor, context_text, CAST(amount AS DECIMAL(18,2)) AS amount FROM journal"
+    q["report_written"] = with_(*jf) + (
+        "SELECT 'full_result' AS table_name, count(*) AS n_rows FROM jr "
+        "UNION ALL SELECT 'institution_summary', count(DISTINCT canonical_institution) FROM jr "
+        "UNION ALL SELECT 'manual_review', count(*) FROM jr WHERE review_status = 'NEEDS_REVIEW' UNION ALL SELECT 'nothing', CAST(1 AS BIGINT)"
+    )
+    q["detail_of_institution"] = with_(*jf) + (
+        "SELECT voucher_no, vendor, normalization_method FROM jr WHERE review_status IN ('AUTO', 'HUMAN') AND canonical_institution = 'KB국민은행'"
+    )
     reached = q["matching_results"].split("SELECT run_id, original_row_id FROM rt WHERE ")[1]
     confirmed = "(SELECT count(DISTINCT canonical_institution) FROM rt WHERE run_id = 2 AND review_status IN ('AUTO', 'HUMAN'))"
     ones, labels = "(SELECT count(*) FROM rt WHERE run_id = 1)", "(SELECT count(DISTINCT decision_id) FROM rv1)"

@@ -223,7 +223,7 @@ def q_fast_cascade(spark, sf_dir):
 def q_fuzzy_veto(spark, sf_dir):
     m, a = seed_master(spark)
     ev = evaluation_journal(spark, sf_dir)
-    r = resolve(ev, "vendor", m, a, use_embedding=False, context_col="context_text")
+    r = resolve(ev, "vendor", m, a, use_embedding=False, context_col="context_text", one_pass_keywords=True)
     return _result_view(r, ["voucher_no", "vendor", "context_text"])
 
 
@@ -268,7 +268,7 @@ def q_rerank_confirm(spark, sf_dir):
         F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("voucher_no"),
         F.element_at(F.array(*[F.struct(F.lit(v).alias("v"), F.lit(c).cast("string").alias("c")) for v, c in RERANK_ROWS]), (F.col("s_suppkey") % len(RERANK_ROWS) + 1).cast("int")).alias("r"),
     ).select("voucher_no", F.col("r.v").alias("vendor"), F.col("r.c").alias("context_text"))
-    r = resolve(ev.unionByName(more), "vendor", m, a, use_embedding=True, context_col="context_text", encoder=TableEncoder(AXES + VENDOR_VECTORS))
+    r = resolve(ev.unionByName(more), "vendor", m, a, use_embedding=True, context_col="context_text", encoder=TableEncoder(AXES + VENDOR_VECTORS), one_pass_keywords=True)
     return _result_view(r, ["voucher_no", "vendor", "context_text"])
 
 
@@ -578,6 +578,72 @@ def q_store_life_cycle(spark, sf_dir):
     return spark.createDataFrame(steps, "step string, n_rows long")
 
 
+def q_distinct_over_runs(spark, sf_dir):
+    """Distinct (expression, context) pairs and rows over stored runs, from their sketches, with the
+    relative error against an exact count of each."""
+    from ledgerlink.sources import store as ST
+
+    root = _saved_runs(spark, sf_dir)
+    for run in (1, 2):
+        ST.save_sketches(spark, root, run)
+    both = ST.distinct_over_runs(spark, root).select(F.lit("all").alias("scope"), "*")
+    one = ST.distinct_over_runs(spark, root, [1, 2], each=True).select(F.col("run_id").cast("string").alias("scope"), *[c for c in both.columns if c != "scope"])
+    stored = ST.read(spark, root, ST.RESULTS)
+    pairs = F.countDistinct(F.struct("detected_expression", "context_text")).alias("exact_pairs")
+    exact = stored.groupBy(F.col("run_id").cast("string").alias("scope")).agg(pairs, F.countDistinct("original_row_id").alias("exact_rows"))
+    exact = exact.unionByName(stored.agg(pairs, F.countDistinct("original_row_id").alias("exact_rows")).select(F.lit("all").alias("scope"), "exact_pairs", "exact_rows"))
+    error = lambda n: F.abs(F.col(f"{n}_estimate") - F.col(f"exact_{n}")) / F.col(f"exact_{n}")
+    return both.unionByName(one).join(exact, "scope").select(
+        "scope", "total_rows", "exact_pairs", F.round(error("pairs"), 2).alias("pairs_error"), "exact_rows", (error("rows") <= 0.04).alias("rows_within"))
+
+
+def _files(spark) -> str:
+    import uuid
+
+    from ledgerlink.session import checkpoint_dir
+
+    return f"{checkpoint_dir(spark)}/files-{uuid.uuid4().hex}"
+
+
+def q_csv_documents(spark, sf_dir):
+    """The documents written as CSV, line ends and quotes included, and read back."""
+    from ledgerlink.sources.journal import read_journal, write_journal
+
+    path = _files(spark) + "/documents.csv"
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars"))
+    write_journal(docs, path)
+    got = read_journal(spark, path, schema=docs.schema)
+    return got.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), "lang", "source", "n_chars")
+
+
+def q_csv_journal(spark, sf_dir):
+    """The journal written as CSV and read back in split files, with types found anew."""
+    from ledgerlink.sources.journal import read_journal, write_journal
+
+    path = _files(spark) + "/journal.csv"
+    write_journal(journal(spark, sf_dir), path)
+    got = read_journal(spark, path)
+    return got.select(F.col(VOUCHER).cast("string").alias("voucher_no"), F.col(VENDOR).alias("vendor"), "context_text", F.col(AMOUNT).cast("decimal(18,2)").alias("amount"))
+
+
+def q_report_written(spark, sf_dir):
+    """The tables of the normalization report, written as a folder each and read back."""
+    from ledgerlink.sources.report import normalization_report, write_report
+
+    path, out = _files(spark), None
+    tables = normalization_report(journal_result(spark, sf_dir)) | {"nothing": journal_result(spark, sf_dir).limit(0)}
+    for name in write_report(tables, path, "parquet"):
+        part = spark.read.parquet(f"{path}/{name}").agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def q_detail_of_institution(spark, sf_dir):
+    """Confirmed rows of one institution; a requested column that doesn't exist is left out."""
+    rows = C.institution_detail(journal_result(spark, sf_dir), "KB국민은행", [VOUCHER, VENDOR, "no such column", "normalization_method"])
+    return rows.withColumnsRenamed({VOUCHER: "voucher_no", VENDOR: "vendor"})
+
+
 def q_drop_run_tables(spark, sf_dir):
     """Rows left in each table after run 1 is deleted, and the rows deleted."""
     from ledgerlink.sources import store as ST
@@ -763,6 +829,11 @@ REGISTRY = {
     "stored_rows": q_stored_rows,
     "stored_runs": q_stored_runs,
     "store_life_cycle": q_store_life_cycle,
+    "distinct_over_runs": q_distinct_over_runs,
+    "csv_documents": q_csv_documents,
+    "csv_journal": q_csv_journal,
+    "report_written": q_report_written,
+    "detail_of_institution": q_detail_of_institution,
     "add_aliases": q_add_aliases,
     "set_active": q_set_active,
     "list_institutions": q_list_institutions,

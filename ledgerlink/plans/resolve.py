@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlink.functions.encoder import HashedNgramEncoder
+from ledgerlink.functions.keywords import found_keywords, master_keywords
 from ledgerlink.functions.text import match_key
 from ledgerlink.operators.lookup import build_lookup, build_vector_index
 
@@ -153,7 +154,11 @@ def resolve_vendors(
     return vm.withColumn("_q", F.col(vendor_col).cast("string")).join(cands, "_q", "left").drop("_q")
 
 
-def resolve(
+#: A keyword list longer than this makes ``resolve`` look for all keywords in one pass.
+LONG_LIST = 200
+
+
+def joined_rows(
     df: DataFrame,
     vendor_col: str,
     master: DataFrame,
@@ -167,17 +172,10 @@ def resolve(
     max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
     max_index_rows: int = INDEX_ROWS,
     max_vector_rows: int = DEFAULT_INDEX_BROADCAST_ROWS,
+    one_pass_keywords: bool | None = None,
 ) -> DataFrame:
-    """Add the 11 result columns and ``detected_expression`` to every row of ``df``.
-
-    Original columns are kept; result columns already present are replaced.
-    Bounds: ``max_broadcast_rows`` of the vendor map that is joined back,
-    ``max_index_rows`` of the fuzzy lookup, ``max_vector_rows`` of the vector index.
-    Encoder errors are raised (re-run with ``use_embedding=False`` to fall back).
-    """
-    keep = [c for c in df.columns if c not in RESULT_FIELDS and c != "detected_expression"]
-    df = df.select(*keep)
-    ctx = context_col if context_col is not None and context_col in df.columns else None
+    """Each row with its vendor's record and candidates and the keyword hits of its context:
+    what the expressions of ``rules.row_fields_sql`` read."""
     # One journal scan makes the vendor map; its lineage is cut below, so fuzzy
     # and vector work is never redone when an executor is lost in the join-back.
     # Few vendors may need much scoring: an explicit partition count, which AQE
@@ -190,20 +188,61 @@ def resolve(
     # here, once per vendor; each row then only runs substring tests.
     vmap = vmap.select(F.col(vendor_col).alias("_pk0"), "res", "v1", "v2", F.col("_nkw").alias("_nkw_csv"))
     vmap = vmap.select("_pk0", "res", "v1", "v2", *[F.expr(e).alias(n) for n, e in vendor_rule_columns(embedding_floor, min_margin)])
-    vmap, stats = checkpoint_with_size(vmap)
+    longest = F.max(F.greatest(*[F.size(c) for c in ("_nkw", "_v1kw", "_v1nkw")]))
+    vmap, stats = checkpoint_with_size(vmap, longest=longest)
     out = join_back(df, vendor_col, vmap, "_pk0", stats, max_broadcast_rows)
-    ctx_sql = f"`{ctx}`" if ctx else None
+    ctx = f"`{context_col}`" if context_col else None
+    fuzzy_auto = "coalesce(res.normalization_method = 'FUZZY' AND res.review_status = 'AUTO', false)"
+    if use_embedding:
+        out = out.withColumn("_vec", F.expr("coalesce(res.normalization_method = 'UNRESOLVED' AND v1 IS NOT NULL, false)"))
+    found = None
+    if ctx and (one_pass_keywords or (one_pass_keywords is None and (stats["longest"] or 0) > LONG_LIST)):
+        keywords = master_keywords(master)
+        if keywords is not None:
+            needs = f"({fuzzy_auto} OR _vec)" if use_embedding else fuzzy_auto
+            out = out.withColumn("_found", found_keywords(F.expr(f"CASE WHEN {needs} THEN {ctx} END"), keywords, df))
+            found = "_found"
     empty = "CAST(array() AS ARRAY<STRING>)"
     if ctx:
-        fuzzy_auto = "res.normalization_method = 'FUZZY' AND res.review_status = 'AUTO'"
-        out = out.withColumn("_vhits", F.expr(f"CASE WHEN {fuzzy_auto} THEN {keyword_hits_sql(ctx_sql, '_nkw')} END"))
+        out = out.withColumn("_vhits", F.expr(f"CASE WHEN {fuzzy_auto} THEN {keyword_hits_sql(ctx, '_nkw', found)} END"))
     if use_embedding:
-        out = out.withColumn("_vec", F.expr("coalesce(res.normalization_method = 'UNRESOLVED' AND v1 IS NOT NULL, false)"))
         if ctx:
-            out = out.withColumn("_neg", F.expr(f"CASE WHEN _vec THEN {keyword_hits_sql(ctx_sql, '_v1nkw')} ELSE {empty} END"))
-            out = out.withColumn("_pos", F.expr(f"CASE WHEN _vec THEN {keyword_hits_sql(ctx_sql, '_v1kw')} ELSE {empty} END"))
+            out = out.withColumn("_neg", F.expr(f"CASE WHEN _vec THEN {keyword_hits_sql(ctx, '_v1nkw', found)} ELSE {empty} END"))
+            out = out.withColumn("_pos", F.expr(f"CASE WHEN _vec THEN {keyword_hits_sql(ctx, '_v1kw', found)} ELSE {empty} END"))
         else:
             out = out.withColumn("_neg", F.expr(empty)).withColumn("_pos", F.expr(empty))
-    fields = row_fields_sql(ctx_sql, veto_on=bool(ctx), vector_on=use_embedding)
+    return out
+
+
+def resolve(
+    df: DataFrame,
+    vendor_col: str,
+    master: DataFrame,
+    alias: DataFrame,
+    threshold: float = FUZZY_AUTO_THRESHOLD,
+    use_embedding: bool = True,
+    context_col: str | None = None,
+    embedding_floor: float = EMBEDDING_FLOOR,
+    min_margin: float = MIN_SCORE_MARGIN,
+    encoder=None,
+    max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
+    max_index_rows: int = INDEX_ROWS,
+    max_vector_rows: int = DEFAULT_INDEX_BROADCAST_ROWS,
+    one_pass_keywords: bool | None = None,
+) -> DataFrame:
+    """Add the 11 result columns and ``detected_expression`` to every row of ``df``.
+
+    Original columns are kept; result columns already present are replaced.
+    Bounds: ``max_broadcast_rows`` of the vendor map that is joined back,
+    ``max_index_rows`` of the fuzzy lookup, ``max_vector_rows`` of the vector index.
+    ``one_pass_keywords`` looks for all keywords of the master at once (default: where a
+    list is longer than ``LONG_LIST``).  Encoder errors are raised (re-run with ``use_embedding=False`` to fall back).
+    """
+    keep = [c for c in df.columns if c not in RESULT_FIELDS and c != "detected_expression"]
+    df = df.select(*keep)
+    ctx = context_col if context_col is not None and context_col in df.columns else None
+    out = joined_rows(df, vendor_col, master, alias, threshold, use_embedding, ctx, embedding_floor, min_margin, encoder,
+                      max_broadcast_rows, max_index_rows, max_vector_rows, one_pass_keywords)
+    fields = row_fields_sql(f"`{ctx}`" if ctx else None, veto_on=bool(ctx), vector_on=use_embedding)
     return out.select(*[F.col(f"`{c}`") for c in keep], *[F.expr(fields[f]).alias(f) for f in RESULT_FIELDS],
                       F.col(f"`{vendor_col}`").alias("detected_expression"))

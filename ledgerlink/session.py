@@ -152,13 +152,16 @@ def file_positions(df: DataFrame, name: str = "position") -> DataFrame:
 
     Stamped on the scan itself, before any join, so they do not depend on the
     plan.  A split (file, first byte) is read by one task in order; its offset
-    comes from one count a split (broadcast: a row a split).
+    comes from one count a split: running sums within each file, then over the files
+    (a row a split; broadcast after a size check).
     """
     tagged = df.withColumns({"_file": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start"), "_mono": F.monotonically_increasing_id()})
     splits = tagged.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_mono").alias("_first"))
-    before = F.sum("_n").over(Window.orderBy("_file", "_block")) - F.col("_n")
-    offsets = splits.select("_file", "_block", "_first", before.alias("_off"))
-    out = tagged.join(F.broadcast(offsets), ["_file", "_block"])
+    within = F.sum("_n").over(Window.partitionBy("_file").orderBy("_block")) - F.col("_n")
+    files = splits.groupBy("_file").agg(F.sum("_n").alias("_sum"))
+    files = files.select("_file", (F.sum("_sum").over(Window.orderBy("_file")) - F.col("_sum")).alias("_before"))
+    offsets = splits.withColumn("_within", within).join(files, "_file").select("_file", "_block", "_first", (F.col("_before") + F.col("_within")).alias("_off"))
+    out = tagged.join(bounded_broadcast(offsets), ["_file", "_block"])
     return out.withColumn(name, F.col("_off") + F.col("_mono") - F.col("_first")).drop("_file", "_block", "_mono", "_first", "_off")
 
 

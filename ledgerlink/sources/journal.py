@@ -13,7 +13,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlink.functions.text import CONTEXT_SEPARATOR
 from ledgerlink.session import file_positions, read_table
 
 SUPPORTED_SUFFIXES = ("csv", "parquet")
@@ -57,35 +56,35 @@ TEMPLATES = [
     ("ABC부품", "부품 구매대금 지급", "원재료", "외상매입금", 2),
 ]
 
-# Labelled evaluation cases: (vendor, description, account, counter_account, true_label);
+# Labelled evaluation cases: (vendor, context, true_label);
 # a null label means the row must not resolve to any institution.
 EVALUATION_CASES = [
-    ("NH농협은행", "대출이자 지급", "이자비용", "장기차입금", "NH농협은행"),
-    ("농협은행", "정기예금 예치", "정기예금", "보통예금", "NH농협은행"),
-    ("NH농협", "계좌이체 수수료", "수수료비용", "보통예금", "NH농협은행"),
-    ("농은", "대출이자 지급", "이자비용", "장기차입금", "NH농협은행"),
-    ("Nonghyup Bank", "외화 송금", "외화예금", "보통예금", "NH농협은행"),
-    ("NH Bank", "외화 송금 수수료", "수수료비용", "보통예금", "NH농협은행"),
-    ("농협은행 부산지점", "대출이자 지급", "이자비용", "장기차입금", "NH농협은행"),
-    ("(주)농협은행", "보통예금 입금", "보통예금", "제품매출", "NH농협은행"),
-    ("농협", "운영자금 대출이자 지급", "이자비용", "장기차입금", "NH농협은행"),
-    ("농협", "정기예금 이자 수령", "이자수익", "정기예금", "NH농협은행"),
-    ("농협", "농산물 구매대금 지급", "원재료", "외상매입금", None),
-    ("KB국민은행", "보통예금 입금", "보통예금", "제품매출", "KB국민은행"),
-    ("국민은행", "대출이자 지급", "이자비용", "장기차입금", "KB국민은행"),
-    ("KB국민", "계좌이체 수수료", "수수료비용", "보통예금", "KB국민은행"),
-    ("KB BANK", "외화송금", "외화예금", "보통예금", "KB국민은행"),
-    ("케이비국민", "외화송금 수수료", "수수료비용", "보통예금", "KB국민은행"),
-    ("신한은행", "보통예금 이자 수령", "이자수익", "보통예금", "신한은행"),
-    ("신한", "대출이자 지급", "이자비용", "장기차입금", "신한은행"),
-    ("신한 BIZ", "은행수수료 지급", "수수료비용", "보통예금", "신한은행"),
-    ("OO농협", "농산물 구매대금 지급", "원재료", "외상매입금", None),
-    ("농협유통", "상품 매입대금 지급", "상품", "외상매입금", None),
-    ("NH투자", "증권 매매 정산", "단기매매증권", "보통예금", None),
-    ("테스트전자", "제품 판매대금 수령", "제품매출", "보통예금", None),
-    ("샘플물류", "운송비 지급", "운반비", "외상매입금", None),
-    ("가상상사", "용역비 지급", "용역비", "외상매입금", None),
-    ("ABC부품", "부품 구매대금 지급", "원재료", "외상매입금", None),
+    ("NH농협은행", "NH농협은행 | 대출이자 지급 | 이자비용 | 장기차입금", "NH농협은행"),
+    ("농협은행", "농협은행 | 정기예금 예치 | 정기예금 | 보통예금", "NH농협은행"),
+    ("NH농협", "NH농협 | 계좌이체 수수료 | 수수료비용 | 보통예금", "NH농협은행"),
+    ("농은", "농은 | 대출이자 지급 | 이자비용 | 장기차입금", "NH농협은행"),
+    ("Nonghyup Bank", "Nonghyup Bank | 외화 송금 | 외화예금 | 보통예금", "NH농협은행"),
+    ("NH Bank", "NH Bank | 외화 송금 수수료 | 수수료비용 | 보통예금", "NH농협은행"),
+    ("농협은행 부산지점", "농협은행 부산지점 | 대출이자 지급 | 이자비용 | 장기차입금", "NH농협은행"),
+    ("(주)농협은행", "(주)농협은행 | 보통예금 입금 | 보통예금 | 제품매출", "NH농협은행"),
+    ("농협", "농협 | 운영자금 대출이자 지급 | 이자비용 | 장기차입금", "NH농협은행"),
+    ("농협", "농협 | 정기예금 이자 수령 | 이자수익 | 정기예금", "NH농협은행"),
+    ("농협", "농협 | 농산물 구매대금 지급 | 원재료 | 외상매입금", None),
+    ("KB국민은행", "KB국민은행 | 보통예금 입금 | 보통예금 | 제품매출", "KB국민은행"),
+    ("국민은행", "국민은행 | 대출이자 지급 | 이자비용 | 장기차입금", "KB국민은행"),
+    ("KB국민", "KB국민 | 계좌이체 수수료 | 수수료비용 | 보통예금", "KB국민은행"),
+    ("KB BANK", "KB BANK | 외화송금 | 외화예금 | 보통예금", "KB국민은행"),
+    ("케이비국민", "케이비국민 | 외화송금 수수료 | 수수료비용 | 보통예금", "KB국민은행"),
+    ("신한은행", "신한은행 | 보통예금 이자 수령 | 이자수익 | 보통예금", "신한은행"),
+    ("신한", "신한 | 대출이자 지급 | 이자비용 | 장기차입금", "신한은행"),
+    ("신한 BIZ", "신한 BIZ | 은행수수료 지급 | 수수료비용 | 보통예금", "신한은행"),
+    ("OO농협", "OO농협 | 농산물 구매대금 지급 | 원재료 | 외상매입금", None),
+    ("농협유통", "농협유통 | 상품 매입대금 지급 | 상품 | 외상매입금", None),
+    ("NH투자", "NH투자 | 증권 매매 정산 | 단기매매증권 | 보통예금", None),
+    ("테스트전자", "테스트전자 | 제품 판매대금 수령 | 제품매출 | 보통예금", None),
+    ("샘플물류", "샘플물류 | 운송비 지급 | 운반비 | 외상매입금", None),
+    ("가상상사", "가상상사 | 용역비 지급 | 용역비 | 외상매입금", None),
+    ("ABC부품", "ABC부품 | 부품 구매대금 지급 | 원재료 | 외상매입금", None),
 ]
 
 # Sample company list: submitted institution names.
@@ -176,9 +175,8 @@ def evaluation_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
     cases = F.expr(
         "array("
         + ", ".join(
-            f"named_struct('vendor', {_sql_str(v)}, 'context_text', {_sql_str(CONTEXT_SEPARATOR.join([v, d, a, c]))}, "
-            f"'true_label', {_sql_str(lbl)})"
-            for v, d, a, c, lbl in EVALUATION_CASES
+            f"named_struct('vendor', {_sql_str(v)}, 'context_text', {_sql_str(c)}, 'true_label', {_sql_str(lbl)})"
+            for v, c, lbl in EVALUATION_CASES
         )
         + ")"
     )
@@ -208,24 +206,43 @@ def _inferred(text: DataFrame, rows: int) -> dict[str, str]:
     return {c: next((t for t in kinds if got[f"{k}_any"] and not got[f"{k}_{t}"]), "string") for k, c in enumerate(text.columns)}
 
 
-def read_journal(spark: SparkSession, path: str, schema=None, multi_line: bool = True, infer_rows: int = INFER_ROWS,
+def line_end_files(spark: SparkSession, path) -> tuple[list[str], list[str]]:
+    """(files in which each line has its quotes in pairs, other files).
+
+    Read as plain lines, split like any text file: in a file of the first kind no record
+    goes over a line end, whatever its values hold, so it can be split for reading too.
+    One row a file reaches the driver.
+    """
+    odd = F.max(F.regexp_count("value", F.lit('"')) % 2).alias("odd")
+    files = spark.read.text(path).groupBy(F.col("_metadata.file_path").alias("file")).agg(odd).collect()
+    return [r["file"] for r in files if not r["odd"]], [r["file"] for r in files if r["odd"]]
+
+
+def read_journal(spark: SparkSession, path: str, schema=None, multi_line: bool | None = None, infer_rows: int = INFER_ROWS,
                  position_col: str | None = None) -> DataFrame:
     """Read a journal by suffix: CSV (header, UTF-8, given or inferred schema) or Parquet.
 
     Without a schema the types come from the first ``infer_rows`` rows, so the
     input isn't read once more; a later value that doesn't fit its column's type
     is an error, never a null.  ``multi_line=False`` lets Spark split a CSV file
-    and is right only where no value holds a line end.  ``position_col`` adds
-    the row's number in file order, stamped on the scan.
+    and is right only where no value holds a line end; by default a pass over the
+    quotes finds the files for which it is, and only the others are read in one
+    task each.  ``position_col`` adds the row's number in file order, stamped on the
+    scan (files of both kinds together are then read whole).
     """
     suffix = str(path).lower().rsplit(".", 1)[-1].rstrip("/")
     if suffix == "csv":
         # only an unquoted empty value is null: the reader gives it the null text, which no value equals
-        r = spark.read.options(**CSV_OPTIONS).option("multiLine", multi_line).option("nullValue", "\u0000").option("emptyValue", "")
-        if schema is not None:
-            df = r.schema(schema).csv(path)
+        def scan(files, whole: bool) -> DataFrame:
+            r = spark.read.options(**CSV_OPTIONS).option("multiLine", whole).option("nullValue", "\u0000").option("emptyValue", "")
+            return (r.schema(schema) if schema is not None else r).csv(files)
+
+        even, odd = line_end_files(spark, path) if multi_line is None else ([], [])
+        if even and odd and not position_col:
+            df = scan(even, False).unionByName(scan(odd, True))
         else:
-            df = r.csv(path)
+            df = scan(path, bool(odd) if multi_line is None else multi_line)
+        if schema is None:
             kinds = _inferred(df, infer_rows)
     elif suffix == "parquet":
         df = spark.read.parquet(path)

@@ -35,12 +35,13 @@ LABELS = "feedback_labels"
 COMPLETENESS = "completeness_results"
 PERFORMANCE = "performance_logs"
 CANDIDATES = "candidate_scores"
+SKETCHES = "run_sketches"
 #: Keys of a review, by which results are clustered.
 REVIEW_KEYS = ("detected_expression", "context_text")
 ROW_GROUP_BYTES = 8 * 1024 * 1024
 #: Expressions that a lookup hands to the file reader.
 MAX_PUSHED = 500
-RUN_TABLES = (RESULTS, REVIEWS, COMPLETENESS, PERFORMANCE, CANDIDATES)
+RUN_TABLES = (RESULTS, REVIEWS, COMPLETENESS, PERFORMANCE, CANDIDATES, SKETCHES)
 
 RUN_SCHEMA = T.StructType(
     [
@@ -415,6 +416,29 @@ def apply_review_to_store(spark: SparkSession, root: str, run_id: int, decisions
     return int(obs.get["rows"])
 
 
+#: Distinct values that a run's sketches count.
+SKETCH_KEYS = {"pairs": ["detected_expression", "context_text"], "rows": ["original_row_id"], "expressions": ["detected_expression"]}
+
+
+def save_sketches(spark: SparkSession, root: str, run_id: int) -> None:
+    """Sketch a stored run (one scan) and keep the sketches beside its results."""
+    from ledgerlink.operators.stats import distinct_sketch
+
+    replace_partition(distinct_sketch(load_run(spark, root, run_id), SKETCH_KEYS), root, SKETCHES, run_id)
+
+
+def distinct_over_runs(spark: SparkSession, root: str, run_ids: list[int] | None = None, each: bool = False) -> DataFrame | None:
+    """Rows and estimated distinct values over the given runs (all: None), from their
+    sketches alone; a row a run with ``each``."""
+    from ledgerlink.operators.stats import united
+
+    stored = read(spark, root, SKETCHES)
+    if stored is None:
+        return None
+    rows = stored if run_ids is None else stored.where(F.col("run_id").isin(run_ids))
+    return united(rows, list(SKETCH_KEYS), ["run_id"] if each else None)
+
+
 def completeness_of_run(spark: SparkSession, root: str, run_id: int) -> DataFrame | None:
     """Stored completeness rows of a run, by name; None where none was ever stored."""
     rows = read(spark, root, COMPLETENESS)

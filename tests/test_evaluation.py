@@ -15,8 +15,7 @@ EXPECTED = {  # TP, FP, FN, TN
 
 @pytest.fixture(scope="module")
 def labelled(spark):
-    rows = [(v, " | ".join([v, d, a, c]), lbl) for v, d, a, c, lbl in EVALUATION_CASES]
-    return spark.createDataFrame(rows, "vendor string, context_text string, true_label string")
+    return spark.createDataFrame(EVALUATION_CASES, "vendor string, context_text string, true_label string")
 
 
 def test_variant_confusion_counts(labelled, seed):
@@ -49,3 +48,25 @@ def test_metric_edges(spark):
     assert r.precision is None and r.false_normalization_rate == 0.0 and r.coverage == 0.0
     human = spark.createDataFrame([("A", "A", "HUMAN")], "true_label string, canonical_institution string, review_status string")
     assert metrics(human).first().true_positive == 1
+
+
+def test_variants_in_one_pass_equal_one_resolution_each(spark, seed):
+    from ledgerlink.operators import evaluate as E
+    from ledgerlink.plans.queries import _typo_journal
+    from ledgerlink.functions.encoder import FittedEncoder
+
+    rows = _typo_journal(spark, "/root/testdata/sf0.001")
+    encoder = FittedEncoder.fit(*seed)
+    want = {name: tuple(E.metrics(E.run_variant(rows, name, *seed, encoder=encoder)).first()) for name in E.VARIANTS}
+    got = {r.variant: tuple(r)[1:] for r in E.evaluate_variants(rows, *seed, encoder=encoder).collect()}
+    assert got == want and len(set(want.values())) == 3
+
+
+def test_variants_read_the_rows_twice(spark, seed, tmp_path):
+    """Once for their vendors, once for the counts."""
+    from ledgerlink.operators.evaluate import evaluate_variants
+    from ledgerlink.sources.journal import evaluation_journal
+
+    evaluation_journal(spark, "/root/testdata/sf0.001").write.parquet(str(tmp_path / "rows"))
+    plan = evaluate_variants(spark.read.parquet(str(tmp_path / "rows")), *seed)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1  # the vendors were read before

@@ -73,3 +73,31 @@ def test_veto_only_fuzzy_auto(spark):
     out = _rows(spark, [(_record(m, s), None, None, NEG, ctx) for m, s, ctx in rows])
     assert [r.s for r in out] == ["NEEDS_REVIEW", "AUTO", "AUTO"]
     assert out[0].r == "[Safeguard] fuzzy auto-confirmed 'NH농협은행' but the context holds negative keywords [농산물]; sent to review"
+
+
+def test_ten_thousand_keywords_in_one_pass(spark):
+    """The automaton gives the substring tests' hits: order, repeats, overlaps, blanks and nulls included."""
+    import random
+
+    from ledgerlink.functions.keywords import master_keywords
+    from ledgerlink.plans.resolve import resolve
+    from ledgerlink.schema import ALIAS_SCHEMA, MASTER_SCHEMA
+
+    r = random.Random(2)
+    words = ["".join(r.choice("가나다라마바사 ab") for _ in range(r.choice([1, 2, 5, 6, 7]))) for _ in range(18_000)]
+    long_list = ",".join([*words, "가나", " 가나 ", "가", "", "🙂"])
+    master = spark.createDataFrame([(1, "NH농협은행", "BANK", None, long_list, None, True), (2, "KB국민은행", "BANK", None, "예금", long_list, True)], MASTER_SCHEMA)
+    alias = spark.createDataFrame([], ALIAS_SCHEMA)
+    assert len(master_keywords(master)) >= 10_000
+    contexts = ["가나다라 마바", "", None, "🙂 xyz", "ab 사가나", "none", "예금 가나"]
+    rows = spark.createDataFrame([(i, v, c) for i, (v, c) in enumerate((v, c) for v in ("NH농협은헹", "KB국민은행점", "KB국민은행", None) for c in contexts)], "id int, vendor string, ctx string")
+    got = [sorted(map(tuple, resolve(rows, "vendor", master, alias, threshold=80.0, context_col="ctx", embedding_floor=0.1, min_margin=0.0, one_pass_keywords=p).collect())) for p in (False, True, None)]
+    assert got[0] == got[1] == got[2]
+    assert any("Negative keywords" in (x or "") or "negative keywords" in (x or "") for row in got[0] for x in row if isinstance(x, str))
+
+
+def test_no_keywords_at_all(spark, seed):
+    from ledgerlink.functions.keywords import automaton, found_in
+
+    assert found_in(automaton([]), "text") == []
+    assert found_in(automaton(["a", "aa", "b"]), "aab") == ["a", "aa", "b"]

@@ -186,3 +186,51 @@ def test_a_run_in_one_call(spark, seed):
     with pytest.raises(Exception):
         process_run(df, "no such column", *seed, root, "j.csv", use_embedding=False)
     assert {r.run_id: r.status for r in ST.runs(spark, root).collect()} == {1: "COMPLETED", 2: "RUNNING"}
+
+
+def test_csv_files_are_split_unless_a_record_goes_over_lines(spark):
+    from ledgerlink.sources.journal import line_end_files
+
+    d = tempfile.mkdtemp()
+    plain = "".join(f'{i},"plain, but quoted ""{i}""",x\n' for i in range(20_000))
+    for name, body in {"plain": plain, "over": 'a,"two\nlines ""and"" quotes",x\n' * 50 + plain[:1000].rsplit("\n", 1)[0] + "\n"}.items():
+        with open(os.path.join(d, f"{name}.csv"), "w", encoding="utf-8", newline="") as f:
+            f.write("id,text,z\n" + body)
+    even, odd = line_end_files(spark, d)
+    assert [os.path.basename(p) for p in even] == ["plain.csv"] and [os.path.basename(p) for p in odd] == ["over.csv"]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        assert read_journal(spark, os.path.join(d, "plain.csv")).rdd.getNumPartitions() >= 5
+        assert read_journal(spark, os.path.join(d, "over.csv")).rdd.getNumPartitions() == 1
+        both = read_journal(spark, d + "/*.csv", schema="id string, text string, z string")
+        rows = both.collect()
+        assert sum(r.text == 'two\nlines "and" quotes' for r in rows) == 50
+        assert len(rows) == 20_000 + 50 + plain[:1000].count("\n") and {r.z for r in rows} == {"x"}
+        placed = read_journal(spark, os.path.join(d, "plain.csv"), schema="id int, text string, z string", position_col="at").collect()
+        assert all(r.at == r.id for r in placed) and len(placed) == 20_000
+        mixed = read_journal(spark, d + "/*.csv", schema="id string, text string, z string", position_col="at").collect()
+        assert sorted(r.at for r in mixed) == list(range(len(rows)))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_sketches_of_runs_unite(spark):
+    root, n = tempfile.mkdtemp(), 30_000
+    for run, rows in ((1, _expressions(spark, n)), (2, _expressions(spark, n).where("cast(original_row_id as int) < 9000")), (3, _expressions(spark, n).limit(0))):
+        ST.save_results(rows, root, run)
+        ST.save_sketches(spark, root, run)
+    both = ST.distinct_over_runs(spark, root).first()
+    assert both.total_rows == 39_000 and abs(both.expressions_estimate - n) < 0.03 * n and abs(both.rows_estimate - n) < 0.03 * n
+    each = {r.run_id: r for r in ST.distinct_over_runs(spark, root, each=True).collect()}
+    assert abs(each[2].pairs_estimate - 9000) < 0.03 * 9000 and each[3].total_rows == 0 and each[3].pairs_estimate == 0
+    assert ST.distinct_over_runs(spark, root, [2]).first().total_rows == 9000
+    ST.drop_run(spark, root, 1)
+    assert ST.distinct_over_runs(spark, root).first().total_rows == 9000
+    assert ST.distinct_over_runs(spark, tempfile.mkdtemp()) is None
+
+
+def test_sketches_tell_null_from_values(spark):
+    from ledgerlink.operators.stats import distinct_sketch, united
+
+    df = spark.createDataFrame([("a", None), (None, "a"), (None, None), ("a", "a"), ("a", None)], "x string, y string")
+    assert united(distinct_sketch(df, {"k": ["x", "y"]}), ["k"]).first().k_estimate == 4
