@@ -35,6 +35,7 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -45,9 +46,9 @@ from ledgerlink.llm.common import release, shuffle_partitions, stored, text_of
 
 HEAD, HEAD_BYTES = 1 << 17, 64
 NEIGHBOURS = 48
-ROUNDS, BATCH, RATE = 2, 1024, 2.0
+ROUNDS, BATCH, RATE = 2, 2048, 2.0
 #: Tokens of the texts that are worked on at once.
-RUN = 64 * BATCH
+RUN = 32 * BATCH
 BLOCKS = 64
 END = b""  # no word is empty
 
@@ -176,13 +177,14 @@ def encode(docs: DataFrame, held_out: Column, lex, sizes: Sizes) -> DataFrame:
             rows = []
             for doc_id, held, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 words = tokens(t.as_py())
-                ids = np.array([at.get(w, miss) for w in words], np.int64)
+                ids = np.fromiter(map(at.get, words, repeat(miss)), np.int64, len(words))
                 units = own[ids]
                 outside = np.flatnonzero(ids == miss)
-                tail = Counter([words[k] for k in outside.tolist()])
-                if len(outside):
+                rare = [words[k] for k in outside.tolist()]
+                tail = Counter(rare)
+                if rare:
                     unit = {w: ending_unit(w, sizes) for w in tail}
-                    units[outside] = [unit[words[k]] for k in outside.tolist()]
+                    units[outside] = list(map(unit.__getitem__, rare))
                 rows.append((doc_id, held, len(words), len(words) - len(outside), float(logs[ids].sum()), float(free[ids].sum()),
                              units.astype("<u2").tobytes(), list(tail.keys()), list(tail.values())))
             columns = zip(*rows, strict=True) if rows else [[]] * len(names)
@@ -363,9 +365,9 @@ def _softmax(table: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> np.ndarra
     for r in rows[1:]:
         z += table[r]
     z += bias
-    z -= z.max(axis=1, keepdims=True)
+    np.clip(z, -60, 60, out=z)  # no logit is that large; the padding's is less
     np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
+    z /= (z @ np.ones(z.shape[1], np.float32))[:, None]
     return z
 
 
@@ -422,7 +424,7 @@ def _descend(table: np.ndarray, slow: np.ndarray, hit: np.ndarray, grads: np.nda
 
 def _scatter(table: np.ndarray, slow: np.ndarray, rows: np.ndarray, g: np.ndarray, rate: float) -> None:
     """A step for each feature's rows, with the sums of their tokens' gradients."""
-    n, flat = table.shape[1], g.ravel()
+    n, flat = table.shape[1], g.astype(np.float64).ravel()
     for f in rows.astype(np.uint16) if len(table) <= 1 << 16 else rows:  # 16 bits sort by radix
         order = f.argsort(kind="stable")
         ranked = f[order]
