@@ -146,7 +146,7 @@ def test_features_stay_inside_their_text():
 def test_gradient_steps_lower_the_loss():
     sizes = maxent.Sizes(100, 20, 24, 16, 1024, 1024)
     m = random_model(sizes).load(np.zeros_like(random_model(sizes).flat()))
-    units, starts = np.tile([40, 41, 42, 5], 3000), np.array([0])
+    units, starts = np.tile([40, 41, 42, 5], 3 * maxent.BATCH), np.array([0])  # twelve batches
     before = maxent.unit_logs(m, units, starts).mean()
     own = maxent.unit_logs(m, units, starts)[1::4].mean()
     maxent.Trainer(m).steps(units, starts, 0.3)
