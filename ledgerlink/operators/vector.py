@@ -8,10 +8,10 @@ rows.  Two plans:
   executor as a NumPy matrix; ``mapInPandas`` scores an Arrow batch of queries
   with one matrix product and keeps k owners per query;
 * larger index: its rows lie in cells round pivots (see operators/vector_cells), and a
-  query goes only to the cells that its k-th best score lets it need.  Each block of
-  a cell's rows and queries is scored by ``cogroup.applyInPandas`` and yields k
-  owners per query; a window merges them.  The per-block top-k owners contain the
-  global top-k (an owner beaten inside a block is beaten globally), so the merge
+  query goes only to the slabs of cells that its k-th best score lets it need.  A slab's
+  rows and queries are scored in blocks by ``cogroup.applyInPandas`` and yield k
+  owners per query; a window merges them.  The per-slab top-k owners contain the
+  global top-k (an owner beaten inside a slab is beaten globally), so the merge
   is exact.
 
 Scores are cosines of L2-normalised vectors, rounded to 10 decimals so that
@@ -48,17 +48,23 @@ def _topk_owners(q: np.ndarray, idx: np.ndarray, owners: np.ndarray, k: int):
     if len(q) > step:
         parts = [_topk_owners(q[i : i + step], idx, owners, k) for i in range(0, len(q), step)]
         return np.vstack([p[0] for p in parts]), np.vstack([p[1] for p in parts])
-    s = np.round(q @ idx.T, SCORE_DECIMALS) if len(idx) else np.zeros((len(q), 0))
-    n = len(q)
+    return _best_owners(q @ idx.T if len(idx) else np.zeros((len(q), 0)), owners, k)
+
+
+def _best_owners(s: np.ndarray, owners: np.ndarray, k: int):
+    """The same from the scores (rows x index rows), which are overwritten."""
+    np.round(s, SCORE_DECIMALS, out=s)
+    n = len(s)
     pos = np.full((n, k), -1, dtype=np.int64)
     sc = np.full((n, k), np.nan)
-    work = s.copy()
     rows = np.arange(n)
-    for r in range(min(k, len(np.unique(owners)) if len(owners) else 0)):
-        j = np.argmax(work, axis=1)  # first maximum = lowest index position on ties
+    most = min(k, len(np.unique(owners)) if len(owners) else 0)
+    for r in range(most):
+        j = np.argmax(s, axis=1)  # first maximum = lowest index position on ties
         pos[:, r] = j
         sc[:, r] = s[rows, j]
-        work[owners[None, :] == owners[j][:, None]] = -np.inf
+        if r + 1 < most:
+            s[owners[None, :] == owners[j][:, None]] = -np.inf
     return pos, sc
 
 
@@ -160,21 +166,7 @@ def vector_topk(
 
     slim = T.StructType([f for f in schema.fields if f.name in (query_id, "rank", "institution_id", "score", *ORDER_COLS)])
 
-    def score_group(qpdf: pd.DataFrame, ipdf: pd.DataFrame) -> pd.DataFrame:
-        if len(qpdf) == 0 or len(ipdf) == 0:
-            return pd.DataFrame({f.name: pd.Series([], dtype=object) for f in slim.fields})
-        ipdf = ipdf.sort_values(ORDER_COLS, kind="stable").reset_index(drop=True)
-        mat = np.vstack([np.asarray(v, dtype=np.float64) for v in ipdf[vec_col]])
-        q = np.vstack([np.asarray(v, dtype=np.float64) for v in qpdf[vec_col]])
-        pos, sc = _topk_owners(q, mat, ipdf["institution_id"].to_numpy(), k)
-        rows, ranks = np.nonzero(pos >= 0)
-        at = pos[rows, ranks]
-        out = {query_id: qpdf[query_id].to_numpy()[rows], "rank": (ranks + 1).astype("int32"), "institution_id": ipdf["institution_id"].to_numpy()[at], "score": sc[rows, ranks]}
-        out |= {c: ipdf[c].to_numpy()[at] for c in ORDER_COLS}
-        out["ord_alias"] = out["ord_alias"].astype("int32")
-        return pd.DataFrame(out)[[f.name for f in slim.fields]]
-
-    per_chunk = vector_cells.search(queries, placed, cells, query_id, k, vec_col, chunk_rows, query_rows_per_group, score_group, slim)
+    per_chunk = vector_cells.search(queries, placed, cells, query_id, k, vec_col, chunk_rows, query_rows_per_group, _best_owners, slim)
     w_owner = Window.partitionBy(query_id, "institution_id").orderBy(F.col("score").desc(), *ORDER_COLS)
     best = per_chunk.withColumn("_r", F.row_number().over(w_owner)).where("_r = 1").drop("_r")
     w = Window.partitionBy(query_id).orderBy(F.col("score").desc(), *ORDER_COLS)
