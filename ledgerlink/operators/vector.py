@@ -36,7 +36,7 @@ DEFAULT_INDEX_BROADCAST_ROWS = 50_000
 INDEX_BROADCAST_BYTES = 64 * 1024 * 1024
 
 
-SCORE_CELLS = 8_000_000  # query rows x index rows scored at once (64 MB of float64)
+SCORE_CELLS = 500_000  # query rows x index rows scored at once (4 MB of float64)
 
 
 def _topk_owners(q: np.ndarray, idx: np.ndarray, owners: np.ndarray, k: int):
