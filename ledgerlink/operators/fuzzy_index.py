@@ -1,25 +1,22 @@
-"""Inverted index for the fuzzy search: only pairs that can reach a vendor's k-th best
-score are ever looked at.
-
-A key is the set of its characters, each with its number of occurrence ("the second
-N"), in the order of how rare they are in the lookup.  A WRatio of T needs a number
-of common characters, c, that follows from T and the lengths n and m; keys that share c
-characters share ``SHARED`` = 3 of their n - c + 3 and m - c + 3 rarest ones, that is,
-three pairs of them (prefix filtering, by pairs of characters).  So
-
-    lookup keys --pairs of characters--> postings (pair, length, place of the later one)
-    vendor keys --rare n-grams--> a few keys each, scored: T is their k-th best score
-    vendor keys --pairs, T, lengths--> probes (pair, length, last place)
-    probes JOIN postings on (pair, length), place <= last place; three pairs --> candidates
-
-and every candidate whose common characters allow T is scored.  T only ever lies
-below the true k-th best score, so the result is exact.  (Where c is
-less, so is what must be shared; for 1, single characters take the place of pairs.)
-
-A vendor whose probes would meet more than ``MAX_SHARE`` of the lookup (its best scores
-are low, or it has too few seeds) is left to the dense plan: ``plan`` tells the two
-apart by counting postings, before they are joined.  So are keys longer than ``MAX_LENGTH``,
-which would have too many pairs, on either side.
+"""Block index for the fuzzy search: only pairs that can reach a vendor's k-th best
+score are ever scored.
+
+A key is the counts of its characters, each with its number of occurrence ("the second
+N"), in ``SLOTS`` slots.  The product of two keys' counts is no less than the number of
+characters that they share, and that number bounds the WRatio.  Keys of one length with
+like characters lie in a block; a block's greatest counts bound all of its keys at once.
+
+    lookup keys --length, rarest slots first--> range partitions (slabs), cut into blocks
+    blocks --greatest counts--> a table of bounded size, broadcast
+    vendor keys --blocks of the highest bounds--> a few keys each, scored: T is their k-th best score
+    vendor keys --T, blocks' bounds--> slabs with a block that can reach T
+    vendors x blocks in a slab --product of counts--> pairs that can reach T, scored
+
+T only ever lies below the true k-th best score, so the result is exact.  A vendor is
+exchanged once a slab and a slab once for some thousand vendors; pairs are made and
+scored inside a task, so what is written grows with the keys, the vendors and the
+results, not with the pairs that are looked at.  A vendor without T (fewer than k keys that share a
+character) is left to the dense plan.
 """
 
 from __future__ import annotations
@@ -28,65 +25,130 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlink.functions.similarity import LONG_LEN_RATIO, LONG_PARTIAL_SCALE, PARTIAL_MIN_LEN_RATIO, PARTIAL_SCALE, wratio_batch, wratio_bound
-from ledgerlink.session import bounded_broadcast, cut_lineage
-
-#: Sizes of the n-grams that find a vendor's first candidates, and the largest posting list read for them.
-SEED_GRAMS, SEED_POSTINGS, SEEDS = (3, 4, 5), 256, 16
-#: A vendor that would meet more postings than this share of the lookup's keys is scored densely.
-MAX_SHARE = 1.0
-#: Characters that two keys must share among their rarest ones.
-SHARED = 3
-MAX_LENGTH = 64
+from ledgerlink.operators.lookup import ORDER_COLS
+from ledgerlink.session import cut_lineage
+
+SLOTS = 256
+#: Keys of a slab (about), keys of a block at least, and blocks of an index (about) at most.
+SLAB_ROWS, BLOCK_ROWS, MAX_BLOCKS = 20_000, 64, 8192
+#: Blocks in which a vendor's first keys are looked for, and keys scored of each.
+HOME, FIRST = 16, 4
+#: Vendors of a bucket, bounds held at once, and pairs scored at once.
+BUCKET_ROWS, BOUND_CELLS, PAIRS = 2000, 500_000, 8192
 _EPS = 1e-9
 
 
-def characters(keys: DataFrame, key: str) -> DataFrame:
-    """(key, length, ch, nth): each character of a key with its number of occurrence."""
-    one = keys.select(key, F.char_length(key).alias("length"), F.explode(F.regexp_extract_all(F.col(key), F.lit("(?s)."), F.lit(0))).alias("ch"))
-    counted = one.groupBy(key, "length", "ch").agg(F.count(F.lit(1)).alias("n"))
-    return counted.select(key, "length", "ch", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("nth"))
+def counts(keys: list[str]) -> np.ndarray:
+    """keys x slots."""
+    lens = np.array([len(k) for k in keys], dtype=np.int64)
+    if not lens.sum():
+        return np.zeros((len(keys), SLOTS), dtype=np.float32)
+    point = np.frombuffer("".join(keys).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+    cell = np.sort(np.repeat(np.arange(len(keys)), lens) * 0x110000 + point)
+    start = np.flatnonzero(np.diff(cell, prepend=-1))
+    nth = np.arange(len(cell)) - np.repeat(start, np.diff(np.append(start, len(cell))))
+    row, point = np.divmod(cell, 0x110000)
+    return np.bincount(row * SLOTS + (point + 97 * nth) % SLOTS, minlength=len(keys) * SLOTS).reshape(len(keys), SLOTS).astype(np.float32)
+
+
+def _lengths(keys: list[str]) -> np.ndarray:
+    return np.array([len(k) for k in keys], dtype=np.int64)
+
+
+def _reach(mine: np.ndarray, theirs: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Upper bounds of the scores of all pairs, from counts and lengths."""
+    n, m = n[:, None], m[None]
+    return wratio_bound(np.minimum(mine @ theirs.T, np.minimum(n, m)), n, m)
+
+
+class Blocks:
+    """The blocks in order: id, slab, length of the keys, greatest counts."""
+
+    def __init__(self, stats: pd.DataFrame):
+        stats = stats.sort_values("block", kind="stable").reset_index(drop=True)
+        ids, at = np.unique(stats["block"].to_numpy(np.int64), return_index=True)
+        top = np.vstack([np.frombuffer(x, dtype=np.float32) for x in stats["top"]]) if len(stats) else np.zeros((0, SLOTS), np.float32)
+        self.block, self.top = ids, np.maximum.reduceat(top, at, axis=0) if len(ids) else top
+        self.slab, self.length = (stats[c].to_numpy(np.int64)[at] for c in ("slab", "length"))
+        self.starts = np.flatnonzero(np.diff(self.slab, prepend=-1))
+
+    def of(self, slab: int) -> slice:
+        return slice(int(np.searchsorted(self.slab, slab, side="left")), int(np.searchsorted(self.slab, slab, side="right")))
+
+    def bounds(self, mine: np.ndarray, n: np.ndarray, some: slice = slice(None)) -> np.ndarray:
+        return _reach(mine, self.top[some], n, self.length[some])
+
+    def home(self, mine: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Marks of the blocks with the highest bounds (vendors x blocks); all sums are whole numbers, so each call gives the same."""
+        bound = self.bounds(mine, n)
+        need = np.zeros(bound.shape, dtype=bool)
+        np.put_along_axis(need, np.argsort(-bound, axis=1, kind="stable")[:, :HOME], True, axis=1)
+        return need & (bound > 0)
+
+    def slabs(self, need: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, slab), once, of the slabs that hold a marked block."""
+        row, at = np.nonzero(np.logical_or.reduceat(need, self.starts, axis=1))
+        return row, self.slab[self.starts][at]
 
 
 class Postings(NamedTuple):
-    """A lookup's index: ``places`` (key, length, pair, place), ``sizes`` (pair, length,
-    postings by place), ``rarity`` (ch, nth, seen), the keys' ``lengths`` and number."""
+    """A lookup's index: ``laid`` (key, order columns, block, slab), the ``blocks``, the number of keys."""
 
-    places: DataFrame
-    sizes: DataFrame
-    rarity: DataFrame
-    lengths: list[int]
+    laid: DataFrame
+    blocks: Blocks
     keys: int
 
 
-def _rarest_first(chars: DataFrame, rarity: DataFrame, key: str) -> DataFrame:
-    """(key, length, marks): a key's characters (64 bits each), those seen least in the lookup first."""
-    seen = chars.join(bounded_broadcast(rarity, persist=False), ["ch", "nth"], "left").withColumn("seen", F.coalesce("seen", F.lit(0)))
-    mark = F.struct("seen", F.xxhash64("ch", "nth").alias("mark"))
-    return seen.groupBy(key, "length").agg(F.transform(F.sort_array(F.collect_list(mark)), lambda x: F.when(x["seen"] > 0, x["mark"])).alias("marks"))
+def build(lookup: DataFrame) -> Postings:
+    keys = lookup.select("key", *ORDER_COLS).where(F.col("key").isNotNull())
 
+    def seen(batches):
+        for b in batches:
+            yield pd.DataFrame({"slot": np.arange(SLOTS), "n": (counts(b["key"].tolist()) > 0).sum(axis=0)})
 
-def _pairs(marks: Column, last: Column) -> Column:
-    """Structs (pair, place of its later character) of the first ``last`` marks; a single
-    character is the pair with itself."""
-    some = F.slice(marks, 1, last)
-    both = F.transform(some, lambda a, i: F.transform(F.slice(some, 1, i + 1), lambda b: F.when(a.isNotNull() & b.isNotNull(), F.struct(F.xxhash64(a, b).alias("pair"), (i + 1).alias("place"), (a == b).alias("single")))))
-    return F.filter(F.flatten(both), lambda x: x.isNotNull())
+    used = keys.select("key").mapInPandas(seen, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()  # SLOTS rows
+    used = np.array([n for _, n in sorted((r["slot"], r["n"]) for r in used)], dtype=np.int64)
+    rare_first = np.argsort(used, kind="stable")
+    number = keys.count()
+    per = max(BLOCK_ROWS, -(-number // MAX_BLOCKS))
 
+    def signed(batches):
+        for b in batches:
+            marks = np.packbits(counts(b["key"].tolist())[:, rare_first] > 0, axis=1)
+            yield b.assign(length=_lengths(b["key"].tolist()), marks=[x.tobytes() for x in marks])
 
-def build(lookup: DataFrame) -> Postings:
-    short = lookup.select("key").where(F.char_length("key") <= MAX_LENGTH)
-    chars = cut_lineage(characters(short, "key"))
-    rarity = cut_lineage(chars.groupBy("ch", "nth").agg(F.count(F.lit(1)).alias("seen")))
-    marked = _rarest_first(chars, rarity, "key")
-    places = cut_lineage(marked.select("key", "length", F.explode(_pairs(F.col("marks"), F.col("length"))).alias("p")).select("key", "length", "p.pair", "p.place"))
-    by_place = places.groupBy("pair", "length", "place").agg(F.count(F.lit(1)).alias("n"))
-    sizes = cut_lineage(by_place.groupBy("pair", "length").agg(F.collect_list(F.struct("place", "n")).alias("sizes")))  # at most MAX_LENGTH places
-    counts = short.groupBy(F.char_length("key").alias("length")).agg(F.count(F.lit(1)).alias("n")).collect()  # at most MAX_LENGTH rows
-    return Postings(places, sizes, rarity, sorted(r["length"] for r in counts if r["length"]), sum(r["n"] for r in counts))
+    def cut(batches):
+        slab, block, held, last = TaskContext.get().partitionId(), -1, per, -1
+        for b in batches:
+            length, out, at = b["length"].to_numpy(), np.empty(len(b), dtype=np.int64), 0
+            while at < len(b):
+                if held >= per or length[at] != last:
+                    block, held, last = block + 1, 0, length[at]
+                end = min(at + per - held, len(b))
+                other = np.flatnonzero(length[at:end] != last)
+                end = at + int(other[0]) if len(other) else end
+                out[at:end] = block
+                held, at = held + end - at, end
+            yield b.drop(columns=["marks"]).assign(block=(slab << 32) + out, slab=slab)
+
+    order = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in lookup.select(*ORDER_COLS).schema)
+    dealt = keys.mapInPandas(signed, f"key string, {order}, length long, marks binary").repartitionByRange(max(1, -(-number // SLAB_ROWS)), "length", "marks", "key")
+    laid = cut_lineage(dealt.sortWithinPartitions("length", "marks", "key").mapInPandas(cut, f"key string, {order}, length long, block long, slab long"))
+
+    def greatest(batches):
+        for b in batches:
+            if len(b):
+                at = np.flatnonzero(np.diff(b["block"].to_numpy(), prepend=-1))
+                top = np.maximum.reduceat(counts(b["key"].tolist()), at, axis=0)
+                yield b.iloc[at][["block", "slab", "length"]].assign(top=[x.tobytes() for x in top])
+
+    stats = laid.select("key", "block", "slab", "length").mapInPandas(greatest, "block long, slab long, length long, top binary")
+    return Postings(laid, Blocks(stats.toPandas()), number)  # about MAX_BLOCKS rows, and one a batch
 
 
 def needed(n: Column, m: Column, score: Column) -> Column:
@@ -99,24 +161,6 @@ def needed(n: Column, m: Column, score: Column) -> Column:
     return F.greatest(F.ceil(F.least(whole, window) - _EPS), F.lit(1)).cast("int")
 
 
-def _grams(key: Column) -> Column:
-    def of(n: int) -> Column:
-        last = F.char_length(key) - n + 1
-        return F.when(last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(key, i, n))).otherwise(F.array().cast("array<string>"))
-
-    return F.array_distinct(F.flatten(F.array(*[of(n) for n in SEED_GRAMS])))
-
-
-def seeds(vkeys: DataFrame, lookup: DataFrame, key_col: str) -> DataFrame:
-    """A few (vendor, key) pairs each that share the most rare n-grams."""
-    theirs = lookup.select("key", F.explode(_grams(F.col("key"))).alias("gram"))
-    rare = theirs.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= SEED_POSTINGS).select("gram")
-    mine = vkeys.select(key_col, F.explode(_grams(F.col(key_col))).alias("gram"))
-    shared = mine.join(theirs.join(rare, "gram"), "gram").groupBy(key_col, "key").agg(F.sum(F.char_length("gram")).alias("shared"))
-    first = Window.partitionBy(key_col).orderBy(F.col("shared").desc(), F.abs(F.char_length("key") - F.char_length(key_col)), "key")
-    return shared.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= SEEDS).select(key_col, "key")
-
-
 def scored(pairs: DataFrame, key_col: str, count_col: str | None = None) -> DataFrame:
     """The (vendor, key, least) pairs whose score is at least ``least`` (null: any), with it
     (and a column of ones).  The common characters are compared first."""
@@ -146,40 +190,161 @@ def _bounds(mine: list[str], theirs: list[str]) -> np.ndarray:
     return wratio_bound(np.bincount(cells // 0x110000, weights=common, minlength=len(mine)), n, m)
 
 
-def thresholds(vkeys: DataFrame, lookup: DataFrame, k: int, key_col: str) -> DataFrame:
-    """(vendor, least): the k-th best score among the vendor's seeds; vendors with fewer are absent."""
-    pairs = scored(seeds(vkeys, lookup, key_col).withColumn("least", F.lit(None).cast("double")), key_col)
+def _asked(vkeys: DataFrame, postings: Postings, key_col: str, pick) -> DataFrame:
+    """(vendor, least, slab): the slabs of the blocks that ``pick`` marks (vendors x blocks)."""
+    shared = vkeys.sparkSession.sparkContext.broadcast(postings.blocks)
+
+    def run(batches):
+        blocks = shared.value
+        step = max(1, BOUND_CELLS // max(1, len(blocks.block)))
+        for b in batches:
+            for at in range(0, len(b) if len(blocks.block) else 0, step):
+                part = b.iloc[at : at + step]
+                mine = part[key_col].tolist()
+                row, slab = blocks.slabs(pick(blocks, part, counts(mine), _lengths(mine)))
+                yield pd.DataFrame({key_col: part[key_col].to_numpy()[row], "least": part["least"].to_numpy(dtype=float)[row], "slab": slab})
+
+    return vkeys.select(key_col, "least").mapInPandas(run, f"{key_col} string, least double, slab long")
+
+
+class _Slab:
+    """A bucket of vendors and a slab's keys (in lookup order) inside a task."""
+
+    def __init__(self, blocks: Blocks, slab: int, vendors: pd.DataFrame, keys: pd.DataFrame, key_col: str):
+        keys = keys.sort_values(ORDER_COLS, kind="stable")
+        self.some, self.blocks = blocks.of(slab), blocks
+        self.vendors, self.keys = vendors[key_col].tolist(), keys["key"].tolist()
+        self.mine, self.n = counts(self.vendors), _lengths(self.vendors)
+        block = keys["block"].to_numpy(np.int64)
+        self.order = np.argsort(block, kind="stable")
+        self.theirs = counts([self.keys[k] for k in self.order])
+        ids = blocks.block[self.some]
+        self.lo, self.hi = (np.searchsorted(block[self.order], ids, side=x) for x in ("left", "right"))
+
+    def _bounds(self, rows: np.ndarray, c: int):
+        """Bounds of some vendors with the keys of the slab's block ``c``, in slices."""
+        size = int(self.hi[c] - self.lo[c])
+        step = max(1, BOUND_CELLS // max(1, size))
+        m = np.full(size, self.blocks.length[self.some][c])
+        for at in range(0, len(rows) if size else 0, step):
+            some = rows[at : at + step]
+            yield some, _reach(self.mine[some], self.theirs[self.lo[c] : self.hi[c]], self.n[some], m)
+
+    def _vendors(self):
+        step = max(1, BOUND_CELLS // max(1, len(self.blocks.block)))
+        return (slice(at, at + step) for at in range(0, len(self.vendors), step))
+
+    def first(self):
+        """(vendor, key) positions of the keys with the highest bounds in the vendors' home blocks."""
+        for part in self._vendors():
+            need = self.blocks.home(self.mine[part], self.n[part])[:, self.some]
+            for c in np.flatnonzero(need.any(axis=0)):
+                for rows, bound in self._bounds(part.start + np.flatnonzero(need[:, c]), c):
+                    pick = np.argsort(-bound, axis=1, kind="stable")[:, :FIRST]
+                    row, col = np.nonzero(np.take_along_axis(bound, pick, axis=1) > 0)
+                    yield rows[row], self.order[self.lo[c] + pick[row, col]]
+
+    def pairs(self, kth: np.ndarray):
+        """(vendor, key) positions and bounds of the pairs that can reach the vendor's ``kth``, which may rise meanwhile."""
+        for part in self._vendors():
+            reach = self.blocks.bounds(self.mine[part], self.n[part], self.some)
+            for c in np.argsort(-reach.max(axis=0), kind="stable"):
+                for rows, bound in self._bounds(part.start + np.flatnonzero(reach[:, c] >= kth[part] - _EPS), c):
+                    row, col = np.nonzero(bound >= kth[rows][:, None] - _EPS)
+                    if len(row):
+                        yield rows[row], self.order[self.lo[c] + col], bound[row, col]
+
+    def score(self, vendor: np.ndarray, key: np.ndarray) -> np.ndarray:
+        return wratio_batch([self.vendors[v] for v in vendor], [self.keys[k] for k in key])
+
+    def best(self, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(vendor, key, score): the k best of the vendor's keys that reach ``least``, ties in lookup order."""
+        kth, held, size = least.copy(), [], 0
+        top = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+        def settle(top):
+            vendor, key, bound = (np.concatenate(x) for x in zip(*held))
+            high = np.argsort(-bound, kind="stable")
+            for at in range(0, len(high), PAIRS):
+                some = high[at : at + PAIRS]
+                some = some[bound[some] >= kth[vendor[some]] - _EPS]
+                found = (vendor[some], key[some], self.score(vendor[some], key[some]))
+                v, p, s = (np.concatenate(x) for x in zip(top, found))
+                order = np.lexsort((p, -s, v))
+                v, p, s = v[order], p[order], s[order]
+                start = np.flatnonzero(np.diff(v, prepend=-1))
+                nth = np.arange(len(v)) - np.repeat(start, np.diff(np.append(start, len(v))))
+                kth[v[nth == k - 1]] = np.maximum(kth[v[nth == k - 1]], s[nth == k - 1])
+                top = (v[nth < k], p[nth < k], s[nth < k])
+            held.clear()
+            return top
+
+        for pair in self.pairs(kth):
+            held.append(pair)
+            size += len(pair[0])
+            if size >= PAIRS:
+                top, size = settle(top), 0
+        return settle(top) if held else top
+
+
+def _in_slabs(asked: DataFrame, postings: Postings, key_col: str, run, schema: str) -> DataFrame:
+    """``run(_Slab, least)`` for each bucket of a slab's vendors (asked: vendor, least, slab)."""
+    spark = asked.sparkSession
+    asked = cut_lineage(asked)
+    per_slab = asked.groupBy("slab").agg(F.count(F.lit(1)).alias("n")).collect()  # a row a slab
+    spread = -(-4 * spark.sparkContext.defaultParallelism // max(1, len(per_slab)))  # few slabs: enough buckets for all cores
+    buckets = [(r["slab"], max(spread, -(-r["n"] // BUCKET_ROWS))) for r in per_slab]
+    to = F.broadcast(spark.createDataFrame(buckets, "slab long, _buckets long"))
+    number, by = max(1, sum(n for _, n in buckets)), ["slab", "_bucket"]
+    shared = spark.sparkContext.broadcast(postings.blocks)
+
+    def grouped(key, vendors: pd.DataFrame, keys: pd.DataFrame) -> pd.DataFrame:
+        if not len(vendors) or not len(keys):
+            return pd.DataFrame({x.split()[0]: pd.Series([], dtype=object) for x in schema.split(", ")})
+        return run(_Slab(shared.value, int(key[0]), vendors, keys, key_col), vendors["least"].to_numpy(dtype=float))
+
+    mine = asked.join(to, "slab").withColumn("_bucket", F.pmod(F.xxhash64(key_col), F.col("_buckets"))).drop("_buckets")
+    theirs = postings.laid.drop("length").join(to, "slab").withColumn("_bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_buckets") - 1))).drop("_buckets")
+    mine, theirs = (x.repartition(number, *by).groupBy(*by) for x in (mine, theirs))  # a stated number isn't coalesced
+    return mine.cogroup(theirs).applyInPandas(grouped, schema)
+
+
+def thresholds(vkeys: DataFrame, lookup: DataFrame, k: int, key_col: str, postings: Postings | None = None) -> DataFrame:
+    """(vendor, least): the k-th best score among a few keys in the vendor's home blocks; vendors with fewer are absent."""
+    postings = postings or build(lookup)
+    some = vkeys.select(key_col).where(F.char_length(key_col) > 0).distinct().withColumn("least", F.lit(None).cast("double"))
+
+    def run(slab: _Slab, _least) -> pd.DataFrame:
+        found = list(slab.first())
+        vendor, key = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        return pd.DataFrame({key_col: [slab.vendors[v] for v in vendor], "key": [slab.keys[x] for x in key], "score": slab.score(vendor, key)})
+
+    pairs = _in_slabs(_asked(some, postings, key_col, lambda blocks, part, mine, n: blocks.home(mine, n)), postings, key_col, run, f"{key_col} string, key string, score double")
     ranked = pairs.withColumn("nth", F.row_number().over(Window.partitionBy(key_col).orderBy(F.col("score").desc())))
-    return ranked.where((F.col("nth") == k) & (F.col("score") > 0)).select(key_col, F.col("score").alias("least"))
-
-
-def probes(least: DataFrame, postings: Postings, key_col: str) -> DataFrame:
-    """(vendor, least, pair, length, last, pairs): what a vendor looks up in the postings,
-    and how many of these pairs a key of that length must share."""
-    short = least.where(F.char_length(key_col) <= MAX_LENGTH)
-    mine = _rarest_first(characters(short.select(key_col), key_col), postings.rarity, key_col).join(least, key_col)
-    lengths = F.explode(F.array(*[F.lit(m) for m in postings.lengths]).cast("array<int>"))
-    n, m, c = F.col("length"), F.col("m"), F.col("c")
-    for_length = mine.withColumn("m", lengths).withColumn("c", needed(n, m, F.col("least"))).where(c <= F.least(n, m))
-    some = F.least(c, F.lit(SHARED))
-    pairs = F.greatest(F.lit(1), (some * (some - 1) / 2).cast("int"))
-    asked = for_length.select(key_col, "least", "m", "c", (m - c + some).alias("last"), pairs.alias("pairs"), F.explode(_pairs(F.col("marks"), n - c + some)).alias("p"))
-    return asked.where((c == 1) == F.col("p.single")).select(key_col, "least", m.alias("length"), "last", "pairs", "p.pair")
-
-
-def plan(vkeys: DataFrame, least: DataFrame, postings: Postings, key_col: str, max_share: float = MAX_SHARE) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(probes of the vendors that the index serves, their keys, the keys of the others)."""
-    asked = cut_lineage(probes(least, postings, key_col))
-    within = F.aggregate(F.filter("sizes", lambda x: x["place"] <= F.col("last")), F.lit(0).cast("long"), lambda s, x: s + x["n"])
-    met = asked.join(postings.sizes, ["pair", "length"]).groupBy(key_col).agg(F.sum(within).alias("met"))
-    short = least.where(F.char_length(key_col) <= MAX_LENGTH)
-    costs = cut_lineage(short.select(key_col).join(met, key_col, "left").select(key_col, (F.coalesce("met", F.lit(0)) <= max_share * postings.keys).alias("served")))
-    served = costs.where("served").select(key_col)
-    return asked.join(served, key_col, "left_semi"), served, vkeys.select(key_col).join(served, key_col, "left_anti")
+    return cut_lineage(ranked.where((F.col("nth") == k) & (F.col("score") > 0)).select(key_col, F.col("score").alias("least")))
+
+
+def plan(vkeys: DataFrame, least: DataFrame, postings: Postings, key_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(vendor, least and slab of the vendors that the index serves, their keys, the keys of the others)."""
+    asked = _asked(least, postings, key_col, lambda blocks, part, mine, n: blocks.bounds(mine, n) >= part["least"].to_numpy(dtype=float)[:, None] - _EPS)
+    served = least.select(key_col)
+    return asked, served, vkeys.select(key_col).join(served, key_col, "left_anti")
 
 
 def candidates(asked: DataFrame, postings: Postings, key_col: str) -> DataFrame:
     """(vendor, key, least): every pair that can reach ``least``, once."""
-    met = asked.join(postings.places, ["pair", "length"]).where(F.col("place") <= F.col("last"))
-    shared = met.groupBy(key_col, "key").agg(F.min("least").alias("least"), F.count(F.lit(1)).alias("n"), F.min("pairs").alias("pairs"))
-    return shared.where(F.col("n") >= F.col("pairs")).drop("n", "pairs")
+    def run(slab: _Slab, least: np.ndarray) -> pd.DataFrame:
+        found = list(slab.pairs(least))
+        vendor, key = (np.concatenate(x) for x in list(zip(*found))[:2]) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        return pd.DataFrame({key_col: np.array(slab.vendors, dtype=object)[vendor], "key": np.array(slab.keys, dtype=object)[key], "least": least[vendor]})
+
+    return _in_slabs(asked, postings, key_col, run, f"{key_col} string, key string, least double")
+
+
+def best(asked: DataFrame, postings: Postings, key_col: str, k: int) -> DataFrame:
+    """(vendor, key, score): of every slab the k best keys that reach ``least``."""
+    def run(slab: _Slab, least: np.ndarray) -> pd.DataFrame:
+        vendor, key, score = slab.best(least, k)
+        return pd.DataFrame({key_col: np.array(slab.vendors, dtype=object)[vendor], "key": np.array(slab.keys, dtype=object)[key], "score": score})
+
+    return _in_slabs(asked, postings, key_col, run, f"{key_col} string, key string, score double")

@@ -9,11 +9,11 @@ vendor's k-th best score so far are scored, best bounds first.  So the top-k is
 exact (ties by lookup order) while few pairs are scored, and pairs never become
 rows: a bounded lookup (rows and bytes are checked) goes to the workers once.
 
-A larger lookup gets an inverted index (see operators/fuzzy_index): vendors whose
-k-th best score is high enough meet a few postings only, by a join.  For the other
-vendors, and for very long keys, the lookup is dealt into chunks and the vendors
-into buckets; each (chunk, bucket) group yields k keys a vendor, and a window merges
-them.  A key beaten inside its chunk is beaten overall, so all of this is exact.
+A larger lookup gets a block index (see operators/fuzzy_index): a vendor meets only the
+blocks of keys that can reach its k-th best score.  For the few vendors without such a
+score the lookup is dealt into chunks and the vendors into buckets; each (chunk, bucket)
+group yields k keys a vendor, and a window merges them.  A key beaten inside its chunk is
+beaten overall, so all of this is exact.
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ from ledgerlink.session import cut_lineage
 #: A lookup of at most this size is worked on whole in each worker.
 INDEX_ROWS, INDEX_BYTES = 50_000, 32 * 1024 * 1024
 CHUNK_ROWS = 20_000
+#: Vendors of a bucket of the dense plan: a chunk is exchanged once a bucket.
+BUCKET_ROWS = 2000
 #: Vendor rows x lookup rows of bounds held at once.
 BOUND_CELLS = 2_000_000
 ATTRIBUTES = ["institution_id", "canonical_name", "match_text", "match_source", "keywords", "negative_keywords"]
@@ -181,7 +183,7 @@ def top2_columns(entries: pd.DataFrame, vkey: Column, skip: Column) -> dict[str,
 def _grouped(vkeys: DataFrame, lookup: DataFrame, key_col: str, chunk_rows: int, score, schema: str) -> DataFrame:
     """``score(vendor keys, FuzzyIndex)`` over lookup chunks x vendor buckets."""
     chunks = max(1, math.ceil(lookup.count() / chunk_rows))
-    buckets = scoring_partitions(vkeys)
+    buckets = min(scoring_partitions(vkeys), max(1, math.ceil(vkeys.count() / BUCKET_ROWS)))
     lk = lookup.select("key", *ORDER_COLS).withColumn("_chunk", F.pmod(F.xxhash64("key"), F.lit(chunks))).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
     vk = vkeys.select(key_col).withColumn("_b", F.pmod(F.xxhash64(key_col), F.lit(buckets))).withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
 
@@ -223,15 +225,13 @@ def fuzzy_topk(vkeys: DataFrame, lookup: DataFrame, k: int = 2, key_col: str = "
         top = _keys_in_batches(vkeys, entries, key_col, lambda keys, index: _ranked(keys, index, k, key_col), schema)
         out = top.join(F.broadcast(attrs), "key")
     else:
-        keys, lookup = cut_lineage(vkeys.select(key_col)), cut_lineage(lookup)
+        keys, lookup = cut_lineage(vkeys.select(key_col)), cut_lineage(lookup.where(F.col("key").isNotNull()))
         attrs = lookup.select(*attrs.columns)
         postings = fuzzy_index.build(lookup)
-        asked, served, rest = fuzzy_index.plan(keys, fuzzy_index.thresholds(keys, lookup, k, key_col), postings, key_col)
-        dense = [(rest, lookup), (served, lookup.where(F.char_length("key") > fuzzy_index.MAX_LENGTH))]
-        found = fuzzy_index.scored(fuzzy_index.candidates(asked, postings, key_col), key_col, "scored")
-        for some, part in dense:
-            if not some.isEmpty() and not part.isEmpty():
-                found = found.unionByName(_grouped(some, part, key_col, chunk_rows, lambda keys, index: _ranked(keys, index, k, key_col), schema).drop("rank"))
+        asked, _served, rest = fuzzy_index.plan(keys, fuzzy_index.thresholds(keys, lookup, k, key_col, postings), postings, key_col)
+        found = fuzzy_index.best(asked, postings, key_col, k).withColumn("scored", F.lit(1).cast("long"))
+        if not rest.isEmpty():
+            found = found.unionByName(_grouped(rest, lookup, key_col, chunk_rows, lambda keys, index: _ranked(keys, index, k, key_col), schema).drop("rank"))
         w = Window.partitionBy(key_col).orderBy(F.col("score").desc(), *ORDER_COLS)
         out = found.join(attrs, "key").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return out.select(key_col, "rank", "key", "institution_id", "canonical_name", "match_text", "keywords", "negative_keywords", "score", *["scored"] * with_scored)
@@ -248,14 +248,13 @@ def fuzzy_pairs(vkeys: DataFrame, lookup: DataFrame, floor: float, key_col: str
     entries = lookup_entries(lookup, max_index_rows)
     if entries is not None:
         return _keys_in_batches(vkeys, entries, key_col, score, schema)
-    keys, lookup = cut_lineage(vkeys.select(key_col)), cut_lineage(lookup)
+    keys, lookup = cut_lineage(vkeys.select(key_col)), cut_lineage(lookup.where(F.col("key").isNotNull()))
     postings = fuzzy_index.build(lookup)
     least = keys.where(F.char_length(key_col) > 0).distinct().withColumn("least", F.lit(float(floor)))
-    asked, served, rest = fuzzy_index.plan(keys, least, postings, key_col)
+    asked, _served, rest = fuzzy_index.plan(keys, least, postings, key_col)
     found = fuzzy_index.scored(fuzzy_index.candidates(asked, postings, key_col), key_col)
-    for some, part in [(rest, lookup), (served, lookup.where(F.char_length("key") > fuzzy_index.MAX_LENGTH))]:
-        if not some.isEmpty() and not part.isEmpty():
-            found = found.unionByName(_grouped(some, part, key_col, chunk_rows, score, schema))
+    if not rest.isEmpty():
+        found = found.unionByName(_grouped(rest, lookup, key_col, chunk_rows, score, schema))
     return found
 
 
