@@ -2,9 +2,10 @@
 rows as Parquet tables under one root, partitioned by ``run_id`` where the
 rows belong to a run.
 
-A run's results are replaced by dynamic partition overwrite, a run is deleted
-by dropping its partition directories, and the tables without run partitions
-(runs, feedback labels) are rewritten to a new folder and swapped in.  Results
+A run's rows are replaced by a folder written beside the table and swapped in (a review, over
+all batches of a run, by dynamic partition overwrite), a run is deleted by dropping its
+partition directories, and the tables without run partitions (runs, feedback labels) are
+rewritten to a new folder and swapped in.  Results
 are partitioned by run and batch: a saved run is batch -1, a streamed one has
 its micro-batches, and both read, load and delete alike.  Row counts of writes
 come from an ``Observation`` of the written frame (no second pass).
