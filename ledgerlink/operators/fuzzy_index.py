@@ -171,7 +171,8 @@ def scored(pairs: DataFrame, key_col: str, count_col: str | None = None) -> Data
             may = np.flatnonzero(_bounds(mine, theirs) >= least - _EPS)
             score = wratio_batch([mine[k] for k in may], [theirs[k] for k in may])
             good = score >= least[may]
-            yield pd.DataFrame({key_col: [mine[k] for k in may[good]], "key": [theirs[k] for k in may[good]], "score": score[good]})
+            mine, theirs = (np.array(x, dtype=object)[may[good]] for x in (mine, theirs))  # strings, also where none is left
+            yield pd.DataFrame({key_col: mine, "key": theirs, "score": score[good]})
 
     out = pairs.select(key_col, "key", "least").mapInPandas(run, f"{key_col} string, key string, score double")
     return out.withColumn(count_col, F.lit(1).cast("long")) if count_col else out
@@ -317,7 +318,7 @@ def thresholds(vkeys: DataFrame, lookup: DataFrame, k: int, key_col: str, postin
     def run(slab: _Slab, _least) -> pd.DataFrame:
         found = list(slab.first())
         vendor, key = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        return pd.DataFrame({key_col: [slab.vendors[v] for v in vendor], "key": [slab.keys[x] for x in key], "score": slab.score(vendor, key)})
+        return pd.DataFrame({key_col: np.array(slab.vendors, dtype=object)[vendor], "key": np.array(slab.keys, dtype=object)[key], "score": slab.score(vendor, key)})
 
     pairs = _in_slabs(_asked(some, postings, key_col, lambda blocks, part, mine, n: blocks.home(mine, n)), postings, key_col, run, f"{key_col} string, key string, score double")
     ranked = pairs.withColumn("nth", F.row_number().over(Window.partitionBy(key_col).orderBy(F.col("score").desc())))
