@@ -22,10 +22,11 @@ from __future__ import annotations
 
 import itertools
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ledgerlink.llm.common import ROW, release, text_of
@@ -217,28 +218,39 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Each round: every node points its larger neighbours to its smallest one
     (large star), then its smaller ones (small star).  A node's smallest
     neighbour is a partial aggregate; the join with it splits at hot nodes.
-    Ends when a round changes nothing (O(log^2 n) rounds).
+    Ends when a round changes nothing (O(log^2 n) rounds); edges that already are
+    stars, the usual case, take one round, and no edges take none.
+    Each job leaves garbage on the driver, so a round is one checkpoint: it counts
+    its edges as it writes them, and only its end makes them distinct (the large
+    star has no more rows than there are edges).
     """
-    edges = cut_lineage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
-    seen = None
+    edges, state = _counted(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
     for _ in range(max_rounds):
+        if not state[0]:
+            break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-        large = both.join(least, both["u"] == least["w"]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+        large = both.join(least, both["u"] == least["w"]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
         least = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "w")
         small = large.join(least, large["u"] == least["w"]).select(
             F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        edges = cut_lineage(small.filter("u != v").distinct())
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == seen or not state[0]:
-            break
         seen = state
+        edges, state = _counted(small.filter("u != v").distinct())
+        if state == seen:
+            break
     else:
         raise RuntimeError("components did not settle")
     roots = edges.select(F.col("v").alias("node")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.select("node", F.col("node").alias("root")))
 
 
+def _counted(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """``edges`` checkpointed, with their number and the sum of their hashes from the same job."""
+    seen = Observation(f"edges_{uuid.uuid4().hex[:12]}")
+    out = cut_lineage(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")))
+    return out, (seen.get["n"], seen.get["sum"])
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3, seed: int = 42) -> DataFrame:
     """doc_id, fp, fingerprint (16 hex digits), component_id (smallest doc_id reachable); with
     the key of each row where ``docs`` has keys, and ``kept``: true for one row of each

@@ -46,6 +46,8 @@ WIDTHS = (1, 2, 3)
 PREFIXES = (4, 5, 6, 7, 8)
 #: Folds of the sample, and bins of scores for thresholds.
 FOLDS, BINS = 5, 10_000
+#: Rows of a fold: its scores, and fold 0's model (8 MB) in parts, since arrays of many MB make a driver's heap grow.
+FITTED, PART_BYTES = "doc_id array<long>, lang array<string>, toxic array<int>, score array<double>, at int, model binary", 1 << 18
 
 
 def words_of(text: str) -> list[str]:
@@ -307,17 +309,17 @@ def fit_sample(docs: DataFrame, labels: DataFrame, train: F.Column, max_docs: in
     model fitted on the other folds; None and no rows without a usable label.
 
     A task a fold has the whole sample, whose size is bounded; its texts don't reach the
-    driver.  The model itself is the one with fold 0 kept back."""
+    driver.  The model itself is the one with fold 0 kept back; it comes in rows of ``PART_BYTES``."""
     rows = sample(docs, labels, train, max_docs)
     fold_of = F.explode(F.sequence(F.lit(0), F.lit(FOLDS - 1)))
-    got = rows.withColumn("fold", fold_of).groupBy("fold").applyInPandas(_fit_fold, "doc_id array<long>, lang array<string>, toxic array<int>, score array<double>, model binary").collect()
-    models = [r["model"] for r in got if r["model"] is not None]
+    got = rows.withColumn("fold", fold_of).groupBy("fold").applyInPandas(_fit_fold, FITTED).collect()
+    model = b"".join(r["model"] for r in sorted((r for r in got if r["model"] is not None), key=lambda r: r["at"]))
     rows = [x for r in got for x in zip(r["doc_id"], r["lang"], r["toxic"], r["score"], strict=True)]
-    return (pickle.loads(models[0]) if models else None), sorted(rows, key=lambda x: x[0])
+    return (pickle.loads(model) if model else None), sorted(rows, key=lambda x: x[0])
 
 
 def _fit_fold(key, rows):
-    """A model fitted on the other folds scores this one; fold 0's model comes with it."""
+    """A model fitted on the other folds scores this one; fold 0's model comes with it, in parts."""
     import pandas as pd
 
     release()
@@ -332,7 +334,10 @@ def _fit_fold(key, rows):
     scores = scores_of(fitted, vocab, [texts[i] for i in np.flatnonzero(back)]) if back.any() else np.zeros(0)
     own = rows[back]
     lang = [x if isinstance(x, str) else None for x in own["lang"]]
-    return pd.DataFrame({"doc_id": [own["doc_id"].tolist()], "lang": [lang], "toxic": [own["toxic"].tolist()], "score": [scores.tolist()], "model": [None if key[0] else pickle.dumps(fitted)]})
+    model = b"" if key[0] else pickle.dumps(fitted)
+    parts = [model[a : a + PART_BYTES] for a in range(0, len(model), PART_BYTES)]
+    scored = (own["doc_id"].tolist(), lang, own["toxic"].tolist(), scores.tolist(), -1, None)
+    return pd.DataFrame([scored, *(([], [], [], [], k, part) for k, part in enumerate(parts))], columns=["doc_id", "lang", "toxic", "score", "at", "model"])
 
 
 def train_model(docs: DataFrame, labels: DataFrame, train: F.Column, max_docs: int = 6000) -> tuple[Model | None, dict]:

@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import re
+import uuid
 
 import numpy as np
 import pytest
@@ -156,6 +157,22 @@ def test_components_of_chains_and_stars(spark):
     assert got == want
 
 
+def test_components_keep_the_drivers_jobs_few(spark):
+    def jobs(edges):
+        group = f"components-{uuid.uuid4().hex}"
+        spark.sparkContext.setJobGroup(group, "test")
+        try:
+            got = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return got, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    got, n = jobs([(3, 3)])
+    assert got == {} and n <= 4
+    got, n = jobs([(k, 0) for k in range(1, 40)] + [(100, 101)])
+    assert got == dict.fromkeys(range(40), 0) | {100: 100, 101: 100} and n <= 14
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(max_size=60), st.text(max_size=60), st.data())
 def test_spans_and_extensions(a, b, data):

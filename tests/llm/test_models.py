@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import pickle
 import zlib
 from collections import Counter
 
@@ -225,3 +226,17 @@ def test_terms_give_the_convolution(seed):
     assert abs(m.score(m.terms(x), ids) - 1 / (1 + np.exp(-z))) < 1e-5
     scorer = toxicity.Scorer(m, limit=5)
     assert abs(scorer.score(sentence(seed)) - toxicity.Scorer(m).score(sentence(seed))) < 1e-6
+
+
+def test_model_reaches_the_driver_in_small_parts():
+    import pandas as pd
+
+    rows = pd.DataFrame([(k, sentence(k, 12), "en", k % 2, k % toxicity.FOLDS, 20) for k in range(40)], columns=["doc_id", "text", "lang", "toxic", "part", "n"])
+    got = toxicity._fit_fold((0,), rows.copy())
+    parts = got[got["at"] >= 0].sort_values("at")["model"].tolist()
+    assert max(map(len, parts)) <= toxicity.PART_BYTES
+    model = pickle.loads(b"".join(parts))
+    own = rows[rows["part"] == 0]
+    assert got["doc_id"][0] == own["doc_id"].tolist()
+    assert np.allclose(got["score"][0], [toxicity.Scorer(model).score(t) for t in own["text"]], atol=1e-6)
+    assert toxicity._fit_fold((1,), rows.copy())["model"].tolist() == [None]
