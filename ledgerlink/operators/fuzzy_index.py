@@ -1,16 +1,19 @@
 """Block index for the fuzzy search: only pairs that can reach a vendor's k-th best
 score are ever scored.
 
-A key is the counts of its characters, each with its number of occurrence ("the second
-N"), in ``SLOTS`` slots.  The product of two keys' counts is no less than the number of
-characters that they share, and that number bounds the WRatio.  Keys of one length with
-like characters lie in a block; a block's greatest counts bound all of its keys at once.
-
-    lookup keys --length, rarest slots first--> range partitions (slabs), cut into blocks
-    blocks --greatest counts--> a table of bounded size, broadcast
-    vendor keys --blocks of the highest bounds--> a few keys each, scored: T is their k-th best score
+Two bounds of the WRatio are used.  The longest common subsequence (LCS) of two keys bounds it
+closely; a walk in a tree of sorted keys (see operators/key_tree) finds all keys whose LCS
+with a vendor suffices, which is quick where few characters may differ.  A vendor whose walk gets
+wide is left to a looser bound: a key is the counts of its characters, each with its number of
+occurrence ("the second N"), in ``SLOTS`` slots, and the product of two keys' counts is no less
+than the number of characters that they share.  Keys of one length that follow each other lie in a
+block; the common beginnings of its parts and its greatest counts bound all of its keys at once.
+
+    lookup keys --length, key--> range partitions (slabs), cut into blocks
+    blocks --beginnings, greatest counts--> a table of bounded size, broadcast
+    vendor keys --blocks that can reach a high score--> their slabs, searched for ever lower scores: T is the k-th best found
     vendor keys --T, blocks' bounds--> slabs with a block that can reach T
-    vendors x blocks in a slab --product of counts--> pairs that can reach T, scored
+    vendors in a slab --tree, or product of counts--> pairs that can reach T, scored
 
 T only ever lies below the true k-th best score, so the result is exact.  A vendor is
 exchanged once a slab and a slab once for some thousand vendors; pairs are made and
@@ -21,6 +24,8 @@ character) is left to the dense plan.
 
 from __future__ import annotations
 
+import os
+from functools import cached_property
 from typing import NamedTuple
 
 import numpy as np
@@ -29,17 +34,24 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlink.functions.similarity import LONG_LEN_RATIO, LONG_PARTIAL_SCALE, PARTIAL_MIN_LEN_RATIO, PARTIAL_SCALE, wratio_batch, wratio_bound
+from ledgerlink.functions.similarity import LONG_LEN_RATIO, LONG_PARTIAL_SCALE, PARTIAL_MIN_LEN_RATIO, PARTIAL_SCALE, _ratio_arr, wratio_batch, wratio_bound
+from ledgerlink.operators.key_tree import DEEP, forks, grow, near
 from ledgerlink.operators.lookup import ORDER_COLS
 from ledgerlink.session import cut_lineage
 
 SLOTS = 256
 #: Keys of a slab (about), keys of a block at least, and blocks of an index (about) at most.
 SLAB_ROWS, BLOCK_ROWS, MAX_BLOCKS = 20_000, 64, 8192
-#: Blocks in which a vendor's first keys are looked for, and keys scored of each.
+#: Parts of a block with a common beginning each (in a batch, at most).
+PARTS = 8
+#: Scores for which a vendor's first keys are looked for, one after the other.
+LEVELS = (96.0, 92.0, 88.0, 84.0, 80.0, 75.0, 70.0, 60.0)
+#: Blocks in which they are looked for where a walk is too wide, and keys scored of each.
 HOME, FIRST = 16, 4
+#: Nodes of a vendor's walk: a share of the keys, above which the product of counts takes less time, and so many at least.
+WIDE, NARROW = 0.25, 1000
 #: Vendors of a bucket, bounds held at once, and pairs scored at once.
-BUCKET_ROWS, BOUND_CELLS, PAIRS = 2000, 500_000, 8192
+BUCKET_ROWS, BOUND_CELLS, PAIRS = 8000, 500_000, 8192
 _EPS = 1e-9
 
 
@@ -66,8 +78,23 @@ def _reach(mine: np.ndarray, theirs: np.ndarray, n: np.ndarray, m: np.ndarray) -
     return wratio_bound(np.minimum(mine @ theirs.T, np.minimum(n, m)), n, m)
 
 
+def _bounds_of(mine: np.ndarray, theirs: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """As ``_reach``, of some pairs."""
+    return wratio_bound(np.minimum(np.einsum("ij,ij->i", mine, theirs), np.minimum(n, m)), n, m)
+
+
+def _best_of(k: int, vendor: np.ndarray, place: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each vendor's k pairs of the highest scores, ties by place, and their ranks from 0."""
+    order = np.lexsort((place, -score, vendor))
+    vendor, place, score = vendor[order], place[order], score[order]
+    start = np.flatnonzero(np.diff(vendor, prepend=-1))
+    nth = np.arange(len(vendor)) - np.repeat(start, np.diff(np.append(start, len(vendor))))
+    some = nth < k
+    return vendor[some], place[some], score[some], nth[some]
+
+
 class Blocks:
-    """The blocks in order: id, slab, length of the keys, greatest counts."""
+    """The blocks in order: id, slab, length of the keys, greatest counts, and trees of their beginnings."""
 
     def __init__(self, stats: pd.DataFrame):
         stats = stats.sort_values("block", kind="stable").reset_index(drop=True)
@@ -75,7 +102,9 @@ class Blocks:
         top = np.vstack([np.frombuffer(x, dtype=np.float32) for x in stats["top"]]) if len(stats) else np.zeros((0, SLOTS), np.float32)
         self.block, self.top = ids, np.maximum.reduceat(top, at, axis=0) if len(ids) else top
         self.slab, self.length = (stats[c].to_numpy(np.int64)[at] for c in ("slab", "length"))
-        self.starts = np.flatnonzero(np.diff(self.slab, prepend=-1))
+        begin = [(c, x) for c, part in zip(np.searchsorted(ids, stats["block"].to_numpy(np.int64)), stats["begin"]) for x in part]
+        owner = np.array([c for c, _ in begin], dtype=np.int64)
+        self.trees = [(tree, owner[at]) for tree, at in grow([x for _, x in begin], self.length[owner])]
 
     def of(self, slab: int) -> slice:
         return slice(int(np.searchsorted(self.slab, slab, side="left")), int(np.searchsorted(self.slab, slab, side="right")))
@@ -83,17 +112,57 @@ class Blocks:
     def bounds(self, mine: np.ndarray, n: np.ndarray, some: slice = slice(None)) -> np.ndarray:
         return _reach(mine, self.top[some], n, self.length[some])
 
-    def home(self, mine: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """Marks of the blocks with the highest bounds (vendors x blocks); all sums are whole numbers, so each call gives the same."""
-        bound = self.bounds(mine, n)
-        need = np.zeros(bound.shape, dtype=bool)
-        np.put_along_axis(need, np.argsort(-bound, axis=1, kind="stable")[:, :HOME], True, axis=1)
-        return need & (bound > 0)
-
-    def slabs(self, need: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, slab), once, of the slabs that hold a marked block."""
-        row, at = np.nonzero(np.logical_or.reduceat(need, self.starts, axis=1))
-        return row, self.slab[self.starts][at]
+    def _dense(self, mine: np.ndarray, n: np.ndarray, rows: np.ndarray, pick):
+        """``pick`` (a part of ``rows``, bounds with all blocks: marks) in parts of bounded size: (row, block)."""
+        step = max(1, BOUND_CELLS // max(1, len(self.block)))
+        for part in (rows[at : at + step] for at in range(0, len(rows), step)):
+            row, block = np.nonzero(pick(part, self.bounds(mine[part], n[part])))
+            yield part[row], block
+
+    def _near(self, keys: list[str], mine: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row, block, bound) of the blocks that can reach ``least``, and marks of the rows whose walk is too wide."""
+        row, block, common, m, left = near(self.trees, keys, least, max(NARROW, int(WIDE * len(self.block))))
+        order = np.lexsort((-common, block, row))  # of a block's beginnings, the best
+        order = order[np.flatnonzero((np.diff(row[order], prepend=-1) != 0) | (np.diff(block[order], prepend=-1) != 0))]
+        row, block, common, m = (x[order] for x in (row, block, common, m))
+        bound, n = np.zeros(len(row)), _lengths(keys)
+        for at in range(0, len(row), PAIRS):
+            r, c = row[at : at + PAIRS], block[at : at + PAIRS]
+            bound[at : at + PAIRS] = _bounds_of(mine[r], self.top[c], n[r], m[at : at + PAIRS])
+        bound = np.minimum(bound, wratio_bound(common, n[row], m))
+        good = bound >= least[row] - _EPS
+        return row[good], block[good], bound[good], left
+
+    def reached(self, keys: list[str], least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, block) of all blocks that can reach the keys' ``least``."""
+        mine, n = counts(keys), _lengths(keys)
+        row, block, _bound, left = self._near(keys, mine, least)
+        dense = self._dense(mine, n, np.flatnonzero(left), lambda part, bound: bound >= least[part][:, None] - _EPS)
+        return tuple(np.concatenate(x) for x in zip((row, block), *dense))
+
+    def home(self, keys: list[str], least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, block): the block with the highest bound at the first level that any can reach; some where a walk is too wide."""
+        mine, n, out = counts(keys), _lengths(keys), []
+        todo, wide = np.arange(len(keys)), np.zeros(len(keys), dtype=bool)
+        for level in LEVELS:
+            if not len(todo):
+                break
+            row, block, bound, left = self._near([keys[r] for r in todo], mine[todo], np.full(len(todo), level))
+            row, block, _bound, _nth = _best_of(1, row, block, bound)
+            out.append((todo[row], block))
+            wide[todo[left]] = True
+            found = left.copy()
+            found[row] = True
+            todo = todo[~found]
+        wide[todo] = True
+
+        def highest(part, bound):
+            marks = np.zeros(bound.shape, dtype=bool)
+            np.put_along_axis(marks, np.argsort(-bound, axis=1, kind="stable")[:, :HOME], True, axis=1)
+            return marks & (bound > 0)
+
+        out += self._dense(mine, n, np.flatnonzero(wide), highest)
+        return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 2
 
 
 class Postings(NamedTuple):
@@ -106,26 +175,13 @@ class Postings(NamedTuple):
 
 def build(lookup: DataFrame) -> Postings:
     keys = lookup.select("key", *ORDER_COLS).where(F.col("key").isNotNull())
-
-    def seen(batches):
-        for b in batches:
-            yield pd.DataFrame({"slot": np.arange(SLOTS), "n": (counts(b["key"].tolist()) > 0).sum(axis=0)})
-
-    used = keys.select("key").mapInPandas(seen, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()  # SLOTS rows
-    used = np.array([n for _, n in sorted((r["slot"], r["n"]) for r in used)], dtype=np.int64)
-    rare_first = np.argsort(used, kind="stable")
     number = keys.count()
     per = max(BLOCK_ROWS, -(-number // MAX_BLOCKS))
 
-    def signed(batches):
-        for b in batches:
-            marks = np.packbits(counts(b["key"].tolist())[:, rare_first] > 0, axis=1)
-            yield b.assign(length=_lengths(b["key"].tolist()), marks=[x.tobytes() for x in marks])
-
     def cut(batches):
         slab, block, held, last = TaskContext.get().partitionId(), -1, per, -1
         for b in batches:
-            length, out, at = b["length"].to_numpy(), np.empty(len(b), dtype=np.int64), 0
+            length, out, at = _lengths(b["key"].tolist()), np.empty(len(b), dtype=np.int64), 0
             while at < len(b):
                 if held >= per or length[at] != last:
                     block, held, last = block + 1, 0, length[at]
@@ -134,21 +190,26 @@ def build(lookup: DataFrame) -> Postings:
                 end = at + int(other[0]) if len(other) else end
                 out[at:end] = block
                 held, at = held + end - at, end
-            yield b.drop(columns=["marks"]).assign(block=(slab << 32) + out, slab=slab)
+            yield b.assign(length=length, block=(slab << 32) + out, slab=slab)
 
     order = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in lookup.select(*ORDER_COLS).schema)
-    dealt = keys.mapInPandas(signed, f"key string, {order}, length long, marks binary").repartitionByRange(max(1, -(-number // SLAB_ROWS)), "length", "marks", "key")
-    laid = cut_lineage(dealt.sortWithinPartitions("length", "marks", "key").mapInPandas(cut, f"key string, {order}, length long, block long, slab long"))
+    dealt = keys.repartitionByRange(max(1, -(-number // SLAB_ROWS)), F.char_length("key"), "key").sortWithinPartitions(F.char_length("key"), "key")
+    laid = cut_lineage(dealt.mapInPandas(cut, f"key string, {order}, length long, block long, slab long"))
+    stats = laid.select("key", "block", "slab", "length").mapInPandas(lambda batches: (block_stats(b) for b in batches if len(b)), "block long, slab long, length long, begin array<string>, top binary")
+    return Postings(laid, Blocks(stats.toPandas()), number)  # about MAX_BLOCKS rows, and one a batch
 
-    def greatest(batches):
-        for b in batches:
-            if len(b):
-                at = np.flatnonzero(np.diff(b["block"].to_numpy(), prepend=-1))
-                top = np.maximum.reduceat(counts(b["key"].tolist()), at, axis=0)
-                yield b.iloc[at][["block", "slab", "length"]].assign(top=[x.tobytes() for x in top])
 
-    stats = laid.select("key", "block", "slab", "length").mapInPandas(greatest, "block long, slab long, length long, top binary")
-    return Postings(laid, Blocks(stats.toPandas()), number)  # about MAX_BLOCKS rows, and one a batch
+def block_stats(keys: pd.DataFrame) -> pd.DataFrame:
+    """A row a block: its keys' greatest counts, and the common beginnings of its parts, which are
+    cut where the keys that follow each other are least alike."""
+    at = np.flatnonzero(np.diff(keys["block"].to_numpy(), prepend=-1))
+    top = np.maximum.reduceat(counts(keys["key"].tolist()), at, axis=0)
+    text = [k[:DEEP] for k in keys["key"]]
+    alike, begin = forks(text)[1], []
+    for a, z in zip(at, [*at[1:], len(text)]):
+        cuts = [a, *np.sort(a + 1 + np.argsort(alike[a + 1 : z], kind="stable")[: PARTS - 1]), z]
+        begin.append(sorted({os.path.commonprefix(text[x:y]) for x, y in zip(cuts, cuts[1:])}))
+    return keys.iloc[at][["block", "slab", "length"]].assign(begin=begin, top=[x.tobytes() for x in top])
 
 
 def needed(n: Column, m: Column, score: Column) -> Column:
@@ -192,20 +253,21 @@ def _bounds(mine: list[str], theirs: list[str]) -> np.ndarray:
 
 
 def _asked(vkeys: DataFrame, postings: Postings, key_col: str, pick) -> DataFrame:
-    """(vendor, least, slab): the slabs of the blocks that ``pick`` marks (vendors x blocks)."""
-    shared = vkeys.sparkSession.sparkContext.broadcast(postings.blocks)
+    """(vendor, least, slab): the slabs of the blocks that ``pick`` (blocks, vendors, least) gives as (row, block)."""
+    spark = vkeys.sparkSession
+    shared = spark.sparkContext.broadcast(postings.blocks)
+    number = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)  # stated: a few MB of keys aren't one task's
 
     def run(batches):
         blocks = shared.value
-        step = max(1, BOUND_CELLS // max(1, len(blocks.block)))
         for b in batches:
-            for at in range(0, len(b) if len(blocks.block) else 0, step):
-                part = b.iloc[at : at + step]
-                mine = part[key_col].tolist()
-                row, slab = blocks.slabs(pick(blocks, part, counts(mine), _lengths(mine)))
-                yield pd.DataFrame({key_col: part[key_col].to_numpy()[row], "least": part["least"].to_numpy(dtype=float)[row], "slab": slab})
+            if len(b) and len(blocks.block):
+                least = b["least"].to_numpy(dtype=float)
+                row, block = pick(blocks, b[key_col].tolist(), least)
+                row, slab = np.divmod(np.unique(row * (blocks.slab[-1] + 1) + blocks.slab[block]), blocks.slab[-1] + 1)
+                yield pd.DataFrame({key_col: b[key_col].to_numpy()[row], "least": least[row], "slab": slab})
 
-    return vkeys.select(key_col, "least").mapInPandas(run, f"{key_col} string, least double, slab long")
+    return vkeys.select(key_col, "least").repartition(number, key_col).mapInPandas(run, f"{key_col} string, least double, slab long")
 
 
 class _Slab:
@@ -215,48 +277,90 @@ class _Slab:
         keys = keys.sort_values(ORDER_COLS, kind="stable")
         self.some, self.blocks = blocks.of(slab), blocks
         self.vendors, self.keys = vendors[key_col].tolist(), keys["key"].tolist()
-        self.mine, self.n = counts(self.vendors), _lengths(self.vendors)
-        block = keys["block"].to_numpy(np.int64)
-        self.order = np.argsort(block, kind="stable")
-        self.theirs = counts([self.keys[k] for k in self.order])
-        ids = blocks.block[self.some]
-        self.lo, self.hi = (np.searchsorted(block[self.order], ids, side=x) for x in ("left", "right"))
+        self.n, self.block = _lengths(self.vendors), keys["block"].to_numpy(np.int64)
+        self.trees = grow(self.keys, _lengths(self.keys))
+
+    @cached_property
+    def mine(self) -> np.ndarray:
+        return counts(self.vendors)
+
+    @cached_property
+    def by_block(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The keys block by block, their counts, and the first and last of each block."""
+        order = np.argsort(self.block, kind="stable")
+        lo, hi = (np.searchsorted(self.block[order], self.blocks.block[self.some], side=x) for x in ("left", "right"))
+        return order, counts([self.keys[k] for k in order]), lo, hi
 
     def _bounds(self, rows: np.ndarray, c: int):
         """Bounds of some vendors with the keys of the slab's block ``c``, in slices."""
-        size = int(self.hi[c] - self.lo[c])
+        order, theirs, lo, hi = self.by_block
+        size = int(hi[c] - lo[c])
         step = max(1, BOUND_CELLS // max(1, size))
         m = np.full(size, self.blocks.length[self.some][c])
         for at in range(0, len(rows) if size else 0, step):
             some = rows[at : at + step]
-            yield some, _reach(self.mine[some], self.theirs[self.lo[c] : self.hi[c]], self.n[some], m)
-
-    def _vendors(self):
-        step = max(1, BOUND_CELLS // max(1, len(self.blocks.block)))
-        return (slice(at, at + step) for at in range(0, len(self.vendors), step))
-
-    def first(self):
-        """(vendor, key) positions of the keys with the highest bounds in the vendors' home blocks."""
-        for part in self._vendors():
-            need = self.blocks.home(self.mine[part], self.n[part])[:, self.some]
+            yield some, order[lo[c] : hi[c]], _reach(self.mine[some], theirs[lo[c] : hi[c]], self.n[some], m)
+
+    def _near(self, rows: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(vendor, key, bound, score) of the pairs of some vendors that can reach ``least``, and marks of the rows whose walk
+        is too wide.  An exact LCS gives the score of keys of like lengths; others are nan."""
+        row, key, common, m, left = near(self.trees, [self.vendors[r] for r in rows], least, max(NARROW, int(WIDE * len(self.keys))))
+        n = self.n[rows[row]]
+        exact = (m <= DEEP) & (np.maximum(n, m) / np.maximum(np.minimum(n, m), 1) < PARTIAL_MIN_LEN_RATIO)
+        return rows[row], key, wratio_bound(common, n, m), np.where(exact, _ratio_arr(common, n + m), np.nan), left
+
+    def _parts(self, rows: np.ndarray):
+        """Some vendors in parts of bounded size, with the bounds of the slab's blocks."""
+        step = max(1, BOUND_CELLS // max(1, self.some.stop - self.some.start))
+        for part in (rows[at : at + step] for at in range(0, len(rows), step)):
+            yield part, self.blocks.bounds(self.mine[part], self.n[part], self.some)
+
+    def first(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(vendor, key, score): k keys for each vendor, the best where so many reach a level."""
+        todo, wide, out = np.arange(len(self.vendors)), np.zeros(len(self.vendors), dtype=bool), []
+        for level in LEVELS:
+            if not len(todo):
+                break
+            vendor, key, _bound, score, left = self._near(todo, np.full(len(todo), level))
+            score = self.score(vendor, key, score)
+            high = score >= level
+            vendor, key, score, nth = _best_of(k, vendor[high], key[high], score[high])
+            done = np.zeros(len(self.vendors), dtype=bool)
+            done[vendor[nth == k - 1]] = True
+            out.append((vendor[done[vendor]], key[done[vendor]], score[done[vendor]]))
+            wide[todo[left]] = True
+            todo = todo[~left & ~done[todo]]
+        wide[todo] = True
+        for part, reach in self._parts(np.flatnonzero(wide)):
+            need = np.zeros(reach.shape, dtype=bool)
+            np.put_along_axis(need, np.argsort(-reach, axis=1, kind="stable")[:, :HOME], True, axis=1)
+            need &= reach > 0
             for c in np.flatnonzero(need.any(axis=0)):
-                for rows, bound in self._bounds(part.start + np.flatnonzero(need[:, c]), c):
+                for rows, keys, bound in self._bounds(part[need[:, c]], c):
                     pick = np.argsort(-bound, axis=1, kind="stable")[:, :FIRST]
                     row, col = np.nonzero(np.take_along_axis(bound, pick, axis=1) > 0)
-                    yield rows[row], self.order[self.lo[c] + pick[row, col]]
+                    vendor, key = rows[row], keys[pick[row, col]]
+                    out.append((vendor, key, self.score(vendor, key)))
+        vendor, key, score = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return _best_of(k, vendor, key, score)[:3]
 
     def pairs(self, kth: np.ndarray):
-        """(vendor, key) positions and bounds of the pairs that can reach the vendor's ``kth``, which may rise meanwhile."""
-        for part in self._vendors():
-            reach = self.blocks.bounds(self.mine[part], self.n[part], self.some)
+        """(vendor, key) positions, bounds and scores (nan: not known) of the pairs that can reach the vendor's ``kth``, which may rise meanwhile."""
+        vendor, key, bound, score, left = self._near(np.arange(len(self.vendors)), kth.copy())
+        if len(vendor):
+            yield vendor, key, bound, score
+        for part, reach in self._parts(np.flatnonzero(left)):
             for c in np.argsort(-reach.max(axis=0), kind="stable"):
-                for rows, bound in self._bounds(part.start + np.flatnonzero(reach[:, c] >= kth[part] - _EPS), c):
+                for rows, keys, bound in self._bounds(part[reach[:, c] >= kth[part] - _EPS], c):
                     row, col = np.nonzero(bound >= kth[rows][:, None] - _EPS)
                     if len(row):
-                        yield rows[row], self.order[self.lo[c] + col], bound[row, col]
+                        yield rows[row], keys[col], bound[row, col], np.full(len(row), np.nan)
 
-    def score(self, vendor: np.ndarray, key: np.ndarray) -> np.ndarray:
-        return wratio_batch([self.vendors[v] for v in vendor], [self.keys[k] for k in key])
+    def score(self, vendor: np.ndarray, key: np.ndarray, known: np.ndarray | None = None) -> np.ndarray:
+        out = np.full(len(vendor), np.nan) if known is None else known.copy()
+        todo = np.flatnonzero(np.isnan(out))
+        out[todo] = wratio_batch([self.vendors[v] for v in vendor[todo]], [self.keys[k] for k in key[todo]])
+        return out
 
     def best(self, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(vendor, key, score): the k best of the vendor's keys that reach ``least``, ties in lookup order."""
@@ -264,19 +368,15 @@ class _Slab:
         top = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
         def settle(top):
-            vendor, key, bound = (np.concatenate(x) for x in zip(*held))
+            vendor, key, bound, score = (np.concatenate(x) for x in zip(*held))
             high = np.argsort(-bound, kind="stable")
             for at in range(0, len(high), PAIRS):
                 some = high[at : at + PAIRS]
                 some = some[bound[some] >= kth[vendor[some]] - _EPS]
-                found = (vendor[some], key[some], self.score(vendor[some], key[some]))
-                v, p, s = (np.concatenate(x) for x in zip(top, found))
-                order = np.lexsort((p, -s, v))
-                v, p, s = v[order], p[order], s[order]
-                start = np.flatnonzero(np.diff(v, prepend=-1))
-                nth = np.arange(len(v)) - np.repeat(start, np.diff(np.append(start, len(v))))
-                kth[v[nth == k - 1]] = np.maximum(kth[v[nth == k - 1]], s[nth == k - 1])
-                top = (v[nth < k], p[nth < k], s[nth < k])
+                found = (vendor[some], key[some], self.score(vendor[some], key[some], score[some]))
+                *top, nth = _best_of(k, *(np.concatenate(x) for x in zip(top, found)))
+                v, s = top[0][nth == k - 1], top[2][nth == k - 1]
+                kth[v] = np.maximum(kth[v], s)
             held.clear()
             return top
 
@@ -311,23 +411,22 @@ def _in_slabs(asked: DataFrame, postings: Postings, key_col: str, run, schema: s
 
 
 def thresholds(vkeys: DataFrame, lookup: DataFrame, k: int, key_col: str, postings: Postings | None = None) -> DataFrame:
-    """(vendor, least): the k-th best score among a few keys in the vendor's home blocks; vendors with fewer are absent."""
+    """(vendor, least): the k-th best score found in the slabs of the vendor's home blocks; vendors with fewer are absent."""
     postings = postings or build(lookup)
     some = vkeys.select(key_col).where(F.char_length(key_col) > 0).distinct().withColumn("least", F.lit(None).cast("double"))
 
     def run(slab: _Slab, _least) -> pd.DataFrame:
-        found = list(slab.first())
-        vendor, key = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        return pd.DataFrame({key_col: np.array(slab.vendors, dtype=object)[vendor], "key": np.array(slab.keys, dtype=object)[key], "score": slab.score(vendor, key)})
+        vendor, key, score = slab.first(k)
+        return pd.DataFrame({key_col: np.array(slab.vendors, dtype=object)[vendor], "key": np.array(slab.keys, dtype=object)[key], "score": score})
 
-    pairs = _in_slabs(_asked(some, postings, key_col, lambda blocks, part, mine, n: blocks.home(mine, n)), postings, key_col, run, f"{key_col} string, key string, score double")
+    pairs = _in_slabs(_asked(some, postings, key_col, Blocks.home), postings, key_col, run, f"{key_col} string, key string, score double")
     ranked = pairs.withColumn("nth", F.row_number().over(Window.partitionBy(key_col).orderBy(F.col("score").desc())))
     return cut_lineage(ranked.where((F.col("nth") == k) & (F.col("score") > 0)).select(key_col, F.col("score").alias("least")))
 
 
 def plan(vkeys: DataFrame, least: DataFrame, postings: Postings, key_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(vendor, least and slab of the vendors that the index serves, their keys, the keys of the others)."""
-    asked = _asked(least, postings, key_col, lambda blocks, part, mine, n: blocks.bounds(mine, n) >= part["least"].to_numpy(dtype=float)[:, None] - _EPS)
+    asked = _asked(least, postings, key_col, Blocks.reached)
     served = least.select(key_col)
     return asked, served, vkeys.select(key_col).join(served, key_col, "left_anti")
 
