@@ -18,8 +18,8 @@ block; the common beginnings of its parts and its greatest counts bound all of i
 T only ever lies below the true k-th best score, so the result is exact.  A vendor is
 exchanged once a slab and a slab once for some thousand vendors; pairs are made and
 scored inside a task, so what is written grows with the keys, the vendors and the
-results, not with the pairs that are looked at.  A vendor without T (fewer than k keys that share a
-character) is left to the dense plan.
+results, not with the pairs that are looked at.  A vendor without T (fewer than k keys of
+its home slabs share a character) is left to the dense plan.
 """
 
 from __future__ import annotations
